@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,24 +64,20 @@ def _solve(z: np.ndarray, v: np.ndarray, ridge: float) -> tuple[np.ndarray, np.n
     return np.linalg.solve(a, b[:, :, None])[:, :, 0], mask
 
 
-def _matrix(col: pa.Array, width: int) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
-
-
 def _fit(cells: DataFrame, width: int, spec: ImputeSpec) -> np.ndarray:
-    """V after the given rounds. What comes to the driver is width x rank x (rank + 1) sums."""
+    """V after the given rounds. What comes to the driver is cells x rank x (rank + 1) sums."""
     rng = np.random.default_rng(7)
-    r = min(spec.rank, width)
-    v = rng.normal(scale=0.3, size=(width, r))
+    wide, r = 3 * width, min(spec.rank, width)
+    v = rng.normal(scale=0.3, size=(wide, r))
     schema = pa.schema([("cell", pa.int32()), ("k", pa.int32()), ("total", pa.float64())])
     for _ in range(spec.rounds):
         shared = cells.sparkSession.sparkContext.broadcast(v)
 
         def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            gram = np.zeros((width, r * r))
-            rhs = np.zeros((width, r))
+            gram = np.zeros((wide, r * r))
+            rhs = np.zeros((wide, r))
             for batch in batches:
-                z = _matrix(batch.column(0), width)
+                z = _cells(batch, width, spec.shrink)
                 u, mask = _solve(z, shared.value, spec.ridge)
                 gram += mask.T @ (u[:, :, None] * u[:, None, :]).reshape(len(u), r * r)
                 rhs += np.where(mask, z, 0.0).T @ u
@@ -87,11 +85,11 @@ def _fit(cells: DataFrame, width: int, spec: ImputeSpec) -> np.ndarray:
             cell, k = np.indices(both.shape)
             yield pa.RecordBatch.from_arrays([pa.array(x.ravel().astype(t)) for x, t in ((cell, "i4"), (k, "i4"), (both, "f8"))], schema=schema)
 
-        total = np.zeros((width, r * r + r))
-        rows = cells.select("z").mapInArrow(sums, "cell int, k int, total double").groupBy("cell", "k").agg(F.sum("total").alias("total"))
-        for cell, k, x in rows.collect():  # width x (rank^2 + rank) rows, whatever the input
+        total = np.zeros((wide, r * r + r))
+        rows = cells.mapInArrow(sums, "cell int, k int, total double").groupBy("cell", "k").agg(F.sum("total").alias("total"))
+        for cell, k, x in rows.collect():  # as many rows whatever the input
             total[cell, k] = x
-        gram = total[:, : r * r].reshape(width, r, r)
+        gram = total[:, : r * r].reshape(wide, r, r)
         v = np.linalg.solve(gram + spec.ridge * np.eye(r), total[:, r * r:, None])[:, :, 0]
         shared.unpersist()
     return v
@@ -108,7 +106,7 @@ def impute(df: DataFrame, spec: ImputeSpec) -> DataFrame:
     without any observed cell gets the column means. Empty input gives no rows.
     Fits eagerly: means, then ``spec.rounds`` passes over the encoded cells.
     """
-    df = df.dropDuplicates(list(spec.id))
+    df = df.drop("filled_fields").dropDuplicates(list(spec.id))
     num, cats = list(spec.numeric), spec.categories
     slots = [(c, None) for c in num] + [(c, v) for c in cats for v in cats[c]]
     width = len(slots)
@@ -125,22 +123,20 @@ def impute(df: DataFrame, spec: ImputeSpec) -> DataFrame:
             z.append(F.when(F.col(f"`{c}`").isin(*cats[c]), F.when(F.col(f"`{c}`") == v, 1.0).otherwise(-1.0 / max(1, len(cats[c]) - 1))).otherwise(float("nan")))
     group = F.col(f"`{spec.group}`").cast("string") if spec.group else F.lit(None).cast("string")
     near = F.floor(F.col(f"`{spec.order}`").cast("double") / spec.near) if spec.order else F.lit(0).cast("bigint")
-    rows = df.select("*", group.alias("_group"), F.coalesce(near, F.lit(-1)).alias("_near"), F.array(*z).alias("_own"))
-    if spec.group:
-        rows = _with_averages(rows, width, spec)
-        cell = F.concat("_own", F.coalesce("_g", F.array_repeat(F.lit(float("nan")), width)), F.coalesce("_b", F.array_repeat(F.lit(float("nan")), width)))
-        wide = 3 * width
-    else:
-        cell, wide = F.col("_own"), width
-    rows = cut(rows.withColumn("_z", cell.cast("array<float>")).drop("_own", "_g", "_b", "_group", "_near"))
-    v = _fit(rows.select(F.col("_z").alias("z")), wide, spec)
-    filled = rows.mapInArrow(_decode(v[:, :], wide, width, spec), T.StructType(rows.drop("_z").schema.fields + [T.StructField("_x", T.ArrayType(T.DoubleType())), T.StructField("_c", T.ArrayType(T.IntegerType()))]))
+    # records without a group share no averages; their own hash keeps them from meeting in one partition
+    near = F.when(group.isNull(), F.xxhash64(*spec.id)).otherwise(F.coalesce(near, F.lit(-1)))
+    rows = df.select("*", group.alias("__group"), near.alias("__near"), F.array(*z).cast("array<float>").alias("__own"))
+    rows = cut(_with_averages(rows, width) if spec.group else rows.select("*", F.lit(None).cast("array<double>").alias("__g"), F.lit(None).cast("array<double>").alias("__b")))
+    v = _fit(rows.select("__own", "__g", "__b"), width, spec)
+    kept = rows.drop("__group", "__near")
+    fields = [f for f in kept.schema.fields if not f.name.startswith("__")]
+    filled = kept.mapInArrow(_decode(v, width, spec), T.StructType([*fields, T.StructField("__x", T.ArrayType(T.DoubleType())), T.StructField("__c", T.ArrayType(T.IntegerType()))]))
     out = {}
     marks = []
     for i, c in enumerate(num):
         ok = _valid(c, spec)
         lo, hi = stat[f"a{i}"], stat[f"b{i}"]
-        guess = F.get("_x", F.lit(i)) * F.lit(sd[i]) + F.lit(mean[i])
+        guess = F.get("__x", F.lit(i)) * F.lit(sd[i]) + F.lit(mean[i])
         guess = F.least(F.greatest(guess, F.lit(lo)), F.lit(hi)) if lo is not None else F.lit(None).cast("double")
         kind = df.schema[c].dataType
         guess = F.round(guess).cast(kind) if c in spec.integers or isinstance(kind, T.IntegralType) else guess.cast(kind)
@@ -148,31 +144,40 @@ def impute(df: DataFrame, spec: ImputeSpec) -> DataFrame:
         marks.append(F.when(~F.coalesce(ok, F.lit(False)), F.lit(c)))
     for j, c in enumerate(cats):
         ok = F.coalesce(F.col(f"`{c}`").isin(*cats[c]), F.lit(False))
-        out[c] = F.when(ok, F.col(f"`{c}`")).otherwise(F.get(F.array(*[F.lit(x) for x in cats[c]]), F.get("_c", F.lit(j))))
+        out[c] = F.when(ok, F.col(f"`{c}`")).otherwise(F.get(F.array(*[F.lit(x) for x in cats[c]]), F.get("__c", F.lit(j))))
         marks.append(F.when(~ok, F.lit(c)))
     keep = [out.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns]
     return filled.select(*keep, F.array_compact(F.array(*marks)).alias("filled_fields"))
 
 
-def _with_averages(rows: DataFrame, width: int, spec: ImputeSpec) -> DataFrame:
-    """Averages of the group and of the group near in time, shrunk towards the mean.
+def _with_averages(rows: DataFrame, width: int) -> DataFrame:
+    """Sums and counts of each cell over the group (``__g``) and over the group near in time (``__b``).
 
     The near groups are summed first and the groups from them; the join back is
     by (group, near), so a group with many records is spread over its parts.
     """
-    own = [F.get("_own", F.lit(i)) for i in range(width)]
-    seen = [F.when(~F.isnan(x), x) for x in own]
-    near = rows.filter("_group is not null").groupBy("_group", "_near").agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(seen)], *[F.count(x).alias(f"n{i}") for i, x in enumerate(seen)])
-    near = near.select("_group", "_near", F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) for i in range(width)]).alias("s"), F.array(*[F.col(f"n{i}") for i in range(width)]).alias("n"))
-    near = cut(near)
-    sums = [F.sum(F.get(a, F.lit(i))).alias(f"{a}{i}") for a in ("s", "n") for i in range(width)]
-    group = near.groupBy("_group").agg(*sums).select("_group", *[F.array(*[F.col(f"{a}{i}") for i in range(width)]).alias(f"g{a}") for a in ("s", "n")])
-    mean = lambda s, n: F.transform(F.arrays_zip(F.col(s).alias("s"), F.col(n).alias("n")), lambda p: F.when(p["n"] > 0, p["s"] / (p["n"] + spec.shrink)).otherwise(float("nan")))
-    side = near.join(group, "_group").select("_group", "_near", mean("gs", "gn").alias("_g"), mean("s", "n").alias("_b"))
-    return rows.join(side, ["_group", "_near"], "left")
-
-
-def _decode(v: np.ndarray, wide: int, width: int, spec: ImputeSpec):
+    both = F.concat(F.transform("__own", lambda x: F.nanvl(x, F.lit(0.0)).cast("double")), F.transform("__own", lambda x: F.when(F.isnan(x), 0.0).otherwise(1.0)))
+    near = rows.filter("__group is not null").select("__group", "__near", array_to_vector(both).alias("v"))
+    near = cut(near.groupBy("__group", "__near").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("__b")))
+    group = near.groupBy("__group").agg(vector_to_array(Summarizer.sum(array_to_vector("__b"))).alias("__g"))
+    return rows.join(near.join(group, "__group"), ["__group", "__near"], "left")
+
+
+def _cells(batch: pa.RecordBatch, width: int, shrink: float) -> np.ndarray:
+    """Cells of the records of a batch: own, group averages, near averages; NaN where nothing is known."""
+    col = dict(zip(batch.schema.names, batch.columns))
+    z = np.full((batch.num_rows, 3 * width), np.nan)
+    z[:, :width] = col["__own"].flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    for k, c in ((1, col["__g"]), (2, col["__b"])):
+        has = np.asarray(c.is_valid())
+        if has.any():
+            both = c.filter(c.is_valid()).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * width)
+            s, n = both[:, :width], both[:, width:]
+            z[has, k * width: (k + 1) * width] = np.where(n > 0, s / (n + shrink), np.nan)
+    return z
+
+
+def _decode(v: np.ndarray, width: int, spec: ImputeSpec):
     cats = [len(x) for x in spec.categories.values()]
     k = len(spec.numeric)
 
@@ -180,16 +185,16 @@ def _decode(v: np.ndarray, wide: int, width: int, spec: ImputeSpec):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            z = _matrix(batch.column(batch.num_columns - 1), wide)
-            u, _ = _solve(z, v, spec.ridge)
+            u, _ = _solve(_cells(batch, width, spec.shrink), v, spec.ridge)
             guess = u @ v[:width].T
             best, at = [], k
             for n in cats:
                 best.append(guess[:, at: at + n].argmax(axis=1))
                 at += n
-            x = pa.array(list(guess[:, :k]), type=pa.list_(pa.float64()))
-            c = pa.array(list(np.stack(best, axis=1).astype(np.int32)) if best else [[]] * len(z), type=pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], x, c], names=[*batch.schema.names[:-1], "_x", "_c"])
+            x = pa.ListArray.from_arrays(np.arange(0, k * len(u) + 1, max(k, 1), dtype=np.int32)[: len(u) + 1] if k else np.zeros(len(u) + 1, np.int32), pa.array(guess[:, :k].ravel()))
+            c = pa.array(np.stack(best, axis=1).astype(np.int32).tolist() if best else [[]] * len(u), type=pa.list_(pa.int32()))
+            keep = [i for i, n in enumerate(batch.schema.names) if not n.startswith("__")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], x, c], names=[*[batch.schema.names[i] for i in keep], "__x", "__c"])
 
     return decode
 
