@@ -48,10 +48,27 @@ class ImputeSpec:
     allow_negative: bool = False
 
 
-def _valid(c: str, spec: ImputeSpec) -> Column:
-    x = F.col(f"`{c}`").cast("double")
-    ok = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    return ok if spec.allow_negative else ok & (x >= 0)
+# Tens of columns times several expressions: SQL text is built here, since each
+# call of the Column API is a call to the JVM.
+
+
+def _name(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
+def _text(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _valid(c: str, spec: ImputeSpec) -> str:
+    """True where a number counts, false or NULL where it is missing."""
+    x = f"cast({_name(c)} as double)"
+    ok = f"{x} is not null and not isnan({x}) and abs({x}) <> double('infinity')"
+    return ok if spec.allow_negative else f"{ok} and {x} >= 0"
+
+
+def _listed(c: str, spec: ImputeSpec) -> str:
+    return f"coalesce({_name(c)} in ({', '.join(_text(v) for v in spec.categories[c])}), false)"
 
 
 def _solve(z: np.ndarray, v: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
@@ -110,44 +127,43 @@ def impute(df: DataFrame, spec: ImputeSpec) -> DataFrame:
     num, cats = list(spec.numeric), spec.categories
     slots = [(c, None) for c in num] + [(c, v) for c in cats for v in cats[c]]
     width = len(slots)
-    stat = df.agg(
-        *[f(F.when(_valid(c, spec), F.col(f"`{c}`").cast("double"))).alias(f"{n}{i}") for i, c in enumerate(num) for n, f in (("m", F.avg), ("s", F.stddev_pop), ("a", F.min), ("b", F.max))]
-    ).first() if num else {}
+    stat = {}
+    if num:
+        number = [f"case when {_valid(c, spec)} then cast({_name(c)} as double) end" for c in num]
+        stat = df.selectExpr(*[f"{f}({x}) as {n}{i}" for i, x in enumerate(number) for n, f in (("m", "avg"), ("s", "stddev_pop"), ("a", "min"), ("b", "max"))]).first()
     mean = [stat[f"m{i}"] or 0.0 for i in range(len(num))]
     sd = [stat[f"s{i}"] or 1.0 for i in range(len(num))]
     z = []
     for i, (c, v) in enumerate(slots):
         if v is None:
-            z.append(F.when(_valid(c, spec), (F.col(f"`{c}`").cast("double") - F.lit(mean[i])) / F.lit(sd[i])).otherwise(float("nan")))
+            z.append(f"case when {_valid(c, spec)} then float((cast({_name(c)} as double) - {mean[i]!r}D) / {sd[i]!r}D) else float('nan') end")
         else:
-            z.append(F.when(F.col(f"`{c}`").isin(*cats[c]), F.when(F.col(f"`{c}`") == v, 1.0).otherwise(-1.0 / max(1, len(cats[c]) - 1))).otherwise(float("nan")))
+            off = -1.0 / max(1, len(cats[c]) - 1)
+            z.append(f"case when {_listed(c, spec)} then (case when {_name(c)} = {_text(v)} then 1.0F else {off!r}F end) else float('nan') end")
     group = F.col(f"`{spec.group}`").cast("string") if spec.group else F.lit(None).cast("string")
     near = F.floor(F.col(f"`{spec.order}`").cast("double") / spec.near) if spec.order else F.lit(0).cast("bigint")
     # records without a group share no averages; their own hash keeps them from meeting in one partition
     near = F.when(group.isNull(), F.xxhash64(*spec.id)).otherwise(F.coalesce(near, F.lit(-1)))
-    rows = df.select("*", group.alias("__group"), near.alias("__near"), F.array(*z).cast("array<float>").alias("__own"))
+    rows = df.select("*", group.alias("__group"), near.alias("__near"), F.expr(f"array({', '.join(z)})").alias("__own"))
     rows = cut(_with_averages(rows, width) if spec.group else rows.select("*", F.lit(None).cast("array<double>").alias("__g"), F.lit(None).cast("array<double>").alias("__b")))
     v = _fit(rows.select("__own", "__g", "__b"), width, spec)
     kept = rows.drop("__group", "__near")
     fields = [f for f in kept.schema.fields if not f.name.startswith("__")]
     filled = kept.mapInArrow(_decode(v, width, spec), T.StructType([*fields, T.StructField("__x", T.ArrayType(T.DoubleType())), T.StructField("__c", T.ArrayType(T.IntegerType()))]))
-    out = {}
-    marks = []
+    out, marks = {}, []
     for i, c in enumerate(num):
-        ok = _valid(c, spec)
-        lo, hi = stat[f"a{i}"], stat[f"b{i}"]
-        guess = F.get("__x", F.lit(i)) * F.lit(sd[i]) + F.lit(mean[i])
-        guess = F.least(F.greatest(guess, F.lit(lo)), F.lit(hi)) if lo is not None else F.lit(None).cast("double")
         kind = df.schema[c].dataType
-        guess = F.round(guess).cast(kind) if c in spec.integers or isinstance(kind, T.IntegralType) else guess.cast(kind)
-        out[c] = F.when(ok, F.col(f"`{c}`")).otherwise(guess)
-        marks.append(F.when(~F.coalesce(ok, F.lit(False)), F.lit(c)))
+        lo, hi = stat[f"a{i}"], stat[f"b{i}"]
+        guess = f"least(greatest(__x[{i}] * {sd[i]!r}D + {mean[i]!r}D, {lo!r}D), {hi!r}D)" if lo is not None else "null"
+        if c in spec.integers or isinstance(kind, T.IntegralType):
+            guess = f"round({guess})"
+        out[c] = f"case when {_valid(c, spec)} then {_name(c)} else cast({guess} as {kind.simpleString()}) end"
+        marks.append(f"case when coalesce({_valid(c, spec)}, false) then null else {_text(c)} end")
     for j, c in enumerate(cats):
-        ok = F.coalesce(F.col(f"`{c}`").isin(*cats[c]), F.lit(False))
-        out[c] = F.when(ok, F.col(f"`{c}`")).otherwise(F.get(F.array(*[F.lit(x) for x in cats[c]]), F.get("__c", F.lit(j))))
-        marks.append(F.when(~ok, F.lit(c)))
-    keep = [out.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns]
-    return filled.select(*keep, F.array_compact(F.array(*marks)).alias("filled_fields"))
+        out[c] = f"case when {_listed(c, spec)} then {_name(c)} else array({', '.join(_text(v) for v in cats[c])})[__c[{j}]] end"
+        marks.append(f"case when {_listed(c, spec)} then null else {_text(c)} end")
+    keep = [f"{out.get(c, _name(c))} as {_name(c)}" for c in df.columns]
+    return filled.selectExpr(*keep, f"array_compact(array({', '.join(marks)})) as filled_fields")
 
 
 def _with_averages(rows: DataFrame, width: int) -> DataFrame:

@@ -462,7 +462,7 @@ ORACLE = {
     "knn_predict": f"{_KNN}, v as (select query_id, label, count(*) v from nn group by 1, 2) select distinct on (query_id) query_id, label prediction from v order by query_id, v desc, label",
     "confusion_matrix": f"{_SCORED} select label, prediction, count(*) n from sc group by 1, 2",
     "class_scores": f"""{_SCORED}, c as (select c class, count(*) filter (label = c) support, count(*) filter (label = c and prediction = c) hit, count(*) filter (prediction = c) predicted from sc, (select unnest([0, 1]) c) group by 1),
-        p as (select class, support, coalesce(hit / nullif(predicted, 0), 0) pr, coalesce(hit / nullif(support, 0), 0) rc from c) select class, support, round(pr, 6) precision, round(rc, 6) recall, round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0), 6) f1 from p""",
+        p as (select class, support, coalesce(hit / nullif(predicted, 0), 0) pr, coalesce(hit / nullif(support, 0), 0) rc from c) select class, support, round(pr, 6) as "precision", round(rc, 6) as recall, round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0), 6) f1 from p""",
     "roc_points": f"""{_SCORED}, g as (select score, sum(label) p, count(*) - sum(label) q from sc group by 1)
         select score threshold, round(sum(q) over (order by score desc) / sum(q) over (), 6) fpr, round(sum(p) over (order by score desc) / sum(p) over (), 6) tpr from g""",
     "auc": f"{_SCORED}, r as (select label, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2 r from sc) select round((sum(r) filter (label = 1) - count(*) filter (label = 1) * (count(*) filter (label = 1) + 1) / 2) / (count(*) filter (label = 1) * count(*) filter (label = 0)), 6) auc from r",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,14 +30,32 @@ def build(app: str = "breathlake", master: str | None = None, **conf: str) -> Sp
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches by bytes; leaves a smaller setting of the user alone."""
+    """Bound Arrow batches by bytes (a smaller setting of the user stays) and ship the package."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key)
     if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > ARROW_BATCH_BYTES:
         spark.conf.set(key, str(ARROW_BATCH_BYTES))
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, wherever it was imported from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_breathlake_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="breathlake-"), "breathlake.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    at = os.path.join(folder, f)
+                    z.write(at, os.path.relpath(at, os.path.dirname(root)))
+    sc.addPyFile(path)  # the driver serves it; executors need no shared folder for it
+    sc._breathlake_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
