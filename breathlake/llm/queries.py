@@ -28,26 +28,20 @@ def _recordings(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "recordings").dropDuplicates(["recording_id"])
     r = r.select("recording_id", "subject_id", _person("subject_id").alias("person"), _session().alias("session"))
     own = F.concat(F.lit("r:"), F.col("recording_id").cast("string"))
-    return r.withColumn("entity", F.coalesce("person", "session", own))
+    return r.withColumn("record", own).withColumn("entity", F.coalesce("person", "session", own))
 
 
-def _links(spark: SparkSession, d: str, recordings: DataFrame, windows: DataFrame | None = None) -> DataFrame:
-    """Recordings, and the rows of ``subjects`` that name a former id, with the entities they name."""
-    rec = F.concat(F.lit("r:"), F.col("recording_id").cast("string"))
-    links = recordings.select(rec.alias("record"), "entity")
+def _links(spark: SparkSession, d: str, records: DataFrame) -> DataFrame:
+    """``records(record, entity)``, and the rows of ``subjects`` that name a former id, with the ids they name."""
     s = table(spark, d, "subjects").select(_person("subject_id").alias("now"), _person("prior_subject_id").alias("before")).dropna().distinct()
-    row = F.concat_ws(">", "now", "before")
-    links = links.unionByName(s.select(row.alias("record"), F.explode(F.array("now", "before")).alias("entity")))
-    if windows is not None:
-        links = links.unionByName(windows.select(rec.alias("record"), _person("subject_id").alias("entity")).dropna().distinct())
-    return links
+    return records.select("record", "entity").unionByName(s.select(F.concat_ws(">", "now", "before").alias("record"), F.explode(F.array("now", "before")).alias("entity")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of recordings that share a split though their ids do not say so."""
     seen = table(spark, d, "signal_windows").select("recording_id").distinct()
     r = cut(_recordings(spark, d).join(seen, "recording_id", "left_semi"))
-    labels = propagate_labels(_links(spark, d, r))
+    labels = propagate_labels(_links(spark, d, r))  # by the values in recordings alone
     grouped = r.join(labels, "entity").select(F.col("label").alias("group"), "subject_id", "person", "session", "recording_id")
     # an unnamed recording counts as written in its own way: all of one session pair up
     written = F.when(F.col("person").isNotNull(), F.col("subject_id")).otherwise(F.col("recording_id").cast("string"))
@@ -57,20 +51,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_split(spark: SparkSession, d: str) -> DataFrame:
     """A split for each window, whole persons and sessions together, recovery kept in balance."""
-    w = table(spark, d, "signal_windows").select("window_id", "recording_id", "subject_id").dropDuplicates(["window_id"])
-    r = _recordings(spark, d)
-    # a window of an unknown recording stands by its own subject, or alone
-    lost = w.join(r, "recording_id", "left_anti").select("recording_id", F.coalesce(_person("subject_id"), F.concat(F.lit("w:"), F.col("window_id").cast("string"))).alias("entity"))
-    r = r.select("recording_id", "entity").unionByName(lost.filter("recording_id is not null").groupBy("recording_id").agg(F.min("entity").alias("entity")))
-    labels = propagate_labels(_links(spark, d, r, w))
-    groups = cut(r.join(labels, "entity").select("recording_id", F.col("label").alias("group")))
+    w = table(spark, d, "signal_windows").select("window_id", "recording_id", _person("subject_id").alias("person")).dropDuplicates(["window_id"])
+    w = w.withColumn("record", F.coalesce(F.concat(F.lit("r:"), F.col("recording_id").cast("string")), F.concat(F.lit("w:"), F.col("window_id").cast("string"))))
+    r = _recordings(spark, d).filter("recording_id is not null").select("record", "entity")
+    # windows link their recording to their own person, too; one of an unknown recording stands by its person, or alone
+    named = w.select("record", F.col("person").alias("entity")).dropna().distinct()
+    alone = w.select("record").distinct().join(r.unionByName(named).select("record").distinct(), "record", "left_anti").select("record", F.col("record").alias("entity"))
+    links = cut(r.unionByName(named).unionByName(alone))
+    labels = propagate_labels(_links(spark, d, links))
+    groups = cut(links.join(labels, "entity").groupBy("record").agg(F.min("label").alias("group")))
     c = table(spark, d, "clinical_labels").select(_person("subject_id").alias("entity"), "recovery").dropna()
     outcome = c.join(labels, "entity").groupBy(F.col("label").alias("group")).agg(F.max("recovery").cast("string").alias("stratum"))
-    sizes = w.groupBy("recording_id").agg(F.count("*").alias("n")).join(groups, "recording_id").groupBy("group").agg(F.sum("n").alias("n"))
+    sizes = w.groupBy("record").agg(F.count("*").alias("n")).join(groups, "record").groupBy("group").agg(F.sum("n").alias("n"))
     members = sizes.join(outcome, "group", "left").select("group", "stratum", "n")
     targets = [(t["split_name"], t["target_share"]) for t in table(spark, d, "split_targets").orderBy("split_name").collect()]  # as many as splits
     split = assign_groups(members, targets).join(groups, "group").join(outcome, "group", "left")
-    return w.select("window_id", "recording_id").join(split, "recording_id").select("window_id", "recording_id", "group", F.col("stratum").alias("recovery"), "split")
+    return w.join(split, "record").select("window_id", "recording_id", "group", F.col("stratum").alias("recovery"), "split")
 
 
 def p3_shares(spark: SparkSession, d: str) -> DataFrame:

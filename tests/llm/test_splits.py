@@ -63,3 +63,23 @@ def test_pairs_by_written_form(spark):
     rows = [("p", "A", 1), ("p", "A", 2), ("p", "a", 3), ("q", "B", 4), ("q", "b ", 2), ("q", "B", 4)]
     got = {(r.a, r.b) for r in forced_pairs(spark.createDataFrame(rows, "group string, written string, id long")).collect()}
     assert got == {(1, 3), (2, 3), (2, 4)}
+
+
+def test_windows_of_one_person_or_session_share_a_split(spark, tmp_path):
+    from breathlake.llm.queries import p3_found, p3_split
+
+    def save(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    save("subjects", [("A1", None), ("B2", "a-1"), ("C3", "B2 "), ("D4", None), (None, "A1")], "subject_id string, prior_subject_id string")
+    save("recordings", [(1, "A1", "20240101", 1), (2, "c3", "20240101", 1), (3, None, "1.2.2024", 7), (4, "unknown", "2024-02-01", 7), (5, "D4", "UNKNOWN", 1), (6, " ", "UNKNOWN", 7), (7, "A1", None, None), (8, "A1", "20240101", 1), (1, "A1", "20240101", 1)], "recording_id long, subject_id string, recording_date string, device_id int")
+    save("signal_windows", [(10 * r + k, r, s) for r, s in ((1, "A1"), (2, None), (3, None), (4, None), (5, "D4"), (6, None), (7, "A1"), (99, "B2"), (98, None)) for k in range(2)] + [(10, 1, "A1"), (1000, None, None)], "window_id long, recording_id long, subject_id string")
+    save("clinical_labels", [("A1", 1), ("D4", None), (None, 0)], "subject_id string, recovery int")
+    save("split_targets", [("train", 0.5), ("test", 0.5)], "split_name string, target_share double")
+    d = str(tmp_path)
+    assert {tuple(r) for r in p3_found(spark, d).select("recording_id_a", "recording_id_b").collect()} == {(1, 2), (2, 7), (3, 4)}
+    got = {r.window_id: (r.group, r.split) for r in p3_split(spark, d).collect()}
+    assert len(got) == 19
+    same = lambda *w: len({got[x] for x in w}) == 1
+    assert same(10, 11, 20, 21, 70, 71, 990, 991) and same(30, 31, 40, 41) and same(60, 61)
+    assert len({got[w][0] for w in (10, 30, 50, 60, 980, 1000)}) == 6
