@@ -43,6 +43,22 @@ def select_statistical(long: DataFrame, wide: DataFrame, features: list[str], al
     return t.withColumn("selected", cap & (F.col("_fit") | ~F.col("_any"))).drop("_fit", "_rank", "_any")
 
 
+def select_combined(long: DataFrame, wide: DataFrame, features: list[str], alpha: float = 0.05, variance: float = 0.01, threshold: float = 0.95) -> DataFrame:
+    """Enough variance, then not correlated with a feature kept before, then significant: ``feature, step, selected``.
+
+    ``step`` names the filter that dropped a feature. Only one verdict a feature
+    and pair comes to the driver.
+    """
+    passed = {r["feature"] for r in variances(wide, features, variance).filter("passed").collect()}
+    left = [f for f in features if f in passed]
+    kept = set(stats.greedy_uncorrelated(stats.correlation_matrix(wide, left), left, threshold)) if len(left) > 1 else set(left)
+    fate = [(f, "variance" if f not in passed else "correlation" if f not in kept else None) for f in features]
+    early = wide.sparkSession.createDataFrame(fate, "feature string, step string")
+    p = select_statistical(long.filter(F.col("feature").isin(sorted(kept))), wide, sorted(kept) or features, alpha, None, variance).select("feature", "p_value")
+    out = early.join(p, "feature", "left").withColumn("step", F.coalesce("step", F.when(F.coalesce(F.col("p_value") >= alpha, F.lit(True)), "significance")))
+    return out.withColumn("selected", F.col("step").isNull())
+
+
 def binned_mutual_information(long: DataFrame, bins: int = 10) -> DataFrame:
     """Mutual information in nats between each feature, in ``bins`` of equal rank, and the label."""
     long = long.dropna()
@@ -121,5 +137,5 @@ def intrinsic_dimension(ratios: list[float], method: str = "kaiser", share: floa
     if method == "variance":
         return min(len(r), int(np.searchsorted(np.cumsum(r), share) + 1))
     if method == "elbow":
-        return 1 if len(r) < 3 else int(np.argmax(np.diff(r, 2)) + 2)
+        return len(r) if len(r) < 3 else int(np.argmax(np.diff(r, 2)) + 2)
     raise ValueError(f"unknown method {method}")

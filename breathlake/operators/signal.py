@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from breathlake.session import cut
+
 #: Consecutive samples that one task orders at a time.
 BLOCK = 1 << 16
 KEY = "recording_id"
@@ -303,3 +305,22 @@ def sign_segments(samples: DataFrame, threshold: float = 0.0, block: int = BLOCK
     g = j.groupBy(KEY, "side", "start_idx", "end_idx").agg(
         F.max("rate").alias("rate"), F.sum(F.when(single, 0.0).otherwise(F.col("x") * edge)).alias("area"), F.max_by("x", main).alias("peak_value"), F.max_by("idx", main).alias("peak_idx"))
     return g.select(KEY, "side", "start_idx", "end_idx", (F.col("area") / F.col("rate")).alias("volume"), ((F.col("end_idx") - 1 - F.col("start_idx")) / F.col("rate")).alias("duration"), "peak_value", "peak_idx", ((F.col("peak_idx") - F.col("start_idx")) / F.col("rate")).alias("latency"))
+
+
+def clean(samples: DataFrame, method: str | None = "linear", k: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """Cleaned samples and the quality report with what was done to each recording.
+
+    Recordings to reject drop out of the samples; those to clean have their
+    issues repaired; then outliers are interpolated and, for detrending, gaps
+    filled. ``method`` None leaves trend and gaps.
+    """
+    issues = cut(all_issues(samples))
+    report = cut(quality_report(samples, issues))
+    mend = report.filter("recommendation = 'clean'").select(KEY)
+    repaired = repair(samples.join(mend, KEY, "left_semi"), issues.join(mend, KEY, "left_semi")).select(KEY, "idx", "x", "rate")
+    fine = samples.join(report.filter("recommendation = 'accept'").select(KEY), KEY, "left_semi").select(KEY, "idx", "x", "rate")
+    out = remove_outliers(fine.unionByName(repaired), k).select(KEY, "idx", "x", "rate")
+    if method:
+        out = detrend(fill_missing(out).select(KEY, "idx", "x", "rate"), method)
+    status = F.when(F.col("recommendation") == "reject", "rejected").when(F.col("recommendation") == "clean", "repaired").otherwise("ok")
+    return out, report.withColumn("status", status)

@@ -253,6 +253,30 @@ def binned_mutual_information(s, d):
     return rounded(select.binned_mutual_information(_long(s, d, "sensor"), 8))
 
 
+def select_combined(s, d):
+    f = _features(s, d).filter(F.col("sensor").isin("belt", "mask"))
+    return select.select_combined(ft.melt(f.withColumnRenamed("sensor", "label"), ["label"], EIGHT), f, EIGHT)
+
+
+def violin_data(s, d):
+    """The shape of each feature in each group, by quantiles."""
+    q = F.percentile("value", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
+    g = _long(s, d, "sensor").filter("value is not null").groupBy("feature", "label").agg(F.count("*").alias("n"), q.alias("q"))
+    return rounded(g.select("feature", "label", "n", *[F.get("q", F.lit(i)).alias(f"q{n}") for i, n in enumerate(("05", "25", "50", "75", "95"))]))
+
+
+def label_summary(s, d):
+    from breathlake.sources.sinks import label_summary as summary
+
+    return rounded(summary(_labels(s, d), ["recovery", "current_consciousness", "survival"]))
+
+
+def safe_names(s, d):
+    from breathlake.sources.names import safe_name
+
+    return table(s, d, "recordings").select("recording_id", safe_name("file_name").alias("safe")).distinct()
+
+
 # --- models ----------------------------------------------------------------------------
 
 
@@ -347,7 +371,7 @@ _ALL = (
     aggregate_windows, aggregate_min_valid, aggregate_propagate, aggregate_custom, valid_counts, feature_statistics, normalize_zscore, normalize_minmax, normalize_robust, fill_mean, fill_median, fill_zero, fill_drop,
     melt, concat_union, split_train, split_test, feature_matrix, label_distribution, remap_labels, exclude_labels, cohort_filter, merge_labels_inner, lookup_left_outer, subject_from_filename, date_from_filename,
     sampling_rate_infer, welch_t, mann_whitney_u, kruskal_h, anova_f, effect_sizes, compare_groups_binary, compare_groups_multi, *(_adjusted(m) for m in ("bonferroni", "sidak", "holm", "fdr_bh", "fdr_by")),
-    corr_pearson_matrix, corr_pairs, remove_correlated, outcome_pearson, outcome_spearman, kendall, variance_filter, select_top_n, select_statistical, binned_mutual_information, knn_neighbors, knn_predict,
+    corr_pearson_matrix, corr_pairs, remove_correlated, outcome_pearson, outcome_spearman, kendall, variance_filter, select_top_n, select_statistical, select_combined, violin_data, label_summary, safe_names, binned_mutual_information, knn_neighbors, knn_predict,
     confusion_matrix, class_scores, roc_points, auc, stratified_folds, pca_scores, pca_loadings, pca_variance, grid_search, bootstrap_intervals, ablation, recursive_elimination,
     _predictions("logistic", {}), _predictions("forest", {"n_estimators": 20, "max_depth": 5}), _predictions("boosting", {"n_estimators": 10}), _predictions("svm", {"kernel": "rbf", "components": 100}), _predictions("network", {"max_iter": 50}),
 )
@@ -458,6 +482,9 @@ ORACLE = {
     "binned_mutual_information": f"""with {_wf(EIGHT)}, {_melted(EIGHT)}, {_RANKED.format('')}, n as (select feature, count(*)::double total from rk group by 1),
         b as (select feature, label, least(floor((r - 0.5) / total * 8), 7) bin, total from rk join n using (feature)), c as (select feature, bin, label, count(*) c, any_value(total) total from b group by 1, 2, 3),
         m as (select *, sum(c) over (partition by feature, bin) nb, sum(c) over (partition by feature, label) nl from c) select feature, round(sum(c / total * ln(c * total / (nb * nl))), 6) score from m group by 1""",
+    "violin_data": f"with {_wf(EIGHT)}, {_melted(EIGHT)} select feature, label, count(*) n, " + ", ".join(f"round(quantile_cont(value, 0.{q}), 6) q{q}" for q in ("05", "25", "50", "75", "95")) + " from long where value is not null group by 1, 2",
+    "label_summary": f"with {_LAB} " + " union all ".join(f"select '{c}' outcome, count({c}) valid, count(*) - count({c}) missing, round(100.0 * count({c}) / count(*), 6) percent_valid from lab" for c in ("recovery", "current_consciousness", "survival")),
+    "safe_names": "select distinct recording_id, regexp_replace(file_name, '[^A-Za-z0-9_-]', '', 'g') safe from recordings",
     "knn_neighbors": f"{_KNN} select query_id, neighbor_id, rank, round(distance, 6) distance from nn",
     "knn_predict": f"{_KNN}, v as (select query_id, label, count(*) v from nn group by 1, 2) select distinct on (query_id) query_id, label prediction from v order by query_id, v desc, label",
     "confusion_matrix": f"{_SCORED} select label, prediction, count(*) n from sc group by 1, 2",

@@ -9,6 +9,7 @@ from breathlake.functions.compare import nudged, rounded
 from breathlake.operators import breaths as br
 from breathlake.operators import signal as sg
 from breathlake.session import table
+from breathlake.streaming.windows import stream_windows
 
 SIZE_S, OVERLAP_S = 30.0, 6.0
 
@@ -112,10 +113,27 @@ def bandpass_windows(s: SparkSession, d: str) -> DataFrame:
     return br.filter_windows(table(s, d, "signal_windows"))
 
 
+def clean_signal(s: SparkSession, d: str) -> DataFrame:
+    return sg.clean(_samples(s, d))[0].select("recording_id", "idx", "x")
+
+
+def signal_traces(s: SparkSession, d: str) -> DataFrame:
+    """Raw and cleaned signal side by side, one point for each 10 s."""
+    x = _samples(s, d)
+    both = x.select("recording_id", "idx", "rate", F.col("x").alias("raw")).join(sg.detrend(x, "constant").select("recording_id", "idx", F.col("x").alias("level")), ["recording_id", "idx"])
+    return rounded(both.groupBy("recording_id", F.floor(F.col("idx") / F.col("rate") / 10).alias("step")).agg(F.avg("raw").alias("raw"), F.avg("level").alias("level")), 5)
+
+
+def event_windows(s: SparkSession, d: str) -> DataFrame:
+    """The streaming operator on the whole table of events."""
+    w = stream_windows(table(s, d, "events"), "user_id", "ts", "value", "6 hours", "3 hours")
+    return rounded(w.select("user_id", F.unix_seconds("start").alias("start_s"), "n", "mean_x", "min_x", "max_x"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (sliding_windows, recording_shape, window_count, time_segment, gap_runs, outlier_runs, physical_runs, flat_runs, quality_report, gap_repair, outlier_interpolate, fill_gaps,
-              detrend_linear, detrend_constant, sign_segments, breath_metrics, phase_pauses, inter_breath_intervals, window_breaths, window_metrics, bandpass_windows)
+              detrend_linear, detrend_constant, sign_segments, breath_metrics, phase_pauses, inter_breath_intervals, window_breaths, window_metrics, bandpass_windows, clean_signal, signal_traces, event_windows)
 }
 
 _S = """w0 as (select distinct window_id, recording_id, start_idx, sampling_rate rate, window_data from signal_windows),
@@ -231,6 +249,10 @@ ORACLE = {
     "breath_metrics": _metrics_sql(),
     "phase_pauses": f"""with b as (select distinct breath_id, recording_id, phase, duration dur, start_time from breath_peaks where phase in ('inhale', 'exhale')), {_PAUSE}
         select recording_id, phase, count(*) n, round(avg(pause), 6) mean_pause, round(max(pause), 6) max_pause from p0 group by 1, 2""",
+    "signal_traces": f"""with {_S}, f as (select recording_id, avg(x) m from samples group by 1)
+        select recording_id, cast(floor(idx / rate / 10) as bigint) step, round(avg(x), 5) raw, round(avg(x - m), 5) level from samples join f using (recording_id) group by 1, 2""",
+    "event_windows": """with e as (select user_id, value, cast(floor(epoch_us(ts) / 10800e6) as bigint) * 10800 - unnest([0, 10800]) start_s from events)
+        select user_id, start_s, count(value) n, round(avg(value), 6) mean_x, round(min(value), 6) min_x, round(max(value), 6) max_x from e group by 1, 2""",
     "inter_breath_intervals": """with b as (select distinct breath_id, recording_id, start_time from breath_peaks where phase = 'inhale'),
         i as (select breath_id, recording_id, start_time - lag(start_time) over (partition by recording_id order by start_time, breath_id) ibi from b) select breath_id, recording_id, round(ibi, 6) ibi from i where ibi is not null""",
 }

@@ -30,3 +30,8 @@ def date_from_name(c: Column | str) -> Column:
     y = at(1)
     year = F.when(F.length(y) <= 2, F.concat(F.when(y.cast("int") <= 30, "20").otherwise("19"), two(y))).otherwise(y)
     return F.when(F.size(runs) >= 3, F.concat(year, two(at(2)), two(at(3)))).otherwise("UNKNOWN")
+
+
+def safe_name(c: Column | str) -> Column:
+    """Letters, digits, ``-`` and ``_`` alone, for file names."""
+    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, "[^A-Za-z0-9_-]", "")
