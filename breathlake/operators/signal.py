@@ -310,17 +310,18 @@ def sign_segments(samples: DataFrame, threshold: float = 0.0, block: int = BLOCK
 def clean(samples: DataFrame, method: str | None = "linear", k: float = 5.0) -> tuple[DataFrame, DataFrame]:
     """Cleaned samples and the quality report with what was done to each recording.
 
-    Recordings to reject drop out of the samples; those to clean have their
+    Materialises its stages. Recordings to reject drop out of the samples; those to clean have their
     issues repaired; then outliers are interpolated and, for detrending, gaps
     filled. ``method`` None leaves trend and gaps.
     """
+    samples = cut(samples)  # each stage reads the one before several times
     issues = cut(all_issues(samples))
     report = cut(quality_report(samples, issues))
     mend = report.filter("recommendation = 'clean'").select(KEY)
     repaired = repair(samples.join(mend, KEY, "left_semi"), issues.join(mend, KEY, "left_semi")).select(KEY, "idx", "x", "rate")
     fine = samples.join(report.filter("recommendation = 'accept'").select(KEY), KEY, "left_semi").select(KEY, "idx", "x", "rate")
-    out = remove_outliers(fine.unionByName(repaired), k).select(KEY, "idx", "x", "rate")
+    out = cut(remove_outliers(cut(fine.unionByName(repaired)), k).select(KEY, "idx", "x", "rate"))
     if method:
-        out = detrend(fill_missing(out).select(KEY, "idx", "x", "rate"), method)
+        out = detrend(cut(fill_missing(out).select(KEY, "idx", "x", "rate")), method)
     status = F.when(F.col("recommendation") == "reject", "rejected").when(F.col("recommendation") == "clean", "repaired").otherwise("ok")
     return out, report.withColumn("status", status)

@@ -1,4 +1,4 @@
-"""Recordings to features, statistics and models as one lazy plan."""
+"""Recordings to features, statistics and models by composing the operators."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from breathlake.functions.metrics import METRICS
 from breathlake.operators import breaths as br
 from breathlake.operators import features as ft
 from breathlake.operators import stats
+from breathlake.session import cut
 
 
 @dataclass(frozen=True)
@@ -26,8 +27,8 @@ class Config:
 
 
 def window_features(windows: DataFrame, config: Config = Config()) -> DataFrame:
-    """The 35 metrics of each window, NULL or 0 where it has no breaths of both phases."""
-    m = br.metrics(br.window_breaths(windows, config.peaks), ["window_id"], "peak_location")
+    """The 35 metrics of each window, NULL or 0 where it has no breaths of both phases; breaths are materialised."""
+    m = br.metrics(cut(br.window_breaths(windows, config.peaks)), ["window_id"], "peak_location")
     keys = windows.select("window_id", "recording_id", "window_index").dropDuplicates(["window_id"])
     return keys.join(m, "window_id", "left")
 

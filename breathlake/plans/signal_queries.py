@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from breathlake.functions.compare import nudged, rounded
 from breathlake.operators import breaths as br
 from breathlake.operators import signal as sg
-from breathlake.session import table
+from breathlake.session import cut, table
 from breathlake.streaming.windows import stream_windows
 
 SIZE_S, OVERLAP_S = 30.0, 6.0
@@ -40,7 +40,7 @@ def gap_runs(s: SparkSession, d: str) -> DataFrame:
 
 
 def outlier_runs(s: SparkSession, d: str) -> DataFrame:
-    return sg.outlier_runs(_samples(s, d))
+    return sg.outlier_runs(cut(_samples(s, d)))
 
 
 def physical_runs(s: SparkSession, d: str) -> DataFrame:
@@ -48,25 +48,25 @@ def physical_runs(s: SparkSession, d: str) -> DataFrame:
 
 
 def flat_runs(s: SparkSession, d: str) -> DataFrame:
-    return sg.flat_runs(_samples(s, d))
+    return sg.flat_runs(cut(_samples(s, d)))
 
 
 def quality_report(s: SparkSession, d: str) -> DataFrame:
-    x = _samples(s, d)
+    x = cut(_samples(s, d))  # read several times
     return rounded(sg.quality_report(x, sg.all_issues(x)))
 
 
 def gap_repair(s: SparkSession, d: str) -> DataFrame:
-    x = _samples(s, d)
+    x = cut(_samples(s, d))  # read several times
     return rounded(sg.repair(x, sg.outlier_runs(x)).filter("repaired").select("recording_id", "idx", "x"), 8)
 
 
 def outlier_interpolate(s: SparkSession, d: str) -> DataFrame:
-    return rounded(sg.remove_outliers(_samples(s, d)).filter("replaced").select("recording_id", "idx", "x"), 7)
+    return rounded(sg.remove_outliers(cut(_samples(s, d))).filter("replaced").select("recording_id", "idx", "x"), 7)
 
 
 def fill_gaps(s: SparkSession, d: str) -> DataFrame:
-    return rounded(sg.fill_missing(_samples(s, d)).filter("replaced").select("recording_id", "idx", "x"), 7)
+    return rounded(sg.fill_missing(cut(_samples(s, d))).filter("replaced").select("recording_id", "idx", "x"), 7)
 
 
 def detrend_linear(s: SparkSession, d: str) -> DataFrame:
@@ -87,11 +87,11 @@ def _breaths(s: SparkSession, d: str) -> DataFrame:
 
 
 def breath_metrics(s: SparkSession, d: str) -> DataFrame:
-    return rounded(br.metrics(_breaths(s, d), ["recording_id"], "breath_id"))
+    return rounded(br.metrics(cut(_breaths(s, d)), ["recording_id"], "breath_id"))
 
 
 def phase_pauses(s: SparkSession, d: str) -> DataFrame:
-    p = br.pauses(_breaths(s, d), ["recording_id"])
+    p = br.pauses(cut(_breaths(s, d)), ["recording_id"])
     return rounded(p.groupBy("recording_id", "phase").agg(F.count("*").alias("n"), F.avg("pause").alias("mean_pause"), F.max("pause").alias("max_pause")))
 
 
@@ -105,7 +105,7 @@ def window_breaths(s: SparkSession, d: str) -> DataFrame:
 
 
 def window_metrics(s: SparkSession, d: str) -> DataFrame:
-    b = br.window_breaths(table(s, d, "signal_windows"))
+    b = cut(br.window_breaths(table(s, d, "signal_windows")))
     return br.metrics(b, ["window_id"], "peak_location")
 
 
@@ -119,7 +119,7 @@ def clean_signal(s: SparkSession, d: str) -> DataFrame:
 
 def signal_traces(s: SparkSession, d: str) -> DataFrame:
     """Raw and cleaned signal side by side, one point for each 10 s."""
-    x = _samples(s, d)
+    x = cut(_samples(s, d))  # read several times
     both = x.select("recording_id", "idx", "rate", F.col("x").alias("raw")).join(sg.detrend(x, "constant").select("recording_id", "idx", F.col("x").alias("level")), ["recording_id", "idx"])
     return rounded(both.groupBy("recording_id", F.floor(F.col("idx") / F.col("rate") / 10).alias("step")).agg(F.avg("raw").alias("raw"), F.avg("level").alias("level")), 5)
 

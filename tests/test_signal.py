@@ -111,3 +111,29 @@ def test_pauses_and_intervals_over_buckets(spark, bucket):
     assert got == {i: min((float(u) for u in right if u > v), default=None) for i, v in enumerate(left)}
     prev = {x.i: x.prev for x in br.with_previous(l, ["g"], "t", "i", bucket).collect()}
     assert prev == {i: (float(left[i - 1]) if i else None) for i in range(len(left))}
+
+
+def test_cleaning_drops_rejects_and_smooths_outliers(spark):
+    good = [math.sin(i / 3) for i in range(120)]
+    good[50] = 80.0
+    bad = [None] * 80 + [1.0] * 20
+    s = frame(spark, good).unionByName(frame(spark, bad, rec=2))
+    out, report = sg.clean(s, None)
+    assert {(r.recording_id, r.status) for r in report.collect()} == {(1, "ok"), (2, "rejected")}
+    got = {r.idx: r.x for r in out.collect()}
+    assert len(got) == 120 and got[50] == pytest.approx((good[49] + good[51]) / 2) and got[7] == good[7]
+    assert sg.clean(s.limit(0))[0].count() == 0
+
+
+def test_pipeline_from_windows_to_recordings(spark):
+    from breathlake.plans.pipeline import compare_outcome, recording_features
+
+    t = np.arange(600) / 6.0
+    rows = [(10 * r + k, r, k, 6.0, (10 * np.sin(2 * np.pi * (0.2 + 0.02 * r) * t + k)).tolist()) for r in range(1, 5) for k in range(2)] + [(99, 9, 0, 6.0, [0.0] * 60)]
+    w = spark.createDataFrame(rows, "window_id long, recording_id long, window_index int, sampling_rate double, window_data array<double>")
+    f = {r.recording_id: r for r in recording_features(w).collect()}
+    assert f[1].n_windows == 2 and f[3].rate_mean == pytest.approx(0.26, rel=0.02) and f[9].rate_mean is None and f[9].multiphasic_count_mean == 0
+    df = spark.createDataFrame([(r.recording_id, r.rate_mean, r.recording_id % 2) for r in f.values()], "recording_id long, rate_mean double, y int")
+    assert compare_outcome(df, "y", ["rate_mean"]).first().n1 == 2
+    with pytest.raises(ValueError):
+        compare_outcome(df.filter("y = 1"), "y", ["rate_mean"])
