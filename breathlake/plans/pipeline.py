@@ -30,7 +30,8 @@ def window_features(windows: DataFrame, config: Config = Config()) -> DataFrame:
     """The 35 metrics of each window, NULL or 0 where it has no breaths of both phases; breaths are materialised."""
     m = br.metrics(cut(br.window_breaths(windows, config.peaks)), ["window_id"], "peak_location")
     keys = windows.select("window_id", "recording_id", "window_index").dropDuplicates(["window_id"])
-    return keys.join(m, "window_id", "left")
+    multi = [c for c in METRICS if c.startswith(("multiphasic", "peaksperbreath", "interpeakinterval", "secondarypeakratio"))]
+    return keys.join(m, "window_id", "left").fillna(0, multi)
 
 
 def recording_features(windows: DataFrame, config: Config = Config()) -> DataFrame:
