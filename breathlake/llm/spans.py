@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from breathlake.session import cut
 
-#: Rows up to which the repeated edges and the open ranges are broadcast (24 bytes a row); beyond, they are joined by shuffle.
+#: Repeated edges, and open ranges, up to which they are broadcast (at most 32 bytes each); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Characters hashed at once; longer texts go in overlapping blocks.
 BLOCK = 1 << 20
@@ -324,7 +324,8 @@ def shared_stretches(docs: DataFrame, rules: SpanRules = SpanRules()) -> DataFra
     ranges = occ.join(open_edges, "edge", "left_semi").select("doc", F.greatest("from_", "lo").alias("lo"), F.least(F.col("to_"), F.col("hi") - span).alias("hi"))
     ranges = ranges.filter("lo <= hi").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     ranges = cut(ranges)
-    grams = _grams(docs, ranges, ranges.count(), rules)
+    open_ranges = ranges.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0]
+    grams = _grams(docs, ranges, open_ranges, rules)
     twice = grams.groupBy("gram").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("gram")
     hits = grams.join(twice, "gram", "left_semi").select("doc", F.col("at").alias("start"), (F.col("at") + span).alias("end"))
     proved = occ.filter("proved").select("doc", F.col("chain_start").alias("start"), F.col("chain_end").alias("end"))

@@ -45,8 +45,10 @@ def corpus(seed, n=60, alphabet="abcdefgh \né\U0001f600"):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_stretches_match_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,broadcast", [(1, True), (2, False), (3, True)])
+def test_stretches_match_brute_force(spark, monkeypatch, seed, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(spans, "BROADCAST_ROWS", -1)
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {}
