@@ -1,11 +1,13 @@
 """Filling missing values from similar records by low-rank factors.
 
-A record's cells are its standardised numbers, its categories one-hot, and the
-averages of the same cells over the record's group and over the part of the
-group near it in time. Alternating least squares fits V (cells x rank, small
-and of fixed size) and one factor per record: each round broadcasts V, solves
-the records of a batch by themselves and sums the normal equations of V by
-Spark aggregation, so no record is ever shuffled for the fit.
+A record's cells are its standardised numbers and its categories one-hot. Each
+cell is a weighted sum of its averages over the record's group and over the
+part of the group near it in time, without the record itself, and of the
+product of a record's and a cell's factor. Alternating least squares fits the
+cells' factors and weights (small and of fixed size) and one factor per record:
+each round broadcasts the former, solves the records of a batch by themselves
+and sums the cells' normal equations by Spark aggregation, so no record is ever
+shuffled for the fit.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ from pyspark.sql import types as T
 from breathlake.session import cut
 
 
+#: Standardised numbers count as no farther than this from the middle.
+CLIP = 6.0
+
+
 @dataclass(frozen=True)
 class ImputeSpec:
     """What to fill and from what.
@@ -40,7 +46,7 @@ class ImputeSpec:
     integers: tuple[str, ...] = ()
     group: str | None = None
     order: str | None = None
-    near: float = 8.0
+    near: float = 4.0
     rank: int = 8
     rounds: int = 6
     ridge: float = 2.0
@@ -71,45 +77,55 @@ def _listed(c: str, spec: ImputeSpec) -> str:
     return f"coalesce({_name(c)} in ({', '.join(_text(v) for v in spec.categories[c])}), false)"
 
 
-def _solve(z: np.ndarray, v: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """Factors of the records of a batch, and the mask of their observed cells."""
+def _solve(z: np.ndarray, known: np.ndarray, v: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Factors of the records of a batch from what ``known`` leaves of their cells, and the mask of observed cells."""
     mask = np.isfinite(z)
     r = v.shape[1]
-    vv = (v[:, :, None] * v[:, None, :]).reshape(len(v), r * r)
-    a = (mask @ vv).reshape(-1, r, r) + ridge * np.eye(r)
-    b = np.where(mask, z, 0.0) @ v
+    a = (mask @ (v[:, :, None] * v[:, None, :]).reshape(len(v), r * r)).reshape(-1, r, r) + ridge * np.eye(r)
+    b = np.where(mask, z - known, 0.0) @ v
     return np.linalg.solve(a, b[:, :, None])[:, :, 0], mask
 
 
 def _fit(cells: DataFrame, width: int, spec: ImputeSpec) -> np.ndarray:
-    """V after the given rounds. What comes to the driver is cells x rank x (rank + 1) sums."""
+    """Per cell: its factor, and its weights on the group's and the near average.
+
+    What comes to the driver each round is cells x (rank + 2) x (rank + 3) sums.
+    """
     rng = np.random.default_rng(7)
-    wide, r = 3 * width, min(spec.rank, width)
-    v = rng.normal(scale=0.3, size=(wide, r))
+    r = min(spec.rank, width)
+    k = r + 2
+    theta = np.concatenate([rng.normal(scale=0.3, size=(width, r)), np.tile([0.2, 0.6], (width, 1))], axis=1)
     schema = pa.schema([("cell", pa.int32()), ("k", pa.int32()), ("total", pa.float64())])
     for _ in range(spec.rounds):
-        shared = cells.sparkSession.sparkContext.broadcast(v)
+        shared = cells.sparkSession.sparkContext.broadcast(theta)
 
         def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            gram = np.zeros((wide, r * r))
-            rhs = np.zeros((wide, r))
+            t = shared.value
+            gram, rhs = np.zeros((width, k, k)), np.zeros((width, k))
             for batch in batches:
-                z = _cells(batch, width, spec.shrink)
-                u, mask = _solve(z, shared.value, spec.ridge)
-                gram += mask.T @ (u[:, :, None] * u[:, None, :]).reshape(len(u), r * r)
-                rhs += np.where(mask, z, 0.0).T @ u
-            both = np.concatenate([gram, rhs], axis=1)
-            cell, k = np.indices(both.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(x.ravel().astype(t)) for x, t in ((cell, "i4"), (k, "i4"), (both, "f8"))], schema=schema)
-
-        total = np.zeros((wide, r * r + r))
+                z, g, b = _cells(batch, width, spec.shrink)
+                u, mask = _solve(z, t[:, r] * g + t[:, r + 1] * b, t[:, :r], spec.ridge)
+                z, sides = np.where(mask, z, 0.0), [np.where(mask, x, 0.0) for x in (g, b)]
+                gram[:, :r, :r] += (mask.T @ (u[:, :, None] * u[:, None, :]).reshape(len(u), r * r)).reshape(width, r, r)
+                rhs[:, :r] += z.T @ u
+                for i, x in enumerate(sides):
+                    gram[:, r + i, :r] += x.T @ u
+                    rhs[:, r + i] += (x * z).sum(axis=0)
+                    for j, y in enumerate(sides):
+                        gram[:, r + i, r + j] += (x * y).sum(axis=0)
+            gram[:, :r, r:] = gram[:, r:, :r].transpose(0, 2, 1)
+            both = np.concatenate([gram.reshape(width, k * k), rhs], axis=1)
+            cell, at = np.indices(both.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(x.ravel().astype(d)) for x, d in ((cell, "i4"), (at, "i4"), (both, "f8"))], schema=schema)
+
+        total = np.zeros((width, k * k + k))
         rows = cells.mapInArrow(sums, "cell int, k int, total double").groupBy("cell", "k").agg(F.sum("total").alias("total"))
-        for cell, k, x in rows.collect():  # as many rows whatever the input
-            total[cell, k] = x
-        gram = total[:, : r * r].reshape(wide, r, r)
-        v = np.linalg.solve(gram + spec.ridge * np.eye(r), total[:, r * r:, None])[:, :, 0]
+        for cell, at, x in rows.collect():  # as many rows whatever the input
+            total[cell, at] = x
+        gram = total[:, : k * k].reshape(width, k, k)
+        theta = np.linalg.solve(gram + spec.ridge * np.eye(k), total[:, k * k:, None])[:, :, 0]
         shared.unpersist()
-    return v
+    return theta
 
 
 def impute(df: DataFrame, spec: ImputeSpec) -> DataFrame:
@@ -120,8 +136,9 @@ def impute(df: DataFrame, spec: ImputeSpec) -> DataFrame:
     are rounded, categories are decoded to the best-scoring valid value. The
     array column ``filled_fields`` names what was filled, in column order. A
     column without any observed value stays null but is still marked; a record
-    without any observed cell gets the column means. Empty input gives no rows.
-    Fits eagerly: means, then ``spec.rounds`` passes over the encoded cells.
+    without any observed cell gets what its group and time suggest, else about the
+    column's median. Empty input gives no rows.
+    Fits eagerly: quantiles, then ``spec.rounds`` passes over the encoded cells.
     """
     df = df.drop("filled_fields").dropDuplicates(list(spec.id))
     num, cats = list(spec.numeric), spec.categories
@@ -130,13 +147,14 @@ def impute(df: DataFrame, spec: ImputeSpec) -> DataFrame:
     stat = {}
     if num:
         number = [f"case when {_valid(c, spec)} then cast({_name(c)} as double) end" for c in num]
-        stat = df.selectExpr(*[f"{f}({x}) as {n}{i}" for i, x in enumerate(number) for n, f in (("m", "avg"), ("s", "stddev_pop"), ("a", "min"), ("b", "max"))]).first()
-    mean = [stat[f"m{i}"] or 0.0 for i in range(len(num))]
-    sd = [stat[f"s{i}"] or 1.0 for i in range(len(num))]
+        stat = df.selectExpr(*[f"{f}({x}) as {n}{i}" for i, x in enumerate(number) for n, f in (("s", "stddev_pop"), ("a", "min"), ("b", "max"))], *[f"percentile_approx({x}, array(0.16D, 0.5D, 0.84D), 1000) as q{i}" for i, x in enumerate(number)]).first()
+    # the middle two thirds set centre and scale, so wild values do not
+    mean = [stat[f"q{i}"][1] if stat[f"q{i}"] else 0.0 for i in range(len(num))]
+    sd = [(stat[f"q{i}"][2] - stat[f"q{i}"][0]) / 2 if stat[f"q{i}"] and stat[f"q{i}"][2] > stat[f"q{i}"][0] else stat[f"s{i}"] or 1.0 for i in range(len(num))]
     z = []
     for i, (c, v) in enumerate(slots):
         if v is None:
-            z.append(f"case when {_valid(c, spec)} then float((cast({_name(c)} as double) - {mean[i]!r}D) / {sd[i]!r}D) else float('nan') end")
+            z.append(f"case when {_valid(c, spec)} then float(greatest(least((cast({_name(c)} as double) - {mean[i]!r}D) / {sd[i]!r}D, {CLIP}D), -{CLIP}D)) else float('nan') end")
         else:
             off = -1.0 / max(1, len(cats[c]) - 1)
             z.append(f"case when {_listed(c, spec)} then (case when {_name(c)} = {_text(v)} then 1.0F else {off!r}F end) else float('nan') end")
@@ -146,10 +164,10 @@ def impute(df: DataFrame, spec: ImputeSpec) -> DataFrame:
     near = F.when(group.isNull(), F.xxhash64(*spec.id)).otherwise(F.coalesce(near, F.lit(-1)))
     rows = df.select("*", group.alias("__group"), near.alias("__near"), F.expr(f"array({', '.join(z)})").alias("__own"))
     rows = cut(_with_averages(rows, width) if spec.group else rows.select("*", F.lit(None).cast("array<double>").alias("__g"), F.lit(None).cast("array<double>").alias("__b")))
-    v = _fit(rows.select("__own", "__g", "__b"), width, spec)
+    theta = _fit(rows.select("__own", "__g", "__b"), width, spec)
     kept = rows.drop("__group", "__near")
     fields = [f for f in kept.schema.fields if not f.name.startswith("__")]
-    filled = kept.mapInArrow(_decode(v, width, spec), T.StructType([*fields, T.StructField("__x", T.ArrayType(T.DoubleType())), T.StructField("__c", T.ArrayType(T.IntegerType()))]))
+    filled = kept.mapInArrow(_decode(theta, width, spec), T.StructType([*fields, T.StructField("__x", T.ArrayType(T.DoubleType())), T.StructField("__c", T.ArrayType(T.IntegerType()))]))
     out, marks = {}, []
     for i, c in enumerate(num):
         kind = df.schema[c].dataType
@@ -179,21 +197,29 @@ def _with_averages(rows: DataFrame, width: int) -> DataFrame:
     return rows.join(near.join(group, "__group"), ["__group", "__near"], "left")
 
 
-def _cells(batch: pa.RecordBatch, width: int, shrink: float) -> np.ndarray:
-    """Cells of the records of a batch: own, group averages, near averages; NaN where nothing is known."""
+def _cells(batch: pa.RecordBatch, width: int, shrink: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own cells (NaN where missing), and the group's and the near average of each without the record itself.
+
+    The group's average is shrunk to the overall mean 0, the near one to the group's.
+    """
     col = dict(zip(batch.schema.names, batch.columns))
-    z = np.full((batch.num_rows, 3 * width), np.nan)
-    z[:, :width] = col["__own"].flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-    for k, c in ((1, col["__g"]), (2, col["__b"])):
+    z = col["__own"].flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float)
+    mask = np.isfinite(z)
+    own = np.where(mask, z, 0.0)
+    means, prior = [], np.zeros(z.shape)
+    for c in (col["__g"], col["__b"]):
+        s, n = np.zeros(z.shape), np.zeros(z.shape)
         has = np.asarray(c.is_valid())
         if has.any():
             both = c.filter(c.is_valid()).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * width)
-            s, n = both[:, :width], both[:, width:]
-            z[has, k * width: (k + 1) * width] = np.where(n > 0, s / (n + shrink), np.nan)
-    return z
+            s[has], n[has] = both[:, :width] - own[has], both[:, width:] - mask[has]
+        prior = (s + shrink * prior) / (n + shrink)
+        means.append(prior)
+    return z, means[0], means[1]
 
 
-def _decode(v: np.ndarray, width: int, spec: ImputeSpec):
+def _decode(theta: np.ndarray, width: int, spec: ImputeSpec):
+    r = theta.shape[1] - 2
     cats = [len(x) for x in spec.categories.values()]
     k = len(spec.numeric)
 
@@ -201,8 +227,10 @@ def _decode(v: np.ndarray, width: int, spec: ImputeSpec):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            u, _ = _solve(_cells(batch, width, spec.shrink), v, spec.ridge)
-            guess = u @ v[:width].T
+            z, g, b = _cells(batch, width, spec.shrink)
+            known = theta[:, r] * g + theta[:, r + 1] * b
+            u, _ = _solve(z, known, theta[:, :r], spec.ridge)
+            guess = known + u @ theta[:, :r].T
             best, at = [], k
             for n in cats:
                 best.append(guess[:, at: at + n].argmax(axis=1))
