@@ -82,7 +82,8 @@ def _fill(docs: pd.DataFrame) -> pd.DataFrame:
 def mix_sources(sized: DataFrame, targets: DataFrame, size: float | None = None, size_factor: float = 1.0, seed: int = 11, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """``doc_id, source, n_tokens, repeats`` for every document.
 
-    ``sized(doc_id, source, n_tokens)`` has one row per document,
+    ``sized(doc_id, source, n_tokens)`` has one row per document (a row given again
+    counts once, one without ``doc_id`` not at all),
     ``targets(source, target_share, max_repeats)`` one per source. ``size`` is
     the mixture's size in tokens; by default the largest at which every source
     reaches its target share exactly, where the exponent is 1, times
@@ -94,7 +95,7 @@ def mix_sources(sized: DataFrame, targets: DataFrame, size: float | None = None,
     tokens taken miss the plan by less than the smallest document left over.
     """
     spark = sized.sparkSession
-    sized = cut(sized.select("doc_id", "source", F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)).alias("n_tokens")))
+    sized = cut(sized.select("doc_id", "source", F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)).alias("n_tokens")).dropna(subset=["doc_id"]).dropDuplicates(["doc_id"]))
     wanted = targets.filter("source is not null and target_share > 0 and max_repeats > 0").dropDuplicates(["source"]).select("source", "target_share", "max_repeats")
     totals = sized.filter("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     rows = totals.join(wanted, "source").filter("tokens > 0").limit(MAX_SOURCES + 1).collect()

@@ -96,7 +96,8 @@ def _packer(capacities: list[tuple[int, int]]):
 def pack_documents(sized: DataFrame, capacities: list[tuple[int, int]], shard_docs: int = SHARD_DOCS) -> DataFrame:
     """A container for each document, or for each piece of one that alone exceeds the capacity.
 
-    ``sized(doc_id, n_tokens)`` has one row per document; ``capacities`` lists
+    ``sized(doc_id, n_tokens)`` has one row per document, a row given again counts
+    once; ``capacities`` lists
     ``(capacity_id, tokens)``. A document within the capacity is never split; a
     larger one fills whole containers and its rest is packed like an item.
     Result: ``doc_id, capacity_id, piece, token_start, token_end, shard,
@@ -107,7 +108,7 @@ def pack_documents(sized: DataFrame, capacities: list[tuple[int, int]], shard_do
     """
     if any(c <= 0 for _, c in capacities):
         raise ValueError("capacities must be positive")
-    sized = cut(sized.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)).alias("n_tokens")).dropna())
+    sized = cut(sized.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)).alias("n_tokens")).dropna().dropDuplicates(["doc_id"]))
     shards = max(1, round(sized.count() / shard_docs))
     grouped = sized.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")).agg(F.collect_list(F.struct("doc_id", "n_tokens")).alias("docs"))
     return grouped.mapInArrow(_packer(capacities), _SCHEMA)

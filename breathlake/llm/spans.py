@@ -260,7 +260,7 @@ def shared_runs(docs: DataFrame, rules: SpanRules = SpanRules()) -> DataFrame:
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") >= rules.span))
     counted = document_edges(known, rules).groupBy("edge").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
     repeated = cut(counted.filter("a <> b").select("edge"))
-    occ = cut(_occurrences(known, rules).join(_checked(repeated, repeated.count()), "edge"))
+    occ = cut(_occurrences(known, rules).join(_checked(repeated, repeated.count()), "edge").dropDuplicates(["doc", "start"]))
     paths = compact(occ.select("edge", "u", "v"))
     occ = occ.join(paths, "edge")
     w = Window.partitionBy("doc").orderBy("start")
@@ -303,7 +303,8 @@ def _grams(docs: DataFrame, ranges: DataFrame, rows: int, rules: SpanRules) -> D
 def shared_stretches(docs: DataFrame, rules: SpanRules = SpanRules()) -> DataFrame:
     """Maximal stretches of each text that stand verbatim in some other document.
 
-    ``docs(doc_id, text)`` has one row per document. Result: ``doc_id, start,
+    ``docs(doc_id, text)`` has one row per document; a row given again counts
+    once. Result: ``doc_id, start,
     end, chars``: code points, half open, the union of all substrings of
     ``rules.span`` characters that another document holds too; ``chars`` is the
     document's length. Nothing is normalised. Null and short texts have none.
@@ -340,5 +341,5 @@ def shared_stretches(docs: DataFrame, rules: SpanRules = SpanRules()) -> DataFra
 def shared_shares(docs: DataFrame, stretches: DataFrame) -> DataFrame:
     """Per document: stretches, characters shared with others, and their share of the text (0 for an empty one)."""
     s = stretches.groupBy("doc_id").agg(F.count("*").alias("stretches"), F.sum(F.col("end") - F.col("start")).alias("shared_chars"), F.max(F.col("end") - F.col("start")).alias("longest"))
-    d = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(s, "doc_id", "left").fillna(0, ["stretches", "shared_chars", "longest"])
+    d = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).dropDuplicates(["doc_id"]).join(s, "doc_id", "left").fillna(0, ["stretches", "shared_chars", "longest"])
     return d.withColumn("share", F.when(F.col("chars") > 0, F.col("shared_chars") / F.col("chars")).otherwise(0.0))

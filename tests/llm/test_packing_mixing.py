@@ -34,7 +34,7 @@ def test_packing_is_valid_and_tight(seed):
 
 def test_documents_are_whole_or_in_full_pieces(spark):
     rows = [(i, n) for i, n in enumerate([0, 1, 99, 100, 101, 250, 300, None, 50, 50, 33, 33])] + [(None, 5)]
-    sized = spark.createDataFrame(rows, "doc_id long, n_tokens long").withColumn("shard", F.lit("x"))
+    sized = spark.createDataFrame(rows + rows[:3], "doc_id long, n_tokens long").withColumn("shard", F.lit("x"))
     caps = [(1, 100), (2, 1000)]
     out = pack_documents(sized, caps, shard_docs=5).collect()
     for cid, cap in caps:
@@ -69,7 +69,7 @@ def test_exponent_meets_the_limits():
 def docs(spark, n=9000):
     g = np.random.default_rng(0)
     rows = [(i, ["hot", "hot", "mid", "rare", None, "none"][int(g.choice(6, p=[0.3, 0.2, 0.2, 0.02, 0.08, 0.2]))], int(g.integers(0, 60))) for i in range(n)]
-    return spark.createDataFrame(rows, "doc_id long, source string, n_tokens long").withColumn("block", F.lit(1))
+    return spark.createDataFrame(rows + [(None, "hot", 5)], "doc_id long, source string, n_tokens long").withColumn("block", F.lit(1))
 
 
 @pytest.mark.parametrize("block", [64, 100_000])
@@ -77,7 +77,8 @@ def test_mixture_meets_its_targets(spark, block):
     t = spark.createDataFrame([("hot", 0.5, 1), ("mid", 0.3, 3), ("rare", 0.2, 4), ("gone", 0.1, 2), ("zero", 0.0, 1)], "source string, target_share double, max_repeats int")
     d = docs(spark)
     m = mix_sources(d, t, block_docs=block)
-    assert m.count() == d.count() and m.select("doc_id").distinct().count() == d.count()
+    assert m.count() == d.count() - 1 and m.select("doc_id").distinct().count() == d.count() - 1
+    assert mix_sources(d.unionByName(d), t, block_docs=block).exceptAll(m).isEmpty()
     s = {r.source: r for r in mixture_shares(m, t).collect()}
     for k, share in (("hot", 0.5), ("mid", 0.3), ("rare", 0.2)):
         assert s[k].share == pytest.approx(share, rel=0.01) and s[k].most_repeats <= s[k].max_repeats

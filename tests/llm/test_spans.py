@@ -50,7 +50,7 @@ def test_stretches_match_brute_force(spark, monkeypatch, seed, broadcast):
     if not broadcast:
         monkeypatch.setattr(spans, "BROADCAST_ROWS", -1)
     docs = corpus(seed)
-    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df = spark.createDataFrame(docs + docs[:9], "doc_id long, text string")
     got = {}
     for r in shared_stretches(df, SpanRules(span=100, gram=12)).collect():
         got.setdefault(r.doc_id, []).append((r.start, r.end))
@@ -83,7 +83,7 @@ def test_paths_of_a_chain_a_fork_and_a_ring(spark):
 
 
 def test_shares_and_empty_table(spark):
-    df = spark.createDataFrame([(1, "ab" * 200, 9), (2, "ab" * 200, 9), (3, None, 9), (4, "", 9)], "doc_id long, text string, start int")
+    df = spark.createDataFrame([(1, "ab" * 200, 9), (2, "ab" * 200, 9), (3, None, 9), (4, "", 9), (4, "", 9)], "doc_id long, text string, start int")
     got = {r.doc_id: (r.shared_chars, r.share) for r in shared_shares(df, shared_stretches(df)).collect()}
     assert got == {1: (400, 1.0), 2: (400, 1.0), 3: (0, 0.0), 4: (0, 0.0)}
     assert shared_stretches(df.limit(0)).count() == 0
