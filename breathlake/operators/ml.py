@@ -265,12 +265,13 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vec
     matrix product that leaves k candidates a query, and candidates are merged
     per query. A row is no neighbour of itself; ties go to the smaller id.
     """
-    def blocked(df: DataFrame, name: str, cols: list[str]) -> DataFrame:
+    def blocked(df: DataFrame, name: str, cols: list[str]) -> tuple[DataFrame, int]:
         n = max(1, -(-df.count() // block))
-        return df.groupBy(F.pmod(F.xxhash64(id), F.lit(n)).alias(name)).agg(F.collect_list(F.struct(*cols)).alias(f"{name}_rows"))
+        return df.groupBy(F.pmod(F.xxhash64(id), F.lit(n)).cast("int").alias(name)).agg(F.collect_list(F.struct(*cols)).alias(f"{name}_rows")), n
 
-    b = blocked(base.select(id, label, F.col(vector).cast("array<double>").alias(vector)), "b", [id, label, vector])
-    q = blocked(queries.select(id, F.col(vector).cast("array<double>").alias(vector)), "q", [id, vector])
+    b, parts = blocked(base.select(id, label, F.col(vector).cast("array<double>").alias(vector)), "b", [id, label, vector])
+    q, _ = blocked(queries.select(id, F.col(vector).cast("array<double>").alias(vector)), "q", [id, vector])
+    q = q.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))  # each block of queries goes to every block of rows
     schema = pa.schema([("query_id", pa.int64()), ("neighbor_id", pa.int64()), ("label", pa.int64()), ("distance", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +291,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vec
                     o = [j for j in np.lexsort((bi[c], d)) if bi[c][j] != qi[r]][:k]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), qi[r])), pa.array(bi[c][o]), pa.array(lab[c][o].astype(np.int64)), pa.array(d[o])], schema=schema)
 
-    pairs = q.join(b, F.lit(True)).select("q_rows", "b_rows")
+    pairs = q.join(b, "b").select("q_rows", "b_rows")
     cand = pairs.mapInArrow(run, "query_id bigint, neighbor_id bigint, label bigint, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")  # k for each block
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -242,12 +242,11 @@ def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
     s = F.signum(F.col("x2") - F.col("x")) * F.signum(F.col("y2") - F.col("y"))
     num = c.join(o, F.col("x2") > F.col("x")).agg(F.sum(s * F.col("c") * F.col("c2")).alias("num"))
     pairs = lambda n: n * (n - 1) / 2
-    n = c.agg(F.sum("c").cast("double").alias("n"))
-    tx = c.groupBy("x").agg(F.sum("c").cast("double").alias("t")).agg(F.sum(pairs(F.col("t"))).alias("tx"))
-    ty = c.groupBy("y").agg(F.sum("c").cast("double").alias("t")).agg(F.sum(pairs(F.col("t"))).alias("ty"))
-    one = num.join(n, F.lit(True)).join(tx, F.lit(True)).join(ty, F.lit(True))  # four rows of one
-    n0 = pairs(F.col("n"))
-    return one.select(F.try_divide("num", F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))).alias("tau"))
+    # three numbers come to the driver
+    n = c.agg(F.sum("c").cast("double")).first()[0] or 0.0
+    tx, ty = (c.groupBy(k).agg(F.sum("c").cast("double").alias("t")).agg(F.sum(pairs(F.col("t")))).first()[0] or 0.0 for k in ("x", "y"))
+    n0 = pairs(n)
+    return num.select(F.try_divide("num", F.lit(float(((n0 - tx) * (n0 - ty)) ** 0.5))).alias("tau"))
 
 
 def correlated_pairs(matrix: DataFrame, threshold: float) -> DataFrame:
