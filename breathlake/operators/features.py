@@ -151,9 +151,16 @@ def split_by_subject(df: DataFrame, test_subjects: DataFrame, key: str) -> tuple
     return df.join(t, key, "left_anti"), df.join(t, key, "left_semi")
 
 
-def feature_matrix(df: DataFrame, by: list[str], feature: str, window: str, n_windows: int) -> DataFrame:
-    """Values of one feature in window order, NULL where a window lacks it; windows ``0 .. n_windows - 1``."""
-    return df.groupBy(*by).pivot(window, list(range(n_windows))).agg(F.first(feature))
+def feature_matrix(df: DataFrame, by: list[str], feature: str, window: str) -> DataFrame:
+    """One row per group: ``windows``, an array of all its ``(window, value)`` in window order.
+
+    The value is NULL where a window lacks the feature. There is no fixed width: a
+    group has as many entries as windows. Several rows of one window give the
+    largest value; a row without a window has no place.
+    """
+    cells = df.groupBy(*by, F.col(window).alias("_w")).agg(F.max(feature).alias("_v"))
+    entry = F.when(F.col("_w").isNotNull(), F.struct(F.col("_w").alias("window"), F.col("_v").alias("value")))
+    return cells.groupBy(*by).agg(F.sort_array(F.collect_list(entry)).alias("windows"))
 
 
 # --- labels ---------------------------------------------------------------------------

@@ -112,7 +112,7 @@ def split_test(s, d):
 
 
 def feature_matrix(s, d):
-    return ft.feature_matrix(_features(s, d, ["rate"]), ["recording_id"], "rate", "window_index", 12)
+    return ft.feature_matrix(_features(s, d, ["rate"]), ["recording_id"], "rate", "window_index")
 
 
 def label_distribution(s, d):
