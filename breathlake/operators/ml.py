@@ -263,7 +263,8 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vec
 
     A stated query set meets all rows in blocks: each pair of blocks is one
     matrix product that leaves k candidates a query, and candidates are merged
-    per query. A row is no neighbour of itself; ties go to the smaller id.
+    per query. A row is no neighbour of itself; ties go to the smaller id, however
+    many rows of a block are equally near.
     """
     def blocked(df: DataFrame, name: str, cols: list[str]) -> tuple[DataFrame, int]:
         n = max(1, -(-df.count() // block))
@@ -283,10 +284,11 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vec
                 lab = bs.field(1).to_numpy(zero_copy_only=False)
                 near = (qv**2).sum(1)[:, None] + (bv**2).sum(1)[None] - 2 * qv @ bv.T
                 near[qi[:, None] == bi[None]] = np.inf
-                m = min(k + 8, len(bi))
-                part = np.argpartition(near, m - 1, axis=1)[:, :m]
+                at = min(k, len(bi)) - 1
+                slack = 8 * (qv.shape[1] + 2) * np.finfo(float).eps * ((qv**2).sum(1) + (bv**2).sum(1).max())  # twice what rounding may shift a distance
+                far = near > (np.partition(near, at, axis=1)[:, at] + slack)[:, None]
                 for r in range(len(qi)):
-                    c = part[r]
+                    c = np.flatnonzero(~far[r])  # all that may be among the k nearest, copies included
                     d = np.sqrt(((bv[c] - qv[r]) ** 2).sum(1))  # exact for the few that count
                     o = [j for j in np.lexsort((bi[c], d)) if bi[c][j] != qi[r]][:k]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), qi[r])), pa.array(bi[c][o]), pa.array(lab[c][o].astype(np.int64)), pa.array(d[o])], schema=schema)
