@@ -14,6 +14,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from breathlake.session import cut
+
 SEED = 42
 
 
@@ -36,7 +38,7 @@ class Classifier:
         common = {"labelCol": self.label, "featuresCol": "features"}
         if self.kind == "logistic":
             n = max(1, df.count())
-            m = LogisticRegression(regParam=1.0 / (p.get("C", 1.0) * n), standardization=False, maxIter=p.get("max_iter", 100), **common)
+            m = LogisticRegression(regParam=1.0 / (p.get("C", 1.0) * n), standardization=False, maxIter=p.get("max_iter", 1000), **common)
         elif self.kind == "forest":
             m = RandomForestClassifier(numTrees=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 10), seed=SEED, weightCol="_weight", **common)
         elif self.kind == "boosting":
@@ -44,7 +46,7 @@ class Classifier:
         elif self.kind == "svm":
             m = LinearSVC(regParam=1.0 / (p.get("C", 1.0) * max(1, df.count())), maxIter=p.get("max_iter", 100), **common)
         elif self.kind == "network":
-            m = MultilayerPerceptronClassifier(layers=[len(self.features), *p.get("hidden", [16]), k], seed=SEED, maxIter=p.get("max_iter", 200), **common)
+            m = MultilayerPerceptronClassifier(layers=[len(self.features), *p.get("hidden", [100]), k], seed=SEED, maxIter=p.get("max_iter", 500), **common)
         else:
             raise ValueError(f"unknown classifier {self.kind}")
         if self.kind in ("boosting", "svm") and k > 2:
@@ -209,34 +211,187 @@ def grid_search(df: DataFrame, base: Classifier, grid: list[dict], key: str, fol
     return fitted, df.sparkSession.createDataFrame(rows, "candidate int, params string, mean_score double, std_score double")
 
 
-def bootstrap_draws(df: DataFrame, key: str, rounds: int, seed: int = SEED) -> DataFrame:
-    """How often each row is drawn in each round: Poisson(1) counts from a hash.
+class Draws:
+    """Stratified bootstrap: each label's share of ``(1 - test_size) * n`` rows, drawn with replacement within the label.
+
+    ``sizes`` has the rows of each block of each label. A round's draws of a label
+    fall on its blocks by one multinomial and on the rows of a block by another, so
+    any block finds its own rows' counts from the seed. A row of no draw is out of
+    the bag; a round with fewer than 10 of those is a stratified split instead.
+    """
 
-    Each row decides for itself, so a resample needs no shuffle; rows with
-    ``times = 0`` are the out-of-bag test set of the round.
+    def __init__(self, sizes: dict[float, list[int]], rounds: int, test_size: float = 0.2, seed: int = SEED) -> None:
+        self.labels, self.sizes, self.rounds, self.seed = sorted(sizes), sizes, rounds, seed
+        n = sum(map(sum, sizes.values()))
+        train = n - int(n * test_size)
+        share = [sum(sizes[c]) / n * train for c in self.labels]
+        take = [int(x) for x in share]
+        for i in sorted(range(len(take)), key=lambda i: take[i] - share[i])[: train - sum(take)]:
+            take[i] += 1
+        self.take = dict(zip(self.labels, take))
+        self.blocks = {c: np.array([self._rng(r, c, 0).multinomial(self.take[c], np.array(sizes[c]) / sum(sizes[c])) for r in range(rounds)], dtype=np.int32) for c in self.labels}
+        self.split: set[int] = set()
+        if n <= 1000:  # beyond, fewer than 10 of some 45 % do not happen
+            out = sum((self.times(c, b, range(rounds)) == 0).sum(0) for c in self.labels for b in range(len(sizes[c])))
+            self.split = set(np.flatnonzero(out < 10).tolist())
+
+    def _rng(self, r: int, label: float, block: int) -> np.random.Generator:
+        return np.random.default_rng([self.seed, r, self.labels.index(label), block])
+
+    def times(self, label: float, block: int, rounds: range) -> np.ndarray:
+        """How often each row of a block is drawn, by round."""
+        n = self.sizes[label][block]
+        out = np.zeros((n, len(rounds)))
+        for i, r in enumerate(rounds):
+            rng = self._rng(r, label, block + 1)
+            if r in self.split:  # few rows: the label is one block
+                out[rng.permutation(n)[: self.take[label]], i] = 1
+            else:
+                out[:, i] = np.bincount(rng.integers(0, n, self.blocks[label][r, block]), minlength=n)
+        return out
+
+
+def _blocked(df: DataFrame, key: str, label: str, features: list[str], block: int = 1024) -> tuple[DataFrame, dict[float, list[int]]]:
+    """Rows of each label in blocks by the key's hash, at most 2048 a label: ``y, b, x``, and the blocks' sizes."""
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+    d = df.filter(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), F.xxhash64(F.col(key), F.lit(SEED)).alias("h"), F.col(key).cast("string").alias("k"), x.alias("x"))
+    parts = {r["y"]: max(1, min(2048, r["n"] // block)) if r["n"] > 1000 else 1 for r in d.groupBy("y").agg(F.count("*").alias("n")).collect()}  # one row a class
+    n = F.lit(1)
+    for c, m in parts.items():
+        n = F.when(F.col("y") == c, m).otherwise(n)
+    g = d.groupBy("y", F.pmod("h", n).cast("int").alias("b")).agg(F.sort_array(F.collect_list(F.struct("h", "k", "x"))).alias("r"))
+    g = cut(g.select("y", "b", F.col("r.x").alias("x")).repartition(min(sum(parts.values()), 4 * df.sparkSession.sparkContext.defaultParallelism), "y", "b"))
+    sizes = {c: [0] * m for c, m in parts.items()}
+    for r in g.select("y", "b", F.size("x").alias("n")).collect():  # one row a block
+        sizes[r["y"]][r["b"]] = r["n"]
+    return g, sizes
+
+
+def _per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[float, int, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            x = batch.column(2)[i].values
+            yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+
+
+def _logistic_rounds(g: DataFrame, draws: Draws, p: int, c: float, max_iter: int, chunk: int = 250) -> np.ndarray:
+    """Coefficients (intercept first) of the penalised logistic fit of every round, all rounds in the same passes.
+
+    A pass sums gradients and curvatures by round; Newton's step, halved where the
+    loss rose, is taken on the driver. Same objective as ``Classifier('logistic')``.
+    """
+    upper = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    rounds = draws.rounds
+
+    def passed(width: int, kernel) -> np.ndarray:
+        def run(batches):
+            total = np.zeros((rounds, width))
+            for y, b, x in _per_block(batches):
+                a = np.c_[np.ones(len(x)), x]
+                aa = np.stack([a[:, i] * a[:, j] for i, j in upper], axis=1)
+                for at in range(0, rounds, chunk):
+                    r = range(at, min(rounds, at + chunk))
+                    total[r.start : r.stop] += kernel(y, a, aa, draws.times(y, b, r), r)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds)), *[pa.array(total[:, i]) for i in range(width)]], names=["round", *[f"s{i}" for i in range(width)]])
+
+        sums = g.mapInArrow(run, "round bigint, " + ", ".join(f"s{i} double" for i in range(width)))
+        rows = sums.groupBy("round").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)]).collect()  # one row a round
+        out = np.zeros((rounds, width))
+        for r in rows:
+            out[r["round"]] = r[1:]
+        return out
+
+    def full(tri: np.ndarray) -> np.ndarray:
+        h = np.zeros((rounds, p + 1, p + 1))
+        for q, (i, j) in enumerate(upper):
+            h[:, i, j] = h[:, j, i] = tri[:, q]
+        return h
+
+    m = full(passed(len(upper), lambda y, a, aa, t, r: t.T @ aa))
+    n = m[:, 0, 0]
+    mean = m[:, 0, 1:] / n[:, None]
+    var = np.einsum("rjj->rj", m[:, 1:, 1:]) / n[:, None] - mean**2
+    sd = np.sqrt(np.where(var > 1e-12 * np.maximum(mean**2, 1e-300), var, 0) * (n / np.maximum(n - 1, 1))[:, None])
+    inv = np.divide(1, sd, out=np.zeros_like(sd), where=sd > 0)  # a constant feature counts for nothing, as in StandardScaler
+    jac = np.zeros((rounds, p + 1, p + 1))
+    jac[:, 0, 0], jac[:, 0, 1:] = 1, -mean * inv
+    jac[:, range(1, p + 1), range(1, p + 1)] = inv
+    ridge = np.r_[0.0, np.full(p, 1 / c)]
+    theta, before, loss_before = np.zeros((rounds, p + 1)), None, np.full(rounds, np.inf)
+    for _ in range(max_iter):
+        coef = np.einsum("rij,rj->ri", jac, theta)
+
+        def kernel(y, a, aa, t, r, coef=coef):
+            eta = a @ coef[r.start : r.stop].T
+            pr = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+            return np.c_[(t * (np.logaddexp(0, eta) - y * eta)).sum(0), (t * (pr - y)).T @ a, (t * pr * (1 - pr)).T @ aa]
+
+        s = passed(1 + p + 1 + len(upper), kernel)
+        loss = s[:, 0] + (ridge * theta**2).sum(1) / 2
+        rose = loss > loss_before * (1 + 1e-12)
+        if before is not None and rose.any():
+            theta[rose] = (theta[rose] + before[rose]) / 2
+        grad = np.einsum("rji,rj->ri", jac, s[:, 1 : p + 2]) + ridge * theta
+        hess = np.einsum("rji,rjk,rkl->ril", jac, full(s[:, p + 2 :]), jac) + np.diag(ridge + 1e-12)
+        step = np.linalg.solve(hess, grad[:, :, None])[:, :, 0]
+        ok = ~rose
+        if ok.all() and (np.einsum("ri,ri->r", grad, step) <= 1e-9 * np.maximum(loss, 1)).all():
+            break
+        before = theta.copy() if before is None else np.where(ok[:, None], theta, before)
+        loss_before = np.where(ok, loss, loss_before)
+        theta = np.where(ok[:, None], theta - step, theta)
+    return np.einsum("rij,rj->ri", jac, theta)
+
+
+def bootstrap(df: DataFrame, base: Classifier, key: str, rounds: int = 1000, test_size: float = 0.2, together: bool = True) -> DataFrame:
+    """Metric means, population deviations and 95 % percentile intervals over the out-of-bag rows of stratified draws.
+
+    Logistic models of two classes are fitted for all rounds ``together``, others one by one.
     """
-    d = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("round"), F.col(key)), F.lit(1 << 40)) / float(1 << 40)
-    steps, p, total = [], np.exp(-1.0), 0.0
-    for k in range(10):
-        total += p
-        steps.append(total)
-        p /= k + 1
-    times = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    return d.withColumn("times", times)
-
-
-def bootstrap(df: DataFrame, base: Classifier, key: str, rounds: int = 20) -> DataFrame:
-    """Metric means, population deviations and 95 % percentile intervals over out-of-bag rows."""
-    rows = None
-    for i in range(rounds):
-        d = bootstrap_draws(df, key, rounds).filter(F.col("round") == i)
-        train = d.filter("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).drop("_copy", "round", "times")
-        c = Classifier(base.kind, base.features, base.label, base.params).fit(train)
-        pred = c.predict(d.filter("times = 0")).withColumn("_y", F.col(base.label).cast("double"))
-        s = summary(confusion(pred, "_y"), "_y").withColumn("round", F.lit(i))
-        rows = s if rows is None else rows.unionByName(s)
-    return bootstrap_summary(rows, ["accuracy", "f1", "precision", "recall"])
+    g, sizes = _blocked(df, key, base.label, base.features)
+    draws, p = Draws(sizes, rounds, test_size), len(base.features)
+    if together and base.kind == "logistic" and draws.labels == [0.0, 1.0]:
+        coef = _logistic_rounds(g, draws, p, base.params.get("C", 1.0), base.params.get("max_iter", 1000))
+
+        def count(batches):
+            hit = np.zeros((2, 2, rounds))
+            for y, b, x in _per_block(batches):
+                for at in range(0, rounds, 250):
+                    r = range(at, min(rounds, at + 250))
+                    one, out = coef[r.start : r.stop, 0] + x @ coef[r.start : r.stop, 1:].T > 0, draws.times(y, b, r) == 0
+                    hit[int(y), 1, r.start : r.stop] += (one & out).sum(0)
+                    hit[int(y), 0, r.start : r.stop] += (~one & out).sum(0)
+            for y in (0, 1):
+                for k in (0, 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds)), pa.array(np.full(rounds, float(y))), pa.array(np.full(rounds, float(k))), pa.array(hit[y, k].astype(np.int64))], names=["round", "_y", "prediction", "n"])
+
+        cells = g.mapInArrow(count, "round bigint, _y double, prediction double, n bigint").groupBy("round", "_y", "prediction").agg(F.sum("n").alias("n"))
+    else:
+        names, cells = base.features, None
+        for i in range(rounds):
+            def rows(batches, i=i):
+                for y, b, x in _per_block(batches):
+                    t = draws.times(y, b, range(i, i + 1))[:, 0].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), y)), pa.array(t), *[pa.array(x[:, q]) for q in range(p)]], names=["_y", "times", *names])
+
+            d = g.mapInArrow(rows, "_y double, times int, " + ", ".join(f"`{c}` double" for c in names))
+            train = d.filter("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).drop("_copy", "times")
+            fit = Classifier(base.kind, names, "_y", base.params).fit(train)
+            one = confusion(fit.predict(d.filter("times = 0")), "_y").select(F.lit(i).cast("bigint").alias("round"), "_y", "prediction", "n")
+            cells = one if cells is None else cells.unionByName(one)
+    by: dict[int, dict] = {}
+    for r in cells.filter("n > 0").collect():  # counts of rounds and classes
+        by.setdefault(r["round"], {})[r["_y"], r["prediction"]] = r["n"]
+    return bootstrap_summary(df.sparkSession.createDataFrame([_weighted(c) for _, c in sorted(by.items())], "accuracy double, f1 double, precision double, recall double"), ["accuracy", "f1", "precision", "recall"])
+
+
+def _weighted(cells: dict[tuple[float, float], int]) -> tuple[float, float, float, float]:
+    """Accuracy and support-weighted F1, precision and recall of one table of counts."""
+    n, f1, pr, rc = sum(cells.values()), 0.0, 0.0, 0.0
+    for c in {y for y, _ in cells}:
+        hit, support, predicted = cells.get((c, c), 0), sum(v for (y, _), v in cells.items() if y == c), sum(v for (_, k), v in cells.items() if k == c)
+        f1, pr, rc = f1 + support * 2 * hit / (support + predicted), pr + (support * hit / predicted if predicted else 0.0), rc + hit
+    return rc / n, f1 / n, pr / n, rc / n
 
 
 def bootstrap_summary(rounds: DataFrame, metrics: list[str]) -> DataFrame:

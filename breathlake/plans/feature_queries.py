@@ -352,16 +352,16 @@ def grid_search(s, d):
 
 
 def bootstrap_intervals(s, d):
-    return ml.bootstrap(_table(s, d), ml.Classifier("logistic", EIGHT, params={"max_iter": 20}), "feature_id", 5)
+    return ml.bootstrap(_table(s, d), ml.Classifier("logistic", EIGHT), "feature_id")
 
 
 def ablation(s, d):
-    return ml.ablation(_table(s, d), ml.Classifier("logistic", EIGHT, params={"max_iter": 20}), {"all": EIGHT, "without_rate": [c for c in EIGHT if c != "rate"]}, "feature_id")
+    return ml.ablation(_table(s, d), ml.Classifier("logistic", EIGHT), {"all": EIGHT, "without_rate": [c for c in EIGHT if c != "rate"]}, "feature_id")
 
 
 def recursive_elimination(s, d):
     def importance(df, names, label):
-        return ml.Classifier("logistic", names, label, {"max_iter": 20}).fit(df).importances()
+        return ml.Classifier("logistic", names, label).fit(df).importances()
 
     rows = select.recursive_elimination(_table(s, d), EIGHT, "label", importance, keep=3, step=2)
     return s.createDataFrame(rows, "feature string, rank int")
@@ -373,7 +373,7 @@ _ALL = (
     sampling_rate_infer, welch_t, mann_whitney_u, kruskal_h, anova_f, effect_sizes, compare_groups_binary, compare_groups_multi, *(_adjusted(m) for m in ("bonferroni", "sidak", "holm", "fdr_bh", "fdr_by")),
     corr_pearson_matrix, corr_pairs, remove_correlated, outcome_pearson, outcome_spearman, kendall, variance_filter, select_top_n, select_statistical, select_combined, violin_data, label_summary, safe_names, binned_mutual_information, knn_neighbors, knn_predict,
     confusion_matrix, class_scores, roc_points, auc, stratified_folds, pca_scores, pca_loadings, pca_variance, grid_search, bootstrap_intervals, ablation, recursive_elimination,
-    _predictions("logistic", {}), _predictions("forest", {"n_estimators": 20, "max_depth": 5}), _predictions("boosting", {"n_estimators": 10}), _predictions("svm", {"kernel": "rbf", "components": 100}), _predictions("network", {"max_iter": 50}),
+    _predictions("logistic", {}), _predictions("forest", {}), _predictions("boosting", {}), _predictions("svm", {"kernel": "rbf", "components": 100}), _predictions("network", {}),
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
