@@ -116,3 +116,24 @@ def sample_size(effect: float, power: float = 0.8, alpha: float = 0.05, mann_whi
         mid = (lo + hi) // 2
         lo, hi = (lo, mid) if approximate_power(effect, mid, alpha, mann_whitney) >= power else (mid + 1, hi)
     return lo
+
+
+def kendall_two_sided(n: int, num: float, x0: float, x1: float, x2: float, y0: float, y1: float, y2: float) -> float | None:
+    """p of concordant minus discordant pairs ``num``; tie sums t(t-1)/2, t(t-1)(t-2), t(t-1)(2t+5) of both columns.
+
+    Exact without ties up to 33 rows (or with at most one pair out of order), else normal.
+    """
+    pairs = n * (n - 1) / 2
+    if n < 2 or x0 == pairs or y0 == pairs:
+        return None
+    least = round((pairs - abs(num)) / 2)
+    if x0 == 0 and y0 == 0 and (n <= 33 or least <= 1):
+        if n > 170:
+            return 0.0
+        ways = [1]  # permutations by inversions
+        for j in range(2, n + 1):
+            ways = [sum(ways[max(0, i - j + 1) : i + 1]) for i in range(min(least, len(ways) + j - 2) + 1)]
+        return min(1.0, 2 * sum(ways) / math.factorial(n))
+    m = n * (n - 1.0)
+    var = (m * (2 * n + 5) - x2 - y2) / 18 + 2 * x0 * y0 / m + (x1 * y1 / (9 * m * (n - 2)) if n > 2 else 0.0)
+    return min(1.0, 2 * normal_tail(abs(num) / math.sqrt(var))) if var > 0 else 1.0

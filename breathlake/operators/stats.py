@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from breathlake.functions import distributions as dist
+from breathlake.session import cut
 
 #: Ranges of values within which ranks are counted.
 RANGES = 128
 
 
-def ranks(long: DataFrame, by: list[str], value: str = "value", ranges: int = RANGES) -> DataFrame:
-    """``by, value, n, rank``: each distinct value with its count and its tie-averaged rank."""
-    vc = long.dropna(subset=[value]).groupBy(*by, value).agg(F.count("*").alias("n"))
+def ranks(long: DataFrame, by: list[str], value: str = "value", ranges: int = RANGES, weight: str | None = None) -> DataFrame:
+    """``by, value, n, rank``: each distinct value with its count (or sum of ``weight``) and its tie-averaged rank."""
+    vc = long.dropna(subset=[value]).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     cuts = vc.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10 * ranges)).alias("_cuts"))
     vc = vc.join(cuts, by).withColumn("_r", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value)))).drop("_cuts")
     offsets = vc.groupBy(*by, "_r").agg(F.sum("n").alias("_n"))
@@ -191,9 +192,15 @@ def compare_multi(long: DataFrame, parametric: bool = False, correction: str | N
 # --- correlations -----------------------------------------------------------------------
 
 
-def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    """``feature_a, feature_b, r`` of all pairs a < b, complete by pair, in one aggregation."""
+def correlation_matrix(df: DataFrame, features: list[str], method: str = "pearson") -> DataFrame:
+    """``feature_a, feature_b, r`` of all pairs a < b, complete by pair; ``pearson`` in one aggregation, ``spearman``, ``kendall``."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+    if method != "pearson":
+        num = lambda c: F.col(c).cast("double")
+        each = F.array(*[F.struct(F.lit(k).alias("feature"), num(a).alias("value"), num(b).alias("y")) for k, (a, b) in enumerate(pairs)])
+        r = _correlate(df.select(F.inline(each)).dropna(), method, least=2)
+        names = df.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "feature int, feature_a string, feature_b string")
+        return names.join(r, "feature", "left").select("feature_a", "feature_b", F.col("correlation").alias("r"))
     both = lambda x, a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(x).cast("double"))
     row = df.agg(*[F.corr(both(a, a, b), both(b, a, b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
     each = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"c{k}").alias("r")) for k, (a, b) in enumerate(pairs)])
@@ -208,11 +215,20 @@ def ranked(df: DataFrame, key: str, features: list[str]) -> DataFrame:
 
 
 def outcome_correlation(df: DataFrame, features: list[str], outcome: str, method: str = "pearson", key: str | None = None) -> DataFrame:
-    """Each feature against the outcome, complete by pair: r, |r|, n, and p by t with n - 2 degrees.
+    """Each feature against the outcome, complete by pair: r, |r|, n, and p by t with n - 2 degrees (Kendall's by its own law).
 
     Fewer than 3 pairs give NULL. Spearman ranks within the complete pairs.
     """
     long = df.filter(F.col(outcome).isNotNull()).select(F.col(outcome).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in features]).unpivot(["y"], features, "feature", "value").dropna()
+    return _correlate(long, method)
+
+
+def _correlate(long: DataFrame, method: str, least: int = 3) -> DataFrame:
+    """``outcome_correlation`` of complete ``feature, value, y``."""
+    if method == "kendall":
+        k = kendall(long)
+        enough = F.col("n") >= least
+        return k.select("feature", "n", F.when(enough, F.col("tau")).alias("correlation"), F.when(enough, F.abs("tau")).alias("abs_correlation"), F.when(enough, F.col("p_value")).alias("p_value"))
     if method == "spearman":
         rx = ranks(long, ["feature"]).select("feature", "value", F.col("rank").alias("rx"))
         ry = ranks(long, ["feature"], "y").select("feature", "y", F.col("rank").alias("ry"))
@@ -226,27 +242,48 @@ def outcome_correlation(df: DataFrame, features: list[str], outcome: str, method
     c = c.join(mean, "feature")
     dx, dy = x - F.col("mx"), y - F.col("my")
     g = c.groupBy("feature").agg(F.sum(w).alias("n"), F.sum(w * dx * dy).alias("sxy"), F.sum(w * dx * dx).alias("sxx"), F.sum(w * dy * dy).alias("syy"))
-    r = F.when(F.col("n") >= 3, F.try_divide("sxy", F.sqrt(F.col("sxx") * F.col("syy"))))
+    r = F.when(F.col("n") >= least, F.try_divide("sxy", F.sqrt(F.col("sxx") * F.col("syy"))))
     g = g.select("feature", "n", r.alias("correlation")).withColumn("abs_correlation", F.abs("correlation"))
     g = g.withColumn("_df", F.col("n") - 2).withColumn("_t", F.col("correlation") * F.sqrt(F.try_divide(F.col("_df"), F.greatest(1 - F.col("correlation") * F.col("correlation"), F.lit(1e-300)))))
     return g.withColumn("p_value", _p("t", "_t", "_df")).drop("_t", "_df")
 
 
-def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b of two columns with few distinct pairs: pairs of (x, y) counts are compared.
+def kendall(long: DataFrame) -> DataFrame:
+    """Exact Kendall's tau-b of ``value`` and ``y`` by feature: ``feature, n, tau, p_value``.
 
-    Work is the square of the number of distinct (x, y), so bin continuous columns first.
+    Two values differ first at some bit of their positions in order. For each bit,
+    rows that agree above it fall into a lower and an upper half, and the rank sum
+    of the upper half by ``y`` says how many more of its pairs are concordant than
+    discordant. So each row counts once a bit and no pairs are built.
     """
-    c = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().groupBy("x", "y").agg(F.count("*").alias("c"))
-    o = c.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("c").alias("c2"))
-    s = F.signum(F.col("x2") - F.col("x")) * F.signum(F.col("y2") - F.col("y"))
-    num = c.join(o, F.col("x2") > F.col("x")).agg(F.sum(s * F.col("c") * F.col("c2")).alias("num"))
-    pairs = lambda n: n * (n - 1) / 2
-    # three numbers come to the driver
-    n = c.agg(F.sum("c").cast("double")).first()[0] or 0.0
-    tx, ty = (c.groupBy(k).agg(F.sum("c").cast("double").alias("t")).agg(F.sum(pairs(F.col("t")))).first()[0] or 0.0 for k in ("x", "y"))
-    n0 = pairs(n)
-    return num.select(F.try_divide("num", F.lit(float(((n0 - tx) * (n0 - ty)) ** 0.5))).alias("tau"))
+    c = long.select("feature", F.col("value").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna().groupBy("feature", "x", "y").agg(F.count("*").alias("c"))
+    c = cut(c)
+    at = ranks(c.select("feature", "x").distinct(), ["feature"], "x").select("feature", "x", F.col("rank").cast("bigint").alias("_at"))
+    bits = int(c.select("feature", "x").distinct().groupBy("feature").count().agg(F.max("count")).first()[0] or 1).bit_length()  # one number
+    d = c.join(at, ["feature", "x"]).withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+    up = F.expr("shiftright(_at, _bit) & 1")
+    g = d.groupBy("feature", "_bit", F.expr("shiftright(_at, _bit + 1)").alias("_above"), "y").agg(F.sum("c").alias("_w"), F.sum(F.col("c") * up).alias("_up"))
+    by = ["feature", "_bit", "_above"]
+    sides = g.groupBy(*by).agg(F.sum("_w").alias("_all"), F.sum("_up").alias("_ups")).filter("_ups > 0 and _ups < _all").select(*by)
+    g = cut(g.join(sides, by))  # halves without a counterpart have no pairs
+    r = g.join(ranks(g, by, "y", weight="_w").select(*by, "y", "rank"), [*by, "y"]).groupBy(*by).agg(F.sum(F.col("_up") * F.col("rank")).alias("s"), F.sum("_up").cast("double").alias("u"), F.sum("_w").cast("double").alias("w"))
+    u, w = F.col("u"), F.col("w")
+    num = r.groupBy("feature").agg(F.sum(2 * F.col("s") - u * (u + 1) - (w - u) * u).alias("num"))
+
+    def ties(k: str) -> DataFrame:
+        t = F.col("t")
+        sums = (t * (t - 1) / 2, t * (t - 1) * (t - 2), t * (t - 1) * (2 * t + 5))
+        return c.groupBy("feature", k).agg(F.sum("c").cast("double").alias("t")).groupBy("feature").agg(*[F.sum(e).alias(f"{k}{i}") for i, e in enumerate(sums)])
+
+    all_ = c.groupBy("feature").agg(F.sum("c").alias("n")).join(ties("x"), "feature").join(ties("y"), "feature").join(num, "feature", "left").withColumn("num", F.coalesce("num", F.lit(0.0)))
+    n0 = F.col("n").cast("double") * (F.col("n") - 1) / 2
+    all_ = all_.withColumn("tau", F.try_divide("num", F.sqrt((n0 - F.col("x0")) * (n0 - F.col("y0")))))
+    return all_.select("feature", "n", "tau", F.udf(dist.kendall_two_sided, "double")("n", "num", "x0", "x1", "x2", "y0", "y1", "y2").alias("p_value"))
+
+
+def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Kendall's tau-b of two columns and its p: one row."""
+    return kendall(df.select(F.lit("").alias("feature"), F.col(x).alias("value"), F.col(y).alias("y"))).select("tau", "p_value")
 
 
 def correlated_pairs(matrix: DataFrame, threshold: float) -> DataFrame:

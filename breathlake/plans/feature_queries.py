@@ -230,9 +230,13 @@ def outcome_spearman(s, d):
     return _outcome(s, d, "spearman")
 
 
+def outcome_kendall(s, d):
+    return _outcome(s, d, "kendall")
+
+
 def kendall(s, d):
-    f = ft.merge_labels(_features(s, d, FOUR), _labels(s, d), "subject", "survival").withColumn("bin", F.floor(F.col("rate") * 50))
-    return rounded(stats.kendall_tau(f, "bin", "survival"))
+    f = ft.merge_labels(_features(s, d, FOUR), _labels(s, d), "subject", "survival")
+    return rounded(stats.kendall_tau(f, "rate", "survival"))
 
 
 def variance_filter(s, d):
@@ -371,7 +375,7 @@ _ALL = (
     aggregate_windows, aggregate_min_valid, aggregate_propagate, aggregate_custom, valid_counts, feature_statistics, normalize_zscore, normalize_minmax, normalize_robust, fill_mean, fill_median, fill_zero, fill_drop,
     melt, concat_union, split_train, split_test, feature_matrix, label_distribution, remap_labels, exclude_labels, cohort_filter, merge_labels_inner, lookup_left_outer, subject_from_filename, date_from_filename,
     sampling_rate_infer, welch_t, mann_whitney_u, kruskal_h, anova_f, effect_sizes, compare_groups_binary, compare_groups_multi, *(_adjusted(m) for m in ("bonferroni", "sidak", "holm", "fdr_bh", "fdr_by")),
-    corr_pearson_matrix, corr_pairs, remove_correlated, outcome_pearson, outcome_spearman, kendall, variance_filter, select_top_n, select_statistical, select_combined, violin_data, label_summary, safe_names, binned_mutual_information, knn_neighbors, knn_predict,
+    corr_pearson_matrix, corr_pairs, remove_correlated, outcome_pearson, outcome_spearman, outcome_kendall, kendall, variance_filter, select_top_n, select_statistical, select_combined, violin_data, label_summary, safe_names, binned_mutual_information, knn_neighbors, knn_predict,
     confusion_matrix, class_scores, roc_points, auc, stratified_folds, pca_scores, pca_loadings, pca_variance, grid_search, bootstrap_intervals, ablation, recursive_elimination,
     _predictions("logistic", {}), _predictions("forest", {}), _predictions("boosting", {}), _predictions("svm", {"kernel": "rbf", "components": 100}), _predictions("network", {}),
 )
