@@ -8,11 +8,15 @@ characters holds at least one whole edge, whatever the text, so a stretch that
 two documents share shows as an edge with two documents.
 
 Edges of one document alone are dropped by one aggregation. Nonbranching paths
-of the repeated edges are compacted by pointer doubling in Spark joins, each
-document's occurrences fold into runs along those paths, and the runs' source
-coordinates are verified: chains of edges by their hash, and what they leave
-open by the hash of every stretch of ``span`` characters there. No pair of
-documents is ever formed, so a passage may stand in any number of them.
+of the repeated edges are compacted by pointer doubling in Spark joins, which
+gives every edge its path and its place on it in edges and characters. Each
+document's occurrences fold into runs along those paths; where runs of two
+documents overlap on a path, source coordinates say which stretch of the one
+text is which stretch of the other. Only what runs leave open (their ends, and
+spans that go from one path to the next) is looked up by the hash of every
+stretch of ``span`` characters there. All stretches found either way are then
+compared with the source texts character by character. No pair of documents is
+ever formed, so a passage may stand in any number of them.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from breathlake.session import cut
 BROADCAST_ROWS = 1_000_000
 #: Characters hashed at once; longer texts go in overlapping blocks.
 BLOCK = 1 << 20
+#: Stretches are compared in slices on a grid of so many characters of the witness, so a witness has few different slices.
+SLICE = 256
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -40,10 +46,18 @@ _BASE = 0x9E3779B97F4A7C15
 
 @dataclass(frozen=True)
 class SpanRules:
-    """Stretches of ``span`` characters count; anchors are hashed grams of ``gram`` characters."""
+    """Stretches of ``span`` characters count; anchors are hashed grams of ``gram`` characters.
+
+    Hashes of edges and stretches have ``bits`` bits. They only name
+    candidates: fewer bits give more of them and the same result.
+    """
 
     span: int = 200
     gram: int = 24
+    bits: int = 64
+
+    def hashed(self, x: np.ndarray) -> np.ndarray:
+        return (_mixed(x) >> U(64 - self.bits)).view(np.int64)
 
     @property
     def window(self) -> int:
@@ -154,21 +168,12 @@ def _edges(texts: list[str | None], rules: SpanRules) -> Iterator[dict[str, np.n
         if not len(a):
             continue
         from_, to_, next_to = begin[:-1][same], last[:-1][same], last[1:][same]
-        # the chain of edges that holds every span begun at one of the edge's windows
-        i = np.searchsorted(a, from_, side="right") - 1
-        j = np.searchsorted(b, to_ + rules.span - g)
-        ok = (i >= 0) & (j < len(b))
-        i, j = np.maximum(i, 0), np.minimum(j, len(b) - 1)
-        ok &= (piece[i] == piece) & (piece[j] == piece)
-        begins, stops = a[i], b[j] + g
         shift = np.array([o for _, o, _ in group])[piece] - first[piece]
         yield {
             "row": np.array([r for r, _, _ in group])[piece],
-            "edge": _mixed((p[b + g] - p[a]) * down[a] + U(1)).view(np.int64),
+            "edge": rules.hashed((p[b + g] - p[a]) * down[a] + U(1)),
             "u": h[a].view(np.int64), "v": h[b].view(np.int64), "start": a + shift, "end": b + g + shift,
             "from_": from_ + shift, "to_": to_ + shift, "next_to": next_to + shift,
-            "chain": np.where(ok, _mixed((p[stops] - p[begins]) * down[begins] + U(2)).view(np.int64), 0),
-            "chain_start": np.where(ok, begins + shift, -1), "chain_end": np.where(ok, stops + shift, -1),
         }
 
 
@@ -204,7 +209,7 @@ def document_edges(docs: DataFrame, rules: SpanRules) -> DataFrame:
     return docs.mapInArrow(run, "doc bigint, edge bigint")
 
 
-_PLACED = ("edge", "u", "v", "start", "end", "from_", "to_", "next_to", "chain", "chain_start", "chain_end")
+_PLACED = ("edge", "u", "v", "start", "end", "from_", "to_", "next_to")
 
 
 def _occurrences(docs: DataFrame, rules: SpanRules) -> DataFrame:
@@ -227,62 +232,89 @@ def _checked(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def compact(edges: DataFrame) -> DataFrame:
-    """``edge, path, off``: nonbranching paths of the graph ``edges(edge, u, v)``.
+def compact(edges: DataFrame, gram: int = 0) -> DataFrame:
+    """``edge, path, off, pos``: nonbranching paths of the graph ``edges(edge, u, v, size)``.
 
     Two edges are linked where the node between them has one edge in and one
     out. Pointer doubling takes each edge to the head of its path; the path is
-    named by its head and ``off`` counts from it. An edge on a closed ring has
-    no head and is a path of its own.
+    named by its head, ``off`` counts edges from it and ``pos`` characters (an
+    edge of ``size`` characters shares its last ``gram`` with the next). An
+    edge on a closed ring has no head and is a path of its own.
     """
-    edges = edges.dropDuplicates(["edge"])
-    into = edges.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n"), F.min("edge").alias("prev")).filter("n = 1")
+    edges = edges.groupBy("edge").agg(F.min(F.struct("u", "v", "size")).alias("e")).select("edge", "e.*")
+    into = edges.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n"), F.min(F.struct("edge", "size")).alias("p")).filter("n = 1")
     out = edges.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n"), F.min("edge").alias("edge")).filter("n = 1")
-    links = into.join(out, "node").filter("prev <> edge").select("edge", "prev")
-    p = edges.select("edge").join(links, "edge", "left").select("edge", F.coalesce("prev", "edge").alias("path"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("bigint").alias("off"))
-    p = cut(p.withColumn("moved", F.col("off") > 0))
+    links = into.join(out, "node").filter("p.edge <> edge").select("edge", F.col("p.edge").alias("prev"), (F.col("p.size") - gram).alias("step"))
+    linked = F.col("prev").isNotNull()
+    p = edges.select("edge").join(links, "edge", "left").select("edge", F.coalesce("prev", "edge").alias("path"), linked.cast("bigint").alias("off"), F.coalesce("step", F.lit(0)).cast("bigint").alias("pos"), linked.alias("moved"))
+    p = cut(p)
     n = p.filter("moved").count()
     for _ in range(math.ceil(math.log2(n + 1)) + 1):
         if p.filter("moved").isEmpty():
             break
-        ahead = p.select(F.col("edge").alias("path"), F.col("path").alias("next"), F.col("off").alias("more"))
-        p = cut(p.join(ahead, "path").select("edge", F.col("next").alias("path"), (F.col("off") + F.col("more")).alias("off"), (F.col("next") != F.col("path")).alias("moved")))
-    head = F.when(F.col("moved"), F.col("edge")).otherwise(F.col("path"))
-    return p.select("edge", head.alias("path"), F.when(head == F.col("edge"), 0).otherwise(F.col("off")).alias("off"))
+        ahead = p.select(F.col("edge").alias("path"), F.col("path").alias("next"), F.col("off").alias("o"), F.col("pos").alias("c"))
+        p = cut(p.join(ahead, "path").select("edge", F.col("next").alias("path"), (F.col("off") + F.col("o")).alias("off"), (F.col("pos") + F.col("c")).alias("pos"), (F.col("next") != F.col("path")).alias("moved")))
+    on = lambda c, alone: F.when(F.col("moved"), alone).otherwise(F.col(c)).alias(c)
+    return p.select("edge", on("path", F.col("edge")), on("off", F.lit(0)), on("pos", F.lit(0)))
+
+
+def _known(docs: DataFrame, rules: SpanRules) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") >= rules.span))
 
 
 def shared_runs(docs: DataFrame, rules: SpanRules = SpanRules()) -> DataFrame:
-    """Occurrences of repeated edges, compacted: each with its path, place and island.
+    """Occurrences of repeated edges, compacted: each with its path, place, island and run.
 
     An *island* is a stretch of a text all of whose edges are repeated; within
     it a *run* follows one path without a break.
     """
-    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") >= rules.span))
+    known = _known(docs, rules)
     counted = document_edges(known, rules).groupBy("edge").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
     repeated = cut(counted.filter("a <> b").select("edge"))
     occ = cut(_occurrences(known, rules).join(_checked(repeated, repeated.count()), "edge").dropDuplicates(["doc", "start"]))
-    paths = compact(occ.select("edge", "u", "v"))
-    occ = occ.join(paths, "edge")
+    occ = occ.join(compact(occ.select("edge", "u", "v", (F.col("end") - F.col("start")).alias("size")), rules.gram), "edge")
     w = Window.partitionBy("doc").orderBy("start")
     follows = F.lag("end").over(w) - rules.gram == F.col("start")  # the edge before is repeated too
     along = follows & (F.lag("path").over(w) == F.col("path")) & (F.lag("off").over(w) == F.col("off") - 1)
     occ = occ.withColumn("i", F.when(follows, 0).otherwise(1)).withColumn("r", F.when(along, 0).otherwise(1))
-    return cut(occ.withColumn("island", F.sum("i").over(w)).withColumn("run", F.sum("r").over(w)).drop("i", "r"))
+    return cut(occ.withColumn("island", F.sum("i").over(w)).withColumn("run", F.sum("r").over(w)).drop("i", "r", "u", "v"))
 
 
 def path_runs(occ: DataFrame) -> DataFrame:
-    """One row per run: document, path, offsets along it and characters covered."""
+    """One row per run: document, path, offsets along it, places in the text and on the path."""
     return occ.groupBy("doc", "run").agg(
         F.first("path").alias("path"), F.min("off").alias("off_from"), F.max("off").alias("off_to"), F.min("start").alias("start"), F.max("end").alias("end"),
-        F.first("island").alias("island"), F.min("from_").alias("from_"), F.max("next_to").alias("next_to"), F.count("*").alias("edges"),
+        F.min("pos").alias("pos_from"), F.max(F.col("pos") + F.col("end") - F.col("start")).alias("pos_to"), F.first("island").alias("island"),
+        F.min("from_").alias("from_"), F.max("next_to").alias("next_to"), F.count("*").alias("edges"),
     )
 
 
-def _grams(docs: DataFrame, ranges: DataFrame, rows: int, rules: SpanRules) -> DataFrame:
-    """``gram, doc, at``: the hash of each stretch of ``span`` characters that starts in the given ranges."""
+def overlaps(occ: DataFrame, runs: DataFrame) -> DataFrame:
+    """``doc, start, end, wdoc, wstart``: the longest parts of each run that another document's run covers too.
+
+    From each edge of a run, the run of another document that reaches farthest
+    along the path gives the end. One aggregation finds the farthest of all,
+    another the farthest of the documents that are not that one, so every
+    document has its witness and no two runs are paired.
+    """
+    o = occ.join(runs.select("doc", "run", F.col("pos_to").alias("far"), (F.col("start") - F.col("pos_from")).alias("shift")), ["doc", "run"])
+    o = cut(o.select("doc", "run", "edge", "off", "pos", "start", "far", F.struct("far", "doc", "shift").alias("reach")))
+    best = o.groupBy("edge").agg(F.max("reach").alias("best"))
+    o = o.join(best, "edge")
+    other = o.filter("doc <> best.doc").groupBy("edge").agg(F.max("reach").alias("next"))
+    o = o.join(other, "edge", "left").withColumn("by", F.when(F.col("doc") != F.col("best.doc"), F.col("best")).otherwise(F.col("next"))).filter("by is not null")
+    o = o.withColumn("to", F.least("far", "by.far"))
+    before = F.lag("to").over(Window.partitionBy("doc", "run").orderBy("off"))
+    o = o.filter("to > pos").withColumn("before", before).filter("before is null or before < to")
+    return o.select("doc", "start", (F.col("start") + F.col("to") - F.col("pos")).alias("end"), F.col("by.doc").alias("wdoc"), (F.col("by.shift") + F.col("pos")).alias("wstart"))
+
+
+def _grams(docs: DataFrame, ranges: DataFrame, rules: SpanRules) -> DataFrame:
+    """``gram, doc, at``: the hash of each stretch of ``span`` characters that starts in ``ranges(doc, lo, hi)``, both ends included."""
     span = rules.span
-    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.length("text") >= span)
-    rows_ = known.join(_checked(ranges, rows), "doc_id").select("doc_id", "text", "ranges")
+    ranges = cut(ranges.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
+    rows = ranges.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0]
+    rows_ = _known(docs, rules).join(_checked(ranges, rows), "doc_id").select("doc_id", "text", "ranges")
     schema = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,15 +323,75 @@ def _grams(docs: DataFrame, ranges: DataFrame, rows: int, rules: SpanRules) -> D
                 codes = _codes(batch.column(1)[i].as_py())
                 r = batch.column(2)[i].values
                 for lo, hi in zip(r.field(0).to_pylist(), r.field(1).to_pylist()):
+                    lo, hi = max(lo, 0), min(hi, len(codes) - span)
                     for s in range(lo, hi + 1, BLOCK):
                         n = min(BLOCK, hi + 1 - s)
                         p, down = _prefix(codes[s: s + n + span - 1], rules.table)
-                        h = _mixed((p[span:] - p[:-span]) * down[:n] + U(3)).view(np.int64)
+                        h = rules.hashed((p[span:] - p[:-span]) * down[:n] + U(3))
                         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(n, batch.column(0)[i].as_py())), pa.array(np.arange(s, s + n))], schema=schema)
 
     return rows_.mapInArrow(run, "gram bigint, doc bigint, at bigint")
 
 
+def _same_grams(grams: DataFrame, span: int) -> DataFrame:
+    """Stretches whose hash another document has too, with a witness; neighbours with one witness join."""
+    place = F.struct("doc", "at")
+    twice = grams.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a.doc <> b.doc")
+    by = F.when(F.col("doc") != F.col("a.doc"), F.col("a")).otherwise(F.col("b"))
+    hits = grams.join(twice, "gram").withColumn("by", by).select("doc", "at", F.col("by.doc").alias("wdoc"), (F.col("by.at") - F.col("at")).alias("shift")).distinct()
+    w = Window.partitionBy("doc", "wdoc", "shift").orderBy("at")
+    hits = hits.withColumn("k", F.col("at") - F.row_number().over(w))
+    g = hits.groupBy("doc", "wdoc", "shift", "k").agg(F.min("at").alias("start"), (F.max("at") + span).alias("end"))
+    return g.select("doc", "start", "end", "wdoc", (F.col("start") + F.col("shift")).alias("wstart"))
+
+
+def _texts(docs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``text``: the characters ``[start, start + n)`` of each row of ``parts(doc, start, n, ...)``; other columns pass through."""
+    rest = [c for c in parts.columns if c != "doc"]
+    lists = parts.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct(*rest)).alias("parts"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(lists, "doc_id")
+    fields = [f for f in lists.schema["parts"].dataType.elementType.fields]
+    names = ["doc", *rest, "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text, p = batch.column(1)[i].as_py(), batch.column(2)[i].values
+                cols = [p.field(c) for c in rest]
+                got = [text[max(a, 0): max(a + n, 0)] for a, n in zip(p.field("start").to_pylist(), p.field("n").to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(got), pa.int64()), *cols, pa.array(got, pa.string())], names=names)
+
+    return rows.mapInArrow(run, "doc bigint, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", text string")
+
+
+def _unequal(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``found(doc, start, end, wdoc, wstart)`` whose text is not that of their witness.
+
+    Slices of one place of a witness are grouped with the witness's own text:
+    more than one text in a group means that some differ. A passage in a third
+    of all documents is one group of one text, which partial aggregation folds
+    before the shuffle.
+    """
+    wend = F.col("wstart") + F.col("end") - F.col("start")
+    rows = found.withColumn("k", F.explode(F.sequence(F.floor(F.col("wstart") / SLICE), F.floor((wend - 1) / SLICE))))
+    rows = rows.withColumn("wat", F.greatest("wstart", F.col("k") * SLICE)).withColumn("n", (F.least(wend, (F.col("k") + 1) * SLICE) - F.col("wat")).cast("int"))
+    key = ["wdoc", "wat", "n"]
+    own = rows.select("doc", (F.col("start") + F.col("wat") - F.col("wstart")).alias("start"), *key).distinct()
+    witnesses = rows.select(F.col("wdoc").alias("doc"), F.col("wat").alias("start"), *key).distinct()
+    texts = _texts(docs, own.unionByName(witnesses)).select(*key, "text").distinct()
+    odd = texts.groupBy(*key).agg(F.count("*").alias("c"), F.min(F.length("text")).alias("least")).filter("c > 1 or least < n").select(*key)
+    return rows.join(odd, key, "left_semi").select(*found.columns).distinct()
+
+
+def _by_text(docs: DataFrame, unequal: DataFrame, alive: DataFrame, rules: SpanRules) -> DataFrame:
+    """``doc, start, end`` of the spans within ``unequal`` that another document's text holds, grouped by the text itself."""
+    again = _grams(docs, unequal.select("doc", F.col("start").alias("lo"), (F.col("end") - rules.span).alias("hi")), rules).select("gram").distinct()
+    places = _grams(docs, alive, rules).join(again, "gram", "left_semi").select("doc", F.col("at").alias("start"), F.lit(rules.span).alias("n")).distinct()
+    texts = cut(_texts(docs, places).select("doc", "start", "text"))
+    twice = texts.groupBy("text").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("text")
+    return texts.join(twice, "text", "left_semi").select("doc", "start", (F.col("start") + rules.span).alias("end"))
+
+
 def shared_stretches(docs: DataFrame, rules: SpanRules = SpanRules()) -> DataFrame:
     """Maximal stretches of each text that stand verbatim in some other document.
 
@@ -308,30 +400,33 @@ def shared_stretches(docs: DataFrame, rules: SpanRules = SpanRules()) -> DataFra
     end, chars``: code points, half open, the union of all substrings of
     ``rules.span`` characters that another document holds too; ``chars`` is the
     document's length. Nothing is normalised. Null and short texts have none.
-    Equality is that of 64-bit hashes of whole substrings. Materialises its
+    Equality is that of the texts; hashes only name candidates, and where
+    texts of one hash differ, they are grouped by themselves. Materialises its
     stages in the checkpoint folder.
     """
     span = rules.span
     occ = shared_runs(docs, rules)
-    runs = path_runs(occ)
-    # a span is open to a match while its own edges are repeated: from the island's first window to the end of its last
+    runs = cut(path_runs(occ))
+    # a span can match while its own edges are repeated: from the island's first window to the end of its last
     islands = runs.groupBy("doc", "island").agg(F.min("from_").alias("lo"), (F.max("next_to") + rules.reach).alias("hi"))
-    islands = islands.filter(F.col("hi") - F.col("lo") >= span)
-    occ = occ.join(islands, ["doc", "island"])
-    chains = occ.filter("chain_end >= 0").groupBy("chain").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("chain", F.lit(True).alias("proved"))
-    occ = cut(occ.join(chains, "chain", "left").withColumn("proved", F.col("proved").isNotNull() & (F.col("chain_end") >= 0)))
-    # spans of an edge are open unless each text that holds it has proved them; then all its texts show theirs
-    open_edges = occ.filter("not proved").select("edge").distinct()
-    ranges = occ.join(open_edges, "edge", "left_semi").select("doc", F.greatest("from_", "lo").alias("lo"), F.least(F.col("to_"), F.col("hi") - span).alias("hi"))
-    ranges = ranges.filter("lo <= hi").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    ranges = cut(ranges)
-    open_ranges = ranges.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0]
-    grams = _grams(docs, ranges, open_ranges, rules)
-    twice = grams.groupBy("gram").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("gram")
-    hits = grams.join(twice, "gram", "left_semi").select("doc", F.col("at").alias("start"), (F.col("at") + span).alias("end"))
-    proved = occ.filter("proved").select("doc", F.col("chain_start").alias("start"), F.col("chain_end").alias("end"))
+    islands = cut(islands.filter(F.col("hi") - F.col("lo") >= span))
+    along = cut(overlaps(occ, runs).filter(F.col("end") - F.col("start") >= span))
+    # spans of an edge are open unless each text that holds it has them all on its path; then all its texts show theirs
+    marks = along.select("doc", F.col("start").alias("at"), (F.col("end") - span).alias("upto"))
+    edges = occ.join(islands, ["doc", "island"]).select("doc", "edge", F.greatest("from_", "lo").alias("at"), F.least(F.col("to_"), F.col("hi") - span).alias("last")).filter("at <= last")
+    both = edges.unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy("doc").orderBy("at", F.col("edge").isNotNull())
+    edges = cut(both.withColumn("upto", F.max("upto").over(w)).filter("edge is not null").select("doc", "edge", "at", "last", F.coalesce(F.col("upto") >= F.col("last"), F.lit(False)).alias("proved")))
+    open_edges = edges.filter("not proved").select("edge").distinct()
+    ranges = edges.join(open_edges, "edge", "left_semi").select("doc", F.col("at").alias("lo"), F.col("last").alias("hi"))
+    found = cut(along.unionByName(_same_grams(cut(_grams(docs, ranges, rules)), span)))
+    unequal = cut(_unequal(docs, found))
+    parts = found.select("doc", "start", "end")
+    if not unequal.isEmpty():  # texts of one hash that differ
+        alive = islands.select("doc", "lo", (F.col("hi") - span).alias("hi"))
+        parts = found.join(unequal, found.columns, "left_anti").select("doc", "start", "end").unionByName(_by_text(docs, unequal, alive, rules))
     w = Window.partitionBy("doc").orderBy("start", "end")
-    parts = hits.unionByName(proved).withColumn("reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    parts = parts.withColumn("reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     parts = parts.withColumn("k", F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(w))
     merged = parts.groupBy("doc", "k").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     sizes = occ.groupBy("doc").agg(F.max("chars").alias("chars"))

@@ -58,6 +58,39 @@ def test_stretches_match_brute_force(spark, monkeypatch, seed, broadcast):
     assert {d: sorted(v) for d, v in got.items()} == want
 
 
+@pytest.mark.parametrize("bits", [6, 13])
+def test_texts_decide_where_hashes_collide(spark, bits):
+    docs = corpus(5, 40)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {}
+    for r in shared_stretches(df, SpanRules(span=100, gram=12, bits=bits)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+    assert {d: sorted(v) for d, v in got.items()} == brute(docs, 100)
+
+
+def test_stretches_come_from_paths(spark, monkeypatch):
+    r = random.Random(11)
+    word = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    passage = word(4000)
+    docs = [(i, word(300) + passage[i * 50: 3000 + i * 50] + word(300)) for i in range(9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rules = SpanRules(span=100, gram=12)
+    asked = []
+    grams = spans._grams
+    monkeypatch.setattr(spans, "_grams", lambda d, ranges, rules: asked.append(ranges.selectExpr("coalesce(sum(hi - lo + 1), 0)").first()[0]) or grams(d, ranges, rules))
+    whole = sorted(map(tuple, shared_stretches(df, rules).collect()))
+    assert {d: [(a, b)] for d, a, b, _ in whole} == brute(docs, 100)
+    assert asked[0] < 9 * 3000 * 0.2  # what lies along the path is not looked up by hash
+    # without paths nothing but what they leave open is found
+    monkeypatch.setattr(spans, "overlaps", lambda occ, runs: overlaps_none(occ))
+    monkeypatch.setattr(spans, "_grams", lambda d, ranges, rules: grams(d, ranges.limit(0), rules))
+    assert shared_stretches(df, rules).count() == 0
+
+
+def overlaps_none(occ):
+    return occ.limit(0).selectExpr("doc", "start", "end", "doc as wdoc", "start as wstart")
+
+
 def test_long_texts_in_blocks(spark, monkeypatch):
     r = random.Random(7)
     text = "".join(r.choice("abcdefg ") for _ in range(9000))
@@ -77,9 +110,10 @@ def test_paths_of_a_chain_a_fork_and_a_ring(spark):
     fork = [(50, 200, 201), (51, 201, 202), (52, 201, 203)]
     ring = [(60, 300, 301), (61, 301, 302), (62, 302, 300)]
     loop = [(70, 400, 400)]
-    got = {r.edge: (r.path, r.off) for r in compact(spark.createDataFrame(chain + fork + ring + loop, "edge long, u long, v long")).collect()}
-    assert all(got[i] == (0, i) for i in range(40))
-    assert all(got[i] == (i, 0) for i in (50, 51, 52, 60, 61, 62, 70))
+    rows = [(e, u, v, 10 + e % 3) for e, u, v in chain + fork + ring + loop]
+    got = {r.edge: (r.path, r.off, r.pos) for r in compact(spark.createDataFrame(rows, "edge long, u long, v long, size long"), 4).collect()}
+    assert all(got[i] == (0, i, sum(6 + k % 3 for k in range(i))) for i in range(40))
+    assert all(got[i] == (i, 0, 0) for i in (50, 51, 52, 60, 61, 62, 70))
 
 
 def test_shares_and_empty_table(spark):
