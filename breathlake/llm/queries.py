@@ -159,9 +159,11 @@ ORACLE = {
         union select x.recording_id, y.recording_id from g x join g y on x.device_id = y.device_id and x.dt = y.dt and x.recording_id < y.recording_id where x.k is null and y.k is null""",
     "p8_found": """
         with d as (select doc_id, any_value(text) t from documents where length(text) >= 200 group by doc_id),
-        g as (select doc_id, substr(t, i, 200) s from (select doc_id, t, unnest(generate_series(1, length(t) - 199)) i from d)),
-        m as (select s from g group by s having min(doc_id) <> max(doc_id))
-        select distinct doc_id from g where s in (from m)""",
+        g as (select doc_id, i, hash(substr(t, i, 200)) h from (select doc_id, t, unnest(generate_series(1, length(t) - 199)) i from d)),
+        m as (select h from g group by h having min(doc_id) <> max(doc_id)),
+        s as (select doc_id, substr(t, i, 200) s from g semi join m using (h) join d using (doc_id)),
+        n as (select s from s group by s having min(doc_id) <> max(doc_id))
+        select distinct doc_id from s semi join n using (s)""",
     "p5_found": """
         select distinct window_id from signal_windows join window_configs using (config_id)
         where coalesce(end_time - start_time, len(window_data) / sampling_rate) > window_size + 0.01 and window_size > 0 and overlap < window_size""",

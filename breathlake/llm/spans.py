@@ -310,15 +310,19 @@ def overlaps(occ: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def _grams(docs: DataFrame, ranges: DataFrame, rules: SpanRules) -> DataFrame:
-    """``gram, doc, at``: the hash of each stretch of ``span`` characters that starts in ``ranges(doc, lo, hi)``, both ends included."""
+    """``gram, doc, at``: the hash of each stretch of ``span`` characters that starts in ``ranges(doc, lo, hi)``, both ends included.
+
+    Kept as one array of hashes for each range, and spread out when read.
+    """
     span = rules.span
     ranges = cut(ranges.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
     rows = ranges.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0]
     rows_ = _known(docs, rules).join(_checked(ranges, rows), "doc_id").select("doc_id", "text", "ranges")
-    schema = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
+    schema = pa.schema([("doc", pa.int64()), ("lo", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at, first, sizes, hashes = [], [], [0], [np.zeros(0, np.int64)]
             for i in range(batch.num_rows):
                 codes = _codes(batch.column(1)[i].as_py())
                 r = batch.column(2)[i].values
@@ -327,18 +331,21 @@ def _grams(docs: DataFrame, ranges: DataFrame, rules: SpanRules) -> DataFrame:
                     for s in range(lo, hi + 1, BLOCK):
                         n = min(BLOCK, hi + 1 - s)
                         p, down = _prefix(codes[s: s + n + span - 1], rules.table)
-                        h = rules.hashed((p[span:] - p[:-span]) * down[:n] + U(3))
-                        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(n, batch.column(0)[i].as_py())), pa.array(np.arange(s, s + n))], schema=schema)
+                        at.append(i), first.append(s), sizes.append(n)
+                        hashes.append(rules.hashed((p[span:] - p[:-span]) * down[:n] + U(3)))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(hashes)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(first, pa.int64()), lists], schema=schema)
 
-    return rows_.mapInArrow(run, "gram bigint, doc bigint, at bigint")
+    kept = cut(rows_.mapInArrow(run, "doc bigint, lo bigint, grams array<bigint>"))
+    return kept.select("doc", "lo", F.posexplode("grams").alias("k", "gram")).select("gram", "doc", (F.col("lo") + F.col("k")).alias("at"))
 
 
 def _same_grams(grams: DataFrame, span: int) -> DataFrame:
     """Stretches whose hash another document has too, with a witness; neighbours with one witness join."""
-    place = F.struct("doc", "at")
-    twice = grams.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a.doc <> b.doc")
-    by = F.when(F.col("doc") != F.col("a.doc"), F.col("a")).otherwise(F.col("b"))
-    hits = grams.join(twice, "gram").withColumn("by", by).select("doc", "at", F.col("by.doc").alias("wdoc"), (F.col("by.at") - F.col("at")).alias("shift")).distinct()
+    twice = grams.groupBy("gram").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b")
+    hits = cut(grams.join(twice, "gram").select("gram", "doc", "at", F.when(F.col("doc") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("wdoc"), ((F.col("doc") == F.col("a")) | (F.col("doc") == F.col("b"))).alias("end")))
+    places = hits.filter("end").groupBy("gram", F.col("doc").alias("wdoc")).agg(F.min("at").alias("wat"))
+    hits = hits.join(places, ["gram", "wdoc"]).select("doc", "at", "wdoc", (F.col("wat") - F.col("at")).alias("shift")).distinct()
     w = Window.partitionBy("doc", "wdoc", "shift").orderBy("at")
     hits = hits.withColumn("k", F.col("at") - F.row_number().over(w))
     g = hits.groupBy("doc", "wdoc", "shift", "k").agg(F.min("at").alias("start"), (F.max("at") + span).alias("end"))
@@ -419,7 +426,7 @@ def shared_stretches(docs: DataFrame, rules: SpanRules = SpanRules()) -> DataFra
     edges = cut(both.withColumn("upto", F.max("upto").over(w)).filter("edge is not null").select("doc", "edge", "at", "last", F.coalesce(F.col("upto") >= F.col("last"), F.lit(False)).alias("proved")))
     open_edges = edges.filter("not proved").select("edge").distinct()
     ranges = edges.join(open_edges, "edge", "left_semi").select("doc", F.col("at").alias("lo"), F.col("last").alias("hi"))
-    found = cut(along.unionByName(_same_grams(cut(_grams(docs, ranges, rules)), span)))
+    found = cut(along.unionByName(_same_grams(_grams(docs, ranges, rules), span)))
     unequal = cut(_unequal(docs, found))
     parts = found.select("doc", "start", "end")
     if not unequal.isEmpty():  # texts of one hash that differ
