@@ -309,6 +309,28 @@ def overlaps(occ: DataFrame, runs: DataFrame) -> DataFrame:
     return o.select("doc", "start", (F.col("start") + F.col("to") - F.col("pos")).alias("end"), F.col("by.doc").alias("wdoc"), (F.col("by.shift") + F.col("pos")).alias("wstart"))
 
 
+def _open(occ: DataFrame, along: DataFrame, span: int) -> DataFrame:
+    """``doc, lo, hi``: starts of the spans that may match and that ``along`` does not hold.
+
+    A span belongs to the edge of the window it starts with, at one distance
+    from it in every text. So where one text has open spans at some distances
+    from an edge, all texts with that edge show theirs at these distances.
+    """
+    marks = along.select("doc", F.col("start").alias("at"), (F.col("end") - span).alias("upto"))
+    edges = occ.select("doc", "edge", "start", F.greatest("from_", "lo").alias("at"), F.least(F.col("to_"), F.col("hi") - span).alias("last")).filter("at <= last")
+    both = edges.unionByName(marks, allowMissingColumns=True)
+    mark = F.col("edge").isNull()
+    before = F.max("upto").over(Window.partitionBy("doc").orderBy("at", ~mark))
+    after = F.last(F.when(mark, F.struct("at", "upto")), True).over(Window.partitionBy("doc").orderBy(F.desc("at"), ~mark))
+    edges = both.withColumn("before", before).withColumn("after", after).filter("edge is not null")
+    lo = F.greatest(F.col("at"), F.col("before") + 1)
+    hi = F.when((F.col("after.at") <= F.col("last")) & (F.col("after.upto") >= F.col("last")), F.col("after.at") - 1).otherwise(F.col("last"))
+    edges = cut(edges.select("doc", "edge", "start", "at", "last", (lo - F.col("start")).alias("lo"), (hi - F.col("start")).alias("hi")))
+    wide = edges.filter("lo <= hi").groupBy("edge").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    all_ = edges.drop("lo", "hi").join(wide, "edge")
+    return all_.select("doc", F.greatest(F.col("at"), F.col("start") + F.col("lo")).alias("lo"), F.least(F.col("last"), F.col("start") + F.col("hi")).alias("hi")).filter("lo <= hi")
+
+
 def _grams(docs: DataFrame, ranges: DataFrame, rules: SpanRules) -> DataFrame:
     """``gram, doc, at``: the hash of each stretch of ``span`` characters that starts in ``ranges(doc, lo, hi)``, both ends included.
 
@@ -418,14 +440,7 @@ def shared_stretches(docs: DataFrame, rules: SpanRules = SpanRules()) -> DataFra
     islands = runs.groupBy("doc", "island").agg(F.min("from_").alias("lo"), (F.max("next_to") + rules.reach).alias("hi"))
     islands = cut(islands.filter(F.col("hi") - F.col("lo") >= span))
     along = cut(overlaps(occ, runs).filter(F.col("end") - F.col("start") >= span))
-    # spans of an edge are open unless each text that holds it has them all on its path; then all its texts show theirs
-    marks = along.select("doc", F.col("start").alias("at"), (F.col("end") - span).alias("upto"))
-    edges = occ.join(islands, ["doc", "island"]).select("doc", "edge", F.greatest("from_", "lo").alias("at"), F.least(F.col("to_"), F.col("hi") - span).alias("last")).filter("at <= last")
-    both = edges.unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy("doc").orderBy("at", F.col("edge").isNotNull())
-    edges = cut(both.withColumn("upto", F.max("upto").over(w)).filter("edge is not null").select("doc", "edge", "at", "last", F.coalesce(F.col("upto") >= F.col("last"), F.lit(False)).alias("proved")))
-    open_edges = edges.filter("not proved").select("edge").distinct()
-    ranges = edges.join(open_edges, "edge", "left_semi").select("doc", F.col("at").alias("lo"), F.col("last").alias("hi"))
+    ranges = _open(occ.join(islands, ["doc", "island"]), along, span)
     found = cut(along.unionByName(_same_grams(_grams(docs, ranges, rules), span)))
     unequal = cut(_unequal(docs, found))
     parts = found.select("doc", "start", "end")
