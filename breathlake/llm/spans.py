@@ -3,7 +3,8 @@
 Texts are read as tokens whose borders depend on content alone: anchors are
 the smallest hashed grams of a sliding window, a token is the text from one
 anchor to the next. Anchors are the nodes and token k-mers (a token with the
-anchor that follows) the edges of a De Bruijn graph. Any stretch of ``span``
+anchor that follows) the edges of a De Bruijn graph; texts thread it, so a path
+branches only where some text goes another way. Any stretch of ``span``
 characters holds at least one whole edge, whatever the text, so a stretch that
 two documents share shows as an edge with two documents.
 
@@ -172,7 +173,7 @@ def _edges(texts: list[str | None], rules: SpanRules) -> Iterator[dict[str, np.n
         yield {
             "row": np.array([r for r, _, _ in group])[piece],
             "edge": rules.hashed((p[b + g] - p[a]) * down[a] + U(1)),
-            "u": h[a].view(np.int64), "v": h[b].view(np.int64), "start": a + shift, "end": b + g + shift,
+            "start": a + shift, "end": b + g + shift,
             "from_": from_ + shift, "to_": to_ + shift, "next_to": next_to + shift,
         }
 
@@ -209,7 +210,7 @@ def document_edges(docs: DataFrame, rules: SpanRules) -> DataFrame:
     return docs.mapInArrow(run, "doc bigint, edge bigint")
 
 
-_PLACED = ("edge", "u", "v", "start", "end", "from_", "to_", "next_to")
+_PLACED = ("edge", "start", "end", "from_", "to_", "next_to")
 
 
 def _occurrences(docs: DataFrame, rules: SpanRules) -> DataFrame:
@@ -232,21 +233,24 @@ def _checked(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def compact(edges: DataFrame, gram: int = 0) -> DataFrame:
-    """``edge, path, off, pos``: nonbranching paths of the graph ``edges(edge, u, v, size)``.
+def compact(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``edge, path, off, pos``: nonbranching paths of the graph.
 
-    Two edges are linked where the node between them has one edge in and one
-    out. Pointer doubling takes each edge to the head of its path; the path is
-    named by its head, ``off`` counts edges from it and ``pos`` characters (an
-    edge of ``size`` characters shares its last ``gram`` with the next). An
-    edge on a closed ring has no head and is a path of its own.
+    ``edges(edge)`` are its edges, ``pairs(prev, edge, step)`` says which
+    follow each other in some text and how many characters apart they start. A
+    pair is part of a path where ``prev`` is followed by nothing else and
+    ``edge`` follows nothing else. Pointer doubling takes each edge to the head
+    of its path; the path is named by its head, ``off`` counts edges from it and
+    ``pos`` characters. An edge on a closed ring has no head and is a path of
+    its own.
     """
-    edges = edges.groupBy("edge").agg(F.min(F.struct("u", "v", "size")).alias("e")).select("edge", "e.*")
-    into = edges.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n"), F.min(F.struct("edge", "size")).alias("p")).filter("n = 1")
-    out = edges.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n"), F.min("edge").alias("edge")).filter("n = 1")
-    links = into.join(out, "node").filter("p.edge <> edge").select("edge", F.col("p.edge").alias("prev"), (F.col("p.size") - gram).alias("step"))
+    edges = edges.distinct()
+    pairs = pairs.groupBy("prev", "edge").agg(F.min("step").alias("step"))
+    into = pairs.groupBy("edge").agg(F.count("*").alias("n"), F.min("prev").alias("prev"), F.min("step").alias("step")).filter("n = 1 and prev <> edge").drop("n")
+    out = pairs.groupBy("prev").agg(F.count("*").alias("n")).filter("n = 1").select("prev")
+    links = into.join(out, "prev", "left_semi")
     linked = F.col("prev").isNotNull()
-    p = edges.select("edge").join(links, "edge", "left").select("edge", F.coalesce("prev", "edge").alias("path"), linked.cast("bigint").alias("off"), F.coalesce("step", F.lit(0)).cast("bigint").alias("pos"), linked.alias("moved"))
+    p = edges.join(links, "edge", "left").select("edge", F.coalesce("prev", "edge").alias("path"), linked.cast("bigint").alias("off"), F.coalesce("step", F.lit(0)).cast("bigint").alias("pos"), linked.alias("moved"))
     p = cut(p)
     n = p.filter("moved").count()
     for _ in range(math.ceil(math.log2(n + 1)) + 1):
@@ -271,13 +275,15 @@ def shared_runs(docs: DataFrame, rules: SpanRules = SpanRules()) -> DataFrame:
     known = _known(docs, rules)
     counted = document_edges(known, rules).groupBy("edge").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
     repeated = cut(counted.filter("a <> b").select("edge"))
-    occ = cut(_occurrences(known, rules).join(_checked(repeated, repeated.count()), "edge").dropDuplicates(["doc", "start"]))
-    occ = occ.join(compact(occ.select("edge", "u", "v", (F.col("end") - F.col("start")).alias("size")), rules.gram), "edge")
+    occ = _occurrences(known, rules).join(_checked(repeated, repeated.count()), "edge")
     w = Window.partitionBy("doc").orderBy("start")
+    occ = occ.withColumn("before", F.lag("start").over(w)).filter("before is null or before < start")  # documents given again
     follows = F.lag("end").over(w) - rules.gram == F.col("start")  # the edge before is repeated too
-    along = follows & (F.lag("path").over(w) == F.col("path")) & (F.lag("off").over(w) == F.col("off") - 1)
-    occ = occ.withColumn("i", F.when(follows, 0).otherwise(1)).withColumn("r", F.when(along, 0).otherwise(1))
-    return cut(occ.withColumn("island", F.sum("i").over(w)).withColumn("run", F.sum("r").over(w)).drop("i", "r", "u", "v"))
+    occ = cut(occ.withColumn("prev", F.when(follows, F.lag("edge").over(w))).withColumn("step", F.when(follows, F.col("start") - F.lag("start").over(w))).drop("before"))
+    occ = occ.join(compact(occ.select("edge"), occ.filter("prev is not null").select("prev", "edge", "step")), "edge")
+    along = F.col("prev").isNotNull() & (F.lag("path").over(w) == F.col("path")) & (F.lag("off").over(w) == F.col("off") - 1)
+    occ = occ.withColumn("r", F.when(along, 0).otherwise(1)).withColumn("i", F.col("prev").isNull().cast("int"))
+    return cut(occ.withColumn("island", F.sum("i").over(w)).withColumn("run", F.sum("r").over(w)).drop("i", "r", "prev", "step"))
 
 
 def path_runs(occ: DataFrame) -> DataFrame:

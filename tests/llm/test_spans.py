@@ -106,14 +106,15 @@ def test_long_texts_in_blocks(spark, monkeypatch):
 
 
 def test_paths_of_a_chain_a_fork_and_a_ring(spark):
-    chain = [(i, 100 + i, 101 + i) for i in range(40)]
-    fork = [(50, 200, 201), (51, 201, 202), (52, 201, 203)]
-    ring = [(60, 300, 301), (61, 301, 302), (62, 302, 300)]
-    loop = [(70, 400, 400)]
-    rows = [(e, u, v, 10 + e % 3) for e, u, v in chain + fork + ring + loop]
-    got = {r.edge: (r.path, r.off, r.pos) for r in compact(spark.createDataFrame(rows, "edge long, u long, v long, size long"), 4).collect()}
-    assert all(got[i] == (0, i, sum(6 + k % 3 for k in range(i))) for i in range(40))
-    assert all(got[i] == (i, 0, 0) for i in (50, 51, 52, 60, 61, 62, 70))
+    chain = [(i - 1, i, 6 + i % 3) for i in range(1, 40)]
+    fork = [(50, 51, 9), (50, 52, 9), (53, 54, 9), (55, 54, 9)]
+    ring = [(60, 61, 5), (61, 62, 5), (62, 60, 5)]
+    loop = [(70, 70, 5)]
+    pairs = chain + chain[:5] + fork + ring + loop
+    edges = spark.createDataFrame([(e,) for p in pairs for e in p[:2]], "edge long")
+    got = {r.edge: (r.path, r.off, r.pos) for r in compact(edges, spark.createDataFrame(pairs, "prev long, edge long, step long")).collect()}
+    assert all(got[i] == (0, i, sum(6 + k % 3 for k in range(1, i + 1))) for i in range(40))
+    assert all(got[i] == (i, 0, 0) for i in (50, 51, 52, 53, 54, 55, 60, 61, 62, 70))
 
 
 def test_shares_and_empty_table(spark):
