@@ -21,6 +21,8 @@ from breathlake.session import cut
 
 #: Documents a shard holds on average. It fixes both the memory of a task and the waste.
 SHARD_DOCS = 8192
+#: Tasks that pack, at most; a task with several shards packs one after the other.
+TASKS = 20_000
 
 
 def match_large(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -110,7 +112,9 @@ def pack_documents(sized: DataFrame, capacities: list[tuple[int, int]], shard_do
         raise ValueError("capacities must be positive")
     sized = cut(sized.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)).alias("n_tokens")).dropna().dropDuplicates(["doc_id"]))
     shards = max(1, round(sized.count() / shard_docs))
-    grouped = sized.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")).agg(F.collect_list(F.struct("doc_id", "n_tokens")).alias("docs"))
+    # packing is bound by CPU, not bytes: a partition number of our own keeps small shards apart
+    sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).repartition(min(4 * shards, TASKS), "shard")
+    grouped = sized.groupBy("shard").agg(F.collect_list(F.struct("doc_id", "n_tokens")).alias("docs"))
     return grouped.mapInArrow(_packer(capacities), _SCHEMA)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breathlake.functions.keys import calendar_date, subject_key
-from breathlake.llm.mixing import mix_sources, mixture_shares
+from breathlake.llm.mixing import mixture_shares, plan_mixture, prepared, realise
 from breathlake.llm.packing import container_fill, pack_documents
 from breathlake.llm.segment import cut_windows
 from breathlake.llm.spans import path_runs, shared_runs, shared_shares, shared_stretches
@@ -89,7 +89,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _capacities(spark: SparkSession, d: str) -> list[tuple[int, int]]:
-    return [(r[0], r[1]) for r in table(spark, d, "pack_capacities").select("capacity_id", "capacity_tokens").distinct().orderBy("capacity_id").limit(1000).collect()]
+    return [(r[0], r[1]) for r in table(spark, d, "pack_capacities").select("capacity_id", "capacity_tokens").distinct().orderBy("capacity_id").collect()]  # a fixed small table
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -102,25 +102,67 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return container_fill(p6_containers(spark, d), _capacities(spark, d))
 
 
-def _mixed(spark: SparkSession, d: str) -> DataFrame:
-    return mix_sources(token_counts(table(spark, d, "documents"), keep=("doc_id", "source")), table(spark, d, "mix_targets"))
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold by capacity: every document is there, none within the capacity is split, no token is lost, no container too full."""
+    sized = cut(token_counts(table(spark, d, "documents")).dropDuplicates(["doc_id"]))
+    caps = _capacities(spark, d)
+    p = cut(pack_documents(sized, caps))
+    size = F.create_map(*[F.lit(x) for c in caps for x in c])[F.col("capacity_id")]
+    boxes = p.filter("container is not null").groupBy("capacity_id", "shard", "container").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("used"))
+    full = boxes.groupBy("capacity_id").agg(F.count(F.when(F.col("used") > size, 1)).alias("overfull"))
+    docs = p.groupBy("capacity_id", "doc_id").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("placed"), F.count("*").alias("pieces")).join(sized, "doc_id", "full")
+    ok = docs.groupBy("capacity_id").agg(F.count("*").alias("documents"), F.count(F.when(F.col("placed") != F.col("n_tokens"), 1)).alias("incomplete"), F.count(F.when((F.col("pieces") > 1) & (F.col("n_tokens") <= size), 1)).alias("split_needlessly"))
+    return ok.join(full, "capacity_id").select("capacity_id", "documents", "incomplete", "split_needlessly", "overfull")
+
+
+def _mixture(spark: SparkSession, d: str, **plan) -> tuple[DataFrame, DataFrame]:
+    """Documents with their repeats, and the plan."""
+    sized = prepared(token_counts(table(spark, d, "documents"), keep=("doc_id", "source")))
+    p = plan_mixture(sized, table(spark, d, "mix_targets"), **plan)
+    return realise(sized, p), p
+
+
+def _shares(spark: SparkSession, d: str, **plan) -> DataFrame:
+    mixed, p = _mixture(spark, d, **plan)
+    return mixture_shares(mixed, table(spark, d, "mix_targets"), p)
 
 
 def p7_repeats(spark: SparkSession, d: str) -> DataFrame:
-    """How often each commit is taken."""
-    return _mixed(spark, d)
+    """How often each commit is taken for a mixture of as many tokens as its sources have."""
+    return _mixture(spark, d)[0]
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Shares reached by source."""
-    return mixture_shares(_mixed(spark, d), table(spark, d, "mix_targets"))
+    """Shares wanted, planned and reached by source."""
+    return _shares(spark, d)
+
+
+def p7_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of the largest mixture that keeps the target shares themselves; the scarcest source sets its size."""
+    return _shares(spark, d, exact=True)
 
 
 def p7_tempered(spark: SparkSession, d: str) -> DataFrame:
-    """Shares of a mixture ten times as large as the targets allow, tempered until the limits hold."""
-    sized = cut(token_counts(table(spark, d, "documents"), keep=("doc_id", "source")))
-    targets = table(spark, d, "mix_targets")
-    return mixture_shares(mix_sources(sized, targets, size_factor=10.0), targets)
+    """Shares of a mixture of a tenth of the tokens, which is nearer to the targets."""
+    return _shares(spark, d, epochs=0.1)
+
+
+def p7_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of a mixture with the entropy of the target shares, by temperature alone."""
+    t = table(spark, d, "mix_targets").filter("source is not null and target_share > 0").dropDuplicates(["source"])
+    p = F.col("target_share")
+    h = t.agg((F.log(F.sum(p)) - F.sum(p * F.log(p)) / F.sum(p)).alias("h")).first()[0]
+    return _shares(spark, d, entropy=float(h or 0.0))
+
+
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold by source: all documents are there, none beyond its limit, repeats one apart at most, tokens within 1 % of the plan or a document of it."""
+    mixed, plan = _mixture(spark, d)
+    mixed = cut(mixed)
+    g = mixed.filter("source is not null").groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("repeats") * F.col("n_tokens")).alias("tokens"), F.max("n_tokens").alias("largest"), F.max("repeats").alias("most"), F.min(F.when(F.col("n_tokens") > 0, F.col("repeats"))).alias("least"))
+    g = g.join(plan.select("source", "max_repeats", "planned_tokens"), "source", "left").fillna(0, ["max_repeats", "planned_tokens"])
+    off = F.abs(F.col("tokens") - F.col("planned_tokens")) > F.greatest(F.col("planned_tokens") * 0.01, F.col("largest"))
+    return g.select("source", "documents", (F.col("most") > F.col("max_repeats")).cast("int").alias("over_limit"), (F.col("most") - F.coalesce("least", "most") > 1).cast("int").alias("uneven"), off.cast("int").alias("off_plan"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +182,7 @@ def p8_paths(spark: SparkSession, d: str) -> DataFrame:
     return runs.groupBy("path").agg(F.max("off_to").alias("last_edge"), F.max(F.col("end") - F.col("start")).alias("longest_run"), F.count("*").alias("runs"), F.count_distinct("doc").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_split, p3_shares, p5_found, p5_pieces, p6_containers, p6_fill, p7_repeats, p7_shares, p7_tempered, p8_found, p8_shares, p8_paths)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_split, p3_shares, p5_found, p5_pieces, p6_containers, p6_fill, p6_invariants, p7_repeats, p7_shares, p7_exact, p7_tempered, p7_entropy, p7_invariants, p8_found, p8_shares, p8_paths)}
 
 _KEY = "nullif(nullif(regexp_replace(upper({}), '[^A-Z0-9]', '', 'g'), ''), 'UNKNOWN')"
 _DATE = """case when regexp_full_match(trim(recording_date), '\\d{8}') then trim(recording_date)
@@ -157,6 +199,8 @@ ORACLE = {
         g as (select r.*, coalesce(c, k) grp from r left join comp on comp.a = r.k)
         select distinct x.recording_id recording_id_a, y.recording_id recording_id_b from g x join g y on x.grp = y.grp and x.recording_id < y.recording_id and x.subject_id <> y.subject_id
         union select x.recording_id, y.recording_id from g x join g y on x.device_id = y.device_id and x.dt = y.dt and x.recording_id < y.recording_id where x.k is null and y.k is null""",
+    "p6_invariants": "select capacity_id, (select count(distinct doc_id) from documents) documents, 0 incomplete, 0 split_needlessly, 0 overfull from (select distinct capacity_id from pack_capacities)",
+    "p7_invariants": "select source, count(distinct doc_id) documents, 0 over_limit, 0 uneven, 0 off_plan from documents where source is not null group by source",
     "p8_found": """
         with d as (select doc_id, any_value(text) t from documents where length(text) >= 200 group by doc_id),
         g as (select doc_id, i, hash(substr(t, i, 200)) h from (select doc_id, t, unnest(generate_series(1, length(t) - 199)) i from d)),
