@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from breathlake.functions.keys import calendar_date, subject_key
@@ -60,13 +60,15 @@ def p3_split(spark: SparkSession, d: str) -> DataFrame:
     links = cut(r.unionByName(named).unionByName(alone))
     labels = propagate_labels(_links(spark, d, links))
     groups = cut(links.join(labels, "entity").groupBy("record").agg(F.min("label").alias("group")))
-    c = table(spark, d, "clinical_labels").select(_person("subject_id").alias("entity"), "recovery").dropna()
-    outcome = c.join(labels, "entity").groupBy(F.col("label").alias("group")).agg(F.max("recovery").cast("string").alias("stratum"))
-    sizes = w.groupBy("record").agg(F.count("*").alias("n")).join(groups, "record").groupBy("group").agg(F.sum("n").alias("n"))
-    members = sizes.join(outcome, "group", "left").select("group", "stratum", "n")
+    c = table(spark, d, "clinical_labels").select(_person("subject_id").alias("entity"), "recovery", F.struct("assessed_at", "label_id").alias("at")).dropna(subset=["entity", "recovery"])
+    outcome = c.groupBy("entity").agg(F.max_by("recovery", "at").cast("string").alias("recovery"))
+    # each window has the outcome of its own person, so a group of several persons may have several
+    own = r.groupBy("record").agg(F.min("entity").alias("named"))
+    w = w.join(groups, "record").join(own, "record", "left").withColumn("entity", F.coalesce("person", "named")).join(outcome, "entity", "left")
+    w = cut(w.select("window_id", "recording_id", "group", "recovery"))
+    members = w.groupBy("group", F.col("recovery").alias("stratum")).agg(F.count("*").alias("n"))
     targets = [(t["split_name"], t["target_share"]) for t in table(spark, d, "split_targets").orderBy("split_name").collect()]  # as many as splits
-    split = assign_groups(members, targets).join(groups, "group").join(outcome, "group", "left")
-    return w.join(split, "record").select("window_id", "recording_id", "group", F.col("stratum").alias("recovery"), "split")
+    return w.join(assign_groups(members, targets), "group")
 
 
 def p3_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -78,6 +80,16 @@ def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     return t.join(by, "split", "left").withColumn("share", F.coalesce("windows", F.lit(0)) / F.lit(float(n or 1)))
 
 
+def p3_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold: every window has its split, no group and no pair of ``p3_found`` has two."""
+    w = cut(p3_split(spark, d))
+    torn = w.groupBy("group").agg(F.count_distinct("split").alias("n")).filter("n > 1").agg(F.count("*").alias("groups_apart"))
+    split = w.groupBy("recording_id").agg(F.min("split").alias("s"), F.max("split").alias("t"))
+    a, b = (split.select(F.col("recording_id").alias(f"recording_id_{x}"), F.col("s").alias(f"s_{x}"), F.col("t").alias(f"t_{x}")) for x in "ab")
+    apart = p3_found(spark, d).join(a, "recording_id_a").join(b, "recording_id_b").filter("s_a <> t_a or s_b <> t_b or s_a <> s_b").agg(F.count("*").alias("pairs_apart"))
+    return w.agg(F.count("*").alias("windows"), F.count(F.when(F.col("split").isNull(), 1)).alias("without_split")).join(torn, F.lit(True)).join(apart, F.lit(True))  # one row each
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of the windows that are longer than their configuration allows."""
     return cut_windows(table(spark, d, "signal_windows"), table(spark, d, "window_configs"))
@@ -88,6 +100,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).filter("piece = 0").select("window_id")
 
 
+def p5_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of each cut window: no piece too long, overlaps as configured, nothing left out."""
+    p = p5_pieces(spark, d)
+    w = table(spark, d, "signal_windows").dropDuplicates(["window_id"]).select("window_id", "config_id", "sampling_rate", F.col("start_idx").alias("at"))
+    p = p.join(w, "window_id").join(table(spark, d, "window_configs").select("config_id", "window_size", "overlap"), "config_id")
+    after = F.lag("end_idx").over(Window.partitionBy("window_id").orderBy("piece"))
+    p = p.withColumn("shared", after - F.col("start_idx"))
+    long = F.col("end_idx") - F.col("start_idx") > F.col("window_size") * F.col("sampling_rate") + 1e-6
+    other = (F.col("piece") > 0) & (F.abs(F.col("shared") - F.col("overlap") * F.col("sampling_rate")) > 0.5)
+    missing = (F.col("piece") == 0) & (F.col("start_idx") != F.col("at"))
+    n = lambda c: F.count(F.when(c, 1))
+    return p.groupBy("window_id").agg(n(long).alias("too_long"), n(other).alias("other_overlap"), n(missing).alias("late_start"), (F.max("pieces") - F.count("*")).alias("missing_pieces"))
+
+
 def _capacities(spark: SparkSession, d: str) -> list[tuple[int, int]]:
     return [(r[0], r[1]) for r in table(spark, d, "pack_capacities").select("capacity_id", "capacity_tokens").distinct().orderBy("capacity_id").collect()]  # a fixed small table
 
@@ -115,10 +141,14 @@ def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
     return ok.join(full, "capacity_id").select("capacity_id", "documents", "incomplete", "split_needlessly", "overfull")
 
 
-def _mixture(spark: SparkSession, d: str, **plan) -> tuple[DataFrame, DataFrame]:
+#: Size of the mixture in tokens of its sources. Larger ones lie farther from the targets: some sources may not repeat.
+EPOCHS = 0.25
+
+
+def _mixture(spark: SparkSession, d: str, epochs: float = EPOCHS, **plan) -> tuple[DataFrame, DataFrame]:
     """Documents with their repeats, and the plan."""
     sized = prepared(token_counts(table(spark, d, "documents"), keep=("doc_id", "source")))
-    p = plan_mixture(sized, table(spark, d, "mix_targets"), **plan)
+    p = plan_mixture(sized, table(spark, d, "mix_targets"), epochs, **plan)
     return realise(sized, p), p
 
 
@@ -128,7 +158,7 @@ def _shares(spark: SparkSession, d: str, **plan) -> DataFrame:
 
 
 def p7_repeats(spark: SparkSession, d: str) -> DataFrame:
-    """How often each commit is taken for a mixture of as many tokens as its sources have."""
+    """How often each commit is taken for a mixture of ``EPOCHS`` times the tokens of its sources."""
     return _mixture(spark, d)[0]
 
 
@@ -182,7 +212,7 @@ def p8_paths(spark: SparkSession, d: str) -> DataFrame:
     return runs.groupBy("path").agg(F.max("off_to").alias("last_edge"), F.max(F.col("end") - F.col("start")).alias("longest_run"), F.count("*").alias("runs"), F.count_distinct("doc").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_split, p3_shares, p5_found, p5_pieces, p6_containers, p6_fill, p6_invariants, p7_repeats, p7_shares, p7_exact, p7_tempered, p7_entropy, p7_invariants, p8_found, p8_shares, p8_paths)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_split, p3_shares, p3_invariants, p5_found, p5_pieces, p5_invariants, p6_containers, p6_fill, p6_invariants, p7_repeats, p7_shares, p7_exact, p7_tempered, p7_entropy, p7_invariants, p8_found, p8_shares, p8_paths)}
 
 _KEY = "nullif(nullif(regexp_replace(upper({}), '[^A-Z0-9]', '', 'g'), ''), 'UNKNOWN')"
 _DATE = """case when regexp_full_match(trim(recording_date), '\\d{8}') then trim(recording_date)
@@ -199,6 +229,7 @@ ORACLE = {
         g as (select r.*, coalesce(c, k) grp from r left join comp on comp.a = r.k)
         select distinct x.recording_id recording_id_a, y.recording_id recording_id_b from g x join g y on x.grp = y.grp and x.recording_id < y.recording_id and x.subject_id <> y.subject_id
         union select x.recording_id, y.recording_id from g x join g y on x.device_id = y.device_id and x.dt = y.dt and x.recording_id < y.recording_id where x.k is null and y.k is null""",
+    "p3_invariants": "select count(distinct window_id) windows, 0 without_split, 0 groups_apart, 0 pairs_apart from signal_windows",
     "p6_invariants": "select capacity_id, (select count(distinct doc_id) from documents) documents, 0 incomplete, 0 split_needlessly, 0 overfull from (select distinct capacity_id from pack_capacities)",
     "p7_invariants": "select source, count(distinct doc_id) documents, 0 over_limit, 0 uneven, 0 off_plan from documents where source is not null group by source",
     "p8_found": """
@@ -211,4 +242,7 @@ ORACLE = {
     "p5_found": """
         select distinct window_id from signal_windows join window_configs using (config_id)
         where coalesce(end_time - start_time, len(window_data) / sampling_rate) > window_size + 0.01 and window_size > 0 and overlap < window_size""",
-}
+
+    "p5_invariants": """
+        select distinct window_id, 0 too_long, 0 other_overlap, 0 late_start, 0 missing_pieces from signal_windows join window_configs using (config_id)
+        where coalesce(end_time - start_time, len(window_data) / sampling_rate) > window_size + 0.01 and window_size > 0 and overlap < window_size""",}

@@ -42,18 +42,27 @@ def words(x: np.ndarray, levels: int) -> np.ndarray:
     return out
 
 
+#: Gaps compared at once, so that the counts of words take the same memory for an item of any length.
+CHUNK = 1 << 14
+
+
 def cohesion(w: np.ndarray, vocabulary: int, block: int) -> np.ndarray:
     """Cosine of the word counts of the ``block`` samples before and after each gap 1..n-1."""
     n = len(w)
-    hot = np.zeros((n + 1, vocabulary))
-    seen = np.flatnonzero(w >= 0)
-    hot[seen + 1, w[seen]] = 1
-    c = np.cumsum(hot, axis=0)
-    g = np.arange(1, n)
-    left = c[g] - c[np.maximum(g - block, 0)]
-    right = c[np.minimum(g + block, n)] - c[g]
-    norm = np.sqrt((left**2).sum(1) * (right**2).sum(1))
-    return np.divide((left * right).sum(1), norm, out=np.zeros(n - 1), where=norm > 0)
+    out = np.zeros(max(0, n - 1))
+    for first in range(1, n, CHUNK):
+        g = np.arange(first, min(first + CHUNK, n))
+        lo, hi = max(0, first - block), min(n, int(g[-1]) + block)
+        part = w[lo:hi]
+        hot = np.zeros((len(part) + 1, vocabulary), np.int32)
+        seen = np.flatnonzero(part >= 0)
+        hot[seen + 1, part[seen]] = 1
+        c = np.cumsum(hot, axis=0, dtype=np.int32)
+        left = (c[g - lo] - c[np.maximum(g - block, 0) - lo]).astype(float)
+        right = (c[np.minimum(g + block, n) - lo] - c[g - lo]).astype(float)
+        norm = np.sqrt((left**2).sum(1) * (right**2).sum(1))
+        out[g - 1] = np.divide((left * right).sum(1), norm, out=np.zeros(len(g)), where=norm > 0)
+    return out
 
 
 def depths(sim: np.ndarray) -> np.ndarray:
@@ -115,10 +124,14 @@ def _cutter(rules: CutRules):
                 size, overlap = int(g["window_size"].as_py() * rate + 1e-6), round(g["overlap"].as_py() * rate)
                 pieces = cut_points(x, n, max(1, size), min(overlap, max(0, size - 1)), rate, rules)
                 for k, (a, b, how) in enumerate(pieces):
-                    data = pa.array(x[a:b], from_pandas=True).to_pylist() if raw is not None else None
+                    data = pa.array(x[a:b], from_pandas=True) if raw is not None else None
                     for col, v in zip(out, (g["window_id"].as_py(), k, len(pieces), start + a, start + b, (start + a) / rate, (start + b) / rate, how, data)):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, _ARROW)], schema=_ARROW)
+            pieces = out[-1]
+            ends = np.cumsum([0, *(0 if v is None else len(v) for v in pieces)])
+            values = pa.concat_arrays([pa.array([], pa.float64()), *(v for v in pieces if v is not None)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([v is None for v in pieces], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*[pa.array(v, type=f.type) for v, f in zip(out[:-1], _ARROW)], lists], schema=_ARROW)
 
     return run
 

@@ -2,114 +2,108 @@
 
 Records and the entities they name form a bipartite graph. The smallest label
 reaches every node of a component by label propagation in Spark joins; whole
-components are then assigned to splits by stratum so that shares and label
-distributions stay near their targets.
+components are then assigned to splits so that shares and label distributions
+stay near their targets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breathlake.session import cut
 
-#: Components of at least this share of all records are placed one by one; there are at most 1 / BIG of them.
-BIG = 0.002
-#: Hash ranges of the small components of one stratum.
-RANGES = 4096
-#: Labels whose distribution can be kept.
-MAX_STRATA = 1000
+#: Links of one entity that meet in one join key; an entity with more is split into parts.
+PART_LINKS = 1_000_000
+#: Bundles in which groups are placed: each holds the groups of one hash value, whole.
+BUNDLES = 4096
+#: Labels that are told apart in keeping the distribution; if there are more, they share this many pools by hash.
+MAX_STRATA = 256
 
 
-def propagate_labels(links: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _parted(links: DataFrame, most: int) -> DataFrame:
+    """``record, entity, part``: entities of more than ``most`` links in parts, which a record of their own ties to part 0."""
+    links = links.select(F.concat(F.lit("r"), F.col("record").cast("string")).alias("record"), "entity")
+    hot = cut(links.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("entity", F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    if hot.isEmpty():
+        return links.withColumn("part", F.lit(0))
+    d = links.join(hot, "entity", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("record"), F.col("parts")), F.lit(0)).cast("int"))
+    tie = hot.select(F.concat(F.lit("e"), F.col("entity").cast("string")).alias("record"), "entity", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return d.select("record", "entity", "part").unionByName(tie)
+
+
+def propagate_labels(links: DataFrame, part_links: int = PART_LINKS) -> DataFrame:
     """``entity, label``: the smallest entity of each connected component.
 
     ``links(record, entity)`` is the bipartite graph; repeated links count once
     and null ends are ignored. In each round a record takes the least label of
     its entities and an entity the least label of its records; then each label
     is replaced by the label of the entity it names, which halves long chains.
-    Both directions aggregate before they join, so one entity may hold any
-    share of the links. Rounds end when no label changes.
+    One entity may hold any share of the links: beyond ``part_links`` it is
+    split into parts tied to each other, so no join key has more rows. A record
+    names few entities. Rounds end when no label changes, which they must,
+    since labels only get smaller.
     """
-    links = cut(links.dropna().distinct())
-    labels = cut(links.select("entity", F.col("entity").alias("label")).distinct())
-    for _ in range(max_rounds):
-        seen = links.join(labels, "entity").groupBy("record").agg(F.min("label").alias("label"))
-        step = links.join(seen, "record").groupBy("entity").agg(F.min("label").alias("label"))
-        jump = step.select(F.col("entity").alias("label"), F.col("label").alias("far"))
-        step = step.join(jump, "label", "left").select("entity", F.least("label", F.coalesce("far", "label")).alias("label"))
-        step = cut(step.join(labels.withColumnRenamed("label", "old"), "entity").select("entity", "label", (F.col("label") != F.col("old")).alias("moved")))
-        labels = step.select("entity", "label")
+    links = cut(_parted(cut(links.dropna().distinct()), part_links))
+    node = ["entity", "part"]
+    labels = cut(links.select(*node, F.col("entity").alias("label")).distinct())
+    while True:
+        seen = links.join(labels, node).groupBy("record").agg(F.min("label").alias("label"))
+        step = links.join(seen, "record").groupBy(*node).agg(F.min("label").alias("label"))
+        jump = step.filter("part = 0").select(F.col("entity").alias("label"), F.col("label").alias("far"))
+        step = step.join(jump, "label", "left").select(*node, F.least("label", F.coalesce("far", "label")).alias("label"))
+        step = cut(step.join(labels.withColumnRenamed("label", "old"), node).select(*node, "label", (F.col("label") != F.col("old")).alias("moved")))
+        labels = step.select(*node, "label")
         if step.filter("moved").isEmpty():
-            return labels
-    raise ValueError(f"labels still change after {max_rounds} rounds")
+            return labels.filter("part = 0").select("entity", "label")
 
 
-def assign_groups(members: DataFrame, targets: list[tuple[str, float]], seed: int = 17) -> DataFrame:
+def assign_groups(members: DataFrame, targets: list[tuple[str, float]], seed: int = 17, bundles: int = BUNDLES) -> DataFrame:
     """``group, split`` for whole groups, near the target shares in every stratum.
 
     ``members(group, stratum, n)`` counts the records of a group by the label
-    whose distribution is to be kept (null is a label of its own). Groups of at
-    least ``BIG`` of all records, at most ``1 / BIG`` of them, are placed on
-    the driver, largest first, each where the summed squared deviation of
-    stratum shares from their targets grows least. Every other group takes the stratum of
-    most of its records; within a stratum groups lie in hash order, in
-    ``RANGES`` ranges, and the ranges are dealt so that each split reaches what
-    the big groups left over. A target of zero gets nothing; shares are
-    normalised to one.
+    whose distribution is to be kept; a group may have several, and null is a
+    label of its own. Groups fall into ``bundles`` by hash, large and small
+    alike, and the bundles are placed largest first, each in the split where
+    the summed squared deviation of stratum shares from their targets grows
+    least. With fewer groups than bundles most stand alone. A target of zero
+    gets nothing; shares are normalised to one. Only the bundles' counts by
+    stratum come to the driver, at most ``bundles x MAX_STRATA``.
     """
     spark = members.sparkSession
+    group_type = dict(members.dtypes)["group"]
     total_share = sum(s for _, s in targets)
     shares = [(n, s / total_share) for n, s in targets]
-    members = cut(members.groupBy("group", F.coalesce("stratum", F.lit("")).alias("stratum")).agg(F.sum("n").alias("n")))
-    strata = {r["stratum"]: r["n"] for r in members.groupBy("stratum").agg(F.sum("n").alias("n")).limit(MAX_STRATA + 1).collect()}
-    if len(strata) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} labels; bin them first")
-    total = sum(strata.values())
-    if not total:
-        return spark.createDataFrame([], f"group {dict(members.dtypes)['group']}, split string")
-    sizes = members.groupBy("group").agg(F.sum("n").alias("size"), F.max_by("stratum", F.struct("n", "stratum")).alias("stratum"))
-    sizes = cut(sizes)
-    big = sizes.filter(F.col("size") >= BIG * total)
-    parts = members.join(F.broadcast(big.select("group")), "group", "left_semi").collect()  # at most 1 / BIG groups
-    held: dict = {}
-    for r in parts:
-        held.setdefault(r["group"], {})[r["stratum"]] = r["n"]
-    whole = strata | {None: total}
+    stratum = F.coalesce(F.col("stratum").cast("string"), F.lit(""))
+    members = members.select("group", stratum.alias("stratum"), "n", F.pmod(F.xxhash64("group", F.lit(seed)), F.lit(bundles)).cast("int").alias("bundle"))
+    members = cut(members.groupBy("group", "bundle", "stratum").agg(F.sum("n").alias("n")))
+    if members.select("stratum").distinct().limit(MAX_STRATA + 1).count() > MAX_STRATA:
+        members = members.withColumn("stratum", F.pmod(F.xxhash64("stratum"), F.lit(MAX_STRATA)).cast("string"))
+    held: dict[int, dict] = {}
+    for r in members.groupBy("bundle", "stratum").agg(F.sum("n").alias("n")).collect():
+        held.setdefault(r["bundle"], {})[r["stratum"]] = r["n"]
+    whole: dict = {None: 0}  # all strata together weigh as much as each by itself
+    for by in held.values():
+        for s, n in by.items():
+            whole[s] = whole.get(s, 0) + n
+            whole[None] += n
+    if not whole[None]:
+        return spark.createDataFrame([], f"group {group_type}, split string")
     got = {n: dict.fromkeys(whole, 0) for n, _ in shares}
     placed = []
-    for g, by in sorted(held.items(), key=lambda x: (-sum(x[1].values()), x[0])):
-        by = by | {None: sum(by.values())}  # all strata together count as one more
+    for b, by in sorted(held.items(), key=lambda x: (-sum(x[1].values()), x[0])):
+        by = by | {None: sum(by.values())}
 
         def cost(name: str, share: float, by=by) -> float:
             # growth of (held - target)^2 / target, but for what is the same for every split
-            return sum(((got[name][s] + n) ** 2 - got[name][s] ** 2) / (share * whole[s]) - 2 * n / whole[s] for s, n in by.items())
+            return sum((len(whole) - 1 if s is None else 1) * (((got[name][s] + n) ** 2 - got[name][s] ** 2) / (share * whole[s]) - 2 * n / whole[s]) for s, n in by.items() if n)
 
         best = min(((cost(n, s), n) for n, s in shares if s > 0))[1]
         for s, n in by.items():
             got[best][s] += n
-        placed.append((g, best))
-    group_type = dict(members.dtypes)["group"]
-    chosen = spark.createDataFrame(placed, f"group {group_type}, split string")
-    small = sizes.join(F.broadcast(chosen.select("group")), "group", "left_anti")
-    small = small.withColumn("range", F.pmod(F.xxhash64("group", F.lit(seed)), F.lit(RANGES)))
-    ranges = small.groupBy("stratum", "range").agg(F.sum("size").alias("n"))  # strata x RANGES rows
-    w = Window.partitionBy("stratum").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    all_n = F.sum("n").over(Window.partitionBy("stratum"))
-    ranges = ranges.select("stratum", "range", ((F.coalesce(F.sum("n").over(w), F.lit(0)) + F.col("n") / 2) / all_n).alias("at"))
-    bounds = []
-    for s, n in strata.items():
-        need = [max(0.0, share * n - got[name][s]) for name, share in shares]
-        if not sum(need):
-            need = [share for _, share in shares]
-        edge = 0.0
-        for (name, _), x in zip(shares, need):
-            bounds.append((s, name, edge, edge + x / sum(need)))
-            edge += x / sum(need)
-        bounds[-1] = (*bounds[-1][:3], float("inf"))
-    deal = spark.createDataFrame(bounds, "stratum string, split string, a double, b double")
-    dealt = ranges.join(F.broadcast(deal), "stratum").filter((F.col("at") >= F.col("a")) & (F.col("at") < F.col("b"))).select("stratum", "range", "split")
-    return small.join(dealt, ["stratum", "range"]).select("group", "split").unionByName(chosen)
+        placed.append((b, best))
+    chosen = spark.createDataFrame(placed, "bundle int, split string")
+    return members.select("group", "bundle").distinct().join(F.broadcast(chosen), "bundle").select("group", "split")  # at most ``bundles`` rows
 
 
 def forced_pairs(records: DataFrame) -> DataFrame:

@@ -35,6 +35,8 @@ def test_labels_are_the_components(spark):
         got.setdefault(x.label, set()).add(x.entity)
         assert x.label <= x.entity
     assert {frozenset(v) for v in got.values()} == components(links)
+    parted = propagate_labels(spark.createDataFrame(links, "record string, entity string"), part_links=16)
+    assert {(x.entity, x.label) for x in parted.collect()} == {(e, k) for k, v in got.items() for e in v}
     assert propagate_labels(spark.createDataFrame([], "record string, entity string")).count() == 0
 
 
@@ -59,6 +61,16 @@ def test_shares_and_strata_are_met_and_groups_stay_whole(spark):
     assert {x.split for x in assign_groups(members, [("all", 1.0), ("none", 0.0)]).collect()} == {"all"}
 
 
+def test_every_group_is_placed_by_deviation_and_many_labels_are_pooled(spark):
+    rows = [(f"g{i}", str(i % 600), 1 + i % 5) for i in range(3000)] + [("hot", None, 4000), ("hot", "7", 10)]
+    members = spark.createDataFrame(rows, "group string, stratum string, n long")
+    for bundles in (7, 4096):
+        got = {x.group: x.split for x in assign_groups(members, [("train", 0.6), ("test", 0.4)], bundles=bundles).collect()}
+        assert len(got) == 3001
+        share = sum(n for g, _, n in rows if got[g] == "train") / sum(n for _, _, n in rows)
+        assert abs(share - 0.6) < (0.1 if bundles == 7 else 0.01)
+
+
 def test_pairs_by_written_form(spark):
     rows = [("p", "A", 1), ("p", "A", 2), ("p", "a", 3), ("q", "B", 4), ("q", "b ", 2), ("q", "B", 4)]
     got = {(r.a, r.b) for r in forced_pairs(spark.createDataFrame(rows, "group string, written string, id long")).collect()}
