@@ -60,8 +60,8 @@ def p3_split(spark: SparkSession, d: str) -> DataFrame:
     links = cut(r.unionByName(named).unionByName(alone))
     labels = propagate_labels(_links(spark, d, links))
     groups = cut(links.join(labels, "entity").groupBy("record").agg(F.min("label").alias("group")))
-    c = table(spark, d, "clinical_labels").select(_person("subject_id").alias("entity"), "recovery", F.struct("assessed_at", "label_id").alias("at")).dropna(subset=["entity", "recovery"])
-    outcome = c.groupBy("entity").agg(F.max_by("recovery", "at").cast("string").alias("recovery"))
+    c = table(spark, d, "clinical_labels").select(_person("subject_id").alias("entity"), "recovery").dropna()
+    outcome = c.groupBy("entity").agg(F.max("recovery").cast("string").alias("recovery"))
     # each window has the outcome of its own person, so a group of several persons may have several
     own = r.groupBy("record").agg(F.min("entity").alias("named"))
     w = w.join(groups, "record").join(own, "record", "left").withColumn("entity", F.coalesce("person", "named")).join(outcome, "entity", "left")
