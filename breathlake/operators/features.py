@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from breathlake.operators import quantiles as qt
+
 #: Key and bookkeeping columns that are never features, whatever their type.
 METADATA = ("subject_id", "recording_id", "recording_date", "window_index", "window_id", "feature_id", "time", "time_s", "label", "n_windows", "n_valid_windows")
 
@@ -28,21 +30,24 @@ def missing_as_null(df: DataFrame, columns: Iterable[str], non_negative: bool =
     return df.select(*[clean(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def _percentile(c: str, p: float) -> Column:
-    return F.percentile(c, F.lit(p))
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def _quantile(c: str, i: int) -> Column:
+    return F.get(F.percentile(c, F.array(*[F.lit(p) for p in QUARTILES])), F.lit(i))
 
 
-#: The eleven built-in aggregations; exact percentiles with linear interpolation.
+#: The eleven built-in aggregations; quantiles are exact, with linear interpolation.
 AGGREGATES: dict[str, Callable[[str], Column]] = {
     "mean": F.avg,
     "std": F.stddev_pop,
     "min": F.min,
     "max": F.max,
-    "median": lambda c: _percentile(c, 0.5),
+    "median": lambda c: _quantile(c, 1),
     "sum": F.sum,
-    "q25": lambda c: _percentile(c, 0.25),
-    "q75": lambda c: _percentile(c, 0.75),
-    "iqr": lambda c: _percentile(c, 0.75) - _percentile(c, 0.25),
+    "q25": lambda c: _quantile(c, 0),
+    "q75": lambda c: _quantile(c, 2),
+    "iqr": lambda c: _quantile(c, 2) - _quantile(c, 0),
     "range": lambda c: F.max(c) - F.min(c),
     "cv": lambda c: F.try_divide(F.stddev_pop(c), F.avg(c)),
 }
@@ -63,6 +68,14 @@ def aggregate_windows(
         raise ValueError(f"unknown policy {nan_policy}")
     known = AGGREGATES | (custom or {})
     functions = functions or ["mean", "std", "min", "max", "median"]
+    if set(functions) & {"median", "q25", "q75", "iqr"} and (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) > qt.SMALL:
+        # a large group: quartiles by feature from counts, then as if they were columns of the group
+        q = qt.group_quantiles(melt(df, by, features), [*by, "feature"], "value", list(QUARTILES))
+        q = q.groupBy(*by).pivot("feature", features).agg(F.first("q"))
+        q = q.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], *[F.col(f"`{c}`").alias(f"_q_{c}") for c in features])
+        df = df.join(q, [df[c].eqNullSafe(q[f"_by{i}"]) for i, c in enumerate(by)], "left")
+        at = lambda c, i: F.get(F.first(f"_q_{c}"), F.lit(i))
+        known = known | {"median": lambda c: at(c, 1), "q25": lambda c: at(c, 0), "q75": lambda c: at(c, 2), "iqr": lambda c: at(c, 2) - at(c, 0)}
     out = [F.count("*").alias("n_windows")]
     for c in features:
         ok = F.count(c) >= min_valid
@@ -83,10 +96,10 @@ def valid_counts(df: DataFrame, by: list[str], features: list[str]) -> DataFrame
 
 def feature_statistics(df: DataFrame, features: list[str]) -> DataFrame:
     """One row per feature: mean, sample deviation, extremes, median and quartiles."""
-    return melt(df, [], features).groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-        _percentile("value", 0.5).alias("median"), _percentile("value", 0.25).alias("q25"), _percentile("value", 0.75).alias("q75"),
-    )
+    long = melt(df, [], features)
+    m = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    q = qt.group_quantiles(long, ["feature"], "value", list(QUARTILES))
+    return m.join(q, "feature", "left").select("feature", "mean", "std", "min", "max", *[F.get("q", F.lit(i)).alias(n) for i, n in ((1, "median"), (0, "q25"), (2, "q75"))])
 
 
 def melt(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
@@ -115,12 +128,15 @@ def normalize(df: DataFrame, features: list[str], method: str = "zscore") -> Dat
     stats = {
         "zscore": lambda c: (F.avg(c), F.stddev_samp(c)),
         "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)),
-        "robust": lambda c: (_percentile(c, 0.5), _percentile(c, 0.75) - _percentile(c, 0.25) + 1e-8),
+        "robust": None,
     }
     if method not in stats:
         raise ValueError(f"unknown method {method}")
-    aggs = [x.alias(f"{n}{i}") for i, c in enumerate(features) for n, x in zip("ab", stats[method](c))]
-    s = _one_row(df, aggs)
+    if method == "robust":
+        q = qt.column_quantiles(df, features, list(QUARTILES))
+        s = {f"{n}{i}": x for i, c in enumerate(features) for n, x in zip("ab", (q[c][1], q[c][2] - q[c][0] + 1e-8) if c in q else (None, None))}
+    else:
+        s = _one_row(df, [x.alias(f"{n}{i}") for i, c in enumerate(features) for n, x in zip("ab", stats[method](c))])
     lit = lambda v: F.lit(v).cast("double")
     new = {c: F.try_divide(F.col(c) - lit(s[f"a{i}"]), lit(s[f"b{i}"])) for i, c in enumerate(features)}
     return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
@@ -134,8 +150,10 @@ def fill_missing(df: DataFrame, features: list[str], method: str = "mean") -> Da
         return df.fillna(0, features)
     if method not in ("mean", "median"):
         raise ValueError(f"unknown method {method}")
-    f = F.avg if method == "mean" else AGGREGATES["median"]
-    s = _one_row(df, [f(c).alias(c) for c in features])
+    if method == "mean":
+        s = _one_row(df, [F.avg(c).alias(c) for c in features])
+    else:
+        s = dict.fromkeys(features) | {c: q[0] for c, q in qt.column_quantiles(df, features, [0.5]).items()}
     return df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(s[c]).cast("double")).alias(c) if c in s else F.col(c) for c in df.columns])
 
 

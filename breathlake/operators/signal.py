@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from breathlake.operators.quantiles import group_quantiles
 from breathlake.session import cut
 
 #: Consecutive samples that one task orders at a time.
@@ -76,8 +77,10 @@ def robust_threshold(samples: DataFrame, k: float = 10.0) -> DataFrame:
     Median and ``k`` unscaled median distances; mean and ``k`` standard
     deviations where that distance is nearly 0.
     """
-    m = samples.groupBy(KEY).agg(F.percentile("x", F.lit(0.5)).alias("median"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
-    d = samples.select(KEY, "x").dropna().join(m, KEY).groupBy(KEY).agg(F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5)).alias("mad"))
+    m = samples.groupBy(KEY).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+    m = m.join(group_quantiles(samples, [KEY], "x", [0.5]).select(KEY, F.get("q", F.lit(0)).alias("median")), KEY)
+    away = samples.select(KEY, "x").dropna().join(m, KEY).select(KEY, F.abs(F.col("x") - F.col("median")).alias("away"))
+    d = group_quantiles(away, [KEY], "away", [0.5]).select(KEY, F.get("q", F.lit(0)).alias("mad"))
     flat = F.col("mad") < 1e-10
     return m.join(d, KEY).select(KEY, "mad", F.when(flat, F.col("mean")).otherwise(F.col("median")).alias("center"), (F.when(flat, F.col("sd")).otherwise(F.col("mad")) * k).alias("reach"))
 
@@ -106,16 +109,25 @@ def flat_runs(samples: DataFrame, min_s: float = 5.0, below: float = 0.001, bloc
     """
     n = F.floor(F.lit(min_s) * F.col("rate") + 1e-9).cast("bigint")
     s = _with_context(samples.withColumn("w", n).filter("w >= 2"), F.col("w"), block)
-    out = None
-    # the frame's length is a constant of the plan: one window per sampling rate at hand
-    for (w,) in sorted(samples.select(n.alias("w")).distinct().filter("w >= 2").limit(1000).collect()):
-        frame = Window.partitionBy(KEY, "_b").orderBy("idx").rowsBetween(0, w - 1)
-        f = s.filter(F.col("w") == w)
-        whole = (F.count("x").over(frame) == w) & (F.max("idx").over(frame) - F.col("idx") == w - 1)
-        f = f.select(KEY, "idx", "w", "_b", (whole & (F.stddev_pop("x").over(frame) < below)).alias("flat")).filter((F.floor(F.col("idx") / block) == F.col("_b")) & F.col("flat"))
-        out = f if out is None else out.unionByName(f)
-    if out is None:
-        return samples.select(KEY, F.col("idx").alias("start_idx"), F.col("idx").alias("end_idx")).limit(0)
+    # a stretch of w samples is the difference of two running sums; values count from the block's mean, which keeps squares small
+    level = F.avg("x").over(Window.partitionBy(KEY, "_b"))
+    s = s.withColumn("y", F.col("x") - level)
+    run = Window.partitionBy(KEY, "_b").orderBy("idx")
+    sums = [F.sum(F.coalesce(e, F.lit(0.0))).over(run).alias(n) for n, e in (("s1", F.col("y")), ("s2", F.col("y") * F.col("y")))]
+    s = s.select(KEY, "_b", "idx", "w", "y", F.count("y").over(run).alias("c"), F.row_number().over(run).alias("n"), *sums)
+    # the last sample of a stretch meets its first by index
+    last = s.select(KEY, "_b", (F.col("idx") - F.col("w") + 1).alias("idx"), "w", F.struct("c", "n", "s1", "s2").alias("e"))
+    s = s.join(last, [KEY, "_b", "w", "idx"]).filter((F.col("e.n") - F.col("n") == F.col("w") - 1) & F.col("y").isNotNull() & (F.col("e.c") - F.col("c") == F.col("w") - 1))
+    y = F.col("y")
+    mean = (F.col("e.s1") - F.col("s1") + y) / F.col("w")
+    var = (F.col("e.s2") - F.col("s2") + y * y) / F.col("w") - mean * mean
+    loss = 1e-12 * F.col("e.s2")  # differences of sums lose digits
+    s = s.filter(F.floor(F.col("idx") / block) == F.col("_b")).select(KEY, "idx", "w", var.alias("var"), loss.alias("loss")).filter(F.col("var") < below**2 + F.col("loss"))
+    sure = F.col("var") < below**2 - F.col("loss")
+    # stretches too close to the limit are measured again from their samples
+    held = s.filter(~sure).select(KEY, F.col("idx").alias("at"), "w", F.explode(F.sequence("idx", F.col("idx") + F.col("w") - 1)).alias("idx"))
+    again = held.join(samples.select(KEY, "idx", "x"), [KEY, "idx"]).groupBy(KEY, "at", "w").agg(F.stddev_pop("x").alias("sd")).filter(F.col("sd") < below)
+    out = s.filter(sure).select(KEY, "idx", "w").unionByName(again.select(KEY, F.col("at").alias("idx"), "w"))
     starts = islands(out, [KEY, "w"], "idx", block)  # runs of stretch starts cover w - 1 samples more
     ends = starts.select(KEY, "start_idx", (F.col("end_idx") + F.col("w") - 1).alias("end_idx"))
     return merge_runs(ends)

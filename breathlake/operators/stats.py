@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from breathlake.functions import distributions as dist
+from breathlake.operators.quantiles import group_quantiles
 from breathlake.session import cut
 
 #: Ranges of values within which ranks are counted.
@@ -31,10 +32,13 @@ def ranks(long: DataFrame, by: list[str], value: str = "value", ranges: int = RA
     return vc.join(offsets, [*by, "_r"]).select(*by, value, "n", (F.col("_off") + below + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def moments(long: DataFrame) -> DataFrame:
-    """Per feature and label: n, mean, deviations and variance."""
-    return long.filter("value is not null and label is not null").groupBy("feature", "label").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.var_samp("value").alias("var"), F.percentile("value", F.lit(0.5)).alias("median"))
+def moments(long: DataFrame, median: bool = False) -> DataFrame:
+    """Per feature and label: n, mean, deviations and variance, and on request the median."""
+    d = long.filter("value is not null and label is not null")
+    m = d.groupBy("feature", "label").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.var_samp("value").alias("var"))
+    if not median:
+        return m
+    return m.join(group_quantiles(d, ["feature", "label"], "value", [0.5]).select("feature", "label", F.get("q", F.lit(0)).alias("median")), ["feature", "label"])
 
 
 def _two(m: DataFrame, a, b, cols: tuple[str, ...]) -> DataFrame:
@@ -169,7 +173,7 @@ def adjust_p(df: DataFrame, p: str = "p_value", method: str = "fdr_bh", alpha: f
 
 def compare_binary(long: DataFrame, a, b, test: str = "mannwhitney", correction: str | None = "fdr_bh") -> DataFrame:
     """One row per feature: both groups' moments, statistic, p, effect size and correction."""
-    t = _two(moments(long), a, b, ("n", "mean", "std", "median"))
+    t = _two(moments(long, True), a, b, ("n", "mean", "std", "median"))
     if test == "mannwhitney":
         r = mann_whitney(long, a, b).select("feature", "statistic", "p_value", "effect_size")
     elif test == "ttest":

@@ -10,6 +10,7 @@ from breathlake.functions.keys import subject_key
 from breathlake.functions.metrics import METRICS
 from breathlake.operators import features as ft
 from breathlake.operators import ml, select, stats
+from breathlake.operators.quantiles import group_quantiles
 from breathlake.sources.names import date_from_name, subject_from_name
 from breathlake.session import cut, table
 
@@ -152,7 +153,7 @@ def sampling_rate_infer(s, d):
 
     e = table(s, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     dt = with_previous(e, ["user_id"], "t", "event_id", bucket_s=86400.0).select("user_id", (F.col("t") - F.col("prev")).alias("dt"))
-    g = dt.groupBy("user_id").agg(F.percentile("dt", F.lit(0.5)).alias("m"))
+    g = group_quantiles(dt, ["user_id"], "dt", [0.5]).select("user_id", F.get("q", F.lit(0)).alias("m"))
     return g.filter("m > 0").select("user_id", F.round(1 / F.col("m"), 9).alias("sampling_rate"))
 
 
@@ -264,8 +265,9 @@ def select_combined(s, d):
 
 def violin_data(s, d):
     """The shape of each feature in each group, by quantiles."""
-    q = F.percentile("value", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    g = _long(s, d, "sensor").filter("value is not null").groupBy("feature", "label").agg(F.count("*").alias("n"), q.alias("q"))
+    long = _long(s, d, "sensor").filter("value is not null")
+    q = group_quantiles(long, ["feature", "label"], "value", [0.05, 0.25, 0.5, 0.75, 0.95])
+    g = long.groupBy("feature", "label").agg(F.count("*").alias("n")).join(q, ["feature", "label"])
     return rounded(g.select("feature", "label", "n", *[F.get("q", F.lit(i)).alias(f"q{n}") for i, n in enumerate(("05", "25", "50", "75", "95"))]))
 
 
