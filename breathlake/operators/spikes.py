@@ -3,15 +3,16 @@
 A source (one recording, or one phase of one recording's breaths) is judged
 against its own ordinary behaviour. Its baseline is the median and the median
 distance from it. A robust exponentially weighted chart starts there, clips
-each suspected value before it updates mean and scale, and stays within a
-stated distance of the baseline; run-length counters and physical limits add
-frozen and impossible values. What the chart suspects then passes an exact
-check against the baseline.
+each value that it suspects before it updates mean and scale, and follows the
+source from then on; run-length counters and physical limits add frozen and
+impossible values. Only what the chart suspects goes on to an exact check
+against the baseline, so a chart that follows the spikes themselves finds
+fewer of them.
 
 Sources are cut into blocks of bounded length with context on both sides, so
 one source may hold any share of the rows. A source of one block takes its
-baseline inside the block; one of several blocks gets it from an exact
-``percentile`` over Spark's partial aggregates.
+baseline inside the block; one of several blocks gets it from exact quantiles
+that are counted over all its blocks.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from breathlake.operators.quantiles import group_quantiles
 from breathlake.session import cut
 
 #: Samples of a block's core.
@@ -36,24 +38,19 @@ BREATH_BLOCK_S = 3600.0
 class Chart:
     """Parameters of the control chart.
 
-    ``weight`` is that of a new value, ``clip`` the distance in scales to which
-    a value is pulled in before it updates the state, ``limit`` the control
-    limit in scales. Mean and scale stay within ``drift`` baseline scales of
-    the baseline and between a half and ``stretch`` of its scale, so a value
-    farther than ``drift + limit * stretch`` scales is always suspected.
+    ``weight`` is that of a new value, ``limit`` the control limit in scales,
+    ``clip`` the distance in scales to which a suspected value is pulled in
+    before it updates the state. At ``clip`` 1 suspected values leave the scale
+    as it is. The scale never falls below ``floor`` of the baseline's, so a
+    frozen stretch does not make all that follows suspect.
     """
 
     weight: float = 0.02
-    clip: float = 2.0
+    clip: float = 1.0
     limit: float = 3.0
-    drift: float = 2.0
-    stretch: float = 2.0
+    floor: float = 0.5
     warmup: int = 256
 
-    @property
-    def reach(self) -> float:
-        return self.drift + self.limit * self.stretch
-
 
 @dataclass(frozen=True)
 class Limits:
@@ -73,15 +70,14 @@ def chart_suspects(x: np.ndarray, center: np.ndarray, scale: np.ndarray, p: Char
     ok = np.isfinite(xt)
     xt = np.where(ok, xt, 0.0)
     out = np.zeros(xt.shape, bool)
-    m, s = center.copy(), scale.copy()
-    low, high = center - p.drift * scale, center + p.drift * scale
+    m, s, least = center.copy(), scale.copy(), p.floor * scale
     for t in range(len(xt)):
         r = (xt[t] - m) * ok[t]
         a = np.abs(r)
-        np.greater(a, p.limit * s, out=out[t])
-        bound = p.clip * s
-        m = np.clip(m + p.weight * np.clip(r, -bound, bound), low, high)
-        s = np.clip(s + p.weight * ok[t] * (np.minimum(a, bound) - s), 0.5 * scale, p.stretch * scale)
+        far = np.greater(a, p.limit * s, out=out[t])
+        bound = np.where(far, p.clip * s, a)
+        m += p.weight * np.copysign(bound, r)
+        s = np.maximum(s + p.weight * ok[t] * (bound - s), least)
     return out.T
 
 
@@ -254,38 +250,48 @@ def _core_samples(block: int):
 
 
 def _exact_baseline(samples: DataFrame, by: list[str]) -> DataFrame:
-    """Median and median distance from it, by Spark's exact percentile (partial aggregates)."""
-    center = samples.groupBy(*by).agg(F.percentile("x", F.lit(0.5)).alias("center"))
+    """Median and median distance from it, exact for sources of any length."""
+    center = group_quantiles(samples, by, "x", [0.5]).select(*by, F.get("q", F.lit(0)).alias("center"))
     away = samples.join(center, by).select(*by, F.abs(F.col("x") - F.col("center")).alias("x"))
-    return center.join(away.groupBy(*by).agg(F.percentile("x", F.lit(0.5)).alias("scale")), by)
+    return center.join(group_quantiles(away, by, "x", [0.5]).select(*by, F.get("q", F.lit(0)).alias("scale")), by)
+
+
+def _long_recordings(windows: DataFrame, block: int) -> DataFrame:
+    """Recordings whose samples lie in several blocks, from starts and lengths alone."""
+    n = F.size(F.col("window_data"))
+    w = windows.filter("window_id is not null and start_idx is not null and sampling_rate > 0").filter(n > 0)
+    a, b = F.floor(F.col("start_idx") / block), F.floor((F.col("start_idx") + n - 1) / block)
+    return w.groupBy("recording_id").agg(F.min(a).alias("a"), F.max(b).alias("b")).filter("recording_id is not null and a < b").select("recording_id")
 
 
 def signal_spikes(windows: DataFrame, chart: Chart = Chart(), rules: Limits = Limits(), block: int = BLOCK) -> DataFrame:
     """Bad samples of each recording, by block.
 
     Overlapping windows are put together first, each sample once. Null and NaN
-    are no reading. Result: ``recording_id, block, center, scale, readings,
-    suspected, windows, runs``: the bad positions in each window and the bad
-    runs in samples of the recording. Materialised; empty input gives no rows.
+    are no reading. A sample is bad where the chart suspects it and it lies
+    beyond ``rules.far`` scales of the baseline, where it is beyond the
+    physical limit, or in a frozen run. Result: ``recording_id, block, center,
+    scale, readings, suspected, windows, runs``: the bad positions in each
+    window and the bad runs in samples of the recording. Materialised; empty
+    input gives no rows.
     """
-    if chart.reach > rules.far:
-        raise ValueError("the chart must suspect all that the exact rule rejects")
-    blocks = signal_blocks(windows, chart, rules, block)
-    once = cut(blocks.mapInArrow(_scan_blocks(block, chart, rules, given=False), _BLOCK_SCHEMA))
-    several = cut(once.groupBy("recording_id").count().filter("count > 1").select("recording_id"))
+    several = cut(_long_recordings(windows, block))
+    scan = lambda blocks, given: cut(blocks.mapInArrow(_scan_blocks(block, chart, rules, given), _BLOCK_SCHEMA))
     if several.isEmpty():
-        return once
+        return scan(signal_blocks(windows, chart, rules, block), False)
+    short = signal_blocks(windows.join(several, "recording_id", "left_anti"), chart, rules, block)
     long = signal_blocks(windows.join(several, "recording_id", "left_semi"), chart, rules, block)
     base = _exact_baseline(long.mapInArrow(_core_samples(block), "recording_id bigint, x double"), ["recording_id"])
     filled = long.join(base, "recording_id", "left").fillna({"center": 0.0, "scale": 1.0})
-    again = filled.mapInArrow(_scan_blocks(block, chart, rules, given=True), _BLOCK_SCHEMA)
-    return once.join(several, "recording_id", "left_anti").unionByName(cut(again))
+    return scan(short, False).unionByName(scan(filled, True))
 
 
 _BREATH_SCHEMA = "recording_id bigint, phase string, bucket bigint, center double, breaths bigint, suspected bigint, bad array<bigint>"
 _BREATH_ARROW = pa.schema([("recording_id", pa.int64()), ("phase", pa.string()), ("bucket", pa.int64()), ("center", pa.float64()), ("breaths", pa.int64()), ("suspected", pa.int64()), ("bad", pa.list_(pa.int64()))])
 #: Breath sizes are judged on absolute values, whose median distance never exceeds their median.
-BREATH_CHART = Chart(weight=0.05, clip=2.0, limit=2.0, drift=0.5, stretch=1.25, warmup=0)
+BREATH_CHART = Chart(weight=0.05, limit=2.0, warmup=0)
+#: Ids of breaths without start time that are ordered at a time.
+UNTIMED_IDS = 4096
 
 
 def run_mask(v: np.ndarray, length: int) -> np.ndarray:
@@ -330,25 +336,23 @@ def _scan_breaths(p: Chart, rules: Limits, given: bool):
     return scan
 
 
-def breath_spikes(breaths: DataFrame, rules: Limits = Limits(), bucket_s: float = BREATH_BLOCK_S) -> DataFrame:
+def breath_spikes(breaths: DataFrame, rules: Limits = Limits(), bucket_s: float = BREATH_BLOCK_S, chart: Chart = BREATH_CHART) -> DataFrame:
     """Bad peak values of each recording and phase: ``breath_id, recording_id, phase``.
 
     Null and NaN values and breaths without recording are left out, a null
     phase counts as the phase ``""``; then breaths run in order of start time
     (equal times by ``breath_id``). A source longer than one time bucket takes
     its median from an exact percentile over all buckets, and runs of equal
-    values are joined across the buckets' edges. A breath without start time
-    falls into a bucket of its own source before all others.
+    values are joined across the buckets' edges. Breaths without start time
+    come before all others, in order and buckets of their ids.
     """
-    if BREATH_CHART.drift + BREATH_CHART.limit * BREATH_CHART.stretch > rules.breath_far - 1:
-        raise ValueError("the chart must suspect all that the exact rule rejects")
     by = ["recording_id", "phase"]
     rows = breaths.select("recording_id", F.coalesce("phase", F.lit("")).alias("phase"), "breath_id", "start_time", "peak_value")
     rows = rows.dropna(subset=["recording_id", "breath_id", "peak_value"])  # NaN too
-    bucket = F.coalesce(F.floor(F.col("start_time") / bucket_s), F.lit(-(1 << 40)))
+    bucket = F.coalesce(F.floor(F.col("start_time") / bucket_s), F.floor(F.col("breath_id") / UNTIMED_IDS) - F.lit(1 << 60))
     rows = rows.select(*by, bucket.alias("bucket"), F.struct(F.coalesce("start_time", F.lit(0.0)).alias("start_time"), "breath_id", "peak_value").alias("breath"))
     sets = rows.groupBy(*by, "bucket").agg(F.collect_set("breath").alias("breaths"))
-    once = cut(sets.mapInArrow(_scan_breaths(BREATH_CHART, rules, given=False), _BREATH_SCHEMA))
+    once = cut(sets.mapInArrow(_scan_breaths(chart, rules, given=False), _BREATH_SCHEMA))
     bad = once.select(*by, F.explode("bad").alias("breath_id"))
     several = cut(once.groupBy(*by).count().filter("count > 1").select(*by))
     if several.isEmpty():
@@ -356,7 +360,7 @@ def breath_spikes(breaths: DataFrame, rules: Limits = Limits(), bucket_s: float
     long = sets.join(several, by, "left_semi")
     samples = long.select(*by, F.explode("breaths").alias("b")).select(*by, F.abs("b.peak_value").alias("x"))
     keyed = long.join(_exact_baseline(samples, by), by)
-    again = keyed.mapInArrow(_scan_breaths(BREATH_CHART, rules, given=True), _BREATH_SCHEMA).select(*by, F.explode("bad").alias("breath_id"))
+    again = keyed.mapInArrow(_scan_breaths(chart, rules, given=True), _BREATH_SCHEMA).select(*by, F.explode("bad").alias("breath_id"))
     edge_runs = _runs_over_edges(long, by, rules.breath_run)
     rest = bad.join(several, by, "left_anti")
     return rest.unionByName(again.unionByName(edge_runs).distinct())
