@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breathlake.session import cut
 
-#: Copies of a parent side in a salted join; a third of all children may name one parent.
-SALTS = 8
+#: Children of one key that meet in one join key; a key with more is salted.
+SALT_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -37,12 +38,20 @@ class ForeignKey:
     parent_key: tuple[str, ...]
 
 
-def _salted(children: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Spread each key over ``SALTS`` partitions: children by id, parents copied."""
-    return (
-        children.withColumn("_salt", F.pmod(F.xxhash64("ref_id"), F.lit(SALTS)).cast("int")),
-        parents.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))),
-    )
+def _salted(children: DataFrame, parents: DataFrame, keys: list[str], rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_salt``: keys of many children are spread, as widely as they have children, and their parents copied.
+
+    Keys are counted with partial aggregation. Where none is hot, as most
+    often, the salt is 0 everywhere and no parent is copied.
+    """
+    rows = SALT_ROWS if rows is None else rows
+    hot = cut(children.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows).select(*keys, F.ceil(F.col("_n") / rows).cast("int").alias("_salts")))
+    if hot.isEmpty():
+        return children.withColumn("_salt", F.lit(0)), parents.withColumn("_salt", F.lit(0))
+    salts = F.coalesce("_salts", F.lit(1))
+    c = children.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64("ref_id"), salts).cast("int")).drop("_salts")
+    p = parents.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return c, p
 
 
 def _children(entities: dict[str, Entity], fk: ForeignKey) -> DataFrame:
@@ -64,7 +73,7 @@ def direct_orphans(entities: dict[str, Entity], fk: ForeignKey) -> DataFrame:
     keys = [f"_k{i}" for i in range(len(fk.parent_key))]
     life = [F.col(c).alias(a) for c, a in ((p.valid_from, "_from"), (p.valid_to, "_to")) if c]
     parents = p.df.select(*[F.col(c).cast("string").alias(k) for c, k in zip(fk.parent_key, keys)], *life).distinct()
-    c, p_ = _salted(_children(entities, fk), parents)
+    c, p_ = _salted(_children(entities, fk), parents, keys)
     on = [c[k] == p_[k] for k in (*keys, "_salt")]
     if p.valid_from:
         on.append(p_["_from"] <= c["_time"])
@@ -75,14 +84,14 @@ def direct_orphans(entities: dict[str, Entity], fk: ForeignKey) -> DataFrame:
     )
 
 
-def cascade_orphans(entities: dict[str, Entity], keys: list[ForeignKey], max_depth: int = 50) -> DataFrame:
+def cascade_orphans(entities: dict[str, Entity], keys: list[ForeignKey]) -> DataFrame:
     """Direct and inherited orphans of a foreign-key graph, to its fixpoint.
 
     A row is a *direct* orphan for each key whose parent is missing (or was
     deleted, or did not exist yet). A row that names an orphaned record is an
     *inherited* orphan, at the depth of the shortest chain. Each round
     semi-joins the children with the last round's orphans and is checkpointed;
-    rounds end when none is new, so cycles in the graph end too.
+    rounds end when none is new, which they must, so cycles in the graph end too.
 
     Result: ``ref_table, ref_id, period, kind, missing_in, depth``; direct rows
     once for each missing parent table, inherited rows once. Empty tables give
@@ -95,14 +104,14 @@ def cascade_orphans(entities: dict[str, Entity], keys: list[ForeignKey], max_dep
     found = cut(found)
     frontier = found.select("ref_table", "ref_id").distinct()
     tables = {fk.parent for fk in keys} & {fk.child for fk in keys}
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = None
         for fk in (k for k in keys if k.parent in tables):
             p = entities[fk.parent]
             names = [f"_k{i}" for i in range(len(fk.parent_key))]
             bad = p.df.select(F.col(p.id).cast("bigint").alias("ref_id"), *[F.col(c).cast("string").alias(k) for c, k in zip(fk.parent_key, names)])
             bad = bad.join(frontier.filter(F.col("ref_table") == fk.parent).select("ref_id"), "ref_id", "left_semi").select(*names).distinct()
-            c, b = _salted(_children(entities, fk), bad)
+            c, b = _salted(_children(entities, fk), bad, names)
             rows = c.join(b, [*names, "_salt"], "left_semi").select(
                 F.lit(fk.child).alias("ref_table"), "ref_id", "period", F.lit("inherited").alias("kind"), F.lit(fk.parent).alias("missing_in"), F.lit(depth).alias("depth")
             )
@@ -114,7 +123,6 @@ def cascade_orphans(entities: dict[str, Entity], keys: list[ForeignKey], max_dep
         if step.isEmpty():
             return found
         found, frontier = found.unionByName(step), step.select("ref_table", "ref_id")
-    raise ValueError(f"no fixpoint within {max_depth} rounds")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

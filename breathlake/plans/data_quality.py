@@ -36,7 +36,7 @@ def _labels(spark: SparkSession, d: str) -> Entity:
 def _recordings(spark: SparkSession, d: str) -> Entity:
     r = table(spark, d, "recordings").select("recording_id", "uploaded_at", subject_key("subject_id").alias("subject"))
     first = F.struct(F.col("uploaded_at").isNull(), F.col("uploaded_at"), F.col("subject").isNull(), F.col("subject"))
-    return Entity(r.groupBy("recording_id").agg(F.min("uploaded_at").alias("uploaded_at"), F.min_by("subject", first).alias("subject")), "recording_id", "uploaded_at")
+    return Entity(r.groupBy("recording_id").agg(F.min("uploaded_at").alias("uploaded_at"), F.min_by("subject", first).alias("subject")), "recording_id", "uploaded_at", "uploaded_at")
 
 
 def _cascade(spark: SparkSession, d: str, whole: bool) -> DataFrame:
@@ -44,10 +44,13 @@ def _cascade(spark: SparkSession, d: str, whole: bool) -> DataFrame:
     one, rec = ("subject",), ("recording_id",)
     keys = [ForeignKey("recordings", one, "subjects", one), ForeignKey("signal_windows", one, "subjects", one), ForeignKey("signal_windows", rec, "recordings", rec), ForeignKey("clinical_labels", one, "subjects", one)]
     if whole:
+        came = entities["recordings"].df.select("recording_id", "uploaded_at")
         for name, key, time in (("breath_peaks", "breath_id", None), ("quality_issues", "issue_id", "logged_at"), ("window_features", "feature_id", None), ("feature_matrices", "matrix_id", None)):
             extra = ["window_index"] if name == "window_features" else []
             df = table(spark, d, name).select(key, "recording_id", *extra, *([time] if time else [])).dropDuplicates([key])
-            entities[name] = Entity(df, key, time)
+            if not time:  # what is derived from a recording counts by the month the recording came
+                df = df.join(came, "recording_id", "left")
+            entities[name] = Entity(df, key, time or "uploaded_at")
             keys.append(ForeignKey(name, rec, "recordings", rec))
         keys.append(ForeignKey("window_features", ("recording_id", "window_index"), "signal_windows", ("recording_id", "window_index")))
     return cascade_orphans(entities, keys)
@@ -130,6 +133,25 @@ ORACLE = {
               union all select 'clinical_labels', label_id, min(arrived_at), arg_min({_KEY.format('subject_id')}, arrived_at) from clinical_labels group by label_id)
         select ref_table, ref_id from w where k is not null
         and not exists (select 1 from s where s.k = w.k and s.r <= w.a and (s.x is null or s.x > w.a))""",
+    "p1_report": f"""
+        with s as (select distinct {_KEY.format('subject_id')} k, registered_at r, deleted_at x from subjects where registered_at is not null),
+        rec as (select recording_id id, min(uploaded_at) t, arg_min({_KEY.format('subject_id')}, uploaded_at) k from recordings group by 1),
+        win as (select window_id id, min(arrived_at) t, arg_min({_KEY.format('subject_id')}, arrived_at) k, arg_min(recording_id, arrived_at) rid, arg_min(window_index, arrived_at) wi from signal_windows group by 1),
+        lab as (select label_id id, min(arrived_at) t, arg_min({_KEY.format('subject_id')}, arrived_at) k from clinical_labels group by 1),
+        bp as (select distinct breath_id id, recording_id rid from breath_peaks), qi as (select issue_id id, any_value(recording_id) rid, any_value(logged_at) t from quality_issues group by 1),
+        wf as (select feature_id id, any_value(recording_id) rid, any_value(window_index) wi from window_features group by 1), fm as (select matrix_id id, any_value(recording_id) rid from feature_matrices group by 1),
+        named as (select 'recordings' ref_table, id, t, k from rec union all select 'signal_windows', id, t, k from win union all select 'clinical_labels', id, t, k from lab),
+        placed as (select 'signal_windows' ref_table, id, t, rid from win union all select 'quality_issues', id, t, rid from qi union all select 'breath_peaks', bp.id, rec.t, rid from bp left join rec on rec.id = rid
+                   union all select 'window_features', wf.id, rec.t, rid from wf left join rec on rec.id = rid union all select 'feature_matrices', fm.id, rec.t, rid from fm left join rec on rec.id = rid),
+        direct as (select ref_table, id, t from named where k is not null and not exists (select 1 from s where s.k = named.k and s.r <= named.t and (s.x is null or s.x > named.t))
+                   union select ref_table, id, t from placed where rid is not null and not exists (select 1 from rec where rec.id = placed.rid and rec.t <= placed.t)
+                   union select 'window_features', wf.id, rec.t from wf left join rec on rec.id = wf.rid where wf.rid is not null and wi is not null and not exists (select 1 from win where win.rid = wf.rid and win.wi = wf.wi)),
+        one as (select ref_table, id, t from placed where rid in (select id from direct where ref_table = 'recordings')),
+        lost as (select id from direct where ref_table = 'signal_windows' union select id from one where ref_table = 'signal_windows'),
+        two as (select * from one union select 'window_features', wf.id, rec.t from wf join win on win.rid = wf.rid and win.wi = wf.wi left join rec on rec.id = wf.rid where win.id in (select id from lost)),
+        inherited as (select * from two where not exists (select 1 from direct d where d.ref_table = two.ref_table and d.id = two.id)),
+        rows_ as (select *, 1 d from direct union all select *, 0 from inherited)
+        select ref_table, strftime(t, '%Y-%m') period, count(distinct case when d = 1 then id end) direct, count(distinct case when d = 0 then id end) inherited, count(distinct id) orphans from rows_ group by 1, 2""",
     "p2_found": _p2_sql(),
     "p4_found": """
         with w as (select distinct window_id, recording_id, start_idx, sampling_rate rate, window_data from signal_windows),

@@ -36,3 +36,17 @@ def test_hot_key_and_repeated_parents(spark):
     subjects = [(i, "A", "2024-01-01", None) for i in range(3)]
     windows = [(i, "A" if i % 3 else "Z", None, "2024-01-02") for i in range(300)]
     assert cascade_orphans(_graph(spark, subjects, windows, []), KEYS).count() == 100
+
+
+def test_hot_keys_are_salted_by_their_size(spark, monkeypatch):
+    from breathlake.operators import orphans
+
+    subjects = [(i, "A", "2024-01-01", None) for i in range(3)]
+    windows = [(i, "A" if i % 3 else "Z", None, "2024-01-02") for i in range(300)]
+    parts = [(1000 + i, i % 7, None) for i in range(400)]
+    rows = lambda: sorted(map(tuple, cascade_orphans(_graph(spark, subjects, windows, parts), KEYS).collect()))
+    whole = rows()
+    c, p = orphans._salted(spark.range(90).selectExpr("id as ref_id", "if(id < 70, 'x', 'y') as _k0"), spark.createDataFrame([("x",), ("y",)], "_k0 string"), ["_k0"], rows=20)
+    assert {(r._k0, r._salt) for r in p.collect()} == {("x", i) for i in range(4)} | {("y", 0)} and c.select("_salt").distinct().count() == 4
+    monkeypatch.setattr(orphans, "SALT_ROWS", 20)
+    assert rows() == whole and len(whole) > 100
