@@ -54,8 +54,22 @@ def test_edges(spark):
     assert empty.count() == 0 and "filled_fields" in empty.columns
     rows = [(1, 1, 0, *[None] * 6, None), (2, None, None, *[1.0] * 5, None, "zzz")]
     got = {r["id"]: r for r in impute(spark.createDataFrame(rows, SCHEMA), SPEC).collect()}
-    assert got[1]["x0"] == 1.0 and got[1]["x5"] is None and len(got[1]["filled_fields"]) == 7
-    assert got[2]["filled_fields"] == ["x5", "c"] and got[2]["c"] in ("a", "b")
+    assert got[1]["x0"] == 1.0 and got[1]["x5"] is None and len(got[1]["filled_fields"]) == 6
+    assert got[2]["filled_fields"] == ["c"] and got[2]["c"] in ("a", "b")  # x5 has no value anywhere, so it is not filled
+
+
+def test_large_groups_in_parts_and_small_chunks(spark, monkeypatch):
+    from breathlake.operators import impute as im
+
+    rows = [(*r[:3], *[None if (r[0] + j) % 9 == 0 else v for j, v in enumerate(r[3:9])], r[9]) for r in planted(3, 6, 40)]
+    rows = [(r[0], r[1] if r[0] % 50 else None, r[2] if r[0] % 31 else None, *r[3:]) for r in rows]
+    df = spark.createDataFrame(rows, SCHEMA)
+    one = {r["id"]: r for r in impute(df, SPEC).collect()}
+    monkeypatch.setattr(im, "GROUP_ROWS", 25)
+    monkeypatch.setattr(im, "CHUNK_ROWS", 7)
+    two = {r["id"]: r for r in impute(df, SPEC).collect()}
+    assert set(one) == set(two) and all(one[i]["filled_fields"] == two[i]["filled_fields"] for i in one)
+    assert max(abs(one[i][f"x{j}"] - two[i][f"x{j}"]) for i in one for j in range(6)) < 1e-6
 
 
 def test_integers_and_clashing_columns(spark):
