@@ -189,6 +189,14 @@ def label_distribution(labels: DataFrame, outcome: str) -> DataFrame:
     return labels.groupBy(outcome).agg(F.count("*").alias("n"))
 
 
+def labels_for(labels: DataFrame, key: str, outcome: str, ids: list) -> DataFrame:
+    """``position, key, outcome`` of the listed ids in their order; NULL for an id without label, repeated ids again."""
+    kind = labels.schema[key].dataType.simpleString()
+    wanted = labels.sparkSession.createDataFrame(list(enumerate(ids)), f"position int, `{key}` {kind}")
+    one = labels.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(outcome).alias(outcome))
+    return wanted.join(one, key, "left").select("position", key, outcome).orderBy("position")
+
+
 def remap(labels: DataFrame, outcome: str, mapping: dict) -> DataFrame:
     """Values not in the mapping stay."""
     c = F.col(outcome)

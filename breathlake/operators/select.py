@@ -43,6 +43,21 @@ def select_statistical(long: DataFrame, wide: DataFrame, features: list[str], al
     return t.withColumn("selected", cap & (F.col("_fit") | ~F.col("_any"))).drop("_fit", "_rank", "_any")
 
 
+def select_from_results(results: DataFrame, alpha: float = 0.05, n: int | None = None, p: str | None = None, effect: float = 0.0) -> DataFrame:
+    """The features of a result table that are significant, the smallest p first, at most ``n``.
+
+    ``p`` names the column; by default the corrected ``p_adjusted`` where the
+    table has it, else ``p_value``. ``effect`` is the least absolute effect size.
+    Equal p go in order of name; a NULL p is never significant.
+    """
+    p = p or ("p_adjusted" if "p_adjusted" in results.columns else "p_value")
+    r = results.filter(F.col(p) < alpha)
+    if effect > 0:
+        r = r.filter(F.abs("effect_size") >= effect)
+    r = r.orderBy(p, "feature")
+    return r if n is None else r.limit(n)
+
+
 def select_combined(long: DataFrame, wide: DataFrame, features: list[str], alpha: float = 0.05, variance: float = 0.01, threshold: float = 0.95) -> DataFrame:
     """Enough variance, then not correlated with a feature kept before, then significant: ``feature, step, selected``.
 

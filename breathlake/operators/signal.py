@@ -47,6 +47,16 @@ def time_segment(samples: DataFrame, start_s: float, end_s: float) -> DataFrame:
     return samples.filter((F.col("idx") >= a) & (F.col("idx") < b))
 
 
+def index_segment(samples: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
+    """Samples of ``[start, end)`` by index; negative bounds count from each recording's end, as in a slice."""
+    if start >= 0 and (end is None or end >= 0):
+        return samples.filter((F.col("idx") >= start) & (F.lit(True) if end is None else F.col("idx") < end))
+    s = samples.join(samples.groupBy(KEY).agg((F.max("idx") + 1).alias("_n")), KEY)
+    at = lambda v: F.lit(v) if v >= 0 else F.greatest(F.lit(0), F.col("_n") + v)
+    s = s.filter(F.col("idx") >= at(start))
+    return (s if end is None else s.filter(F.col("idx") < at(end))).drop("_n")
+
+
 def islands(flagged: DataFrame, by: list[str], idx: str = "idx", block: int = BLOCK) -> DataFrame:
     """Half-open runs ``[start_idx, end_idx)`` of consecutive indices, from the flagged rows alone.
 

@@ -8,6 +8,10 @@ are counted first, put into ranges of about equal size and ranked within them.
 from __future__ import annotations
 
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,12 +74,16 @@ def _p(kind: str, *args: str) -> Column:
     return F.udf(run, "double")(*[F.col(a).cast("double") for a in args])
 
 
-def mann_whitney(long: DataFrame, a, b) -> DataFrame:
+def mann_whitney(long: DataFrame, a, b, alternative: str = "two-sided") -> DataFrame:
     """U of group ``a``, its z with tie and continuity correction, the p and rank-biserial effect.
 
+    ``alternative`` ``greater`` or ``less`` is about group ``a``; their p is the normal one.
+
     p is exact without ties where a group has at most 8 values (and both fewer
     than 100), else normal. All values equal give p = 1.
     """
+    if alternative not in ("two-sided", "greater", "less"):
+        raise ValueError(f"unknown alternative {alternative}")
     two = long.filter(F.col("label").isin([a, b]))
     r = ranks(two, ["feature"])
     counts = two.dropna(subset=["value"]).groupBy("feature", "value").agg(F.count(F.when(F.col("label") == a, 1)).alias("c1"), F.count(F.when(F.col("label") == b, 1)).alias("c2"))
@@ -85,13 +93,16 @@ def mann_whitney(long: DataFrame, a, b) -> DataFrame:
     n = n1 + n2
     g = g.withColumn("statistic", F.when((n1 > 0) & (n2 > 0), F.col("r1") - n1 * (n1 + 1) / 2))
     var = n1 * n2 / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1)))
-    dev = F.abs(F.col("statistic") - n1 * n2 / 2) - 0.5
-    g = g.withColumn("z", F.when(var > 0, F.greatest(dev, F.lit(0.0)) / F.sqrt(F.when(var > 0, var))))
+    off = F.col("statistic") - n1 * n2 / 2
+    dev = {"two-sided": F.greatest(F.abs(off) - 0.5, F.lit(0.0)), "greater": off - 0.5, "less": -off - 0.5}[alternative]
+    g = g.withColumn("z", F.when(var > 0, dev / F.sqrt(F.when(var > 0, var))))
     g = g.withColumn("effect_size", 1 - F.try_divide(2 * F.col("statistic"), n1 * n2))
 
     def p(u, z, n1, n2, ties):
         if u is None:
             return None
+        if alternative != "two-sided":
+            return 1.0 if z is None else dist.normal_tail(z)
         if ties == 0 and min(n1, n2) <= 8 and max(n1, n2) < 100:
             return dist.mann_whitney_exact(u, n1, n2)
         return 1.0 if z is None else min(1.0, 2 * dist.normal_tail(z))
@@ -205,10 +216,28 @@ def correlation_matrix(df: DataFrame, features: list[str], method: str = "pearso
         r = _correlate(df.select(F.inline(each)).dropna(), method, least=2)
         names = df.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "feature int, feature_a string, feature_b string")
         return names.join(r, "feature", "left").select("feature_a", "feature_b", F.col("correlation").alias("r"))
-    both = lambda x, a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(x).cast("double"))
-    row = df.agg(*[F.corr(both(a, a, b), both(b, a, b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
-    each = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"c{k}").alias("r")) for k, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(each)).withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+    # values count from their column's mean, which keeps squares small; matrix products give the sums of all pairs at once
+    mean = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in features]).first()  # one row
+    x = df.select(F.array(*[F.coalesce(F.col(c).cast("double") - F.lit(mean[c] or 0.0), F.lit(float("nan"))) for c in features]).alias("x"))
+    k = len(features)
+    names = ["n", "x", "y", "xx", "yy", "xy"]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            v = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            m = np.isfinite(v).astype(float)
+            v = np.where(m > 0, v, 0.0)
+            total += np.stack([m.T @ m, v.T @ m, m.T @ v, (v * v).T @ m, m.T @ (v * v), v.T @ v])
+        a, b = np.triu_indices(k, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.array(t[a, b]) for t in total]], names=["a", "b", *names])
+
+    g = x.mapInArrow(sums, "a long, b long, " + ", ".join(f"{c} double" for c in names)).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in names])
+    cov = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n"))
+    vx, vy = (F.col(2 * c) - F.try_divide(F.col(c) * F.col(c), F.col("n")) for c in "xy")
+    r = F.try_divide(cov, F.sqrt(F.when((vx > 0) & (vy > 0), vx * vy)))
+    name = lambda c: F.get(F.array(*[F.lit(f) for f in features]), F.col(c).cast("int"))
+    return g.select(name("a").alias("feature_a"), name("b").alias("feature_b"), r.alias("r"))
 
 
 def ranked(df: DataFrame, key: str, features: list[str]) -> DataFrame:

@@ -14,12 +14,13 @@ from breathlake.operators.quantiles import group_quantiles
 from breathlake.sources.names import date_from_name, subject_from_name
 from breathlake.session import cut, table
 
-FOUR = ["inhale_volume", "rate", "tidal_volume", "duty_cycle_inhale"]
+ALL = list(METRICS)
+#: Features of the models that are fitted many times over (folds, rounds, subsets).
 EIGHT = ["inhale_volume", "exhale_volume", "inter_breath_interval", "rate", "tidal_volume", "minute_ventilation", "duty_cycle_inhale", "cov_breathingrate"]
 FUNCTIONS = list(ft.AGGREGATES)
 
 
-def _features(s: SparkSession, d: str, names: list[str] = EIGHT) -> DataFrame:
+def _features(s: SparkSession, d: str, names: list[str] = ALL) -> DataFrame:
     """Window features once each, missing and negative values as NULL."""
     w = table(s, d, "window_features").dropDuplicates(["feature_id"])
     w = w.select("feature_id", "recording_id", subject_key("subject_id").alias("subject"), "window_index", "posture", "sensor", *names)
@@ -34,74 +35,74 @@ def _labels(s: SparkSession, d: str) -> DataFrame:
 
 
 def aggregate_windows(s, d):
-    return rounded(ft.aggregate_windows(_features(s, d, FOUR), ["recording_id"], FOUR, FUNCTIONS))
+    return rounded(ft.aggregate_windows(_features(s, d, ALL), ["recording_id"], ALL, FUNCTIONS))
 
 
 def aggregate_min_valid(s, d):
-    return rounded(ft.aggregate_windows(_features(s, d, FOUR), ["recording_id"], FOUR, ["mean", "std"], min_windows=3, min_valid=4))
+    return rounded(ft.aggregate_windows(_features(s, d, ALL), ["recording_id"], ALL, ["mean", "std"], min_windows=3, min_valid=4))
 
 
 def aggregate_propagate(s, d):
-    return rounded(ft.aggregate_windows(_features(s, d, FOUR), ["recording_id"], FOUR, ["mean"], nan_policy="propagate"))
+    return rounded(ft.aggregate_windows(_features(s, d, ALL), ["recording_id"], ALL, ["mean"], nan_policy="propagate"))
 
 
 def aggregate_custom(s, d):
     geo = {"geomean": lambda c: F.exp(F.avg(F.log(F.when(F.col(c) > 0, F.col(c)))))}
-    return rounded(ft.aggregate_windows(_features(s, d, FOUR), ["recording_id"], FOUR, ["geomean"], custom=geo))
+    return rounded(ft.aggregate_windows(_features(s, d, ALL), ["recording_id"], ALL, ["geomean"], custom=geo))
 
 
 def valid_counts(s, d):
-    return ft.valid_counts(_features(s, d, FOUR), ["recording_id"], FOUR)
+    return ft.valid_counts(_features(s, d, ALL), ["recording_id"], ALL)
 
 
 def feature_statistics(s, d):
-    return rounded(ft.feature_statistics(_features(s, d), EIGHT))
+    return rounded(ft.feature_statistics(_features(s, d), ALL))
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    return rounded(df.select("feature_id", *FOUR))
+    return rounded(df.select("feature_id", *ALL))
 
 
 def normalize_zscore(s, d):
-    return _keyed(ft.normalize(_features(s, d, FOUR), FOUR, "zscore"))
+    return _keyed(ft.normalize(_features(s, d, ALL), ALL, "zscore"))
 
 
 def normalize_minmax(s, d):
-    return _keyed(ft.normalize(_features(s, d, FOUR), FOUR, "minmax"))
+    return _keyed(ft.normalize(_features(s, d, ALL), ALL, "minmax"))
 
 
 def normalize_robust(s, d):
-    return _keyed(ft.normalize(_features(s, d, FOUR), FOUR, "robust"))
+    return _keyed(ft.normalize(_features(s, d, ALL), ALL, "robust"))
 
 
 def fill_mean(s, d):
-    return _keyed(ft.fill_missing(_features(s, d, FOUR), FOUR, "mean"))
+    return _keyed(ft.fill_missing(_features(s, d, ALL), ALL, "mean"))
 
 
 def fill_median(s, d):
-    return _keyed(ft.fill_missing(_features(s, d, FOUR), FOUR, "median"))
+    return _keyed(ft.fill_missing(_features(s, d, ALL), ALL, "median"))
 
 
 def fill_zero(s, d):
-    return _keyed(ft.fill_missing(_features(s, d, FOUR), FOUR, "zero"))
+    return _keyed(ft.fill_missing(_features(s, d, ALL), ALL, "zero"))
 
 
 def fill_drop(s, d):
-    return _keyed(ft.fill_missing(_features(s, d, FOUR), FOUR, "drop"))
+    return _keyed(ft.fill_missing(_features(s, d, ALL), ALL, "drop"))
 
 
 def melt(s, d):
-    return ft.melt(_features(s, d, FOUR), ["feature_id"], FOUR)
+    return ft.melt(_features(s, d, ALL), ["feature_id"], ALL)
 
 
 def concat_union(s, d):
-    f = _features(s, d, FOUR)
+    f = _features(s, d, ALL)
     return ft.concat([f.filter("sensor = 'belt'").select("feature_id", "rate", "tidal_volume"), f.filter("sensor = 'mask'").select("feature_id", "rate", "inhale_volume")])
 
 
 def _split(s, d):
     subjects = table(s, d, "subjects").filter("site = 'north'").select(subject_key("subject_id").alias("subject")).dropna()
-    return ft.split_by_subject(_features(s, d, FOUR).select("feature_id", "subject"), subjects, "subject")
+    return ft.split_by_subject(_features(s, d, ALL).select("feature_id", "subject"), subjects, "subject")
 
 
 def split_train(s, d):
@@ -113,7 +114,10 @@ def split_test(s, d):
 
 
 def feature_matrix(s, d):
-    return ft.feature_matrix(_features(s, d, ["rate"]), ["recording_id"], "rate", "window_index")
+    """The matrix by a summary that every entry and its place change; arrays of structs do not compare across engines."""
+    m = ft.feature_matrix(_features(s, d, ["rate"]), ["recording_id"], "rate", "window_index")
+    each = m.select("recording_id", F.explode_outer("windows").alias("w")).select("recording_id", "w.window", "w.value")
+    return rounded(each.groupBy("recording_id").agg(F.count("window").alias("n"), F.min("window").alias("first_window"), F.max("window").alias("last_window"), F.sum((F.col("window") + 1) * F.col("value")).alias("weighted")))
 
 
 def label_distribution(s, d):
@@ -133,11 +137,11 @@ def cohort_filter(s, d):
 
 
 def merge_labels_inner(s, d):
-    return ft.merge_labels(_features(s, d, FOUR), _labels(s, d), "subject", "recovery").select("feature_id", "subject", "recovery")
+    return ft.merge_labels(_features(s, d, ALL), _labels(s, d), "subject", "recovery").select("feature_id", "subject", "recovery")
 
 
 def lookup_left_outer(s, d):
-    return ft.merge_labels(_features(s, d, FOUR), _labels(s, d), "subject", "survival", "left").select("feature_id", "subject", F.col("survival").cast("double").alias("survival"))
+    return ft.merge_labels(_features(s, d, ALL), _labels(s, d), "subject", "survival", "left").select("feature_id", "subject", F.col("survival").cast("double").alias("survival"))
 
 
 def subject_from_filename(s, d):
@@ -154,13 +158,13 @@ def sampling_rate_infer(s, d):
     e = table(s, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     dt = with_previous(e, ["user_id"], "t", "event_id", bucket_s=86400.0).select("user_id", (F.col("t") - F.col("prev")).alias("dt"))
     g = group_quantiles(dt, ["user_id"], "dt", [0.5]).select("user_id", F.get("q", F.lit(0)).alias("m"))
-    return g.filter("m > 0").select("user_id", F.round(1 / F.col("m"), 9).alias("sampling_rate"))
+    return rounded(g.filter("m > 0").select("user_id", (1 / F.col("m")).alias("sampling_rate")), 12)
 
 
 # --- statistics ------------------------------------------------------------------------
 
 
-def _long(s, d, label: str, names: list[str] = EIGHT) -> DataFrame:
+def _long(s, d, label: str, names: list[str] = ALL) -> DataFrame:
     f = _features(s, d, names).filter(F.col("sensor").isin("belt", "mask", "cannula"))
     return ft.melt(f.withColumnRenamed(label, "label"), ["label"], names)
 
@@ -207,20 +211,20 @@ def _adjusted(method: str):
 
 
 def corr_pearson_matrix(s, d):
-    return rounded(stats.correlation_matrix(_features(s, d), EIGHT))
+    return rounded(stats.correlation_matrix(_features(s, d), ALL))
 
 
 def corr_pairs(s, d):
-    return rounded(stats.correlated_pairs(stats.correlation_matrix(_features(s, d), EIGHT), 0.5))
+    return rounded(stats.correlated_pairs(stats.correlation_matrix(_features(s, d), ALL), 0.5))
 
 
 def remove_correlated(s, d):
-    return stats.drop_correlated(stats.correlation_matrix(_features(s, d), EIGHT), 0.5)
+    return stats.drop_correlated(stats.correlation_matrix(_features(s, d), ALL), 0.5)
 
 
 def _outcome(s, d, method):
     f = ft.merge_labels(_features(s, d), _labels(s, d), "subject", "recovery")
-    return rounded(stats.outcome_correlation(f, EIGHT, "recovery", method).select("feature", "n", "correlation", "abs_correlation"))
+    return rounded(stats.outcome_correlation(f, ALL, "recovery", method).select("feature", "n", "correlation", "abs_correlation"))
 
 
 def outcome_pearson(s, d):
@@ -236,12 +240,12 @@ def outcome_kendall(s, d):
 
 
 def kendall(s, d):
-    f = ft.merge_labels(_features(s, d, FOUR), _labels(s, d), "subject", "survival")
-    return rounded(stats.kendall_tau(f, "rate", "survival"))
+    f = ft.merge_labels(_features(s, d, ALL), _labels(s, d), "subject", "survival")
+    return rounded(stats.kendall_tau(f, "rate", "survival").select("tau"))
 
 
 def variance_filter(s, d):
-    return rounded(select.variances(_features(s, d), EIGHT))
+    return rounded(select.variances(_features(s, d), ALL))
 
 
 def select_top_n(s, d):
@@ -251,7 +255,7 @@ def select_top_n(s, d):
 
 def select_statistical(s, d):
     f = _features(s, d).filter(F.col("sensor").isin("belt", "mask"))
-    return select.select_statistical(ft.melt(f.withColumnRenamed("sensor", "label"), ["label"], EIGHT), f, EIGHT, n=5)
+    return select.select_statistical(ft.melt(f.withColumnRenamed("sensor", "label"), ["label"], ALL), f, ALL, n=5)
 
 
 def binned_mutual_information(s, d):
@@ -260,7 +264,7 @@ def binned_mutual_information(s, d):
 
 def select_combined(s, d):
     f = _features(s, d).filter(F.col("sensor").isin("belt", "mask"))
-    return select.select_combined(ft.melt(f.withColumnRenamed("sensor", "label"), ["label"], EIGHT), f, EIGHT)
+    return select.select_combined(ft.melt(f.withColumnRenamed("sensor", "label"), ["label"], ALL), f, ALL)
 
 
 def violin_data(s, d):
@@ -328,13 +332,13 @@ def stratified_folds(s, d):
 
 def _table(s, d) -> DataFrame:
     f = ft.merge_labels(_features(s, d), _labels(s, d), "subject", "recovery")
-    return cut(ft.fill_missing(f, EIGHT, "median").select("feature_id", *EIGHT, F.col("recovery").cast("double").alias("label")))
+    return cut(ft.fill_missing(f, ALL, "median").select("feature_id", *ALL, F.col("recovery").cast("double").alias("label")))
 
 
 def _predictions(kind: str, params: dict):
     def query(s, d):
         t = _table(s, d)
-        c = ml.Classifier(kind, EIGHT, params=params).fit(t)
+        c = ml.Classifier(kind, ALL, params=params).fit(t)
         return c.predict(t).select("feature_id", "label", "prediction", "score")
 
     query.__name__ = f"{kind}_predict"
@@ -342,15 +346,15 @@ def _predictions(kind: str, params: dict):
 
 
 def pca_scores(s, d):
-    return select.pca(_table(s, d).drop("label"), EIGHT, 3)[0]
+    return select.pca(_table(s, d).drop("label"), ALL, 3)[0]
 
 
 def pca_loadings(s, d):
-    return select.top_loadings(select.pca(_table(s, d).drop("label"), EIGHT, 3)[1], 4)
+    return select.top_loadings(select.pca(_table(s, d).drop("label"), ALL, 3)[1], 4)
 
 
 def pca_variance(s, d):
-    return select.pca(_table(s, d).drop("label"), EIGHT, 5)[2]
+    return select.pca(_table(s, d).drop("label"), ALL, 5)[2]
 
 
 def grid_search(s, d):
@@ -400,7 +404,7 @@ _SQL_AGG = {"mean": "avg({0})", "std": "stddev_pop({0})", "min": "min({0})", "ma
 
 
 def _cols(pattern: str) -> str:
-    return ", ".join(pattern.format(c) for c in FOUR)
+    return ", ".join(pattern.format(c) for c in ALL)
 
 
 def _melted(names, label: str = "sensor") -> str:
@@ -416,57 +420,57 @@ def _padj(expr: str, extra: str = "") -> str:
     return f"{_PV}, a as (select feature, p_value, {expr} p_adjusted from rk {extra}) select feature, round(p_value, 6) p_value, round(p_adjusted, 6) p_adjusted, p_adjusted < 0.05 significant from a"
 
 
-_PAIRS = [(a, b) for i, a in enumerate(EIGHT) for b in EIGHT[i + 1:]]
-_MATRIX = f"with {_wf(EIGHT)}, mx as (" + " union all ".join(f"select '{a}' feature_a, '{b}' feature_b, corr({a}, {b}) r from wf where {a} is not null and {b} is not null" for a, b in _PAIRS) + ")"
+_PAIRS = [(a, b) for i, a in enumerate(ALL) for b in ALL[i + 1:]]
+_MATRIX = f"with {_wf(ALL)}, mx as (" + " union all ".join(f"select '{a}' feature_a, '{b}' feature_b, corr({a}, {b}) r from wf where {a} is not null and {b} is not null" for a, b in _PAIRS) + ")"
 _SCORED = f"with {_wf(['rate'])}, {_LAB}, sc as (select feature_id, recovery label, round(1 - rate, 4) score, cast(rate < 0.25 as integer) prediction from wf join lab using (subject) where recovery is not null and rate is not null)"
 _KNN = """with e as (select distinct on (vec_id) vec_id, cast(embedding as double[]) v, label from embeddings),
     p as (select q.vec_id query_id, b.vec_id neighbor_id, b.label, list_distance(q.v, b.v) distance from e q join e b on q.vec_id <> b.vec_id where q.vec_id % 100 = 0),
     nn as (select *, row_number() over (partition by query_id order by distance, neighbor_id) rank from p qualify rank <= 5)"""
-_OUTC = f"with {_wf(EIGHT)}, {_LAB}, j as (select wf.*, cast(recovery as double) y from wf join lab using (subject) where recovery is not null), long as (select feature, value, y from (select y, {', '.join(f'cast({n} as double) {n}' for n in EIGHT)} from j) unpivot (value for feature in ({', '.join(EIGHT)})))"
+_OUTC = f"with {_wf(ALL)}, {_LAB}, j as (select wf.*, cast(recovery as double) y from wf join lab using (subject) where recovery is not null), long as (select feature, value, y from (select y, {', '.join(f'cast({n} as double) {n}' for n in ALL)} from j) unpivot (value for feature in ({', '.join(ALL)})))"
 
 ORACLE = {
-    "aggregate_windows": f"with {_wf(FOUR)} select recording_id, count(*) n_windows, " + ", ".join(f"round({x.format(c)}, 6) {c}_{f}" for c in FOUR for f, x in _SQL_AGG.items()) + " from wf group by 1",
-    "aggregate_min_valid": f"with {_wf(FOUR)} select recording_id, count(*) n_windows, " + ", ".join(f"case when count({c}) >= 4 then round({_SQL_AGG[f].format(c)}, 6) end {c}_{f}" for c in FOUR for f in ("mean", "std")) + " from wf group by 1 having count(*) >= 3",
-    "aggregate_propagate": f"with {_wf(FOUR)} select recording_id, count(*) n_windows, {_cols('case when count({0}) = count(*) then round(avg({0}), 6) end {0}_mean')} from wf group by 1",
-    "aggregate_custom": f"with {_wf(FOUR)} select recording_id, count(*) n_windows, {_cols('round(exp(avg(ln(case when {0} > 0 then {0} end))), 6) {0}_geomean')} from wf group by 1",
-    "valid_counts": f"with {_wf(FOUR)} select recording_id, {_cols('count({0}) {0}_valid')} from wf group by 1",
-    "feature_statistics": f"with {_wf(EIGHT)} " + " union all ".join(f"select '{c}' feature, round(avg({c}), 6) mean, round(stddev_samp({c}), 6) std, round(min({c}), 6) min, round(max({c}), 6) max, round(median({c}), 6) median, round(quantile_cont({c}, 0.25), 6) q25, round(quantile_cont({c}, 0.75), 6) q75 from wf" for c in EIGHT),
-    "normalize_zscore": f"with {_wf(FOUR)} select feature_id, {_cols('round(({0} - avg({0}) over ()) / nullif(stddev_samp({0}) over (), 0), 6) {0}')} from wf",
-    "normalize_minmax": f"with {_wf(FOUR)} select feature_id, {_cols('round(({0} - min({0}) over ()) / nullif(max({0}) over () - min({0}) over (), 0), 6) {0}')} from wf",
-    "normalize_robust": f"with {_wf(FOUR)}, q as (select {_cols('median({0}) {0}_m, quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25) {0}_i')} from wf) select feature_id, {_cols('round(({0} - {0}_m) / ({0}_i + 1e-8), 6) {0}')} from wf, q",
-    "fill_mean": f"with {_wf(FOUR)} select feature_id, {_cols('round(coalesce({0}, avg({0}) over ()), 6) {0}')} from wf",
-    "fill_median": f"with {_wf(FOUR)}, q as (select {_cols('median({0}) {0}_m')} from wf) select feature_id, {_cols('round(coalesce({0}, {0}_m), 6) {0}')} from wf, q",
-    "fill_zero": f"with {_wf(FOUR)} select feature_id, {_cols('round(coalesce({0}, 0), 6) {0}')} from wf",
-    "fill_drop": f"with {_wf(FOUR)} select feature_id, {_cols('round({0}, 6) {0}')} from wf where " + " and ".join(f"{c} is not null" for c in FOUR),
-    "melt": f"with {_wf(FOUR)} select feature_id, feature, value from (select feature_id, {_cols('{0}')} from wf) unpivot include nulls (value for feature in ({_cols('{0}')}))",
-    "concat_union": f"with {_wf(FOUR)} select feature_id, rate, tidal_volume, null::double inhale_volume from wf where sensor = 'belt' union all select feature_id, rate, null, inhale_volume from wf where sensor = 'mask'",
-    "split_train": f"with {_wf(FOUR)}, t as (select {_KEY.format('subject_id')} k from subjects where site = 'north') select feature_id, subject from wf where subject is null or not exists (select 1 from t where k = subject)",
-    "split_test": f"with {_wf(FOUR)}, t as (select {_KEY.format('subject_id')} k from subjects where site = 'north') select feature_id, subject from wf where exists (select 1 from t where k = subject)",
-    "feature_matrix": f"with {_wf(['rate'])} select recording_id, " + ", ".join(f'max(case when window_index = {i} then rate end) "{i}"' for i in range(12)) + " from wf group by 1",
+    "aggregate_windows": f"with {_wf(ALL)} select recording_id, count(*) n_windows, " + ", ".join(f"round({x.format(c)}, 6) {c}_{f}" for c in ALL for f, x in _SQL_AGG.items()) + " from wf group by 1",
+    "aggregate_min_valid": f"with {_wf(ALL)} select recording_id, count(*) n_windows, " + ", ".join(f"case when count({c}) >= 4 then round({_SQL_AGG[f].format(c)}, 6) end {c}_{f}" for c in ALL for f in ("mean", "std")) + " from wf group by 1 having count(*) >= 3",
+    "aggregate_propagate": f"with {_wf(ALL)} select recording_id, count(*) n_windows, {_cols('case when count({0}) = count(*) then round(avg({0}), 6) end {0}_mean')} from wf group by 1",
+    "aggregate_custom": f"with {_wf(ALL)} select recording_id, count(*) n_windows, {_cols('round(exp(avg(ln(case when {0} > 0 then {0} end))), 6) {0}_geomean')} from wf group by 1",
+    "valid_counts": f"with {_wf(ALL)} select recording_id, {_cols('count({0}) {0}_valid')} from wf group by 1",
+    "feature_statistics": f"with {_wf(ALL)} " + " union all ".join(f"select '{c}' feature, round(avg({c}), 6) mean, round(stddev_samp({c}), 6) std, round(min({c}), 6) min, round(max({c}), 6) max, round(median({c}), 6) median, round(quantile_cont({c}, 0.25), 6) q25, round(quantile_cont({c}, 0.75), 6) q75 from wf" for c in ALL),
+    "normalize_zscore": f"with {_wf(ALL)} select feature_id, {_cols('round(({0} - avg({0}) over ()) / nullif(stddev_samp({0}) over (), 0), 6) {0}')} from wf",
+    "normalize_minmax": f"with {_wf(ALL)} select feature_id, {_cols('round(({0} - min({0}) over ()) / nullif(max({0}) over () - min({0}) over (), 0), 6) {0}')} from wf",
+    "normalize_robust": f"with {_wf(ALL)}, q as (select {_cols('median({0}) {0}_m, quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25) {0}_i')} from wf) select feature_id, {_cols('round(({0} - {0}_m) / ({0}_i + 1e-8), 6) {0}')} from wf, q",
+    "fill_mean": f"with {_wf(ALL)} select feature_id, {_cols('round(coalesce({0}, avg({0}) over ()), 6) {0}')} from wf",
+    "fill_median": f"with {_wf(ALL)}, q as (select {_cols('median({0}) {0}_m')} from wf) select feature_id, {_cols('round(coalesce({0}, {0}_m), 6) {0}')} from wf, q",
+    "fill_zero": f"with {_wf(ALL)} select feature_id, {_cols('round(coalesce({0}, 0), 6) {0}')} from wf",
+    "fill_drop": f"with {_wf(ALL)} select feature_id, {_cols('round({0}, 6) {0}')} from wf where " + " and ".join(f"{c} is not null" for c in ALL),
+    "melt": f"with {_wf(ALL)} select feature_id, feature, value from (select feature_id, {_cols('{0}')} from wf) unpivot include nulls (value for feature in ({_cols('{0}')}))",
+    "concat_union": f"with {_wf(ALL)} select feature_id, rate, tidal_volume, null::double inhale_volume from wf where sensor = 'belt' union all select feature_id, rate, null, inhale_volume from wf where sensor = 'mask'",
+    "split_train": f"with {_wf(ALL)}, t as (select {_KEY.format('subject_id')} k from subjects where site = 'north') select feature_id, subject from wf where subject is null or not exists (select 1 from t where k = subject)",
+    "split_test": f"with {_wf(ALL)}, t as (select {_KEY.format('subject_id')} k from subjects where site = 'north') select feature_id, subject from wf where exists (select 1 from t where k = subject)",
+    "feature_matrix": f"with {_wf(['rate'])}, c as (select recording_id, window_index w, max(rate) v from wf group by 1, 2) select recording_id, count(w) n, min(w) first_window, max(w) last_window, round(sum((w + 1) * v), 6) weighted from c group by 1",
     "label_distribution": f"with {_LAB} select cast(recovery as double) recovery, count(*) n from lab group by 1",
     "remap_labels": f"with {_LAB} select subject, cast(case current_consciousness when 0 then 10 when 1 then 11 when 2 then 12 else current_consciousness end as double) current_consciousness from lab",
     "exclude_labels": f"with {_LAB} select subject, cast(case when current_consciousness in (2, 3) then null else current_consciousness end as double) current_consciousness from lab",
     "cohort_filter": f"with {_LAB} select subject, recovery from lab where current_consciousness = 0 and recovery is not null",
-    "merge_labels_inner": f"with {_wf(FOUR)}, {_LAB} select feature_id, subject, recovery from wf join lab using (subject) where recovery is not null",
-    "lookup_left_outer": f"with {_wf(FOUR)}, {_LAB} select feature_id, subject, cast(survival as double) survival from wf left join lab using (subject)",
+    "merge_labels_inner": f"with {_wf(ALL)}, {_LAB} select feature_id, subject, recovery from wf join lab using (subject) where recovery is not null",
+    "lookup_left_outer": f"with {_wf(ALL)}, {_LAB} select feature_id, subject, cast(survival as double) survival from wf left join lab using (subject)",
     "subject_from_filename": "select distinct recording_id, file_name, case when length(st) < 4 then st else upper(st[1:4]) end subject from (select *, regexp_replace(split_part(file_name, '/', -1), '(.)\\.[^.]*$', '\\1') st from recordings)",
     "date_from_filename": """with r as (select distinct recording_id, file_name, regexp_extract_all(regexp_replace(split_part(file_name, '/', -1), '(.)\\.[^.]*$', '\\1'), '\\d+') g from recordings)
         select recording_id, file_name, case when len(g) >= 3 then case when length(g[-1]) <= 2 then case when cast(g[-1] as integer) <= 30 then '20' else '19' end || lpad(g[-1], 2, '0') else g[-1] end
             || case when length(g[-2]) < 2 then lpad(g[-2], 2, '0') else g[-2] end || case when length(g[-3]) < 2 then lpad(g[-3], 2, '0') else g[-3] end else 'UNKNOWN' end file_date from r""",
-    "sampling_rate_infer": "with e as (select user_id, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) over (partition by user_id order by ts, event_id) dt from events), g as (select user_id, median(dt) m from e group by 1) select user_id, round(1 / m, 9) sampling_rate from g where m > 0",
-    "welch_t": f"""with {_wf(EIGHT)}, {_melted(EIGHT)}, {_MOM} select feature, n1, n2, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) statistic,
+    "sampling_rate_infer": "with e as (select user_id, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) over (partition by user_id order by ts, event_id) dt from events), g as (select user_id, median(dt) m from e group by 1) select user_id, round(1 / m, 12) sampling_rate from g where m > 0",
+    "welch_t": f"""with {_wf(ALL)}, {_melted(ALL)}, {_MOM} select feature, n1, n2, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) statistic,
         round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 6) df from two""",
-    "mann_whitney_u": f"""with {_wf(EIGHT)}, {_melted(EIGHT)}, {_RANKED.format("and label in ('belt', 'mask')")},
+    "mann_whitney_u": f"""with {_wf(ALL)}, {_melted(ALL)}, {_RANKED.format("and label in ('belt', 'mask')")},
         g as (select feature, count(*) filter (label = 'belt') n1, count(*) filter (label = 'mask') n2, sum(r) filter (label = 'belt') r1, sum(t * t - 1.0) ties from rk group by 1),
         u as (select *, r1 - n1 * (n1 + 1) / 2 statistic, n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1))) var from g)
         select feature, n1, n2, round(statistic, 6) statistic, round(greatest(abs(statistic - n1 * n2 / 2) - 0.5, 0) / sqrt(var), 6) z, round(1 - 2 * statistic / (n1 * n2), 6) effect_size from u""",
-    "kruskal_h": f"""with {_wf(EIGHT)}, {_melted(EIGHT)}, {_RANKED.format('')}, ti as (select feature, sum(t * t - 1.0) ties from rk group by 1),
+    "kruskal_h": f"""with {_wf(ALL)}, {_melted(ALL)}, {_RANKED.format('')}, ti as (select feature, sum(t * t - 1.0) ties from rk group by 1),
         g as (select feature, label, count(*) n, sum(r) s from rk group by 1, 2), h as (select feature, count(*) k, sum(n)::double n, sum(s * s / n) q from g group by 1)
         select feature, k, round((12 * q / (n * (n + 1)) - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 6) statistic from h join ti using (feature)""",
-    "anova_f": f"""with {_wf(EIGHT)}, {_melted(EIGHT)}, g as (select feature, label, count(value) n, avg(value) m, var_samp(value) * (count(value) - 1) w from long where value is not null group by 1, 2),
+    "anova_f": f"""with {_wf(ALL)}, {_melted(ALL)}, g as (select feature, label, count(value) n, avg(value) m, var_samp(value) * (count(value) - 1) w from long where value is not null group by 1, 2),
         t as (select feature, sum(n * m) / sum(n) gm from g group by 1), f as (select feature, count(*) k, sum(n) n, sum(n * pow(m - gm, 2)) b, sum(w) w from g join t using (feature) group by 1)
         select feature, k, round((b / (k - 1)) / (w / (n - k)), 6) statistic, round(b / (b + w), 6) eta_squared from f""",
-    "effect_sizes": f"""with {_wf(EIGHT)}, {_melted(EIGHT)}, {_MOM}, d as (select feature, n1 + n2 n, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) d, (m1 - m2) / sqrt(v2) g from two)
+    "effect_sizes": f"""with {_wf(ALL)}, {_melted(ALL)}, {_MOM}, d as (select feature, n1 + n2 n, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) d, (m1 - m2) / sqrt(v2) g from two)
         select feature, round(d, 6) cohens_d, round(d * (1 - 3 / (4 * n - 9)), 6) hedges_g, round(g, 6) glass_delta from d""",
     "p_adjust_bonferroni": _padj("least(p_value * m, 1)"),
     "p_adjust_sidak": _padj("1 - pow(1 - p_value, m)"),
@@ -479,16 +483,16 @@ ORACLE = {
     "outcome_pearson": f"{_OUTC} select feature, count(*) n, round(corr(value, y), 6) correlation, round(abs(corr(value, y)), 6) abs_correlation from long group by 1",
     "outcome_spearman": f"""{_OUTC}, r as (select feature, rank() over (partition by feature order by value) + (count(*) over (partition by feature, value) - 1) / 2 a, rank() over (partition by feature order by y) + (count(*) over (partition by feature, y) - 1) / 2 b from long)
         select feature, count(*) n, round(corr(a, b), 6) correlation, round(abs(corr(a, b)), 6) abs_correlation from r group by 1""",
-    "kendall": f"""with {_wf(FOUR)}, {_LAB}, c as (select floor(rate * 50) x, survival y, count(*) c from wf join lab using (subject) where survival is not null and rate is not null group by 1, 2),
+    "kendall": f"""with {_wf(ALL)}, {_LAB}, c as (select rate x, survival y, count(*) c from wf join lab using (subject) where survival is not null and rate is not null group by 1, 2),
         k as (select sum(sign(b.x - a.x) * sign(b.y - a.y) * a.c * b.c) num from c a join c b on b.x > a.x), n as (select sum(c)::double n from c),
         tx as (select sum(t * (t - 1) / 2) tx from (select sum(c)::double t from c group by x)), ty as (select sum(t * (t - 1) / 2) ty from (select sum(c)::double t from c group by y))
         select round(num / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 6) tau from k, n, tx, ty""",
-    "variance_filter": f"with {_wf(EIGHT)} " + " union all ".join(f"select '{c}' feature, round(var_pop({c}), 6) variance, var_pop({c}) >= 0.01 passed from wf" for c in EIGHT),
+    "variance_filter": f"with {_wf(ALL)} " + " union all ".join(f"select '{c}' feature, round(var_pop({c}), 6) variance, var_pop({c}) >= 0.01 passed from wf" for c in ALL),
     "select_top_n": "",
-    "binned_mutual_information": f"""with {_wf(EIGHT)}, {_melted(EIGHT)}, {_RANKED.format('')}, n as (select feature, count(*)::double total from rk group by 1),
+    "binned_mutual_information": f"""with {_wf(ALL)}, {_melted(ALL)}, {_RANKED.format('')}, n as (select feature, count(*)::double total from rk group by 1),
         b as (select feature, label, least(floor((r - 0.5) / total * 8), 7) bin, total from rk join n using (feature)), c as (select feature, bin, label, count(*) c, any_value(total) total from b group by 1, 2, 3),
         m as (select *, sum(c) over (partition by feature, bin) nb, sum(c) over (partition by feature, label) nl from c) select feature, round(sum(c / total * ln(c * total / (nb * nl))), 6) score from m group by 1""",
-    "violin_data": f"with {_wf(EIGHT)}, {_melted(EIGHT)} select feature, label, count(*) n, " + ", ".join(f"round(quantile_cont(value, 0.{q}), 6) q{q}" for q in ("05", "25", "50", "75", "95")) + " from long where value is not null group by 1, 2",
+    "violin_data": f"with {_wf(ALL)}, {_melted(ALL)} select feature, label, count(*) n, " + ", ".join(f"round(quantile_cont(value, 0.{q}), 6) q{q}" for q in ("05", "25", "50", "75", "95")) + " from long where value is not null group by 1, 2",
     "label_summary": f"with {_LAB} " + " union all ".join(f"select '{c}' outcome, count({c}) valid, count(*) - count({c}) missing, round(100.0 * count({c}) / count(*), 6) percent_valid from lab" for c in ("recovery", "current_consciousness", "survival")),
     "safe_names": "select distinct recording_id, regexp_replace(file_name, '[^A-Za-z0-9_-]', '', 'g') safe from recordings",
     "knn_neighbors": f"{_KNN} select query_id, neighbor_id, rank, round(distance, 6) distance from nn",
