@@ -114,8 +114,12 @@ def split_test(s, d):
 
 
 def feature_matrix(s, d):
-    """The matrix by a summary that every entry and its place change; arrays of structs do not compare across engines."""
-    m = ft.feature_matrix(_features(s, d, ["rate"]), ["recording_id"], "rate", "window_index")
+    return ft.feature_matrix(_features(s, d, ["rate"]), ["recording_id"], "rate", "window_index")
+
+
+def feature_matrix_summary(s, d):
+    """The matrix by numbers that every entry and its place change; arrays of structs do not compare across engines."""
+    m = feature_matrix(s, d)
     each = m.select("recording_id", F.explode_outer("windows").alias("w")).select("recording_id", "w.window", "w.value")
     return rounded(each.groupBy("recording_id").agg(F.count("window").alias("n"), F.min("window").alias("first_window"), F.max("window").alias("last_window"), F.sum((F.col("window") + 1) * F.col("value")).alias("weighted")))
 
@@ -379,7 +383,7 @@ def recursive_elimination(s, d):
 
 _ALL = (
     aggregate_windows, aggregate_min_valid, aggregate_propagate, aggregate_custom, valid_counts, feature_statistics, normalize_zscore, normalize_minmax, normalize_robust, fill_mean, fill_median, fill_zero, fill_drop,
-    melt, concat_union, split_train, split_test, feature_matrix, label_distribution, remap_labels, exclude_labels, cohort_filter, merge_labels_inner, lookup_left_outer, subject_from_filename, date_from_filename,
+    melt, concat_union, split_train, split_test, feature_matrix, feature_matrix_summary, label_distribution, remap_labels, exclude_labels, cohort_filter, merge_labels_inner, lookup_left_outer, subject_from_filename, date_from_filename,
     sampling_rate_infer, welch_t, mann_whitney_u, kruskal_h, anova_f, effect_sizes, compare_groups_binary, compare_groups_multi, *(_adjusted(m) for m in ("bonferroni", "sidak", "holm", "fdr_bh", "fdr_by")),
     corr_pearson_matrix, corr_pairs, remove_correlated, outcome_pearson, outcome_spearman, outcome_kendall, kendall, variance_filter, select_top_n, select_statistical, select_combined, violin_data, label_summary, safe_names, binned_mutual_information, knn_neighbors, knn_predict,
     confusion_matrix, class_scores, roc_points, auc, stratified_folds, pca_scores, pca_loadings, pca_variance, grid_search, bootstrap_intervals, ablation, recursive_elimination,
@@ -446,7 +450,7 @@ ORACLE = {
     "concat_union": f"with {_wf(ALL)} select feature_id, rate, tidal_volume, null::double inhale_volume from wf where sensor = 'belt' union all select feature_id, rate, null, inhale_volume from wf where sensor = 'mask'",
     "split_train": f"with {_wf(ALL)}, t as (select {_KEY.format('subject_id')} k from subjects where site = 'north') select feature_id, subject from wf where subject is null or not exists (select 1 from t where k = subject)",
     "split_test": f"with {_wf(ALL)}, t as (select {_KEY.format('subject_id')} k from subjects where site = 'north') select feature_id, subject from wf where exists (select 1 from t where k = subject)",
-    "feature_matrix": f"with {_wf(['rate'])}, c as (select recording_id, window_index w, max(rate) v from wf group by 1, 2) select recording_id, count(w) n, min(w) first_window, max(w) last_window, round(sum((w + 1) * v), 6) weighted from c group by 1",
+    "feature_matrix_summary": f"with {_wf(['rate'])}, c as (select recording_id, window_index w, max(rate) v from wf group by 1, 2) select recording_id, count(w) n, min(w) first_window, max(w) last_window, round(sum((w + 1) * v), 6) weighted from c group by 1",
     "label_distribution": f"with {_LAB} select cast(recovery as double) recovery, count(*) n from lab group by 1",
     "remap_labels": f"with {_LAB} select subject, cast(case current_consciousness when 0 then 10 when 1 then 11 when 2 then 12 else current_consciousness end as double) current_consciousness from lab",
     "exclude_labels": f"with {_LAB} select subject, cast(case when current_consciousness in (2, 3) then null else current_consciousness end as double) current_consciousness from lab",
