@@ -124,9 +124,12 @@ def flat_runs(samples: DataFrame, min_s: float = 5.0, below: float = 0.001, bloc
     s = s.withColumn("y", F.col("x") - level)
     run = Window.partitionBy(KEY, "_b").orderBy("idx")
     sums = [F.sum(F.coalesce(e, F.lit(0.0))).over(run).alias(n) for n, e in (("s1", F.col("y")), ("s2", F.col("y") * F.col("y")))]
-    s = s.select(KEY, "_b", "idx", "w", "y", F.count("y").over(run).alias("c"), F.row_number().over(run).alias("n"), *sums)
+    # no step within a flat stretch exceeds twice its largest distance from the mean; few samples end a stretch without one
+    step = F.coalesce(F.abs(F.col("y") - F.lag("y").over(run)) > 2 * below * F.sqrt("w"), F.lit(True))
+    s = s.withColumn("big", step).select(KEY, "_b", "idx", "w", "y", F.max(F.when(F.col("big"), F.col("idx"))).over(run).alias("since"), F.count("y").over(run).alias("c"), F.row_number().over(run).alias("n"), *sums)
     # the last sample of a stretch meets its first by index
-    last = s.select(KEY, "_b", (F.col("idx") - F.col("w") + 1).alias("idx"), "w", F.struct("c", "n", "s1", "s2").alias("e"))
+    last = s.filter(F.col("idx") - F.col("since") >= F.col("w") - 1)
+    last = last.select(KEY, "_b", (F.col("idx") - F.col("w") + 1).alias("idx"), "w", F.struct("c", "n", "s1", "s2").alias("e"))
     s = s.join(last, [KEY, "_b", "w", "idx"]).filter((F.col("e.n") - F.col("n") == F.col("w") - 1) & F.col("y").isNotNull() & (F.col("e.c") - F.col("c") == F.col("w") - 1))
     y = F.col("y")
     mean = (F.col("e.s1") - F.col("s1") + y) / F.col("w")
