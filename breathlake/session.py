@@ -23,6 +23,7 @@ def build(app: str = "breathlake", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # a stage's files go with its last reader
     } | conf
     for k, v in settings.items():
         b = b.config(k, v)
