@@ -172,29 +172,72 @@ def butter(order: int, cut: tuple[float, ...], kind: str) -> tuple[np.ndarray, n
     return gain * np.real(np.poly(dz)), np.real(np.poly(dp))
 
 
-def iir(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Transposed direct form II with initial state ``z``."""
-    y = np.empty_like(x)
-    z = np.r_[z, 0.0]
-    for i, v in enumerate(x):
-        y[i] = o = b[0] * v + z[0]
-        z[:-1] = z[1:] + b[1:] * v - a[1:] * o
-    return y
-
-
-def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Forward and backward filtering with odd extension at both ends."""
+def zero_phase(b: np.ndarray, a: np.ndarray, signals: list[np.ndarray]) -> list[np.ndarray]:
+    """Forward and backward filtering of many signals at once, with odd extension at both ends.
+
+    Signals too short for the extension come back as they are.
+    """
     n = max(len(a), len(b))
     pad = 3 * n
-    if len(x) <= pad:
-        return x
+    at = [i for i, x in enumerate(signals) if len(x) > pad]
+    out = list(signals)
+    if not at:
+        return out
     m = np.zeros((n - 1, n - 1))
     m[:, 0] = -a[1:]
     m[:-1, 1:] = np.eye(n - 2)
     steady = np.linalg.solve(np.eye(n - 1) - m, b[1:] - a[1:] * b[0])
-    e = np.r_[2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2: -pad - 2: -1]]
-    y = iir(b, a, e, steady * e[0])[::-1]
-    return iir(b, a, y, steady * y[0])[::-1][pad:-pad]
+
+    def forward(rows: list[np.ndarray]) -> list[np.ndarray]:
+        x = np.zeros((max(map(len, rows)), len(rows)))
+        for j, r in enumerate(rows):
+            x[: len(r), j] = r
+        y, z = np.empty_like(x), np.vstack([steady[:, None] * x[0], np.zeros(len(rows))])
+        for t, v in enumerate(x):  # one step for all signals
+            y[t] = o = b[0] * v + z[0]
+            z[:-1] = z[1:] + b[1:, None] * v - a[1:, None] * o
+        return [y[: len(r), j] for j, r in enumerate(rows)]
+
+    e = [np.r_[2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2: -pad - 2: -1]] for x in (signals[i] for i in at)]
+    back = forward([y[::-1] for y in forward(e)])
+    for i, y in zip(at, back):
+        out[i] = y[::-1][pad:-pad]
+    return out
+
+
+@dataclass(frozen=True)
+class Cutoff:
+    """A Butterworth filter: ``band`` between ``low`` and ``high`` Hz, ``low`` below ``high``, or ``high`` above ``low``."""
+
+    kind: str = "band"
+    low: float = 0.05
+    high: float = 0.5
+    order: int = 4
+
+    def edges(self) -> tuple[float, ...]:
+        return {"band": (self.low, self.high), "low": (self.high,), "high": (self.low,)}[self.kind]
+
+    def fits(self, rate: float | None) -> bool:
+        """Whether the cut-offs lie below the Nyquist rate."""
+        return bool(rate) and self.edges()[-1] < rate / 2
+
+    def design(self, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        return butter(self.order, tuple(2 * e / rate for e in self.edges()), self.kind)
+
+    def settles(self) -> float:
+        """Seconds after which a past sample counts for less than 1e-11."""
+        rate = 40 * self.edges()[-1]
+        return float(25 / (-np.log(np.abs(np.roots(self.design(rate)[1])).max()) * rate))
+
+
+def _filtered(cutoff: Cutoff, rates: list[float | None], signals: list[np.ndarray | None]) -> list[np.ndarray | None]:
+    """Each signal filtered at its rate; as it is where the filter does not fit."""
+    out = list(signals)
+    for rate in {r for r in rates if cutoff.fits(r)}:
+        at = [i for i, r in enumerate(rates) if r == rate and signals[i] is not None]
+        for i, y in zip(at, zero_phase(*cutoff.design(rate), [signals[i] for i in at])):
+            out[i] = y
+    return out
 
 
 # --- operators on windows ----------------------------------------------------------
@@ -204,7 +247,10 @@ def _clean(raw: pa.Scalar) -> np.ndarray | None:
     """Samples with gaps bridged; None where there is no reading at all."""
     if raw.values is None:
         return None
-    x = raw.values.to_numpy(zero_copy_only=False).astype(float)
+    return _bridged(raw.values.to_numpy(zero_copy_only=False).astype(float))
+
+
+def _bridged(x: np.ndarray) -> np.ndarray | None:
     ok = np.isfinite(x)
     if not ok.any():
         return None
@@ -249,26 +295,53 @@ def filter_windows(windows: DataFrame, kind: str = "band", low: float = 0.05, hi
     """
     w = windows.select("window_id", "recording_id", "sampling_rate", F.col("window_data").cast("array<double>").alias("d")).dropDuplicates(["window_id"])
     schema = pa.schema([("window_id", pa.int64()), ("recording_id", pa.int64()), ("sampling_rate", pa.float64()), ("filtered", pa.list_(pa.float64()))])
+    cutoff = Cutoff(kind, low, high, order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                rate, raw = batch.column(2)[i].as_py(), batch.column(3)[i]
-                x = _clean(raw)
-                top = low if kind == "high" else high
-                if x is None or not rate or top >= rate / 2:
+            rates, bridged, out = batch.column(2).to_pylist(), [_clean(x) for x in batch.column(3)], []
+            done = _filtered(cutoff, rates, bridged)
+            for raw, x, y in zip(batch.column(3), bridged, done):
+                if y is None or y is x:  # no reading, or no filter
                     out.append(raw.as_py())
-                    continue
-                edges = {"band": (low, high), "low": (high,), "high": (low,)}[kind]
-                y = zero_phase(*butter(order, tuple(2 * e / rate for e in edges), kind), x)
-                gone = ~np.isfinite(raw.values.to_numpy(zero_copy_only=False).astype(float))
-                out.append(pa.array(y, mask=gone).to_pylist())
+                else:
+                    out.append(pa.array(y, mask=~np.isfinite(raw.values.to_numpy(zero_copy_only=False).astype(float))).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.float64()))], schema=schema)
 
     return w.mapInArrow(run, "window_id bigint, recording_id bigint, sampling_rate double, filtered array<double>")
 
 
+def filter_samples(samples: DataFrame, cutoff: Cutoff = Cutoff(), block: int = 16384) -> DataFrame:
+    """``recording_id, idx, x, rate`` with each recording filtered as one signal, however long.
+
+    A recording is filtered in blocks of samples that overlap for as long as the
+    filter remembers (``Cutoff.settles``), so no task holds more than a block and
+    its surroundings. Missing samples stay missing and are bridged within the
+    block. A recording comes back as it is where the filter does not fit its rate or
+    it is too short. Samples are unique by recording and index, and those without
+    a row in between count as neighbours.
+    """
+    around = F.ceil(F.lit(cutoff.settles()) * F.coalesce("rate", F.lit(0.0)))
+    s = samples.select("recording_id", F.col("idx").cast("bigint").alias("idx"), F.col("x").cast("double").alias("x"), F.col("rate").cast("double").alias("rate"))
+    first, last = (F.floor((F.col("idx") + d) / block).cast("bigint") for d in (-around, around))
+    s = s.withColumn("_b", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    g = s.groupBy("recording_id", "_b").agg(F.max("rate").alias("rate"), F.sort_array(F.collect_list(F.struct("idx", "x"))).alias("s")).filter(F.exists("s", lambda v: F.floor(v["idx"] / block) == F.col("_b")))
+    schema = pa.schema([("recording_id", pa.int64()), ("idx", pa.int64()), ("x", pa.float64()), ("rate", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rates, rows = batch.column("rate").to_pylist(), [v.values for v in batch.column("s")]
+            signals = [_bridged(v.field("x").to_numpy(zero_copy_only=False).astype(float)) for v in rows]
+            done = _filtered(cutoff, rates, signals)
+            for rec, at, rate, v, y in zip(batch.column("recording_id").to_pylist(), batch.column("_b").to_pylist(), rates, rows, done):
+                idx, x = v.field("idx").to_numpy(), v.field("x").to_numpy(zero_copy_only=False).astype(float)
+                own = idx // block == at
+                y, k = x if y is None else y, int(own.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([rec] * k, pa.int64()), pa.array(idx[own]), pa.array(y[own], mask=~np.isfinite(x[own])), pa.array([rate] * k, pa.float64())], schema=schema)
+
+    return g.select("recording_id", "_b", "rate", "s").mapInArrow(run, "recording_id bigint, idx bigint, x double, rate double")
+
+
 # --- pauses and metrics, on Catalyst alone ----------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,16 +77,18 @@ class Classifier:
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """The rows with ``prediction`` and, where the model gives one, ``score`` of class 1."""
+        """The rows with ``prediction`` and, where the model gives them, ``scores`` of the classes in order and ``score`` of class 1."""
         if self.model is None:
             raise ValueError("not fitted")
         out = self.model.transform(self._rows(df))
         if self.head is not None:
             out = self.head.transform(fourier_features(out, len(self.features), self.params))
         if "probability" in out.columns:
-            out = out.withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
+            out = out.withColumn("scores", vector_to_array("probability"))
         elif "rawPrediction" in out.columns:
-            out = out.withColumn("score", 1 / (1 + F.exp(-F.get(vector_to_array("rawPrediction"), F.lit(1)))))
+            out = out.withColumn("scores", F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-x))))
+        if "scores" in out.columns:
+            out = out.withColumn("score", F.get("scores", F.lit(1)))
         return out.drop("_raw", "features", "rff", "rawPrediction", "probability")
 
     def importances(self, df: DataFrame | None = None) -> dict[str, float]:
@@ -167,6 +170,13 @@ def summary(cells: DataFrame, label: str = "label", prediction: str = "predictio
     return c.agg(w("recall").alias("accuracy"), F.avg("f1").alias("macro_f1"), w("precision").alias("precision"), w("recall").alias("recall"), w("f1").alias("f1"))
 
 
+def binary_rates(cells: DataFrame, label: str = "label", prediction: str = "prediction", positive: float = 1) -> DataFrame:
+    """Accuracy, sensitivity and specificity of ``positive`` against the rest, from confusion counts: one row, NULL where undefined."""
+    y, hit = F.col(label) == positive, (F.col(label) == positive) == (F.col(prediction) == positive)
+    share = lambda rows: F.try_divide(F.sum(F.when(rows & hit, F.col("n")).otherwise(0)), F.sum(F.when(rows, F.col("n")).otherwise(0)))
+    return cells.agg(share(F.lit(True)).alias("accuracy"), share(y).alias("sensitivity"), share(~y).alias("specificity"))
+
+
 def roc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One point per distinct score, from high to low: rates of false and true positives.
 
@@ -200,6 +210,24 @@ def auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFram
     return u.select(F.try_divide(F.col("statistic"), F.col("n1") * F.col("n2")).alias("auc"))
 
 
+def auc_by_class(pred: DataFrame, label: str = "label", scores: str = "scores") -> DataFrame:
+    """``class, n, auc`` of each class against the rest; labels are 0, 1, ... and number the entries of ``scores``.
+
+    A class without rows, or with all of them, has a NULL area. Their average is
+    the area over several classes.
+    """
+    from breathlake.operators.stats import mann_whitney
+
+    d = pred.select(F.col(label).cast("int").alias("_y"), F.posexplode(scores).alias("_c", "value")).dropna()
+    u = mann_whitney(d.select(F.col("_c").cast("string").alias("feature"), (F.col("_y") == F.col("_c")).cast("int").alias("label"), "value"), 1, 0)
+    return u.select(F.col("feature").cast("int").alias("class"), F.col("n1").alias("n"), F.try_divide("statistic", F.col("n1") * F.col("n2")).alias("auc"))
+
+
+def auc_macro(pred: DataFrame, label: str = "label", scores: str = "scores") -> DataFrame:
+    """The plain average of the areas of all classes against the rest: one row."""
+    return auc_by_class(pred, label, scores).agg(F.avg("auc").alias("auc"))
+
+
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5) -> DataFrame:
     """``fold`` 0..k-1, even within each label: rows of a label lie in hash order and are dealt in turn.
 
@@ -216,24 +244,37 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5) -> DataFra
     return j.withColumn("fold", F.pmod(F.col("_off") + F.col("_rn") - 1, F.lit(k)).cast("int")).drop("_h", "_b", "_rn", "_off", "_l")
 
 
-def grid_search(df: DataFrame, base: Classifier, grid: list[dict], key: str, folds: int = 5) -> tuple[Classifier, DataFrame]:
+def grid_search(df: DataFrame, base: Classifier, grid: list[dict], key: str, folds: int = 5, together: bool = True) -> tuple[Classifier, DataFrame]:
     """Every parameter set by stratified cross-validation; the best is refitted on all rows.
 
-    Only one accuracy for each fold and parameter set comes to the driver.
+    Equal scores go to the set listed first. Logistic models of two classes that
+    differ in ``C`` alone are fitted for all sets and folds ``together``, others
+    one by one. Only one accuracy for each fold and set comes to the driver.
     """
-    d = stratified_folds(df, key, base.label, folds).persist()
-    rows = []
+    if together and base.kind == "logistic" and all(set(p) <= {"C"} for p in grid):
+        g, sizes = _blocked(df, key, base.label, base.features)
+        if sorted(sizes) == [0.0, 1.0]:
+            c = np.repeat([p.get("C", base.params.get("C", 1.0)) for p in grid], folds)
+            plan = Folds(sizes, folds, len(grid))
+            scores = _accuracy(_tally(g, plan, *_logistic_rounds(g, plan, len(base.features), c, base.params.get("max_iter", 1000)))).reshape(len(grid), folds)
+            return _refitted(df, base, grid, scores)
+    d = stratified_folds(df.filter(F.col(base.label).isNotNull()), key, base.label, folds).persist()
+    scores = np.full((len(grid), folds), np.nan)
     for i, p in enumerate(grid):
-        scores = []
         for f in range(folds):
             c = Classifier(base.kind, base.features, base.label, base.params | p).fit(d.filter(F.col("fold") != f))
             hit = F.avg((F.col("prediction") == F.col(base.label).cast("double")).cast("double"))
-            scores.append(c.predict(d.filter(F.col("fold") == f)).agg(hit).first()[0])
-        s = [x for x in scores if x is not None]
-        rows.append((i, str(sorted(p.items())), float(np.mean(s)), float(np.std(s))))
+            got = c.predict(d.filter(F.col("fold") == f)).agg(hit).first()[0]
+            scores[i, f] = np.nan if got is None else got
     d.unpersist()
-    best = max(rows, key=lambda r: (r[2], -r[0]))[0]
-    fitted = Classifier(base.kind, base.features, base.label, base.params | grid[best]).fit(df)
+    return _refitted(df, base, grid, scores)
+
+
+def _refitted(df: DataFrame, base: Classifier, grid: list[dict], scores: np.ndarray) -> tuple[Classifier, DataFrame]:
+    """The best parameter set fitted on all rows, and mean and deviation of every set over its folds with rows."""
+    mean, sd = np.nanmean(scores, axis=1), np.nanstd(scores, axis=1)
+    fitted = Classifier(base.kind, base.features, base.label, base.params | grid[int(np.argmax(mean))]).fit(df)
+    rows = [(i, str(sorted(p.items())), float(mean[i]), float(sd[i])) for i, p in enumerate(grid)]
     return fitted, df.sparkSession.createDataFrame(rows, "candidate int, params string, mean_score double, std_score double")
 
 
@@ -277,6 +318,24 @@ class Draws:
         return out
 
 
+class Folds:
+    """Stratified cross-validation in the form of ``Draws``: ``repeats`` times ``k`` rounds, each without one fold of every label.
+
+    ``whole`` adds a round of all rows. Rows lie in hash order within their
+    blocks and are dealt to the folds in turn.
+    """
+
+    def __init__(self, sizes: dict[float, list[int]], k: int, repeats: int = 1, whole: bool = False) -> None:
+        self.labels, self.k, self.rounds = sorted(sizes), k, k * repeats + whole
+        self.last = k * repeats
+        self.at = {c: np.r_[0, np.cumsum(n)] for c, n in sizes.items()}
+
+    def times(self, label: float, block: int, rounds: range) -> np.ndarray:
+        fold = np.arange(self.at[label][block], self.at[label][block + 1]) % self.k
+        r = np.array(rounds)
+        return ((fold[:, None] != r[None] % self.k) | (r[None] >= self.last)).astype(float)
+
+
 def _blocked(df: DataFrame, key: str, label: str, features: list[str], block: int = 1024) -> tuple[DataFrame, dict[float, list[int]]]:
     """Rows of each label in blocks by the key's hash, at most 2048 a label: ``y, b, x``, and the blocks' sizes."""
     x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
@@ -300,11 +359,28 @@ def _per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[float, int,
             yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
 
 
-def _logistic_rounds(g: DataFrame, draws: Draws, p: int, c: float, max_iter: int, chunk: int = 250) -> np.ndarray:
+def _sums(g: DataFrame, run, keys: str) -> list:
+    """One row for each of ``keys`` with the sum of its vectors ``v``, combined before the shuffle."""
+    names = [k.split()[0] for k in keys.split(", ")]
+    rows = g.mapInArrow(run, keys + ", v array<double>").select(*names, array_to_vector("v").alias("v"))
+    return rows.groupBy(*names).agg(Summarizer.sum(F.col("v")).alias("v")).collect()
+
+
+def _vectors(total: np.ndarray, **keys: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``keys`` and one vector each."""
+    n, width = total.shape
+    v = pa.ListArray.from_arrays(np.arange(0, n * width + 1, width, dtype=np.int32), pa.array(total.ravel()))
+    return pa.RecordBatch.from_arrays([*map(pa.array, keys.values()), v], names=[*keys, "v"])
+
+
+def _logistic_rounds(g: DataFrame, draws: Draws | Folds, p: int, c: float | np.ndarray, max_iter: int, active: np.ndarray | None = None, chunk: int = 250) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Coefficients (intercept first) of the penalised logistic fit of every round, all rounds in the same passes.
 
     A pass sums gradients and curvatures by round; Newton's step, halved where the
     loss rose, is taken on the driver. Same objective as ``Classifier('logistic')``.
+    ``c`` may differ by round, and ``active`` names the features (columns) each
+    round (row) may use. Also returned: mean and deviation of a round's linear
+    predictor over its own rows.
     """
     upper = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
     rounds = draws.rounds
@@ -318,13 +394,11 @@ def _logistic_rounds(g: DataFrame, draws: Draws, p: int, c: float, max_iter: int
                 for at in range(0, rounds, chunk):
                     r = range(at, min(rounds, at + chunk))
                     total[r.start : r.stop] += kernel(y, a, aa, draws.times(y, b, r), r)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds)), *[pa.array(total[:, i]) for i in range(width)]], names=["round", *[f"s{i}" for i in range(width)]])
+            yield _vectors(total, round=np.arange(rounds))
 
-        sums = g.mapInArrow(run, "round bigint, " + ", ".join(f"s{i} double" for i in range(width)))
-        rows = sums.groupBy("round").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)]).collect()  # one row a round
         out = np.zeros((rounds, width))
-        for r in rows:
-            out[r["round"]] = r[1:]
+        for r in _sums(g, run, "round bigint"):  # one row a round
+            out[r["round"]] = r["v"].toArray()
         return out
 
     def full(tri: np.ndarray) -> np.ndarray:
@@ -334,15 +408,17 @@ def _logistic_rounds(g: DataFrame, draws: Draws, p: int, c: float, max_iter: int
         return h
 
     m = full(passed(len(upper), lambda y, a, aa, t, r: t.T @ aa))
-    n = m[:, 0, 0]
+    n = np.maximum(m[:, 0, 0], 1)
     mean = m[:, 0, 1:] / n[:, None]
     var = np.einsum("rjj->rj", m[:, 1:, 1:]) / n[:, None] - mean**2
     sd = np.sqrt(np.where(var > 1e-12 * np.maximum(mean**2, 1e-300), var, 0) * (n / np.maximum(n - 1, 1))[:, None])
     inv = np.divide(1, sd, out=np.zeros_like(sd), where=sd > 0)  # a constant feature counts for nothing, as in StandardScaler
+    if active is not None:
+        inv = np.where(active, inv, 0.0)
     jac = np.zeros((rounds, p + 1, p + 1))
     jac[:, 0, 0], jac[:, 0, 1:] = 1, -mean * inv
     jac[:, range(1, p + 1), range(1, p + 1)] = inv
-    ridge = np.r_[0.0, np.full(p, 1 / c)]
+    ridge = np.c_[np.zeros(rounds), np.repeat(1 / np.broadcast_to(c, rounds)[:, None], p, axis=1)]
     theta, before, loss_before = np.zeros((rounds, p + 1)), None, np.full(rounds, np.inf)
     for _ in range(max_iter):
         coef = np.einsum("rij,rj->ri", jac, theta)
@@ -358,7 +434,7 @@ def _logistic_rounds(g: DataFrame, draws: Draws, p: int, c: float, max_iter: int
         if before is not None and rose.any():
             theta[rose] = (theta[rose] + before[rose]) / 2
         grad = np.einsum("rji,rj->ri", jac, s[:, 1 : p + 2]) + ridge * theta
-        hess = np.einsum("rji,rjk,rkl->ril", jac, full(s[:, p + 2 :]), jac) + np.diag(ridge + 1e-12)
+        hess = np.einsum("rji,rjk,rkl->ril", jac, full(s[:, p + 2 :]), jac) + (ridge + 1e-12)[:, :, None] * np.eye(p + 1)
         step = np.linalg.solve(hess, grad[:, :, None])[:, :, 0]
         ok = ~rose
         if ok.all() and (np.einsum("ri,ri->r", grad, step) <= 1e-9 * np.maximum(loss, 1)).all():
@@ -366,34 +442,76 @@ def _logistic_rounds(g: DataFrame, draws: Draws, p: int, c: float, max_iter: int
         before = theta.copy() if before is None else np.where(ok[:, None], theta, before)
         loss_before = np.where(ok, loss, loss_before)
         theta = np.where(ok[:, None], theta - step, theta)
-    return np.einsum("rij,rj->ri", jac, theta)
+    coef = np.einsum("rij,rj->ri", jac, theta)
+    cov = m[:, 1:, 1:] / n[:, None, None] - mean[:, :, None] * mean[:, None, :]
+    spread = np.sqrt(np.maximum(np.einsum("ri,rij,rj->r", coef[:, 1:], cov, coef[:, 1:]), 0))
+    return coef, coef[:, 0] + (coef[:, 1:] * mean).sum(1), spread
+
+
+#: Bins of a round's scores, about even over a bell-shaped spread; pairs within one count half for the area under the curve.
+BINS = 256
+
+
+def _tally(g: DataFrame, draws: Draws | Folds, coef: np.ndarray, centre: np.ndarray, spread: np.ndarray, chunk: int = 250) -> np.ndarray:
+    """Of the rows a round was not fitted on, by round and label: counts by bin of the score, then predicted 0 and 1."""
+    rounds = draws.rounds
+    scale = np.where(spread > 0, spread, 1.0)
+
+    def count(batches):
+        total = np.zeros((rounds, 2, BINS + 2))
+        for y, b, x in _per_block(batches):
+            for at in range(0, rounds, chunk):
+                r = slice(at, min(rounds, at + chunk))
+                k = r.stop - r.start
+                eta, out = coef[r, 0] + x @ coef[r, 1:].T, draws.times(y, b, range(r.start, r.stop)) == 0
+                z = np.clip((eta - centre[r]) / scale[r], -20, 20)
+                bin = np.minimum(BINS / (1 + np.exp(-1.702 * z)), BINS - 1).astype(np.int64)
+                total[r, int(y), :BINS] += np.bincount((np.arange(k) * BINS + bin)[out], minlength=k * BINS).reshape(k, BINS)
+                total[r, int(y), BINS] += ((eta <= 0) & out).sum(0)
+                total[r, int(y), BINS + 1] += ((eta > 0) & out).sum(0)
+        yield _vectors(total.reshape(2 * rounds, -1), round=np.repeat(np.arange(rounds), 2), y=np.tile([0, 1], rounds))
+
+    out = np.zeros((rounds, 2, BINS + 2))
+    for r in _sums(g, count, "round bigint, y bigint"):  # two rows a round
+        out[r["round"], r["y"]] = r["v"].toArray()
+    return out
+
+
+def _accuracy(tally: np.ndarray) -> np.ndarray:
+    cells = tally[:, :, BINS:]
+    n = cells.sum((1, 2))
+    return np.divide(cells[:, 0, 0] + cells[:, 1, 1], n, out=np.full(len(n), np.nan), where=n > 0)
+
+
+def _area(tally: np.ndarray) -> float | None:
+    """Area under the curve of one round, None without rows of both labels."""
+    q, p = tally[:, :BINS]
+    return float((p * (np.cumsum(q) - q / 2)).sum() / (p.sum() * q.sum())) if p.sum() and q.sum() else None
+
+
+METRICS = ("accuracy", "f1", "precision", "recall", "sensitivity", "specificity", "auc")
 
 
 def bootstrap(df: DataFrame, base: Classifier, key: str, rounds: int = 1000, test_size: float = 0.2, together: bool = True) -> DataFrame:
     """Metric means, population deviations and 95 % percentile intervals over the out-of-bag rows of stratified draws.
 
-    Logistic models of two classes are fitted for all rounds ``together``, others one by one.
+    Logistic models of two classes are fitted for all rounds ``together``, others
+    one by one. ``f1``, ``precision`` and ``recall`` are weighted by support;
+    ``sensitivity`` and ``specificity`` need the labels 0 and 1 and are NULL
+    otherwise; ``auc`` is the average over classes where there are more than
+    two, and that of ``BINS`` bins of the scores for models fitted together. Rounds without
+    rows of both labels have no area.
     """
     g, sizes = _blocked(df, key, base.label, base.features)
     draws, p = Draws(sizes, rounds, test_size), len(base.features)
+    by: dict[int, dict] = {}
+    area: dict[int, float | None] = {}
     if together and base.kind == "logistic" and draws.labels == [0.0, 1.0]:
-        coef = _logistic_rounds(g, draws, p, base.params.get("C", 1.0), base.params.get("max_iter", 1000))
-
-        def count(batches):
-            hit = np.zeros((2, 2, rounds))
-            for y, b, x in _per_block(batches):
-                for at in range(0, rounds, 250):
-                    r = range(at, min(rounds, at + 250))
-                    one, out = coef[r.start : r.stop, 0] + x @ coef[r.start : r.stop, 1:].T > 0, draws.times(y, b, r) == 0
-                    hit[int(y), 1, r.start : r.stop] += (one & out).sum(0)
-                    hit[int(y), 0, r.start : r.stop] += (~one & out).sum(0)
-            for y in (0, 1):
-                for k in (0, 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds)), pa.array(np.full(rounds, float(y))), pa.array(np.full(rounds, float(k))), pa.array(hit[y, k].astype(np.int64))], names=["round", "_y", "prediction", "n"])
-
-        cells = g.mapInArrow(count, "round bigint, _y double, prediction double, n bigint").groupBy("round", "_y", "prediction").agg(F.sum("n").alias("n"))
+        for i, t in enumerate(_tally(g, draws, *_logistic_rounds(g, draws, p, base.params.get("C", 1.0), base.params.get("max_iter", 1000)))):
+            by[i] = {(float(y), float(k)): int(t[y, BINS + k]) for y in (0, 1) for k in (0, 1) if t[y, BINS + k]}
+            area[i] = _area(t)
     else:
-        names, cells = base.features, None
+        names, cells, areas = base.features, None, None
         for i in range(rounds):
             def rows(batches, i=i):
                 for y, b, x in _per_block(batches):
@@ -402,13 +520,24 @@ def bootstrap(df: DataFrame, base: Classifier, key: str, rounds: int = 1000, tes
 
             d = g.mapInArrow(rows, "_y double, times int, " + ", ".join(f"`{c}` double" for c in names))
             train = d.filter("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).drop("_copy", "times")
-            fit = Classifier(base.kind, names, "_y", base.params).fit(train)
-            one = confusion(fit.predict(d.filter("times = 0")), "_y").select(F.lit(i).cast("bigint").alias("round"), "_y", "prediction", "n")
+            pred = Classifier(base.kind, names, "_y", base.params).fit(train).predict(d.filter("times = 0"))
+            one = confusion(pred, "_y").select(F.lit(i).alias("round"), "_y", "prediction", "n")
             cells = one if cells is None else cells.unionByName(one)
-    by: dict[int, dict] = {}
-    for r in cells.filter("n > 0").collect():  # counts of rounds and classes
-        by.setdefault(r["round"], {})[r["_y"], r["prediction"]] = r["n"]
-    return bootstrap_summary(df.sparkSession.createDataFrame([_weighted(c) for _, c in sorted(by.items())], "accuracy double, f1 double, precision double, recall double"), ["accuracy", "f1", "precision", "recall"])
+            if "scores" in pred.columns:
+                one = (auc(pred, "_y") if draws.labels == [0.0, 1.0] else auc_macro(pred, "_y")).select(F.lit(i).alias("round"), "auc")
+                areas = one if areas is None else areas.unionByName(one)
+        for r in cells.collect():  # counts of rounds and classes
+            by.setdefault(r["round"], {})[r["_y"], r["prediction"]] = r["n"]
+        area = {r["round"]: r["auc"] for r in areas.collect()} if areas is not None else {}  # one row a round
+    two = draws.labels == [0.0, 1.0]
+    out = [(*_weighted(c), *(_sides(c) if two else (None, None)), area.get(i)) for i, c in sorted(by.items()) if c]
+    return bootstrap_summary(df.sparkSession.createDataFrame(out, ", ".join(f"{m} double" for m in METRICS)), list(METRICS))
+
+
+def _sides(cells: dict[tuple[float, float], int]) -> tuple[float | None, float | None]:
+    """Sensitivity and specificity of one table of counts of the labels 0 and 1."""
+    n = {y: sum(v for (t, _), v in cells.items() if t == y) for y in (1.0, 0.0)}
+    return tuple(cells.get((y, y), 0) / n[y] if n[y] else None for y in (1.0, 0.0))
 
 
 def _weighted(cells: dict[tuple[float, float], int]) -> tuple[float, float, float, float]:
@@ -436,6 +565,68 @@ def ablation(df: DataFrame, base: Classifier, subsets: dict[str, list[str]], key
     return df.sparkSession.createDataFrame(rows, "experiment string, dimension int, accuracy double, accuracy_std double")
 
 
+def experiments(df: DataFrame, base: Classifier, significant: list[str], grid: list[dict], key: str, folds: int = 5, rounds: int = 1000) -> tuple[DataFrame, dict[str, Classifier]]:
+    """All features, the significant ones, and these without one each: tuned, evaluated by bootstrap, refitted on all rows.
+
+    One row for each subset, with the means of the bootstrap rounds, and the
+    refitted models by name. There are at most as many folds as the rarest
+    label has rows, and at least 2. Subsets without features are left out.
+    """
+    subsets = {"All Features": list(base.features), "Significant Features": list(significant)}
+    if len(significant) > 1:
+        subsets |= {f"LOO: -{f}": [x for x in significant if x != f] for f in significant}
+    rarest = df.filter(F.col(base.label).isNotNull()).groupBy(base.label).count().agg(F.min("count")).first()[0]
+    if rarest is None:
+        raise ValueError("no labelled rows")
+    rows, models = [], {}
+    for name, features in subsets.items():
+        if not features:
+            continue
+        best, _ = grid_search(df, Classifier(base.kind, features, base.label, base.params), grid, key, max(2, min(folds, rarest)))
+        m = {r["metric"]: r["mean"] for r in bootstrap(df, best, key, rounds).collect()}
+        rows.append((name, len(features), str(sorted(best.params.items())), m["accuracy"], m["sensitivity"], m["specificity"], m["auc"], ", ".join(features)))
+        models[name] = best
+    return df.sparkSession.createDataFrame(rows, "experiment string, dimension int, hyperparameters string, accuracy double, sensitivity double, specificity double, auc double, features_used string"), models
+
+
+def elimination_cv(df: DataFrame, features: list[str], label: str, key: str, keep: int = 1, step: int = 1, folds: int = 5, c: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """How many features serve best out of sample, by elimination within every fold: ``feature, rank, selected`` and ``n_features, mean_score, std_score``.
+
+    The ``step`` features with the smallest standardised coefficients leave each
+    time; those of all rows set the ranks, those of each fold its scores. Equal
+    scores go to fewer features, equal coefficients leave in order of name. Labels
+    are 0 and 1; missing values count as 0. All folds are fitted together.
+    """
+    g, sizes = _blocked(df, key, label, features)
+    if sorted(sizes) != [0.0, 1.0]:
+        raise ValueError("labels must be 0 and 1")
+    p, plan = len(features), Folds(sizes, folds, whole=True)
+    active = np.ones((plan.rounds, p), bool)
+    sd = np.array([r or 0.0 for r in df.filter(F.col(label).isNotNull()).agg(*[F.stddev_samp(F.coalesce(F.col(f).cast("double"), F.lit(0.0))) for f in features]).first()])
+    by_name = np.argsort(np.argsort(features))
+    left, scores = p, []
+    gone = np.zeros(p, int)  # the number of features at which one of them leaves the fit of all rows
+    while True:
+        coef, centre, spread = _logistic_rounds(g, plan, p, c, 1000, active)
+        acc = _accuracy(_tally(g, plan, coef, centre, spread))[:folds]
+        scores.append((left, float(np.nanmean(acc)), float(np.nanstd(acc))))
+        if left <= max(keep, 1):
+            break
+        drop = min(step, left - max(keep, 1))
+        for r in range(plan.rounds):
+            order = [i for i in np.lexsort((by_name, np.abs(coef[r, 1:]) * sd)) if active[r, i]][:drop]
+            active[r, order] = False
+            if r == folds:
+                gone[order] = left
+        left -= drop
+    best = max(scores, key=lambda s: (s[1], -s[0]))[0]
+    stays = sorted({int(x) for x in gone if x})
+    rank = {0: 1} | {x: i + 2 for i, x in enumerate(stays)}
+    spark = df.sparkSession
+    rows = [(f, rank[int(gone[i])], bool(gone[i] == 0 or gone[i] <= best)) for i, f in enumerate(features)]
+    return spark.createDataFrame(rows, "feature string, rank int, selected boolean"), spark.createDataFrame(scores, "n_features int, mean_score double, std_score double")
+
+
 # --- nearest neighbours ---------------------------------------------------------------------
 
 

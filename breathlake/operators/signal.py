@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from breathlake.operators.breaths import Cutoff, filter_samples
 from breathlake.operators.quantiles import group_quantiles
 from breathlake.session import cut
 
@@ -332,12 +333,12 @@ def sign_segments(samples: DataFrame, threshold: float = 0.0, block: int = BLOCK
     return g.select(KEY, "side", "start_idx", "end_idx", (F.col("area") / F.col("rate")).alias("volume"), ((F.col("end_idx") - 1 - F.col("start_idx")) / F.col("rate")).alias("duration"), "peak_value", "peak_idx", ((F.col("peak_idx") - F.col("start_idx")) / F.col("rate")).alias("latency"))
 
 
-def clean(samples: DataFrame, method: str | None = "linear", k: float = 5.0) -> tuple[DataFrame, DataFrame]:
+def clean(samples: DataFrame, method: str | None = "linear", k: float = 5.0, cutoff: Cutoff | None = None) -> tuple[DataFrame, DataFrame]:
     """Cleaned samples and the quality report with what was done to each recording.
 
     Materialises its stages. Recordings to reject drop out of the samples; those to clean have their
     issues repaired; then outliers are interpolated and, for detrending, gaps
-    filled. ``method`` None leaves trend and gaps.
+    filled. ``method`` None leaves trend and gaps. ``cutoff`` filters what remains, last of all.
     """
     samples = cut(samples)  # each stage reads the one before several times
     issues = cut(all_issues(samples))
@@ -348,5 +349,7 @@ def clean(samples: DataFrame, method: str | None = "linear", k: float = 5.0) ->
     out = cut(remove_outliers(cut(fine.unionByName(repaired)), k).select(KEY, "idx", "x", "rate"))
     if method:
         out = detrend(cut(fill_missing(out).select(KEY, "idx", "x", "rate")), method)
+    if cutoff:
+        out = filter_samples(cut(out.select(KEY, "idx", "x", "rate")), cutoff)
     status = F.when(F.col("recommendation") == "reject", "rejected").when(F.col("recommendation") == "clean", "repaired").otherwise("ok")
     return out, report.withColumn("status", status)

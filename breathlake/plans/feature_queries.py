@@ -15,8 +15,6 @@ from breathlake.sources.names import date_from_name, subject_from_name
 from breathlake.session import cut, table
 
 ALL = list(METRICS)
-#: Features of the models that are fitted many times over (folds, rounds, subsets).
-EIGHT = ["inhale_volume", "exhale_volume", "inter_breath_interval", "rate", "tidal_volume", "minute_ventilation", "duty_cycle_inhale", "cov_breathingrate"]
 FUNCTIONS = list(ft.AGGREGATES)
 
 
@@ -182,7 +180,7 @@ def mann_whitney_u(s, d):
 
 
 def kruskal_h(s, d):
-    return rounded(stats.kruskal(_long(s, d, "sensor")).select("feature", "k", "statistic"))
+    return rounded(stats.kruskal(_long(s, d, "sensor")).select("feature", "k", "statistic", "p_value"))
 
 
 def anova_f(s, d):
@@ -201,9 +199,15 @@ def compare_groups_multi(s, d):
     return stats.compare_multi(_long(s, d, "sensor"))
 
 
+def compare_groups_flat(s, d):
+    """The comparison of all sensors with one row for each feature and group."""
+    c = compare_groups_multi(s, d).withColumn("g", F.explode("groups"))
+    return rounded(c.select("feature", F.col("g.label").alias("label"), F.col("g.mean").alias("mean"), F.col("g.std").alias("std"), F.col("g.n").alias("n"), "statistic", "p_value", "effect_size", "n_groups", "p_adjusted", "significant"))
+
+
 def _pvalues(s, d) -> DataFrame:
-    """One number in (0, 1] per metric and sensor, from how many values there are."""
-    return _long(s, d, "sensor", list(METRICS)).groupBy("feature", "label").agg(((F.count("value") * 7919) % 997 + 1).alias("k")).select(F.concat_ws("|", "feature", "label").alias("feature"), (F.col("k") / 1000.0).alias("p_value"))
+    """One p for each metric, from the comparison of all sensors."""
+    return stats.kruskal(_long(s, d, "sensor")).select("feature", "p_value")
 
 
 def _adjusted(method: str):
@@ -329,6 +333,17 @@ def auc(s, d):
     return rounded(ml.auc(_scored(s, d)))
 
 
+def outcome_rates(s, d):
+    return rounded(ml.binary_rates(ml.confusion(_scored(s, d))))
+
+
+def auc_by_class(s, d):
+    """The nearer the rate to a tenth of the class, the more it speaks for it."""
+    f = ft.merge_labels(_features(s, d, ["rate"]), _labels(s, d), "subject", "current_consciousness").dropna(subset=["rate"])
+    f = f.select(F.col("current_consciousness").alias("label"), F.array(*[F.round(1 - F.abs(F.col("rate") - k / 10), 4) for k in range(4)]).alias("scores"))
+    return rounded(ml.auc_by_class(f))
+
+
 def stratified_folds(s, d):
     f = ml.stratified_folds(_features(s, d, ["rate"]).select("feature_id", "sensor"), "feature_id", "sensor", 5)
     return f.groupBy("sensor").agg(F.max("fold").alias("last_fold"), F.count("*").alias("n"), F.count_distinct("fold").alias("folds"))
@@ -362,31 +377,42 @@ def pca_variance(s, d):
 
 
 def grid_search(s, d):
-    return ml.grid_search(_table(s, d), ml.Classifier("logistic", EIGHT), [{"C": 0.1}, {"C": 10.0}], "feature_id", 3)[1]
+    return ml.grid_search(_table(s, d), ml.Classifier("logistic", ALL), [{"C": 0.1}, {"C": 10.0}], "feature_id", 3)[1]
 
 
 def bootstrap_intervals(s, d):
-    return ml.bootstrap(_table(s, d), ml.Classifier("logistic", EIGHT), "feature_id")
+    return ml.bootstrap(_table(s, d), ml.Classifier("logistic", ALL), "feature_id")
 
 
 def ablation(s, d):
-    return ml.ablation(_table(s, d), ml.Classifier("logistic", EIGHT), {"all": EIGHT, "without_rate": [c for c in EIGHT if c != "rate"]}, "feature_id")
+    return ml.ablation(_table(s, d), ml.Classifier("logistic", ALL), {"all": ALL, "without_rate": [c for c in ALL if c != "rate"]}, "feature_id")
+
+
+def experiments(s, d):
+    t = _table(s, d)
+    p = stats.mann_whitney(ft.melt(t, ["label"], ALL), 1.0, 0.0)
+    best = [r["feature"] for r in select.select_from_results(p, n=3).collect()]  # names only
+    return ml.experiments(t, ml.Classifier("logistic", ALL), best, [{"C": 0.1}, {"C": 10.0}], "feature_id", 3)[0]
+
+
+def elimination_cv(s, d):
+    return ml.elimination_cv(_table(s, d), ALL, "label", "feature_id", keep=3, step=4)[0]
 
 
 def recursive_elimination(s, d):
     def importance(df, names, label):
         return ml.Classifier("logistic", names, label).fit(df).importances()
 
-    rows = select.recursive_elimination(_table(s, d), EIGHT, "label", importance, keep=3, step=2)
+    rows = select.recursive_elimination(_table(s, d), ALL, "label", importance, keep=3, step=4)
     return s.createDataFrame(rows, "feature string, rank int")
 
 
 _ALL = (
     aggregate_windows, aggregate_min_valid, aggregate_propagate, aggregate_custom, valid_counts, feature_statistics, normalize_zscore, normalize_minmax, normalize_robust, fill_mean, fill_median, fill_zero, fill_drop,
     melt, concat_union, split_train, split_test, feature_matrix, feature_matrix_summary, label_distribution, remap_labels, exclude_labels, cohort_filter, merge_labels_inner, lookup_left_outer, subject_from_filename, date_from_filename,
-    sampling_rate_infer, welch_t, mann_whitney_u, kruskal_h, anova_f, effect_sizes, compare_groups_binary, compare_groups_multi, *(_adjusted(m) for m in ("bonferroni", "sidak", "holm", "fdr_bh", "fdr_by")),
+    sampling_rate_infer, welch_t, mann_whitney_u, kruskal_h, anova_f, effect_sizes, compare_groups_binary, compare_groups_multi, compare_groups_flat, *(_adjusted(m) for m in ("bonferroni", "sidak", "holm", "fdr_bh", "fdr_by")),
     corr_pearson_matrix, corr_pairs, remove_correlated, outcome_pearson, outcome_spearman, outcome_kendall, kendall, variance_filter, select_top_n, select_statistical, select_combined, violin_data, label_summary, safe_names, binned_mutual_information, knn_neighbors, knn_predict,
-    confusion_matrix, class_scores, roc_points, auc, stratified_folds, pca_scores, pca_loadings, pca_variance, grid_search, bootstrap_intervals, ablation, recursive_elimination,
+    confusion_matrix, class_scores, outcome_rates, roc_points, auc, auc_by_class, stratified_folds, pca_scores, pca_loadings, pca_variance, grid_search, bootstrap_intervals, ablation, experiments, recursive_elimination, elimination_cv,
     _predictions("logistic", {}), _predictions("forest", {}), _predictions("boosting", {}), _predictions("svm", {"kernel": "rbf", "components": 100}), _predictions("network", {}),
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -417,11 +443,16 @@ def _melted(names, label: str = "sensor") -> str:
 
 _RANKED = "rk as (select feature, label, value, rank() over (partition by feature order by value) + (count(*) over (partition by feature, value) - 1) / 2 r, count(*) over (partition by feature, value) t from long where value is not null {})"
 _MOM = "mom as (select feature, label, count(value) n, avg(value) m, var_samp(value) v from long where value is not null group by 1, 2), two as (select a.feature, a.n n1, b.n n2, a.m m1, b.m m2, a.v v1, b.v v2 from mom a join mom b on a.feature = b.feature and a.label = 'belt' and b.label = 'mask')"
-_PV = f"with {_wf(METRICS)}, {_melted(METRICS)}, pv as (select feature || '|' || label feature, ((count(value) * 7919) % 997 + 1) / 1000.0::double p_value from long group by feature, label), rk as (select *, count(*) over () m, row_number() over (order by p_value, feature) r from pv)"
+# the sensors are three, and the tail of chi-square with two degrees of freedom is exp(-x / 2)
+_KRUSKAL = f"""{_RANKED.format('')}, ti as (select feature, sum(t * t - 1.0) ties from rk group by 1), rg as (select feature, label, count(*) n, sum(r) s from rk group by 1, 2),
+    rh as (select feature, count(*) k, sum(n)::double n, sum(s * s / n) q from rg group by 1),
+    kw as (select feature, k, (12 * q / (n * (n + 1)) - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) statistic, exp(-statistic / 2) p_value from rh join ti using (feature)), pv as (select *, count(*) over () m, row_number() over (order by p_value, feature) r from kw)"""
+_ANOVA = """ag as (select feature, label, count(value) n, avg(value) m, stddev_pop(value) sd, var_samp(value) * (count(value) - 1) w from long where value is not null group by 1, 2),
+    agm as (select feature, sum(n * m) / sum(n) gm from ag group by 1), af as (select feature, count(*) k, sum(n) n, sum(n * pow(m - gm, 2)) b, sum(w) w from ag join agm using (feature) group by 1)"""
 
 
 def _padj(expr: str, extra: str = "") -> str:
-    return f"{_PV}, a as (select feature, p_value, {expr} p_adjusted from rk {extra}) select feature, round(p_value, 6) p_value, round(p_adjusted, 6) p_adjusted, p_adjusted < 0.05 significant from a"
+    return f"with {_wf(ALL)}, {_melted(ALL)}, {_KRUSKAL}, a as (select feature, p_value, {expr} p_adjusted from pv {extra}) select feature, round(p_value, 6) p_value, round(p_adjusted, 6) p_adjusted, p_adjusted < 0.05 significant from a"
 
 
 _PAIRS = [(a, b) for i, a in enumerate(ALL) for b in ALL[i + 1:]]
@@ -468,19 +499,18 @@ ORACLE = {
         g as (select feature, count(*) filter (label = 'belt') n1, count(*) filter (label = 'mask') n2, sum(r) filter (label = 'belt') r1, sum(t * t - 1.0) ties from rk group by 1),
         u as (select *, r1 - n1 * (n1 + 1) / 2 statistic, n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1))) var from g)
         select feature, n1, n2, round(statistic, 6) statistic, round(greatest(abs(statistic - n1 * n2 / 2) - 0.5, 0) / sqrt(var), 6) z, round(1 - 2 * statistic / (n1 * n2), 6) effect_size from u""",
-    "kruskal_h": f"""with {_wf(ALL)}, {_melted(ALL)}, {_RANKED.format('')}, ti as (select feature, sum(t * t - 1.0) ties from rk group by 1),
-        g as (select feature, label, count(*) n, sum(r) s from rk group by 1, 2), h as (select feature, count(*) k, sum(n)::double n, sum(s * s / n) q from g group by 1)
-        select feature, k, round((12 * q / (n * (n + 1)) - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 6) statistic from h join ti using (feature)""",
-    "anova_f": f"""with {_wf(ALL)}, {_melted(ALL)}, g as (select feature, label, count(value) n, avg(value) m, var_samp(value) * (count(value) - 1) w from long where value is not null group by 1, 2),
-        t as (select feature, sum(n * m) / sum(n) gm from g group by 1), f as (select feature, count(*) k, sum(n) n, sum(n * pow(m - gm, 2)) b, sum(w) w from g join t using (feature) group by 1)
-        select feature, k, round((b / (k - 1)) / (w / (n - k)), 6) statistic, round(b / (b + w), 6) eta_squared from f""",
+    "kruskal_h": f"with {_wf(ALL)}, {_melted(ALL)}, {_KRUSKAL} select feature, k, round(statistic, 6) statistic, round(p_value, 6) p_value from kw",
+    "compare_groups_flat": f"""with {_wf(ALL)}, {_melted(ALL)}, {_KRUSKAL}, {_ANOVA}, pa as (select *, least(min(p_value * m / r) over (order by r desc), 1) p_adjusted from pv)
+        select feature, label, round(ag.m, 6) mean, round(sd, 6) std, ag.n, round(statistic, 6) statistic, round(p_value, 6) p_value, round(b / (b + af.w), 6) effect_size, af.k n_groups, round(p_adjusted, 6) p_adjusted, p_adjusted < 0.05 significant
+        from ag join pa using (feature) join af using (feature)""",
+    "anova_f": f"with {_wf(ALL)}, {_melted(ALL)}, {_ANOVA} select feature, k, round((b / (k - 1)) / (w / (n - k)), 6) statistic, round(b / (b + w), 6) eta_squared from af",
     "effect_sizes": f"""with {_wf(ALL)}, {_melted(ALL)}, {_MOM}, d as (select feature, n1 + n2 n, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) d, (m1 - m2) / sqrt(v2) g from two)
         select feature, round(d, 6) cohens_d, round(d * (1 - 3 / (4 * n - 9)), 6) hedges_g, round(g, 6) glass_delta from d""",
     "p_adjust_bonferroni": _padj("least(p_value * m, 1)"),
     "p_adjust_sidak": _padj("1 - pow(1 - p_value, m)"),
     "p_adjust_holm": _padj("least(max(p_value * (m - r + 1)) over (order by r), 1)"),
     "p_adjust_fdr_bh": _padj("least(min(p_value * m / r) over (order by r desc), 1)"),
-    "p_adjust_fdr_by": _padj("least(min(p_value * m * h / r) over (order by r desc), 1)", "join (select sum(1 / r) h from rk) on true"),
+    "p_adjust_fdr_by": _padj("least(min(p_value * m * h / r) over (order by r desc), 1)", "join (select sum(1 / r) h from pv) on true"),
     "corr_pearson_matrix": f"{_MATRIX} select feature_a, feature_b, round(r, 6) r from mx",
     "corr_pairs": f"{_MATRIX} select feature_a, feature_b, round(r, 6) r, round(abs(r), 6) abs_r from mx where abs(r) >= 0.5",
     "remove_correlated": f"{_MATRIX} select distinct feature_b feature from mx where abs(r) > 0.5",
@@ -507,7 +537,11 @@ ORACLE = {
     "roc_points": f"""{_SCORED}, g as (select score, sum(label) p, count(*) - sum(label) q from sc group by 1)
         select score threshold, round(sum(q) over (order by score desc) / sum(q) over (), 6) fpr, round(sum(p) over (order by score desc) / sum(p) over (), 6) tpr from g""",
     "auc": f"{_SCORED}, r as (select label, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2 r from sc) select round((sum(r) filter (label = 1) - count(*) filter (label = 1) * (count(*) filter (label = 1) + 1) / 2) / (count(*) filter (label = 1) * count(*) filter (label = 0)), 6) auc from r",
+    "outcome_rates": f"{_SCORED} select round(avg(cast(label = prediction as integer)), 6) accuracy, round(avg(cast(prediction = 1 as integer)) filter (label = 1), 6) sensitivity, round(avg(cast(prediction <> 1 as integer)) filter (label <> 1), 6) specificity from sc",
+    "auc_by_class": f"""with {_wf(['rate'])}, {_LAB}, sc as (select current_consciousness y, c, round(1 - abs(rate - c / 10), 4) v from wf join lab using (subject), (select unnest([0, 1, 2, 3]) c) where current_consciousness is not null and rate is not null),
+        r as (select c, y = c hit, rank() over (partition by c order by v) + (count(*) over (partition by c, v) - 1) / 2 r from sc), g as (select c, count(*) filter (hit) n1, count(*) filter (not hit) n2, sum(r) filter (hit) r1 from r group by 1)
+        select c as class, n1 n, round((r1 - n1 * (n1 + 1) / 2) / nullif(n1 * n2, 0), 6) auc from g""",
     "stratified_folds": f"with {_wf(['rate'])} select sensor, cast(least(count(*), 5) - 1 as integer) last_fold, count(*) n, least(count(*), 5) folds from wf group by 1",
 }
-ORACLE["select_top_n"] = ORACLE["kruskal_h"].replace("select feature, k, round(", "select feature, round(").replace(" statistic from h", " score from h") + " order by score desc, feature limit 5"
+ORACLE["select_top_n"] = f"with {_wf(ALL)}, {_melted(ALL)}, {_KRUSKAL} select feature, round(statistic, 6) score from kw order by score desc, feature limit 5"
 ORACLE = {k: nudged(v) for k, v in ORACLE.items()}

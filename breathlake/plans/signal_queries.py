@@ -117,6 +117,11 @@ def clean_signal(s: SparkSession, d: str) -> DataFrame:
     return sg.clean(_samples(s, d))[0].select("recording_id", "idx", "x")
 
 
+def clean_filtered(s: SparkSession, d: str) -> DataFrame:
+    """The whole chain with a band of breathing at its end."""
+    return sg.clean(_samples(s, d), cutoff=br.Cutoff())[0].select("recording_id", "idx", "x")
+
+
 def signal_traces(s: SparkSession, d: str) -> DataFrame:
     """Raw and cleaned signal side by side, one point for each 10 s."""
     x = cut(_samples(s, d))  # read several times
@@ -133,7 +138,7 @@ def event_windows(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (sliding_windows, recording_shape, window_count, time_segment, gap_runs, outlier_runs, physical_runs, flat_runs, quality_report, gap_repair, outlier_interpolate, fill_gaps,
-              detrend_linear, detrend_constant, sign_segments, breath_metrics, phase_pauses, inter_breath_intervals, window_breaths, window_metrics, bandpass_windows, clean_signal, signal_traces, event_windows)
+              detrend_linear, detrend_constant, sign_segments, breath_metrics, phase_pauses, inter_breath_intervals, window_breaths, window_metrics, bandpass_windows, clean_signal, clean_filtered, signal_traces, event_windows)
 }
 
 _S = """w0 as (select distinct window_id, recording_id, start_idx, sampling_rate rate, window_data from signal_windows),

@@ -142,15 +142,15 @@ def to_samples(recordings: DataFrame) -> DataFrame:
     return ok.select(F.xxhash64("path").alias("recording_id"), F.col("sampling_rate").alias("rate"), F.posexplode("signal").alias("i", "x")).select("recording_id", F.col("i").cast("bigint").alias("idx"), "x", "rate")
 
 
-def read_labels(spark: SparkSession, path: str, id_column: str = "SubjectID") -> DataFrame:
-    """Labels from CSV or the first sheet of an .xlsx; the id column may have blanks around it.
+def read_labels(spark: SparkSession, path: str, id_column: str = "SubjectID", sheet: int | str = 1) -> DataFrame:
+    """Labels from CSV or a sheet of an .xlsx, by number or name; the id column may have blanks around it.
 
     The id becomes ``subject_id``, a trimmed string. A missing id column is an error.
     """
     if path.endswith(".xlsx"):
         from breathlake.sources.xlsx import read_sheet
 
-        rows = read_sheet(path)
+        rows = read_sheet(path, sheet)
         df = spark.createDataFrame([tuple(r) for r in rows[1:]], ", ".join(f"`{c}` string" for c in rows[0])) if rows else spark.createDataFrame([], "none string")
     else:
         df = spark.read.csv(path, header=True)

@@ -40,14 +40,17 @@ def _sheet(columns: list[str], rows: list[tuple]) -> str:
 
 
 def write_workbook(path: str, sheets: dict[str, DataFrame], max_rows: int = MAX_ROWS) -> None:
-    """One sheet per result; names are cut to 31 characters. More than ``max_rows`` rows are an error."""
+    """One sheet per result; names are cut to 31 characters and, where two then agree regardless of case, numbered. More than ``max_rows`` rows are an error."""
     parts, names = [], []
     for name, df in sheets.items():
         rows = [tuple(r) for r in df.limit(max_rows + 1).collect()]
         if len(rows) > max_rows:
             raise ValueError(f"{name} has more than {max_rows} rows; write it as a table")
         parts.append(_sheet(df.columns, rows))
-        names.append(name[:31])
+        cut, k = name[:31], 2
+        while cut.lower() in {n.lower() for n in names}:
+            cut, k = f"{name[:31 - len(f' ({k})')]} ({k})", k + 1
+        names.append(cut)
     n = range(1, len(parts) + 1)
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     pack = "http://schemas.openxmlformats.org/package/2006"
@@ -61,13 +64,29 @@ def write_workbook(path: str, sheets: dict[str, DataFrame], max_rows: int = MAX_
             z.writestr(f"xl/worksheets/sheet{i}.xml", p)
 
 
-def read_sheet(path: str, sheet: int = 1) -> list[list[str | None]]:
-    """All cells of a sheet as text; a driver-side read for label sheets."""
+def sheet_names(path: str) -> dict[str, str]:
+    """The sheets in order, and where each lies in the file."""
+    rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    with zipfile.ZipFile(path) as z:
+        at = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        return {s.get("name"): f"xl/{at[s.get(rel)]}".replace("xl//", "") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).findall("m:sheets/m:sheet", _NS)}
+
+
+def read_sheet(path: str, sheet: int | str = 1) -> list[list[str | None]]:
+    """All cells of a sheet, by its number from 1 or its name, as text; a driver-side read for label sheets.
+
+    A name the workbook does not have is an error.
+    """
+    have = sheet_names(path)
+    if isinstance(sheet, int):
+        sheet = list(have)[sheet - 1]
+    elif sheet not in have:
+        raise KeyError(f"no sheet {sheet}; there are {', '.join(have)}")
     with zipfile.ZipFile(path) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
-        root = ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml"))
+        root = ElementTree.fromstring(z.read(have[sheet]))
     rows = []
     for row in root.iter(f"{{{_NS['m']}}}row"):
         cells: dict[int, str | None] = {}

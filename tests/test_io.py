@@ -88,3 +88,18 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.k, r.start): r.n for r in spark.sql("select * from w").collect()}
     assert got and all(want[k] == v for k, v in got.items())
+
+
+def test_sheets_by_name_and_names_that_agree(spark, tmp_path):
+    from breathlake.sources.xlsx import read_sheet, sheet_names, write_workbook
+    from breathlake.sources.files import read_labels
+
+    long = "a" * 31
+    df = lambda v: spark.createDataFrame([(v, 1)], "SubjectID string, y int")
+    at = str(tmp_path / "w.xlsx")
+    write_workbook(at, {long + "x": df("p"), long + "y": df("q"), "Labels": df(" r ")})
+    names = list(sheet_names(at))
+    assert names == [long, "a" * 27 + " (2)", "Labels"] and read_sheet(at, names[1])[1][0] == "q" and read_sheet(at)[1][0] == "p"
+    assert read_labels(spark, at, sheet="Labels").first().subject_id == "r"
+    with pytest.raises(KeyError):
+        read_sheet(at, "none")

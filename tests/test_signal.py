@@ -96,7 +96,7 @@ def test_find_peaks_by_hand():
 def test_filter_keeps_the_band_and_phase():
     t = np.arange(3000) / 6.0
     b, a = br.butter(4, (0.05 / 3, 0.5 / 3), "band")
-    y = br.zero_phase(b, a, np.sin(2 * np.pi * 0.2 * t) + np.sin(2 * np.pi * 1.5 * t) + 5)
+    y = br.zero_phase(b, a, [np.sin(2 * np.pi * 0.2 * t) + np.sin(2 * np.pi * 1.5 * t) + 5])[0]
     assert np.abs(y[300:-300] - np.sin(2 * np.pi * 0.2 * t)[300:-300]).max() < 0.02
 
 
@@ -137,3 +137,35 @@ def test_pipeline_from_windows_to_recordings(spark):
     assert compare_outcome(df, "y", ["rate_mean"]).first().n1 == 2
     with pytest.raises(ValueError):
         compare_outcome(df.filter("y = 1"), "y", ["rate_mean"])
+
+
+def test_recordings_are_filtered_in_blocks_as_in_one_piece(spark):
+    g = np.random.default_rng(4)
+    n, cutoff = 9000, br.Cutoff("band", 0.1, 0.5, 2)
+    x = np.cumsum(g.normal(size=n)) / 5 + np.sin(np.arange(n) / 6)
+    rows = [(1, i, None if i in (50, 51, 4000) else float(v), 6.0) for i, v in enumerate(x)] + [(2, i, float(i % 3), 6.0) for i in range(10)] + [(3, i, float(i), 0.9) for i in range(200)] + [(4, 0, None, 6.0)]
+    s = spark.createDataFrame(rows, "recording_id long, idx long, x double, rate double")
+    got = {r: dict((y.idx, y.x) for y in br.filter_samples(s, cutoff, block=2048).filter(f"recording_id = {r}").collect()) for r in (1, 2, 3, 4)}
+    b, a = cutoff.design(6.0)
+    known = np.array([r[2] is not None for r in rows[:n]])
+    want = br.zero_phase(b, a, [np.interp(np.arange(n), np.flatnonzero(known), x[known])])[0]
+    assert len(got[1]) == n and all(got[1][i] is None for i in (50, 51, 4000))
+    assert max(abs(got[1][i] - want[i]) for i in range(n) if known[i]) < 1e-7
+    assert [got[2][i] for i in range(10)] == [float(i % 3) for i in range(10)] and got[3][199] == 199.0 and got[4] == {0: None}  # too short, cut-off beyond Nyquist, no reading
+    assert br.filter_samples(s.limit(0), cutoff).count() == 0
+
+
+def test_signals_filtered_together_are_those_filtered_alone():
+    g = np.random.default_rng(1)
+    b, a = br.butter(4, (0.05, 0.3), "band")
+    xs = [g.normal(size=k) for k in (400, 5, 90, 250)]
+    for x, y in zip(xs, br.zero_phase(b, a, xs)):
+        assert np.allclose(br.zero_phase(b, a, [x])[0], y, atol=1e-12)
+
+
+def test_the_chain_may_end_with_a_filter(spark):
+    t = np.arange(3000)
+    x = np.sin(2 * np.pi * 0.2 * t / 6) + np.sin(2 * np.pi * 2.0 * t / 6)
+    s = spark.createDataFrame([(1, int(i), float(v), 6.0) for i, v in zip(t, x)], "recording_id long, idx long, x double, rate double")
+    out = {r.idx: r.x for r in sg.clean(s, "constant", cutoff=br.Cutoff("low", high=0.5))[0].collect()}
+    assert max(abs(out[i] - np.sin(2 * np.pi * 0.2 * i / 6)) for i in range(300, 2700)) < 0.02

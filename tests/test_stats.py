@@ -123,3 +123,14 @@ def test_spearman_and_kendall_by_hand(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0), (3.0, 2.0), (4.0, 4.0), (None, 1.0)], "a double, y double")
     assert stats.outcome_correlation(df, ["a"], "y", "spearman").first().correlation == pytest.approx(0.8)
     assert stats.kendall_tau(df, "a", "y").first().tau == pytest.approx(4 / 6)
+
+
+def test_tails_by_numbers_known_in_closed_form():
+    from breathlake.functions import distributions as dist
+    import math
+
+    assert dist.t_two_sided(1.0, 1) == pytest.approx(0.5) and dist.t_two_sided(2.0, 2) == pytest.approx(1 - 2 / math.sqrt(6))
+    for x in (0.01, 1.0, 7.5, 60.0):
+        assert dist.chi2_tail(x, 2) == pytest.approx(math.exp(-x / 2)) and dist.chi2_tail(x, 4) == pytest.approx(math.exp(-x / 2) * (1 + x / 2))
+        assert dist.f_tail(x, 2, 6) == pytest.approx((1 + x / 3) ** -3) and dist.chi2_tail(x, 1) == pytest.approx(math.erfc(math.sqrt(x / 2)))
+        assert dist.normal_tail(x / 5) == pytest.approx(math.erfc(x / 5 / math.sqrt(2)) / 2)
