@@ -19,15 +19,23 @@ from breathlake.functions import distributions as dist
 from breathlake.operators.quantiles import group_quantiles
 from breathlake.session import cut
 
-#: Ranges of values within which ranks are counted.
-RANGES = 128
+#: Most ranges of a group within which ranks are counted.
+RANGES = 1024
+#: Distinct values of a range where a group is to have several.
+PER_RANGE = 50_000
 
 
-def ranks(long: DataFrame, by: list[str], value: str = "value", ranges: int = RANGES, weight: str | None = None) -> DataFrame:
-    """``by, value, n, rank``: each distinct value with its count (or sum of ``weight``) and its tie-averaged rank."""
+def ranks(long: DataFrame, by: list[str], value: str = "value", ranges: int = RANGES, weight: str | None = None, per_range: int = PER_RANGE) -> DataFrame:
+    """``by, value, n, rank``: each distinct value with its count (or sum of ``weight``) and its tie-averaged rank.
+
+    A group has a range for each ``per_range`` distinct values, at most ``ranges``; their number changes no rank.
+    """
     vc = long.dropna(subset=[value]).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
-    cuts = vc.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10 * ranges)).alias("_cuts"))
-    vc = vc.join(cuts, by).withColumn("_r", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value)))).drop("_cuts")
+    large = vc.groupBy(*by).agg(F.count("*").alias("_d")).filter(F.col("_d") >= 2 * per_range)  # most groups need no cuts
+    every = F.ceil(F.lit(ranges) / F.floor(F.col("_d") / per_range)).cast("int")
+    cuts = vc.join(large, by).groupBy(*by, "_d").agg(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10 * ranges)).alias("_c"))
+    cuts = cuts.select(*by, F.array_distinct(F.filter("_c", lambda c, i: (i + 1) % every == 0)).alias("_cuts"))
+    vc = vc.join(cuts, by, "left").withColumn("_r", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))).drop("_cuts")
     offsets = vc.groupBy(*by, "_r").agg(F.sum("n").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # at most ``ranges`` rows
     offsets = offsets.select(*by, "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

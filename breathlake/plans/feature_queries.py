@@ -192,7 +192,7 @@ def effect_sizes(s, d):
 
 
 def compare_groups_binary(s, d):
-    return stats.compare_binary(_long(s, d, "sensor"), "belt", "mask")
+    return rounded(stats.compare_binary(_long(s, d, "sensor"), "belt", "mask"))
 
 
 def compare_groups_multi(s, d):
@@ -222,6 +222,10 @@ def corr_pearson_matrix(s, d):
     return rounded(stats.correlation_matrix(_features(s, d), ALL))
 
 
+def corr_spearman_matrix(s, d):
+    return rounded(stats.correlation_matrix(_features(s, d), ALL, "spearman"))
+
+
 def corr_pairs(s, d):
     return rounded(stats.correlated_pairs(stats.correlation_matrix(_features(s, d), ALL), 0.5))
 
@@ -263,7 +267,7 @@ def select_top_n(s, d):
 
 def select_statistical(s, d):
     f = _features(s, d).filter(F.col("sensor").isin("belt", "mask"))
-    return select.select_statistical(ft.melt(f.withColumnRenamed("sensor", "label"), ["label"], ALL), f, ALL, n=5)
+    return rounded(select.select_statistical(ft.melt(f.withColumnRenamed("sensor", "label"), ["label"], ALL), f, ALL, n=5))
 
 
 def binned_mutual_information(s, d):
@@ -272,7 +276,7 @@ def binned_mutual_information(s, d):
 
 def select_combined(s, d):
     f = _features(s, d).filter(F.col("sensor").isin("belt", "mask"))
-    return select.select_combined(ft.melt(f.withColumnRenamed("sensor", "label"), ["label"], ALL), f, ALL)
+    return rounded(select.select_combined(ft.melt(f.withColumnRenamed("sensor", "label"), ["label"], ALL), f, ALL))
 
 
 def violin_data(s, d):
@@ -411,7 +415,7 @@ _ALL = (
     aggregate_windows, aggregate_min_valid, aggregate_propagate, aggregate_custom, valid_counts, feature_statistics, normalize_zscore, normalize_minmax, normalize_robust, fill_mean, fill_median, fill_zero, fill_drop,
     melt, concat_union, split_train, split_test, feature_matrix, feature_matrix_summary, label_distribution, remap_labels, exclude_labels, cohort_filter, merge_labels_inner, lookup_left_outer, subject_from_filename, date_from_filename,
     sampling_rate_infer, welch_t, mann_whitney_u, kruskal_h, anova_f, effect_sizes, compare_groups_binary, compare_groups_multi, compare_groups_flat, *(_adjusted(m) for m in ("bonferroni", "sidak", "holm", "fdr_bh", "fdr_by")),
-    corr_pearson_matrix, corr_pairs, remove_correlated, outcome_pearson, outcome_spearman, outcome_kendall, kendall, variance_filter, select_top_n, select_statistical, select_combined, violin_data, label_summary, safe_names, binned_mutual_information, knn_neighbors, knn_predict,
+    corr_pearson_matrix, corr_spearman_matrix, corr_pairs, remove_correlated, outcome_pearson, outcome_spearman, outcome_kendall, kendall, variance_filter, select_top_n, select_statistical, select_combined, violin_data, label_summary, safe_names, binned_mutual_information, knn_neighbors, knn_predict,
     confusion_matrix, class_scores, outcome_rates, roc_points, auc, auc_by_class, stratified_folds, pca_scores, pca_loadings, pca_variance, grid_search, bootstrap_intervals, ablation, experiments, recursive_elimination, elimination_cv,
     _predictions("logistic", {}), _predictions("forest", {}), _predictions("boosting", {}), _predictions("svm", {"kernel": "rbf", "components": 100}), _predictions("network", {}),
 )
@@ -443,6 +447,14 @@ def _melted(names, label: str = "sensor") -> str:
 
 _RANKED = "rk as (select feature, label, value, rank() over (partition by feature order by value) + (count(*) over (partition by feature, value) - 1) / 2 r, count(*) over (partition by feature, value) t from long where value is not null {})"
 _MOM = "mom as (select feature, label, count(value) n, avg(value) m, var_samp(value) v from long where value is not null group by 1, 2), two as (select a.feature, a.n n1, b.n n2, a.m m1, b.m m2, a.v v1, b.v v2 from mom a join mom b on a.feature = b.feature and a.label = 'belt' and b.label = 'mask')"
+_MANN = f"""{_RANKED.format("and label in ('belt', 'mask')")},
+        mg as (select feature, count(*) filter (label = 'belt') n1, count(*) filter (label = 'mask') n2, sum(r) filter (label = 'belt') r1, sum(t * t - 1.0) ties from rk group by 1),
+        mu as (select *, r1 - n1 * (n1 + 1) / 2 statistic, n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1))) var from mg),
+        u as (select *, greatest(abs(statistic - n1 * n2 / 2) - 0.5, 0) / sqrt(var) z from mu)"""
+# twice the normal tail, by Simpson's rule from 0 to z
+_MANN_P = """si as (select i, case when i in (0, 800) then 1 when i % 2 = 1 then 4 else 2 end w from range(801) t(i)),
+    mp as (select feature, z, greatest(1 - sum(w * exp(-pow(least(z, 8) * i / 800, 2) / 2)) * least(z, 8) / 1200 / sqrt(2 * pi()), 0) p_value from u, si group by feature, z)"""
+_BELT_MASK_VAR = "va as (select feature, coalesce(var_pop(value), 0) v from long where label in ('belt', 'mask') group by 1)"
 # the sensors are three, and the tail of chi-square with two degrees of freedom is exp(-x / 2)
 _KRUSKAL = f"""{_RANKED.format('')}, ti as (select feature, sum(t * t - 1.0) ties from rk group by 1), rg as (select feature, label, count(*) n, sum(r) s from rk group by 1, 2),
     rh as (select feature, count(*) k, sum(n)::double n, sum(s * s / n) q from rg group by 1),
@@ -456,7 +468,13 @@ def _padj(expr: str, extra: str = "") -> str:
 
 
 _PAIRS = [(a, b) for i, a in enumerate(ALL) for b in ALL[i + 1:]]
-_MATRIX = f"with {_wf(ALL)}, mx as (" + " union all ".join(f"select '{a}' feature_a, '{b}' feature_b, corr({a}, {b}) r from wf where {a} is not null and {b} is not null" for a, b in _PAIRS) + ")"
+
+
+def _pairs(source: str) -> str:
+    return " union all ".join(f"select '{a}' feature_a, '{b}' feature_b, corr({a}, {b}) r from {source} where {a} is not null and {b} is not null" for a, b in _PAIRS)
+
+
+_MATRIX = f"with {_wf(ALL)}, mx as ({_pairs('wf')})"
 _SCORED = f"with {_wf(['rate'])}, {_LAB}, sc as (select feature_id, recovery label, round(1 - rate, 4) score, cast(rate < 0.25 as integer) prediction from wf join lab using (subject) where recovery is not null and rate is not null)"
 _KNN = """with e as (select distinct on (vec_id) vec_id, cast(embedding as double[]) v, label from embeddings),
     p as (select q.vec_id query_id, b.vec_id neighbor_id, b.label, list_distance(q.v, b.v) distance from e q join e b on q.vec_id <> b.vec_id where q.vec_id % 100 = 0),
@@ -495,10 +513,24 @@ ORACLE = {
     "sampling_rate_infer": "with e as (select user_id, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) over (partition by user_id order by ts, event_id) dt from events), g as (select user_id, median(dt) m from e group by 1) select user_id, round(1 / m, 12) sampling_rate from g where m > 0",
     "welch_t": f"""with {_wf(ALL)}, {_melted(ALL)}, {_MOM} select feature, n1, n2, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) statistic,
         round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 6) df from two""",
-    "mann_whitney_u": f"""with {_wf(ALL)}, {_melted(ALL)}, {_RANKED.format("and label in ('belt', 'mask')")},
-        g as (select feature, count(*) filter (label = 'belt') n1, count(*) filter (label = 'mask') n2, sum(r) filter (label = 'belt') r1, sum(t * t - 1.0) ties from rk group by 1),
-        u as (select *, r1 - n1 * (n1 + 1) / 2 statistic, n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1))) var from g)
-        select feature, n1, n2, round(statistic, 6) statistic, round(greatest(abs(statistic - n1 * n2 / 2) - 0.5, 0) / sqrt(var), 6) z, round(1 - 2 * statistic / (n1 * n2), 6) effect_size from u""",
+    "mann_whitney_u": f"""with {_wf(ALL)}, {_melted(ALL)}, {_MANN}
+        select feature, n1, n2, round(statistic, 6) statistic, round(z, 6) z, round(1 - 2 * statistic / (n1 * n2), 6) effect_size from u""",
+    "compare_groups_binary": f"""with {_wf(ALL)}, {_melted(ALL)}, {_MANN}, {_MANN_P}, mo as (select feature, label, count(*) n, avg(value) m, stddev_pop(value) sd, median(value) md from long where value is not null group by 1, 2),
+        pv as (select feature, p_value, count(*) over () m, row_number() over (order by p_value, z desc, feature) r from mp), pa as (select *, least(min(p_value * m / r) over (order by r desc), 1) p_adjusted from pv)
+        select feature, a.n n1, round(a.m, 6) mean1, round(a.sd, 6) std1, round(a.md, 6) median1, b.n n2, round(b.m, 6) mean2, round(b.sd, 6) std2, round(b.md, 6) median2, round(statistic, 6) statistic, round(pa.p_value, 6) p_value,
+            round(1 - 2 * statistic / (u.n1 * u.n2), 6) effect_size, 'mannwhitney' test_used, round(p_adjusted, 6) p_adjusted, p_adjusted < 0.05 significant
+        from u join pa using (feature) join mo a using (feature) join mo b using (feature) where a.label = 'belt' and b.label = 'mask'""",
+    "select_statistical": f"""with {_wf(ALL)}, {_melted(ALL)}, {_MANN}, {_MANN_P}, {_BELT_MASK_VAR}, ft as (select feature, p_value, z, v >= 0.01 ok, coalesce(p_value < 0.05, false) and v >= 0.01 fit from mp join va using (feature)),
+        rf as (select *, row_number() over (order by fit desc, z desc, feature) r, bool_or(fit) over () hits from ft)
+        select feature, round(p_value, 6) p_value, ok variance_passed, r <= 5 and (fit or not hits) selected from rf""",
+    "select_combined": f"""with recursive {_wf(ALL)}, {_melted(ALL)}, {_MANN}, {_MANN_P}, {_BELT_MASK_VAR}, bm as materialized (select * from wf where sensor in ('belt', 'mask')),
+        mx as materialized ({_pairs("bm")}), po as (select unnest([{", ".join(f"'{c}'" for c in ALL)}]) feature, generate_subscripts([{", ".join(f"'{c}'" for c in ALL)}], 1) at0),
+        vp as (select feature, row_number() over (order by at0) i from po join va using (feature) where v >= 0.01), nr as (select feature_b feature, list(feature_a) near from mx where abs(r) >= 0.95 group by 1),
+        st as materialized (select feature, i, coalesce(near, []) near from vp left join nr using (feature)),
+        gr as (select 0::bigint i, []::varchar[] kept union all select st.i, case when list_has_any(gr.kept, st.near) then gr.kept else list_append(gr.kept, st.feature) end from gr join st on st.i = gr.i + 1),
+        kp as (select unnest(kept) feature from gr where i = (select max(i) from gr))
+        select feature, step, round(case when kp.feature is not null then p_value end, 6) p_value, step is null selected from (select po.feature, mp.p_value, case when vp.feature is null then 'variance' when kp.feature is null then 'correlation' when coalesce(mp.p_value >= 0.05, true) then 'significance' end step
+            from po left join vp using (feature) left join kp using (feature) left join mp using (feature)) left join kp using (feature)""",
     "kruskal_h": f"with {_wf(ALL)}, {_melted(ALL)}, {_KRUSKAL} select feature, k, round(statistic, 6) statistic, round(p_value, 6) p_value from kw",
     "compare_groups_flat": f"""with {_wf(ALL)}, {_melted(ALL)}, {_KRUSKAL}, {_ANOVA}, pa as (select *, least(min(p_value * m / r) over (order by r desc), 1) p_adjusted from pv)
         select feature, label, round(ag.m, 6) mean, round(sd, 6) std, ag.n, round(statistic, 6) statistic, round(p_value, 6) p_value, round(b / (b + af.w), 6) effect_size, af.k n_groups, round(p_adjusted, 6) p_adjusted, p_adjusted < 0.05 significant
@@ -512,11 +544,20 @@ ORACLE = {
     "p_adjust_fdr_bh": _padj("least(min(p_value * m / r) over (order by r desc), 1)"),
     "p_adjust_fdr_by": _padj("least(min(p_value * m * h / r) over (order by r desc), 1)", "join (select sum(1 / r) h from pv) on true"),
     "corr_pearson_matrix": f"{_MATRIX} select feature_a, feature_b, round(r, 6) r from mx",
+    "corr_spearman_matrix": f"""with {_wf(ALL)}, lg as (select feature_id, feature, value from (select feature_id, {', '.join(f'cast({n} as double) {n}' for n in ALL)} from wf) unpivot (value for feature in ({', '.join(ALL)}))),
+        po as (select unnest([{", ".join(f"'{c}'" for c in ALL)}]) feature, generate_subscripts([{", ".join(f"'{c}'" for c in ALL)}], 1) at0), lp as (select * from lg join po using (feature)),
+        pr as (select a.feature feature_a, b.feature feature_b, a.value x, b.value y from lp a join lp b on a.feature_id = b.feature_id and a.at0 < b.at0),
+        rr as (select feature_a, feature_b, rank() over (partition by feature_a, feature_b order by x) + (count(*) over (partition by feature_a, feature_b, x) - 1) / 2 a, rank() over (partition by feature_a, feature_b order by y) + (count(*) over (partition by feature_a, feature_b, y) - 1) / 2 b from pr)
+        select feature_a, feature_b, round(corr(a, b), 6) r from rr group by 1, 2""",
     "corr_pairs": f"{_MATRIX} select feature_a, feature_b, round(r, 6) r, round(abs(r), 6) abs_r from mx where abs(r) >= 0.5",
     "remove_correlated": f"{_MATRIX} select distinct feature_b feature from mx where abs(r) > 0.5",
     "outcome_pearson": f"{_OUTC} select feature, count(*) n, round(corr(value, y), 6) correlation, round(abs(corr(value, y)), 6) abs_correlation from long group by 1",
     "outcome_spearman": f"""{_OUTC}, r as (select feature, rank() over (partition by feature order by value) + (count(*) over (partition by feature, value) - 1) / 2 a, rank() over (partition by feature order by y) + (count(*) over (partition by feature, y) - 1) / 2 b from long)
         select feature, count(*) n, round(corr(a, b), 6) correlation, round(abs(corr(a, b)), 6) abs_correlation from r group by 1""",
+    "outcome_kendall": f"""{_OUTC}, c as (select feature, value x, y, count(*)::double c from long group by 1, 2, 3), k as (select a.feature, sum(sign(b.x - a.x) * sign(b.y - a.y) * a.c * b.c) num from c a join c b on a.feature = b.feature and b.x > a.x group by 1),
+        n as (select feature, sum(c) n from c group by 1), tx as (select feature, sum(t * (t - 1) / 2) tx from (select feature, sum(c) t from c group by feature, x) group by 1), ty as (select feature, sum(t * (t - 1) / 2) ty from (select feature, sum(c) t from c group by feature, y) group by 1),
+        ta as (select feature, cast(n as bigint) n, num / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)) tau from n join tx using (feature) join ty using (feature) join k using (feature))
+        select feature, n, round(tau, 6) correlation, round(abs(tau), 6) abs_correlation from ta""",
     "kendall": f"""with {_wf(ALL)}, {_LAB}, c as (select rate x, survival y, count(*) c from wf join lab using (subject) where survival is not null and rate is not null group by 1, 2),
         k as (select sum(sign(b.x - a.x) * sign(b.y - a.y) * a.c * b.c) num from c a join c b on b.x > a.x), n as (select sum(c)::double n from c),
         tx as (select sum(t * (t - 1) / 2) tx from (select sum(c)::double t from c group by x)), ty as (select sum(t * (t - 1) / 2) ty from (select sum(c)::double t from c group by y))

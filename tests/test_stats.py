@@ -59,7 +59,7 @@ def test_kruskal_anova_identities(spark):
 def test_ranks_over_ranges_match_one_sort(spark):
     g = np.random.default_rng(5)
     v = np.r_[g.integers(0, 40, 500), np.full(300, 7)]
-    r = {x.value: x["rank"] for x in stats.ranks(spark.createDataFrame([("f", float(x)) for x in v], "feature string, value double"), ["feature"], ranges=16).collect()}
+    r = {x.value: x["rank"] for x in stats.ranks(spark.createDataFrame([("f", float(x)) for x in v], "feature string, value double"), ["feature"], ranges=16, per_range=4).collect()}
     s = np.sort(v)
     assert all(r[u] == pytest.approx((np.searchsorted(s, u) + np.searchsorted(s, u, "right") + 1) / 2) for u in np.unique(v))
 
