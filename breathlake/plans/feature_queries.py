@@ -359,10 +359,13 @@ def _table(s, d) -> DataFrame:
 
 
 def _predictions(kind: str, params: dict):
+    """Fitted without the subjects of one site, applied to all rows."""
+
     def query(s, d):
-        t = _table(s, d)
-        c = ml.Classifier(kind, ALL, params=params).fit(t)
-        return c.predict(t).select("feature_id", "label", "prediction", "score")
+        north = split_test(s, d).select("feature_id", F.lit(True).alias("held_out"))
+        t = cut(_table(s, d).join(north, "feature_id", "left").fillna(False, ["held_out"]))
+        c = ml.Classifier(kind, ALL, params=params).fit(t.filter("not held_out"))
+        return c.predict(t).select("feature_id", "label", "held_out", "prediction", "score")
 
     query.__name__ = f"{kind}_predict"
     return query

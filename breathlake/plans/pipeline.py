@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from breathlake.functions.metrics import METRICS
 from breathlake.operators import breaths as br
 from breathlake.operators import features as ft
+from breathlake.operators import signal as sg
 from breathlake.operators import stats
 from breathlake.session import cut
 
@@ -24,10 +25,34 @@ class Config:
     test: str = "mannwhitney"
     correction: str = "fdr_bh"
     alpha: float = 0.05
+    size_s: float = 30.0
+    overlap_s: float = 6.0
+    detrend: str | None = "linear"
+
+
+#: Bits of a window's id that hold its place in the recording: 16 million windows.
+PLACE_BITS = 24
+
+
+def clean_windows(windows: DataFrame, config: Config = Config()) -> DataFrame:
+    """Windows of ``config`` cut from the cleaned recordings, as ``window_id, recording_id, window_index, sampling_rate, window_data``.
+
+    Recordings that cleaning rejects have none, and windows that are not full
+    drop out. An index beyond the id's bits, or a recording whose id leaves no
+    room for them, is an error.
+    """
+    samples = sg.clean(sg.samples_from_windows(windows), config.detrend)[0]
+    e = sg.sliding_windows(samples, config.size_s, config.overlap_s)
+    g = e.groupBy("recording_id", "window_index").agg(F.max("w").alias("w"), F.max("rate").alias("sampling_rate"), F.sort_array(F.collect_list(F.struct("idx", "x"))).alias("d")).filter(F.size("d") == F.col("w"))
+    place = F.shiftleft(F.col("recording_id").cast("bigint"), PLACE_BITS)
+    fits = (F.col("window_index") < 1 << PLACE_BITS) & (F.shiftright(place, PLACE_BITS) == F.col("recording_id"))
+    ident = F.when(fits, place + F.col("window_index")).otherwise(F.raise_error(F.lit("window ids do not fit")).cast("bigint"))
+    return g.select(ident.alias("window_id"), "recording_id", "window_index", "sampling_rate", F.transform("d", lambda p: p["x"]).alias("window_data"))
 
 
 def window_features(windows: DataFrame, config: Config = Config()) -> DataFrame:
     """The 35 metrics of each window, NULL or 0 where it has no breaths of both phases; breaths are materialised."""
+    windows = cut(windows)  # read for breaths and for keys
     m = br.metrics(cut(br.window_breaths(windows, config.peaks)), ["window_id"], "peak_location")
     keys = windows.select("window_id", "recording_id", "window_index").dropDuplicates(["window_id"])
     multi = [c for c in METRICS if c.startswith(("multiphasic", "peaksperbreath", "interpeakinterval", "secondarypeakratio"))]

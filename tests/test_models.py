@@ -21,9 +21,9 @@ def rows(spark):
 @pytest.mark.parametrize("kind,params", [("logistic", {}), ("forest", {"n_estimators": 10}), ("boosting", {"n_estimators": 5}), ("svm", {"kernel": "linear"}), ("svm", {"kernel": "rbf", "components": 60}), ("network", {"hidden": [8], "max_iter": 60})])
 def test_each_kind_learns_is_kept_and_ranks_its_features(spark, rows, tmp_path, kind, params):
     names = ["a", "b", "c", "d"]
-    m = Classifier(kind, names, params=params).fit(rows)
+    m = Classifier(kind, names, params=params).fit(rows.filter("id % 3 > 0"))
     p = {r.id: r.prediction for r in m.predict(rows).collect()}
-    assert np.mean([p[r.id] == r.label for r in rows.collect()]) > 0.8
+    assert np.mean([p[r.id] == r.label for r in rows.filter("id % 3 = 0").collect()]) > 0.8  # rows it was not fitted on
     v = m.importances(rows)
     assert max(v, key=v.get) == "a" and set(v) == set(names)
     m.save(str(tmp_path / "m"))

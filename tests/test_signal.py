@@ -139,6 +139,24 @@ def test_pipeline_from_windows_to_recordings(spark):
         compare_outcome(df.filter("y = 1"), "y", ["rate_mean"])
 
 
+def test_cleaned_windows_of_recordings(spark):
+    from breathlake.plans.pipeline import Config, clean_windows
+
+    t = np.arange(600) / 6.0
+    x = 10 * np.sin(2 * np.pi * 0.25 * t)
+    bad = [None if 100 <= i < 104 else float(v) for i, v in enumerate(x)]
+    rows = [(1, 5, 0, 6.0, [float(v) for v in x[:360]]), (2, 5, 300, 6.0, [float(v) for v in x[300:]]), (2, 5, 300, 6.0, [float(v) for v in x[300:]]), (3, 6, 0, 6.0, bad), (4, 7, 0, 6.0, [1.0] * 30), (5, None, 0, 6.0, [1.0] * 300)]
+    w = spark.createDataFrame(rows, "window_id long, recording_id long, start_idx long, sampling_rate double, window_data array<double>")
+    got = {(r.recording_id, r.window_index): r for r in clean_windows(w, Config(detrend=None)).collect()}
+    assert {k for k in got if k[0] == 5} == {(5, i) for i in range(3)} and not any(k[0] in (7, None) for k in got)
+    assert len({r.window_id for r in got.values()}) == len(got) and all(len(r.window_data) == 180 for r in got.values())
+    assert got[5, 1].window_data == pytest.approx(list(x[144:324])) and got[5, 2].sampling_rate == 6.0
+    assert clean_windows(w.limit(0)).count() == 0
+    huge = w.withColumn("recording_id", F.lit(1 << 50))
+    with pytest.raises(Exception, match="do not fit"):
+        clean_windows(huge, Config(detrend=None)).collect()
+
+
 def test_recordings_are_filtered_in_blocks_as_in_one_piece(spark):
     g = np.random.default_rng(4)
     n, cutoff = 9000, br.Cutoff("band", 0.1, 0.5, 2)
