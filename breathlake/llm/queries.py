@@ -239,6 +239,18 @@ ORACLE = {
         s as (select doc_id, substr(t, i, 200) s from g semi join m using (h) join d using (doc_id)),
         n as (select s from s group by s having min(doc_id) <> max(doc_id))
         select distinct doc_id from s semi join n using (s)""",
+    "p8_shares": """
+        with d as (select doc_id, any_value(text) t from documents group by doc_id),
+        g as (select doc_id, i, hash(substr(t, i, 200)) h from (select doc_id, t, unnest(generate_series(1, length(t) - 199)) i from d where length(t) >= 200)),
+        m as (select h from g group by h having min(doc_id) <> max(doc_id)),
+        s as (select doc_id, i, substr(t, i, 200) s from g semi join m using (h) join d using (doc_id)),
+        n as (select s from s group by s having min(doc_id) <> max(doc_id)),
+        b as (select doc_id, i, coalesce(i - lag(i) over (partition by doc_id order by i) > 200, true) first from s semi join n using (s)),
+        r as (select doc_id, i, sum(cast(first as integer)) over (partition by doc_id order by i) run from b),
+        e as (select doc_id, run, max(i) + 200 - min(i) len from r group by 1, 2),
+        a as (select doc_id, count(*) stretches, cast(sum(len) as bigint) shared_chars, max(len) longest from e group by 1)
+        select doc_id, coalesce(length(t), 0) chars, coalesce(stretches, 0) stretches, coalesce(shared_chars, 0) shared_chars, coalesce(longest, 0) longest,
+            case when length(t) > 0 then coalesce(shared_chars, 0) / length(t) else 0.0 end share from d left join a using (doc_id)""",
     "p5_found": """
         select distinct window_id from signal_windows join window_configs using (config_id)
         where coalesce(end_time - start_time, len(window_data) / sampling_rate) > window_size + 0.01 and window_size > 0 and overlap < window_size""",
