@@ -37,6 +37,15 @@ def samples_from_windows(windows: DataFrame) -> DataFrame:
     return s.groupBy(KEY, (F.col("start_idx") + F.col("k")).alias("idx")).agg(F.max(finite("x")).alias("x"), F.max("rate").alias("rate"))
 
 
+def _with_recording(samples: DataFrame, per: DataFrame) -> DataFrame:
+    """Samples with the row that ``per`` has of their recording.
+
+    Spark sizes samples by the file their windows are packed in, a tenth of them
+    and less, so it may take them for the side to broadcast.
+    """
+    return samples.join(per.hint("shuffle_hash"), KEY)
+
+
 def recording_shape(samples: DataFrame) -> DataFrame:
     """Duration and sample count: ``n / rate``."""
     return samples.groupBy(KEY).agg(F.count("*").alias("n_samples"), F.max("rate").alias("rate"), F.count("x").alias("n_valid")).withColumn("duration_s", F.try_divide("n_samples", "rate"))
@@ -280,7 +289,7 @@ def detrend(samples: DataFrame, method: str = "linear") -> DataFrame:
     # sums about the first index keep the squares small
     fit = samples.groupBy(KEY).agg(F.regr_slope("x", F.col("idx").cast("double")).alias("slope"), F.regr_intercept("x", F.col("idx").cast("double")).alias("base"), F.avg("x").alias("m"))
     trend = F.col("base") + F.col("slope") * F.col("idx") if method == "linear" else F.col("m")
-    return samples.join(fit, KEY).select(KEY, "idx", "rate", (F.col("x") - F.coalesce(trend, F.col("m"))).alias("x"))
+    return _with_recording(samples, fit).select(KEY, "idx", "rate", (F.col("x") - F.coalesce(trend, F.col("m"))).alias("x"))
 
 
 def sliding_windows(samples: DataFrame, size_s: float, overlap_s: float) -> DataFrame:
