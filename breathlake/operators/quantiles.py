@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SMALL = 1_000_000
 #: Accuracy of the sketch: ranks are right to within one part in so many.
 ACCURACY = 10_000
+#: Groups up to which their brackets are broadcast.
+BROADCAST_GROUPS = 10_000
 
 
 def group_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], small: int | None = None) -> DataFrame:
@@ -27,15 +29,18 @@ def group_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     """
     d = df.select(*by, F.col(value).cast("double").alias("_v")).dropna(subset=["_v"])
     counts = d.groupBy(*by).agg(F.count("*").alias("_n"))
-    largest = counts.agg(F.max("_n")).first()[0] or 0
+    largest, groups = counts.agg(F.coalesce(F.max("_n"), F.lit(0)), F.count("*")).first()
     if largest <= (SMALL if small is None else small):
         return d.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
-    return bracketed_quantiles(d, by, probs)
+    return bracketed_quantiles(d, by, probs, groups=groups)
 
 
-def bracketed_quantiles(d: DataFrame, by: list[str], probs: list[float], accuracy: int = ACCURACY) -> DataFrame:
+def bracketed_quantiles(d: DataFrame, by: list[str], probs: list[float], accuracy: int = ACCURACY, groups: int | None = None) -> DataFrame:
     """As ``group_quantiles``, of the column ``_v``, by sketch and exact counts.
 
+    ``groups``: how many there are, if known. Few have their brackets broadcast;
+    otherwise a merge keeps Spark, which may underrate the values, from broadcasting those.
+
     A window orders only what lies in the brackets: about 6 values in
     ``accuracy`` of a group for each quantile, and all of a group of at most
     twice ``accuracy``.
@@ -46,6 +51,7 @@ def bracketed_quantiles(d: DataFrame, by: list[str], probs: list[float], accurac
     keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
     cuts = cuts.select(*keys, "_n", "_cuts")
     if by:
+        cuts = F.broadcast(cuts) if groups is not None and groups <= BROADCAST_GROUPS else cuts.hint("merge")
         j = d.join(cuts, reduce(lambda a, b: a & b, [d[c].eqNullSafe(cuts[f"_k{i}"]) for i, c in enumerate(by)])).drop(*[f"_k{i}" for i in range(len(by))])
     else:
         r = cuts.first()  # one row

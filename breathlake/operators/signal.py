@@ -99,14 +99,14 @@ def robust_threshold(samples: DataFrame, k: float = 10.0) -> DataFrame:
     """
     m = samples.groupBy(KEY).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
     m = m.join(group_quantiles(samples, [KEY], "x", [0.5]).select(KEY, F.get("q", F.lit(0)).alias("median")), KEY)
-    away = samples.select(KEY, "x").dropna().join(m, KEY).select(KEY, F.abs(F.col("x") - F.col("median")).alias("away"))
+    away = _with_recording(samples.select(KEY, "x").dropna(), m).select(KEY, F.abs(F.col("x") - F.col("median")).alias("away"))
     d = group_quantiles(away, [KEY], "away", [0.5]).select(KEY, F.get("q", F.lit(0)).alias("mad"))
     flat = F.col("mad") < 1e-10
     return m.join(d, KEY).select(KEY, "mad", F.when(flat, F.col("mean")).otherwise(F.col("median")).alias("center"), (F.when(flat, F.col("sd")).otherwise(F.col("mad")) * k).alias("reach"))
 
 
 def outlier_runs(samples: DataFrame, k: float = 10.0) -> DataFrame:
-    s = samples.join(robust_threshold(samples, k), KEY).filter(F.abs(F.col("x") - F.col("center")) > F.col("reach"))
+    s = _with_recording(samples, robust_threshold(samples, k)).filter(F.abs(F.col("x") - F.col("center")) > F.col("reach"))
     return islands(s, [KEY])
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from breathlake.operators import quantiles as qt
 from breathlake.operators import signal as sg
 
 #: Columns that only frames of one row a sample have.
-SAMPLES = {"idx", "x", "_x", "_i", "a", "b"}
+SAMPLES = {"idx", "x", "_x", "_i", "_v", "a", "b"}
 
 
 @pytest.fixture
@@ -40,3 +42,17 @@ def test_detrend_broadcasts_no_samples(spark, samples):
     got = sg.detrend(samples).select("recording_id", "idx", "x")
     assert not any(c & SAMPLES for c in broadcast(got))
     assert got.count() == 3 * 102
+
+
+@pytest.mark.parametrize("small", [1_000_000, 10])
+def test_outliers_broadcast_no_samples(spark, samples, monkeypatch, small):
+    monkeypatch.setattr(qt, "SMALL", small)
+    got = sg.outlier_runs(samples, 2.0)
+    assert not any(c & SAMPLES for c in broadcast(got))
+    assert got.count() > 0
+
+
+def test_brackets_are_joined_by_merge_where_groups_are_many_or_unknown(spark, samples):
+    d = samples.select("recording_id", F.col("x").alias("_v"))
+    assert not any(c & {"_v"} for c in broadcast(qt.bracketed_quantiles(d, ["recording_id"], [0.5])))
+    assert any(c & {"_cuts"} for c in broadcast(qt.bracketed_quantiles(d, ["recording_id"], [0.5], groups=3)))
