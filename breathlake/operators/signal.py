@@ -195,7 +195,8 @@ def repair(samples: DataFrame, runs: DataFrame, max_s: float = 10.0) -> DataFram
     at = samples.select(KEY, F.col("idx").alias("_i"), F.col("x").alias("_x"))
     left = at.select(KEY, (F.col("_i") + 1).alias("start_idx"), F.col("_x").alias("a"), F.lit(True).alias("has_a"))
     right = at.select(KEY, F.col("_i").alias("end_idx"), F.col("_x").alias("b"), F.lit(True).alias("has_b"))
-    r = r.join(left, [KEY, "start_idx"], "left").join(right, [KEY, "end_idx"], "left")
+    # merges, as Spark underrates the samples and would broadcast them
+    r = r.join(left.hint("merge"), [KEY, "start_idx"], "left").join(right.hint("merge"), [KEY, "end_idx"], "left")
     n = F.col("end_idx") - F.col("start_idx")
     short = n <= F.floor(F.lit(max_s) * F.col("rate"))
     mode = F.when(~short, "drop").when(F.col("has_a") & F.col("has_b"), "line")
@@ -203,7 +204,7 @@ def repair(samples: DataFrame, runs: DataFrame, max_s: float = 10.0) -> DataFram
     r = r.select(KEY, "mode", "start_idx", "a", "b", "n", F.explode(F.sequence("start_idx", F.col("end_idx") - 1)).alias("idx"))
     line = F.col("a") + (F.col("b") - F.col("a")) * (F.col("idx") - F.col("start_idx") + 1) / (F.col("n") + 1)
     new = r.select(KEY, "idx", F.when(F.col("mode") == "line", line).alias("new_x"), F.lit(True).alias("changed"))
-    s = samples.join(new, [KEY, "idx"], "left")
+    s = samples.join(new.hint("merge"), [KEY, "idx"], "left")
     return s.select(KEY, "idx", "rate", F.when(F.col("changed"), F.col("new_x")).otherwise(F.col("x")).alias("x"), F.coalesce("changed", F.lit(False)).alias("repaired"))
 
 

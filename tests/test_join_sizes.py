@@ -56,3 +56,10 @@ def test_brackets_are_joined_by_merge_where_groups_are_many_or_unknown(spark, sa
     d = samples.select("recording_id", F.col("x").alias("_v"))
     assert not any(c & {"_v"} for c in broadcast(qt.bracketed_quantiles(d, ["recording_id"], [0.5])))
     assert any(c & {"_cuts"} for c in broadcast(qt.bracketed_quantiles(d, ["recording_id"], [0.5], groups=3)))
+
+
+def test_repair_broadcasts_no_samples(spark, samples):
+    runs = spark.createDataFrame([(0, 3, 5), (1, 100, 102), (2, 10, 90)], "recording_id long, start_idx long, end_idx long")
+    got = sg.repair(samples, runs, 2.0)
+    assert not any(c & SAMPLES for df in (got, got.filter("repaired")) for c in broadcast(df))
+    assert {(r.recording_id, r.mode): r.n for r in got.filter("repaired").groupBy("recording_id", F.when(F.col("x").isNull(), "drop").otherwise("line").alias("mode")).agg(F.count("*").alias("n")).collect()} == {(0, "line"): 2, (2, "drop"): 80}
