@@ -140,7 +140,7 @@ def flat_runs(samples: DataFrame, min_s: float = 5.0, below: float = 0.001, bloc
     # the last sample of a stretch meets its first by index
     last = s.filter(F.col("idx") - F.col("since") >= F.col("w") - 1)
     last = last.select(KEY, "_b", (F.col("idx") - F.col("w") + 1).alias("idx"), "w", F.struct("c", "n", "s1", "s2").alias("e"))
-    s = s.join(last, [KEY, "_b", "w", "idx"]).filter((F.col("e.n") - F.col("n") == F.col("w") - 1) & F.col("y").isNotNull() & (F.col("e.c") - F.col("c") == F.col("w") - 1))
+    s = s.join(last.hint("merge"), [KEY, "_b", "w", "idx"]).filter((F.col("e.n") - F.col("n") == F.col("w") - 1) & F.col("y").isNotNull() & (F.col("e.c") - F.col("c") == F.col("w") - 1))
     y = F.col("y")
     mean = (F.col("e.s1") - F.col("s1") + y) / F.col("w")
     var = (F.col("e.s2") - F.col("s2") + y * y) / F.col("w") - mean * mean
@@ -149,7 +149,7 @@ def flat_runs(samples: DataFrame, min_s: float = 5.0, below: float = 0.001, bloc
     sure = F.col("var") < below**2 - F.col("loss")
     # stretches too close to the limit are measured again from their samples
     held = s.filter(~sure).select(KEY, F.col("idx").alias("at"), "w", F.explode(F.sequence("idx", F.col("idx") + F.col("w") - 1)).alias("idx"))
-    again = held.join(samples.select(KEY, "idx", "x"), [KEY, "idx"]).groupBy(KEY, "at", "w").agg(F.stddev_pop("x").alias("sd")).filter(F.col("sd") < below)
+    again = held.join(samples.select(KEY, "idx", "x").hint("merge"), [KEY, "idx"]).groupBy(KEY, "at", "w").agg(F.stddev_pop("x").alias("sd")).filter(F.col("sd") < below)
     out = s.filter(sure).select(KEY, "idx", "w").unionByName(again.select(KEY, F.col("at").alias("idx"), "w"))
     starts = islands(out, [KEY, "w"], "idx", block)  # runs of stretch starts cover w - 1 samples more
     ends = starts.select(KEY, "start_idx", (F.col("end_idx") + F.col("w") - 1).alias("end_idx"))

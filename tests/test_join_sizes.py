@@ -63,3 +63,8 @@ def test_repair_broadcasts_no_samples(spark, samples):
     got = sg.repair(samples, runs, 2.0)
     assert not any(c & SAMPLES for df in (got, got.filter("repaired")) for c in broadcast(df))
     assert {(r.recording_id, r.mode): r.n for r in got.filter("repaired").groupBy("recording_id", F.when(F.col("x").isNull(), "drop").otherwise("line").alias("mode")).agg(F.count("*").alias("n")).collect()} == {(0, "line"): 2, (2, "drop"): 80}
+
+
+def test_issues_broadcast_no_samples(spark, samples):
+    issues = sg.all_issues(samples)
+    assert not any(c & {*SAMPLES, "y", "w"} for df in (issues, sg.flat_runs(samples), sg.quality_report(samples, issues)) for c in broadcast(df))
