@@ -245,7 +245,7 @@ def neighbours(points: DataFrame, ask: DataFrame, by: list[str], pos: str, block
     next2 = F.last("_nf", True).over(wf.rowsBetween(Window.unboundedPreceding, -1))
     none = F.array().cast(ends.schema["last"].dataType)
     side = blocks.select(*by, "_b", F.concat(F.coalesce(prev2, none), F.coalesce("p1", none)).alias("pl"), F.concat(F.coalesce("n1", none), F.coalesce(next2, none)).alias("nr"))
-    h = here.join(side, [*by, "_b"])
+    h = here.join(side.hint("shuffle_hash"), [*by, "_b"])  # few rows a block against any number asked
     near_l = F.reverse(F.concat(F.col("pl"), F.array_compact(F.array("l2", "l1"))))
     near_r = F.concat(F.array_compact(F.array("r1", "r2")), F.col("nr"))
     h = h.withColumn("L", near_l).withColumn("R", near_r)
@@ -269,14 +269,14 @@ def interpolate(samples: DataFrame, bad: Column, block: int = BLOCK) -> DataFram
     near = near.select(KEY, "idx", a.alias("a"), b.alias("b")).filter("a is not null and b is not null")
     y = F.col("a.x") + (F.col("b.x") - F.col("a.x")) * (F.col("idx") - F.col("a.p")) / (F.col("b.p") - F.col("a.p"))
     new = near.select(KEY, "idx", y.alias("new_x"))
-    out = s.join(new, [KEY, "idx"], "left")
+    out = s.join(new.hint("merge"), [KEY, "idx"], "left")
     return out.select(KEY, "idx", "rate", F.coalesce("new_x", "x").alias("x"), F.col("new_x").isNotNull().alias("replaced"))
 
 
 def remove_outliers(samples: DataFrame, k: float = 5.0) -> DataFrame:
     """Samples beyond ``k`` population deviations from the mean, interpolated."""
     m = samples.groupBy(KEY).agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"))
-    return interpolate(samples.join(m, KEY), F.abs(F.col("x") - F.col("m")) > k * F.col("sd"))
+    return interpolate(_with_recording(samples, m), F.abs(F.col("x") - F.col("m")) > k * F.col("sd"))
 
 
 def fill_missing(samples: DataFrame) -> DataFrame:

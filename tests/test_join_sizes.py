@@ -68,3 +68,9 @@ def test_repair_broadcasts_no_samples(spark, samples):
 def test_issues_broadcast_no_samples(spark, samples):
     issues = sg.all_issues(samples)
     assert not any(c & {*SAMPLES, "y", "w"} for df in (issues, sg.flat_runs(samples), sg.quality_report(samples, issues)) for c in broadcast(df))
+
+
+def test_cleaning_broadcasts_no_samples(spark, samples):
+    for df in (sg.remove_outliers(samples, 1.0), sg.fill_missing(samples), sg.clean(samples)[0]):
+        assert not any(c & {*SAMPLES, "_p"} for d in (df, df.filter("replaced") if "replaced" in df.columns else df.select("recording_id", "idx", "x")) for c in broadcast(d))
+    assert df.count() == 3 * 102
