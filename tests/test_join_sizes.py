@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from breathlake.operators import breaths as br
 from breathlake.operators import quantiles as qt
 from breathlake.operators import signal as sg
 
@@ -74,3 +75,10 @@ def test_cleaning_broadcasts_no_samples(spark, samples):
     for df in (sg.remove_outliers(samples, 1.0), sg.fill_missing(samples), sg.clean(samples)[0]):
         assert not any(c & {*SAMPLES, "_p"} for d in (df, df.filter("replaced") if "replaced" in df.columns else df.select("recording_id", "idx", "x")) for c in broadcast(d))
     assert df.count() == 3 * 102
+
+
+def test_filtered_cleaning_broadcasts_no_samples(spark, samples, monkeypatch):
+    seen, cut = [], sg.cut
+    monkeypatch.setattr(sg, "cut", lambda df: (seen.append(broadcast(df)), cut(df))[1])  # as each stage is planned
+    df = sg.clean(samples, cutoff=br.Cutoff())[0]
+    assert len(seen) > 5 and not any(c & {*SAMPLES, "_p", "y", "w"} for sides in [*seen, broadcast(df)] for c in sides)
