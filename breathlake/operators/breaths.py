@@ -351,7 +351,7 @@ def with_previous(df: DataFrame, by: list[str], time: str, tie: str, bucket_s: f
     last = d.groupBy(*by, "_b").agg(F.max(time).alias("_last"))
     last = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*by).orderBy("_b"))).drop("_last")
     w = Window.partitionBy(*by, "_b").orderBy(time, tie)
-    return d.join(last, [*by, "_b"]).withColumn("prev", F.coalesce(F.lag(time).over(w), "_carry")).drop("_b", "_carry")
+    return d.join(last.hint("shuffle_hash"), [*by, "_b"]).withColumn("prev", F.coalesce(F.lag(time).over(w), "_carry")).drop("_b", "_carry")
 
 
 def next_after(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, bucket_s: float = BUCKET_S) -> DataFrame:
@@ -370,7 +370,7 @@ def next_after(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     both = l.withColumn("_side", F.lit(1)).unionByName(r.withColumn("_side", F.lit(0)), allowMissingColumns=True)
     down = Window.partitionBy(*by, "_b").orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1)
     nxt = F.last(F.when(F.col("_side") == 0, F.col("_t")), True).over(down)
-    out = both.withColumn("next", nxt).filter("_side = 1").join(first, [*by, "_b"], "left")
+    out = both.withColumn("next", nxt).filter("_side = 1").join(first.hint("shuffle_hash"), [*by, "_b"], "left")
     return out.withColumn("next", F.coalesce("next", "_carry")).drop("_t", "_b", "_side", "_carry")
 
 
@@ -405,7 +405,8 @@ def metrics(breaths: DataFrame, by: list[str], tie: str, k: float = 3.0, min_pau
     fields = ("volume", "duration", "peak_value")
     phases = ("inhale", "exhale")
     m = b.groupBy(*by, "phase").agg(*[f(c).alias(f"{n}_{c}") for c in fields for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    c = b.join(m, [*by, "phase"])
+    # groups are hashed, as Spark sizes breaths by the windows they were found in, and would broadcast them
+    c = b.join(m.hint("shuffle_hash"), [*by, "phase"])
     kept = {f: F.when(_within(F.col(f), F.col(f"m_{f}"), F.col(f"s_{f}"), k), F.col(f)) for f in fields}
     of = lambda p, x: F.when(F.col("phase") == p, x)
     many = F.col("number_of_peaks") > 1
@@ -417,10 +418,10 @@ def metrics(breaths: DataFrame, by: list[str], tie: str, k: float = 3.0, min_pau
     g = c.groupBy(*by).agg(*aggs)
     ibi = with_previous(b.filter("phase = 'inhale'"), by, "start_time", tie).select(*by, (F.col("start_time") - F.col("prev")).alias("ibi")).filter("ibi is not null")
     im = ibi.groupBy(*by).agg(F.avg("ibi").alias("m"), F.stddev_pop("ibi").alias("s"))
-    ibi = ibi.join(im, by).filter(_within(F.col("ibi"), F.col("m"), F.col("s"), k)).groupBy(*by).agg(F.avg("ibi").alias("ibi"), F.stddev_pop("ibi").alias("ibi_sd"))
+    ibi = ibi.join(im.hint("shuffle_hash"), by).filter(_within(F.col("ibi"), F.col("m"), F.col("s"), k)).groupBy(*by).agg(F.avg("ibi").alias("ibi"), F.stddev_pop("ibi").alias("ibi_sd"))
     p = pauses(b, by, min_pause_s)
     pm = p.groupBy(*by, "phase").agg(F.avg("pause").alias("m"), F.stddev_pop("pause").alias("s"))
-    p = p.join(pm, [*by, "phase"]).filter(_within(F.col("pause"), F.col("m"), F.col("s"), k))
+    p = p.join(pm.hint("shuffle_hash"), [*by, "phase"]).filter(_within(F.col("pause"), F.col("m"), F.col("s"), k))
     p = p.groupBy(*by).agg(*[f(of(ph, F.col("pause"))).alias(f"{ph}_pause_{n}") for ph in phases for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
     g = g.join(ibi, by, "left").join(p, by, "left")
     if "intervals" in breaths.columns:

@@ -82,3 +82,11 @@ def test_filtered_cleaning_broadcasts_no_samples(spark, samples, monkeypatch):
     monkeypatch.setattr(sg, "cut", lambda df: (seen.append(broadcast(df)), cut(df))[1])  # as each stage is planned
     df = sg.clean(samples, cutoff=br.Cutoff())[0]
     assert len(seen) > 5 and not any(c & {*SAMPLES, "_p", "y", "w"} for sides in [*seen, broadcast(df)] for c in sides)
+
+
+def test_metrics_broadcast_no_breaths(spark, tmp_path):
+    w = spark.range(2).selectExpr("id as window_id", "id as recording_id", "6.0D as sampling_rate", "transform(sequence(0, 599), i -> sin(i / 4.0D)) as window_data")
+    w.write.parquet(str(tmp_path / "w"))
+    got = br.metrics(br.window_breaths(spark.read.parquet(str(tmp_path / "w"))), ["window_id"], "peak_location")
+    assert not any(c & {"volume", "start_time", "_t", "pause"} or c & {"ibi", "ibi_sd"} == {"ibi"} for c in broadcast(got))  # with ibi_sd it is a group's
+    assert got.filter("inhale_volume > 0").count() == 2
