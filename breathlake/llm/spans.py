@@ -29,13 +29,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from breathlake.session import cut
 
-#: Repeated edges, and open ranges, up to which they are broadcast (at most 32 bytes each); beyond, they are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Repeated edges, and open ranges, up to which they are broadcast (at most 32 bytes each); beyond, they are joined by shuffle behind a sieve.
+BROADCAST_ROWS = 200_000
+#: Bits of a sieve at most (8 MB), however many keys it has: all that the driver holds of them.
+SIEVE_BITS = 1 << 26
 #: Characters hashed at once; longer texts go in overlapping blocks.
 BLOCK = 1 << 20
 #: Stretches are compared in slices on a grid of so many characters of the witness, so a witness has few different slices.
@@ -213,8 +216,46 @@ def document_edges(docs: DataFrame, rules: SpanRules) -> DataFrame:
 _PLACED = ("edge", "start", "end", "from_", "to_", "next_to")
 
 
-def _occurrences(docs: DataFrame, rules: SpanRules) -> DataFrame:
-    """Every edge with its place in its text, and the text's length."""
+def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each key among ``bits``, a power of two."""
+    h = _mixed(_mixed(keys.view(np.uint64) + U(_BASE)))
+    return h & U(bits - 1), (h >> U(32)) & U(bits - 1)
+
+
+def _sieve(keys: DataFrame, rows: int) -> Broadcast:
+    """A bitmap that holds all of ``keys`` (one column of ``rows`` numbers) and some others: it spares a join most of what has no match."""
+    bits = min(SIEVE_BITS, 1 << max(6, (16 * rows).bit_length()))
+    schema = pa.schema([("word", pa.int64()), ("marks", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_places(batch.column(0).to_numpy(), bits))
+            cols = (at >> U(6)).view(np.int64), (U(1) << (at & U(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
+
+    marks = keys.mapInArrow(run, "word bigint, marks bigint").groupBy("word").agg(F.bit_or("marks").alias("marks")).toArrow()  # a row for each 64 bits at most
+    words = np.zeros(bits >> 6, np.uint64)
+    words[marks["word"].to_numpy()] = marks["marks"].to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(words)
+
+
+def _held(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    a, b = _places(keys, len(words) << 6)
+    return ((words[a >> U(6)] >> (a & U(63))) & (words[b >> U(6)] >> (b & U(63))) & U(1)).astype(bool)
+
+
+def _sifted(docs: DataFrame, sieve: Broadcast) -> DataFrame:
+    """The rows of ``docs(doc_id, text)`` whose number the sieve holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_held(batch.column(0).to_numpy(), sieve.value)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _occurrences(docs: DataFrame, rules: SpanRules, sieve: Broadcast | None = None) -> DataFrame:
+    """Every edge (that ``sieve`` holds) with its place in its text, and the text's length."""
     names = ("doc", "chars", *_PLACED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,17 +263,15 @@ def _occurrences(docs: DataFrame, rules: SpanRules) -> DataFrame:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             sizes = np.array([len(t) if t else 0 for t in texts])
             for e in _whole_edges(texts, rules):
+                if sieve is not None:
+                    keep = _held(e["edge"], sieve.value)
+                    e = {k: v[keep] for k, v in e.items()}
                 cols = (ids[e["row"]], sizes[e["row"]], *(e[c] for c in _PLACED))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=list(names))
 
     return docs.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
-def _checked(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast behind a check of the size; a shuffle join beyond it."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def compact(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """``edge, path, off, pos``: nonbranching paths of the graph.
 
@@ -275,7 +314,11 @@ def shared_runs(docs: DataFrame, rules: SpanRules = SpanRules()) -> DataFrame:
     known = _known(docs, rules)
     counted = document_edges(known, rules).groupBy("edge").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
     repeated = cut(counted.filter("a <> b").select("edge"))
-    occ = _occurrences(known, rules).join(_checked(repeated, repeated.count()), "edge")
+    rows = repeated.count()
+    if rows <= BROADCAST_ROWS:
+        occ = _occurrences(known, rules).join(F.broadcast(repeated), "edge")
+    else:
+        occ = _occurrences(known, rules, _sieve(repeated, rows)).join(repeated, "edge")
     w = Window.partitionBy("doc").orderBy("start")
     occ = occ.withColumn("before", F.lag("start").over(w)).filter("before is null or before < start")  # documents given again
     follows = F.lag("end").over(w) - rules.gram == F.col("start")  # the edge before is repeated too
@@ -344,8 +387,10 @@ def _grams(docs: DataFrame, ranges: DataFrame, rules: SpanRules) -> DataFrame:
     """
     span = rules.span
     ranges = cut(ranges.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
-    rows = ranges.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0]
-    rows_ = _known(docs, rules).join(_checked(ranges, rows), "doc_id").select("doc_id", "text", "ranges")
+    n, rows = ranges.agg(F.count("*"), F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()
+    known = _known(docs, rules)
+    rows_ = known.join(F.broadcast(ranges), "doc_id") if rows <= BROADCAST_ROWS else _sifted(known, _sieve(ranges.select("doc_id"), n)).join(ranges, "doc_id")
+    rows_ = rows_.select("doc_id", "text", "ranges")
     schema = pa.schema([("doc", pa.int64()), ("lo", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,7 +458,9 @@ def _unequal(docs: DataFrame, found: DataFrame) -> DataFrame:
     key = ["wdoc", "wat", "n"]
     own = rows.select("doc", (F.col("start") + F.col("wat") - F.col("wstart")).alias("start"), *key).distinct()
     witnesses = rows.select(F.col("wdoc").alias("doc"), F.col("wat").alias("start"), *key).distinct()
-    texts = _texts(docs, own.unionByName(witnesses)).select(*key, "text").distinct()
+    ids = cut(found.select(F.col("doc").alias("doc_id")).union(found.select("wdoc")).distinct())
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null")
+    texts = _texts(_sifted(docs, _sieve(ids, ids.count())), own.unionByName(witnesses)).select(*key, "text").distinct()
     odd = texts.groupBy(*key).agg(F.count("*").alias("c"), F.min(F.length("text")).alias("least")).filter("c > 1 or least < n").select(*key)
     return rows.join(odd, key, "left_semi").select(*found.columns).distinct()
 

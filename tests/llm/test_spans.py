@@ -122,3 +122,34 @@ def test_shares_and_empty_table(spark):
     got = {r.doc_id: (r.shared_chars, r.share) for r in shared_shares(df, shared_stretches(df)).collect()}
     assert got == {1: (400, 1.0), 2: (400, 1.0), 3: (0, 0.0), 4: (0, 0.0)}
     assert shared_stretches(df.limit(0)).count() == 0
+
+
+def test_driver_holds_no_more_for_more_repeats(spark, monkeypatch):
+    r = random.Random(13)
+    word = lambda k: "".join(r.choices("abcdefgh ", k=k))
+    passage = word(600_000)
+    docs = [(1, passage), (2, word(300) + passage)] + [(i, word(40) + passage[i * 120: i * 120 + 130] + word(40)) for i in range(3, 4_003)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert spans.BROADCAST_ROWS * 32 + spans.SIEVE_BITS // 8 <= 16 << 20
+    monkeypatch.setattr(spans, "BROADCAST_ROWS", 10_000)
+    sent, broadcast = [], spans.F.broadcast
+    monkeypatch.setattr(spans.F, "broadcast", lambda d: sent.append(d.count()) or broadcast(d))
+    got = {(x.doc_id, x.start, x.end) for x in shared_stretches(df, SpanRules(span=100, gram=12)).collect()}
+    assert max([0, *sent]) <= 10_000  # of about 24,000 repeated edges
+    assert {(1, 0, 600_000), (2, 300, 600_300)} <= got and {d for d, _, _ in got} == set(range(1, 4_003))
+
+
+@pytest.mark.parametrize("most", [64, 1 << 26])
+def test_sieve_is_bounded_and_loses_nothing(spark, monkeypatch, most):
+    monkeypatch.setattr(spans, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(spans, "SIEVE_BITS", most)
+    keys = spark.range(-500, 2_500).toDF("edge")
+    words = spans._sieve(keys, 3_000).value
+    assert len(words) * 64 == min(most, 1 << 16)
+    assert spans._held(np.arange(-500, 2_500), words).all()
+    assert spans._held(np.arange(10_000, 20_000), words).mean() < 0.05 or most == 64
+    docs = corpus(9, 30)
+    got = {}
+    for r in shared_stretches(spark.createDataFrame(docs, "doc_id long, text string"), SpanRules(span=100, gram=12)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+    assert {d: sorted(v) for d, v in got.items()} == brute(docs, 100)
