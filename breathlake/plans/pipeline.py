@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breathlake.functions.metrics import METRICS
+from breathlake.operators import batches as bt
 from breathlake.operators import breaths as br
 from breathlake.operators import features as ft
 from breathlake.operators import signal as sg
@@ -34,13 +35,26 @@ class Config:
 PLACE_BITS = 24
 
 
-def clean_windows(windows: DataFrame, config: Config = Config()) -> DataFrame:
+def clean_windows(windows: DataFrame, config: Config = Config(), whole: int = bt.WHOLE) -> DataFrame:
     """Windows of ``config`` cut from the cleaned recordings, as ``window_id, recording_id, window_index, sampling_rate, window_data``.
 
     Recordings that cleaning rejects have none, and windows that are not full
     drop out. An index beyond the id's bits, or a recording whose id leaves no
-    room for them, is an error.
+    room for them, is an error. A recording of at most ``whole`` samples and one rate
+    is cleaned in one piece, others sample by sample; both give the same windows.
     """
+    w = windows.withColumn("d", F.col("window_data").cast("array<double>")).select("recording_id", "window_id", "start_idx", F.col("sampling_rate").cast("double").alias("rate"), "d").dropna()
+    per = w.groupBy("recording_id").agg(F.sum(F.size("d").cast("bigint")).alias("n"), F.min("rate").alias("low"), F.max("rate").alias("high"))
+    plain = (F.col("n") <= whole) & (F.col("low") == F.col("high")) & (F.col("low") > 0) & (F.col("high") < float("inf"))
+    rest = cut(per.filter(~plain).select("recording_id"))
+    if rest.isEmpty():
+        return bt.cut_recordings(w, config.size_s, config.overlap_s, config.detrend, PLACE_BITS)
+    found = bt.cut_recordings(w.join(rest, "recording_id", "left_anti"), config.size_s, config.overlap_s, config.detrend, PLACE_BITS)
+    return found.unionByName(_clean_by_sample(windows.join(rest, "recording_id", "left_semi"), config))
+
+
+def _clean_by_sample(windows: DataFrame, config: Config) -> DataFrame:
+    """``clean_windows`` with a row for each sample, for recordings of any length."""
     samples = sg.clean(sg.samples_from_windows(windows), config.detrend)[0]
     e = sg.sliding_windows(samples, config.size_s, config.overlap_s)
     g = e.groupBy("recording_id", "window_index").agg(F.max("w").alias("w"), F.max("rate").alias("sampling_rate"), F.sort_array(F.collect_list(F.struct("idx", "x"))).alias("d")).filter(F.size("d") == F.col("w"))
@@ -50,18 +64,18 @@ def clean_windows(windows: DataFrame, config: Config = Config()) -> DataFrame:
     return g.select(ident.alias("window_id"), "recording_id", "window_index", "sampling_rate", F.transform("d", lambda p: p["x"]).alias("window_data"))
 
 
-def window_features(windows: DataFrame, config: Config = Config()) -> DataFrame:
-    """The 35 metrics of each window, NULL or 0 where it has no breaths of both phases; breaths are materialised."""
-    windows = cut(windows)  # read for breaths and for keys
-    m = br.metrics(cut(br.window_breaths(windows, config.peaks)), ["window_id"], "peak_location")
-    keys = windows.select("window_id", "recording_id", "window_index").dropDuplicates(["window_id"])
-    multi = [c for c in METRICS if c.startswith(("multiphasic", "peaksperbreath", "interpeakinterval", "secondarypeakratio"))]
-    return keys.join(m, "window_id", "left").fillna(0, multi)
+def window_features(windows: DataFrame, config: Config = Config(), unique: bool = False) -> DataFrame:
+    """The 35 metrics of each window, NULL or 0 where it has no breaths of both phases. ``unique``: no window comes twice."""
+    return bt.window_metrics(windows if unique else windows.dropDuplicates(["window_id"]), config.peaks)
 
 
-def recording_features(windows: DataFrame, config: Config = Config()) -> DataFrame:
-    """One row per recording: each metric by each function; the window's time is no feature."""
-    return ft.aggregate_windows(window_features(windows, config), ["recording_id"], list(METRICS), list(config.functions), min_windows=config.min_windows)
+def recording_features(windows: DataFrame, config: Config = Config(), unique: bool = False) -> DataFrame:
+    """One row per recording: each metric by each function; the window's time is no feature. Windows' metrics are materialised."""
+    m = cut(window_features(windows, config, unique))
+    largest = m.groupBy("recording_id").count().agg(F.max("count")).first()[0] or 0
+    if largest <= bt.MOST_WINDOWS and set(config.functions) <= set(bt.FUNCTIONS):
+        return bt.recordings_of(m, list(METRICS), config.functions).filter(F.col("n_windows") >= config.min_windows)
+    return ft.aggregate_windows(m, ["recording_id"], list(METRICS), list(config.functions), min_windows=config.min_windows)
 
 
 def compare_outcome(features: DataFrame, outcome: str, names: list[str], config: Config = Config()) -> DataFrame:

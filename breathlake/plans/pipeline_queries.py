@@ -21,7 +21,7 @@ BEST = 5
 
 def pipeline_recordings(s: SparkSession, d: str) -> DataFrame:
     """Windows to samples, cleaning, windows anew, breaths, metrics: one row for each recording."""
-    return pl.recording_features(pl.clean_windows(table(s, d, "signal_windows"), CONFIG), CONFIG)
+    return pl.recording_features(pl.clean_windows(table(s, d, "signal_windows"), CONFIG), CONFIG, unique=True)
 
 
 def _labelled(s: SparkSession, d: str) -> DataFrame:
