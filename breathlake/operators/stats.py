@@ -21,6 +21,8 @@ from breathlake.session import cut
 
 #: Most ranges of a group within which ranks are counted.
 RANGES = 1024
+#: Rows of a wide table up to which one task may hold a feature.
+WHOLE_ROWS = 1_000_000
 #: Distinct values of a range where a group is to have several.
 PER_RANGE = 50_000
 
@@ -82,6 +84,16 @@ def _p(kind: str, *args: str) -> Column:
     return F.udf(run, "double")(*[F.col(a).cast("double") for a in args])
 
 
+def _mann_whitney_p(u, z, n1, n2, ties, alternative: str = "two-sided") -> float | None:
+    if u is None:
+        return None
+    if alternative != "two-sided":
+        return 1.0 if z is None else dist.normal_tail(z)
+    if ties == 0 and min(n1, n2) <= 8 and max(n1, n2) < 100:
+        return dist.mann_whitney_exact(u, n1, n2)
+    return 1.0 if z is None else min(1.0, 2 * dist.normal_tail(z))
+
+
 def mann_whitney(long: DataFrame, a, b, alternative: str = "two-sided") -> DataFrame:
     """U of group ``a``, its z with tie and continuity correction, the p and rank-biserial effect.
 
@@ -107,13 +119,7 @@ def mann_whitney(long: DataFrame, a, b, alternative: str = "two-sided") -> DataF
     g = g.withColumn("effect_size", 1 - F.try_divide(2 * F.col("statistic"), n1 * n2))
 
     def p(u, z, n1, n2, ties):
-        if u is None:
-            return None
-        if alternative != "two-sided":
-            return 1.0 if z is None else dist.normal_tail(z)
-        if ties == 0 and min(n1, n2) <= 8 and max(n1, n2) < 100:
-            return dist.mann_whitney_exact(u, n1, n2)
-        return 1.0 if z is None else min(1.0, 2 * dist.normal_tail(z))
+        return _mann_whitney_p(u, z, n1, n2, ties, alternative)
 
     return g.select("feature", "n1", "n2", "statistic", "z", "effect_size", F.udf(p, "double")("statistic", "z", "n1", "n2", "ties").alias("p_value"))
 
@@ -203,6 +209,75 @@ def compare_binary(long: DataFrame, a, b, test: str = "mannwhitney", correction:
     return adjust_p(out, method=correction) if correction else out
 
 
+def _two_whole(x: np.ndarray, y: np.ndarray) -> dict:
+    """``compare_binary`` by Mann-Whitney of one feature's values in both groups."""
+    out: dict = {}
+    for i, v in ((1, x), (2, y)):
+        real = v[~np.isnan(v)]  # moments take NaN as Spark does, quantiles and ranks leave it out
+        d = v - v[:1]
+        some = len(v) > 0
+        out |= {f"n{i}": len(v) if some else None, f"mean{i}": float(v[0] + d.mean()) if some else None, f"std{i}": float(d.std()) if some else None, f"median{i}": float(np.median(real)) if len(real) else None}
+    x, y = x[~np.isnan(x)], y[~np.isnan(y)]
+    n1, n2 = float(len(x)), float(len(y))
+    n = n1 + n2
+    _, at, count = np.unique(np.concatenate([x, y]), return_inverse=True, return_counts=True)
+    count = count.astype(float)
+    rank = np.cumsum(count) - (count - 1) / 2
+    ties = float((count**3 - count).sum())
+    u = float(rank[at[: len(x)]].sum()) - n1 * (n1 + 1) / 2 if n1 and n2 else None
+    var = n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1))) if n > 1 else 0.0
+    z = max(abs(u - n1 * n2 / 2) - 0.5, 0.0) / var**0.5 if u is not None and var > 0 else None
+    return out | {"statistic": u, "p_value": _mann_whitney_p(u, z, len(x), len(y), ties), "effect_size": None if u is None else 1 - 2 * u / (n1 * n2)}
+
+
+_TWO = "feature string, " + ", ".join(f"n{i} bigint, mean{i} double, std{i} double, median{i} double" for i in (1, 2)) + ", statistic double, p_value double, effect_size double"
+
+
+def compare_binary_whole(rows: DataFrame, names: list[str], label: str, a, b, correction: str | None = "fdr_bh") -> DataFrame:
+    """``compare_binary`` by Mann-Whitney from the wide form, all values of a feature in one task.
+
+    For tables of few rows: values travel in arrays, a feature's of one batch
+    together, in place of a row each.
+    """
+    d = rows.filter(F.col(label).isin([a, b])).select((F.col(label) == F.lit(a)).alias("_a"), *[F.col(c).cast("double").alias(c) for c in names])
+    packed = pa.schema([("feature", pa.string()), ("x", pa.list_(pa.float64())), ("y", pa.list_(pa.float64()))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            parts: tuple[list, list] = ([], [])
+            for j in range(len(names)):
+                c = batch.column(j + 1)
+                known = c.is_valid().to_numpy(zero_copy_only=False)
+                v = c.to_numpy(zero_copy_only=False)
+                for side, k in zip(parts, (first & known, ~first & known)):
+                    side.append(v[k])
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, s)]), pa.int32()), pa.array(np.concatenate(s))) for s in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(names), *lists], schema=packed)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def row() -> pa.RecordBatch:
+            x, y = (np.concatenate([h.column(i).flatten().to_numpy(zero_copy_only=False) for h in held]) for i in (1, 2))
+            one = {"feature": held[0].column(0)[0].as_py()} | _two_whole(x, y)
+            return pa.RecordBatch.from_pylist([one] if len(x) + len(y) else [], schema=result)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if held and held[0].column(0)[0] != batch.column(0)[i]:
+                    yield row()
+                    held = []
+                held.append(batch.slice(i, 1))
+        if held:
+            yield row()
+
+    result = pa.schema([(c, {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}[t]) for c, t in (e.split() for e in _TWO.split(", "))])
+    p = d.mapInArrow(pack, "feature string, x array<double>, y array<double>").repartition("feature").sortWithinPartitions("feature")
+    out = p.mapInArrow(test, _TWO).withColumn("test_used", F.lit("mannwhitney"))
+    return adjust_p(out, method=correction) if correction else out
+
+
 def compare_multi(long: DataFrame, parametric: bool = False, correction: str | None = "fdr_bh") -> DataFrame:
     """One row per feature over all labels; per-group moments as an array in label order."""
     an = anova(long)

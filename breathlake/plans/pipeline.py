@@ -78,16 +78,20 @@ def recording_features(windows: DataFrame, config: Config = Config(), unique: bo
     return ft.aggregate_windows(m, ["recording_id"], list(METRICS), list(config.functions), min_windows=config.min_windows)
 
 
-def compare_outcome(features: DataFrame, outcome: str, names: list[str], config: Config = Config()) -> DataFrame:
+def compare_outcome(features: DataFrame, outcome: str, names: list[str], config: Config = Config(), whole: int = stats.WHOLE_ROWS) -> DataFrame:
     """Group comparison of all features for one outcome; rows without outcome are left out.
 
     Two values compare by the configured test, more by its counterpart for
-    several groups; fewer are an error.
+    several groups; fewer are an error. Mann-Whitney ranks a feature in one task
+    while there are at most ``whole`` rows, with the same results.
     """
     rows = features.filter(F.col(outcome).isNotNull())
-    labels = [r[0] for r in rows.select(outcome).distinct().orderBy(outcome).limit(3).collect()]
+    sizes = rows.groupBy(outcome).count().orderBy(outcome).limit(3).collect()
+    labels = [r[0] for r in sizes]
     if len(labels) < 2:
         raise ValueError(f"{outcome} has fewer than two groups")
+    if len(labels) == 2 and config.test == "mannwhitney" and sizes[0][1] + sizes[1][1] <= whole:
+        return stats.compare_binary_whole(rows, names, outcome, *labels, correction=config.correction)
     long = ft.melt(rows.withColumn("label", F.col(outcome)), ["label"], names)
     if len(labels) == 2:
         return stats.compare_binary(long, *labels, test=config.test, correction=config.correction)

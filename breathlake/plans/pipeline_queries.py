@@ -27,7 +27,8 @@ def pipeline_recordings(s: SparkSession, d: str) -> DataFrame:
 def _labelled(s: SparkSession, d: str) -> DataFrame:
     """Features of recordings with their subject and its latest outcome."""
     owner = table(s, d, "recordings").groupBy("recording_id").agg(F.max(subject_key("subject_id")).alias("subject"))
-    return cut(ft.merge_labels(pipeline_recordings(s, d).join(owner, "recording_id"), _labels(s, d), "subject", "recovery"))
+    labelled = ft.merge_labels(owner, _labels(s, d), "subject", "recovery")  # narrow rows meet first
+    return cut(pipeline_recordings(s, d).join(labelled, "recording_id"))
 
 
 def pipeline_comparison(s: SparkSession, d: str) -> DataFrame:

@@ -123,3 +123,21 @@ def test_a_recording_goes_on_in_the_next_batch(spark, odd):
         assert rows() == want and agg() == both
     finally:
         spark.conf.set(key, before)
+
+
+def test_comparison_of_a_feature_in_one_task(spark):
+    g = np.random.default_rng(6)
+    rows = [(i, float(i % 3 == 0) if i % 7 else None, float(np.round(g.normal(), 1)) if g.random() < 0.8 else None, None, 2.5, i if i % 3 == 0 else None, float(g.normal()) if i < 20 else None) for i in range(150)]
+    rows += [(200, 1.0, float("nan"), None, 2.5, 7, None)]
+    df = spark.createDataFrame(rows, "recording_id int, recovery double, tied double, never double, same double, one int, few double").repartition(3)
+    names = ["tied", "never", "same", "one", "few"]
+    got, want = pl.compare_outcome(df, "recovery", names), pl.compare_outcome(df, "recovery", names, whole=0)
+    assert got.dtypes == want.dtypes
+    plan = got._jdf.queryExecution().toString()
+    assert "Expand" not in plan and "Join" not in plan  # no row for each value, ranks are joined to none
+    got, want = ({r.feature: r.asDict() for r in df.collect()} for df in (got, want))
+    assert got.keys() == want.keys() == {"tied", "same", "one", "few"}
+    for f in got:
+        for c, v in got[f].items():
+            w = want[f][c]
+            assert v == w or v == pytest.approx(w, rel=1e-9, abs=1e-12, nan_ok=True), (f, c)
