@@ -141,3 +141,14 @@ def test_comparison_of_a_feature_in_one_task(spark):
         for c, v in got[f].items():
             w = want[f][c]
             assert v == w or v == pytest.approx(w, rel=1e-9, abs=1e-12, nan_ok=True), (f, c)
+
+
+def test_predictions_take_no_row_for_each_sample_or_value(spark, monkeypatch):
+    from breathlake.plans import pipeline_queries as pq
+
+    seen, cut = [], pq.cut
+    for module in (pl, pq):
+        monkeypatch.setattr(module, "cut", lambda df: (seen.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df))[1])
+    got = pq.pipeline_predictions(spark, "/root/testdata/sf0.001").collect()
+    assert len(seen) == 4 and not any("Generate" in p or "Expand" in p for p in seen)
+    assert len(got) > 10 and {r.held_out for r in got} == {True, False} and all(0 <= r.score <= 1 for r in got)
